@@ -12,12 +12,15 @@ than needed, so only a pair of sets that both have SPARE empty pairs or more can
 sets get further signatures under other partitions, LEVELS in all, and only sets that are as empty under all of them
 share a last signature.
 
-Candidates: signatures are shuffled, sorted and streamed; sets that share some become candidates. Not all pairs of a
-signature's sets are tried: all are tried with the first of them, the links found are joined into components, and only
-where a signature's sets are then still in several components do further pairs follow, in rounds, each with another
-pivot, and never within a component. So a group of near copies costs about a pair each, and no link that joins two
-components is lost. Pairs are verified on the texts themselves, each pivot's text being held while its partners
-stream by; a pivot with many partners is dealt to several tasks.
+Candidates: signatures are shuffled, sorted and streamed; sets that share some form a group. Within a group, sets are
+compared by sketches: their elements counted in SKETCH buckets, whose differences add up to at most the number of
+elements in which the sets differ. A pair whose sketches differ by more than similar sets may is none; so sets that share
+but a passage fall apart here, exactly, and none is lost. Not all pairs that are left are verified: first each set with
+the first of its group that it may be similar to; the links found are joined into components; then, only across
+components, each with the NEAR nearest; then, across components again, all that is left. So a group of near copies costs
+about a pair each, and no link that joins two components is lost. Groups of over CELL sets are compared in blocks.
+Pairs are verified on the texts themselves, each first partner's text being held while the others stream by; one with
+many partners is dealt to several tasks.
 
 Shingles are compared by 64-bit hashes, as are whole sets: with 10**9 sets the chance of a mistake is a few per cent
 over all of them.
@@ -40,7 +43,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-SPARE, LEVELS, SUB, STARS, ALL_PAIRS, PARTNERS = 3, 3, 3, 4, 24, 256
+SPARE, LEVELS, SUB, SKETCH, NEAR, CELL, PARTNERS = 3, 3, 3, 128, 4, 8192, 256
 
 
 @lru_cache(None)
@@ -102,16 +105,22 @@ def _sets(batch, n: int) -> Iterator[tuple[object, np.ndarray]]:
         yield key, C.shingle_set(v.as_buffer().to_pybytes(), n) if v.is_valid else np.empty(0, np.uint64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall into each of SKETCH buckets, 255 at most."""
+    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def digests(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, sid): sid is null for empty sets."""
+    """(doc_id, n_shingles, sid, sketch): the last two are null for empty sets."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            found = [(len(s), set_id(s) if len(s) else None) for _, s in _sets(batch, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["doc_id", "n_shingles", "sid"])
+            found = [(len(s), set_id(s), sketch(s)) if len(s) else (0, None, None) for _, s in _sets(batch, n)]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]], ["doc_id", "n_shingles", "sid", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sid long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, sketch binary")
 
 
 def postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -224,25 +233,77 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def next_pairs(groups: DataFrame, comp: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to verify, groups that remain) of a round. groups: (grp, sid); comp: (node, comp).
+def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent: int, near: int | None) -> DataFrame:
+    """Pairs (kind 0, a < b) of sets in groups (grp, sid) whose sketches allow similarity, by info (sid, n, sketch).
 
-    Groups whose sets are in one component are done. Of the others, small ones have all pairs across components tried and
-    are done too; large ones have every set tried with one pivot, which then leaves the group. After STARS rounds all
-    pairs across components are tried, whatever the size.
+    Without comp, each set with the first such set of its group; and as kind 1 the rows (grp, sid) of sets that have any.
+    With comp (node, comp), only sets of different components: each with its ``near`` nearest, or with all if that is None.
     """
-    now = groups.join(comp, F.col("sid") == F.col("node"), "left").select("grp", "sid", F.coalesce("comp", "sid").alias("comp"))
-    state = now.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.min("sid").alias("pivot")).where("low <> high")
-    open_ = now.join(state, "grp")
-    small = open_.where((F.col("size") <= ALL_PAIRS) if turn < STARS else F.lit(True))
-    x, y = small.alias("x"), small.alias("y")
-    across = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-    if turn >= STARS:
-        return across.distinct(), groups.limit(0)
-    large = open_.where(F.col("size") > ALL_PAIRS)
-    of_pivot = large.where("sid = pivot").select("grp", F.col("comp").alias("pivot_comp"))
-    star = large.join(of_pivot, "grp").where("sid <> pivot AND comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
-    return across.unionByName(star).distinct(), large.where("sid <> pivot").select("grp", "sid")
+    import pyarrow as pa
+
+    spark = groups.sparkSession
+    w = Window.partitionBy("grp")
+    if comp is None:
+        now = groups.select("grp", "sid", F.lit(0).cast("long").alias("comp"), F.count(F.lit(1)).over(w).alias("size"))
+    else:
+        now = groups.join(comp, F.col("sid") == F.col("node"), "left").select("grp", "sid", F.coalesce("comp", "sid").alias("comp"))
+        now = now.select("*", F.count(F.lit(1)).over(w).alias("size"), F.min("comp").over(w).alias("low"), F.max("comp").over(w).alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    now = now.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j")))
+    now = now.select("grp", "sid", "comp", "blk", F.explode(cells).alias("c")).select("grp", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "sid", "comp", "blk")
+
+    first = comp is None
+
+    def cell(grp, sid, comp_, blk, n, sk, across: bool, out: list[list[np.ndarray]]) -> None:
+        x = np.frombuffer(b"".join(sk), np.uint8).reshape(len(sid), SKETCH).astype(np.int16)
+        any_ = np.zeros(len(sid), bool)
+        for k in range(1, len(sid)):
+            total = n[:k] + n[k]
+            ok = (100 + percent) * np.abs(x[:k] - x[k]).sum(1) <= (100 - percent) * total
+            if across:
+                ok &= blk[:k] != blk[k]
+            if not first:
+                ok &= comp_[:k] != comp_[k]
+            found = np.flatnonzero(ok)
+            if not len(found):
+                continue
+            any_[found] = any_[k] = True
+            if first:
+                found = found[:1]
+            elif near is not None and len(found) > near:
+                found = found[np.argsort(np.abs(x[found] - x[k]).sum(1), kind="stable")[:near]]
+            out.append([np.zeros(len(found), np.int32), sid[found], np.full(len(found), sid[k])])
+        if first and any_.any():
+            out.append([np.ones(int(any_.sum()), np.int32), np.full(int(any_.sum()), grp), sid[any_]])
+
+    def run(batches: Iterator) -> Iterator:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                if rest is None:
+                    return
+                now, last = rest, True
+            else:
+                now, last = (batch if rest is None else pa.concat_batches([rest, batch])), False
+            if not now.num_rows:
+                continue
+            grp, i, j = (now.column(k).to_numpy() for k in range(3))
+            at = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            ends = np.append(at[1:], now.num_rows)
+            if not last:
+                rest, at, ends = now.slice(int(at[-1])), at[:-1], ends[:-1]
+            sid, comp_, blk, n = (now.column(k).to_numpy() for k in range(3, 7))
+            sk, out = now.column(7).to_pylist() if len(at) else [], []
+            for lo, hi in zip(at.tolist(), ends.tolist()):
+                if hi - lo > 1:
+                    cell(grp[lo], sid[lo:hi], comp_[lo:hi], blk[lo:hi], n[lo:hi], sk[lo:hi], i[lo] != j[lo], out)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["kind", "a", "b"])
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    full = now.join(info, "sid").select("grp", "i", "j", "sid", "comp", "blk", "n", "sketch")
+    return full.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "sid").mapInArrow(run, "kind int, a long, b long")
 
 
 def link_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -251,35 +312,32 @@ def link_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     docs = C.wide(docs.select("doc_id", "text"))
     rows, _ = C.write_out(spark, digests(docs, n), "digests")
     groups, groups_at = C.write_out(spark, shared(postings(docs, n, percent)).distinct(), "groups")
-    # One text for each class that has candidates.
-    wanted = groups.select("sid").distinct()
-    first = rows.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    info = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    info, info_at = C.write_out(spark, info.join(groups.select("sid").distinct(), "sid"), "info")
+    found, found_at = C.write_out(spark, compare(groups, info.drop("doc_id"), None, percent, None), "pairs")
+    C.drop_path(spark, groups_at)
+    # Sets that may be similar to another; signatures whose sets are now the same become one group.
+    left = found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("sid"))
+    mark = left.groupBy("grp").agg(F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64("sid", F.lit(2))).alias("two"))
+    one = mark.groupBy("one", "two").agg(F.min("grp").alias("grp")).select("grp")
+    groups, groups_at = C.write_out(spark, left.join(one, "grp"), "groups")
+    # One text for each class that is left.
+    first, _ = C.write_out(spark, info.select("sid", "doc_id").join(groups.select("sid").distinct(), "sid"), "first")
     texts, texts_at = C.write_out(spark, _texts(docs, first, n), "texts")
-    lone = texts.limit(0).select(F.col("sid").alias("node"), F.col("sid").alias("comp"))
-    pairs = groups.join(groups.groupBy("grp").agg(F.min("sid").alias("a")), "grp").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    edges, edges_at = C.write_out(spark, verify(pairs, texts, n, percent), "links")
-    comp, comp_at = C.components(spark, edges)
-    left, left_at = groups, groups_at
-    # The first round's pivots have met all others of their groups.
-    for turn in itertools.count():
-        pairs, rest = next_pairs(left, comp, turn)
-        pairs, pairs_at = C.write_out(spark, pairs, "pairs")
-        if not pairs.limit(1).count():
+    pairs, comp, comp_at = found.where("kind = 0").select("a", "b").distinct(), None, None
+    for near in (NEAR, None, 0):
+        edges, edges_at = C.write_out(spark, verify(pairs, texts, n, percent), "links")
+        known = edges if comp is None else edges.union(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+        comp, new_at = C.components(spark, known)
+        C.drop_path(spark, edges_at, found_at, *([comp_at] if comp_at else []))
+        comp_at = new_at
+        if near == 0:
             break
-        new, new_at = C.write_out(spark, verify(pairs, texts, n, percent), "links")
-        if turn >= STARS:
-            if new.limit(1).count():
-                comp, comp_at = C.components(spark, comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(new))
+        found, found_at = C.write_out(spark, compare(groups, info.drop("doc_id"), comp, percent, near), "pairs")
+        pairs = found.select("a", "b").distinct()
+        if not found.limit(1).count():
             break
-        rest, rest_at = C.write_out(spark, rest, "groups")
-        if new.limit(1).count():
-            comp, old = C.components(spark, comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(new))
-            C.drop_path(spark, comp_at)
-            comp_at = old
-        C.drop_path(spark, left_at, pairs_at, new_at)
-        left, left_at = rest, rest_at
-    C.drop_path(spark, texts_at)
-    del lone
+    C.drop_path(spark, groups_at, info_at, texts_at)
     return rows, comp
 
 

@@ -13,7 +13,7 @@ sets get further signatures under other partitions, LEVELS in all, and only sets
 share a last signature.
 
 Candidates: signatures are shuffled, sorted and streamed; sets that share some form a group. Within a group, sets are
-compared by sketches: their elements counted in SKETCH buckets, whose differences add up to at most the number of
+compared by sketches: their elements counted in buckets, whose differences add up to at most the number of
 elements in which the sets differ. A pair whose sketches differ by more than similar sets may is none; so sets that share
 but a passage fall apart here, exactly, and none is lost. Not all pairs that are left are verified: first each set with
 the first of its group that it may be similar to; the links found are joined into components; then, only across
@@ -106,8 +106,35 @@ def _sets(batch, n: int) -> Iterator[tuple[object, np.ndarray]]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many elements fall into each of SKETCH buckets, 255 at most."""
-    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """How many elements fall into each bucket, 255 at most. SKETCH buckets, twice as many as often as there are over six elements to each."""
+    buckets = SKETCH
+    while 6 * buckets < len(s):
+        buckets *= 2
+    return np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+class Sketches:
+    """The sketches of a group's sets; those of half as many buckets are compared after folding, others can't be similar."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(r) for r in raw])
+        self.rows, self.at, self.full, self.half = {}, np.empty(len(raw), np.int64), {}, {}
+        for w in np.unique(self.width).tolist():
+            self.rows[w] = rows = np.flatnonzero(self.width == w)
+            self.at[rows] = np.arange(len(rows))
+            self.full[w] = np.frombuffer(b"".join(raw[r] for r in rows), np.uint8).reshape(len(rows), w).astype(np.int16)
+            self.half[w] = self.full[w].reshape(len(rows), 2, w // 2).sum(1, dtype=np.int16)
+
+    def differences(self, k: int) -> np.ndarray:
+        """For each set before the k-th a lower bound of the elements in which it differs from it."""
+        out = np.full(k, np.iinfo(np.int64).max >> 16)
+        w = int(self.width[k])
+        for v, own, others in ((w, self.full, self.full), (2 * w, self.full, self.half), (w // 2, self.half, self.full)):
+            if v in self.rows:
+                rows = self.rows[v]
+                m = int(np.searchsorted(rows, k))
+                out[rows[:m]] = np.abs(others[v][:m] - own[w][self.at[k]]).sum(1)
+        return out
 
 
 def digests(docs: DataFrame, n: int) -> DataFrame:
@@ -256,11 +283,11 @@ def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent:
     first = comp is None
 
     def cell(grp, sid, comp_, blk, n, sk, across: bool, out: list[list[np.ndarray]]) -> None:
-        x = np.frombuffer(b"".join(sk), np.uint8).reshape(len(sid), SKETCH).astype(np.int16)
+        x = Sketches(sk)
         any_ = np.zeros(len(sid), bool)
         for k in range(1, len(sid)):
-            total = n[:k] + n[k]
-            ok = (100 + percent) * np.abs(x[:k] - x[k]).sum(1) <= (100 - percent) * total
+            apart = x.differences(k)
+            ok = (100 + percent) * apart <= (100 - percent) * (n[:k] + n[k])
             if across:
                 ok &= blk[:k] != blk[k]
             if not first:
@@ -272,7 +299,7 @@ def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent:
             if first:
                 found = found[:1]
             elif near is not None and len(found) > near:
-                found = found[np.argsort(np.abs(x[found] - x[k]).sum(1), kind="stable")[:near]]
+                found = found[np.argsort(apart[found], kind="stable")[:near]]
             out.append([np.zeros(len(found), np.int32), sid[found], np.full(len(found), sid[k])])
         if first and any_.any():
             out.append([np.ones(int(any_.sum()), np.int32), np.full(int(any_.sum()), grp), sid[any_]])

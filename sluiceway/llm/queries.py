@@ -9,11 +9,15 @@ from .langid import op10_language_id
 from .packing import op9_packing
 from .pii import op7_pii
 from .pq import op6_embedding_dedup
+from .secretscan import op3_secret_scan
+from .sharding import OP4_SQL, op4_sharding
 from .urlfilter import OP5_SQL, op5_url_filters
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_html": op2_html,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_sharding": op4_sharding,
     "op5_url_filters": op5_url_filters,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_pii": op7_pii,
@@ -21,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
-ORACLE = {"op5_url_filters": OP5_SQL}
+ORACLE = {"op4_sharding": OP4_SQL, "op5_url_filters": OP5_SQL}

@@ -7,8 +7,8 @@ shingle domain is partitioned by hash into n1 parts of three sub-parts each; n1
 most one difference, and then two of its three sub-parts agree. Enumerating the pairs of sub-parts of every part gives
 signatures of which two similar sets share one for certain.
 
-Agreement on an empty pair of sub-parts says nothing, and would put all small sets together. n1 has SPARE parts more
-than needed, so only a pair of sets that both have SPARE empty pairs or more can have nothing but empty agreements; such
+Agreement on an empty pair of sub-parts says nothing, and would put all small sets together. n1 has some parts more
+than needed, so only a pair of sets that both have as many empty pairs or more can have nothing but empty agreements; such
 sets get further signatures under other partitions, LEVELS in all, and only sets that are as empty under all of them
 share a last signature.
 
@@ -33,6 +33,7 @@ part as any other, its component being null only if no row of it has an id.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-SPARE, LEVELS, SUB, SKETCH, NEAR, CELL, PARTNERS = 3, 3, 3, 128, 4, 8192, 256
+LEVELS, SUB, SKETCH, NEAR, CELL, PARTNERS = 3, 3, 128, 4, 8192, 256
 
 
 @lru_cache(None)
@@ -62,16 +63,35 @@ def differences(end: int, percent: int) -> int:
     return union * (100 - percent) // 100
 
 
+@lru_cache(None)
+def layout(band: int, percent: int) -> tuple[int, int]:
+    """(n1, parts more than needed) of a band: those for which its sets, from the smallest to the largest, give the fewest signatures."""
+    ends = band_ends(percent)
+    k, least, most = differences(ends[band], percent), (ends[band - 2] if band > 1 else 0) + 1, ends[band]
+    best = None
+    for need in range(1, k // 4 + 16):
+        n1, cost = k // 2 + need, 0.0
+        for size in {least + (most - least) * q // 4 for q in range(5)}:
+            mean = n1 * SUB * (1 - (SUB - 1) / (SUB * n1)) ** size  # of the parts with an empty pair, about Poisson
+            term, below = math.exp(-min(mean, 700)), 0.0
+            for z in range(need):
+                below += term
+                term *= mean / (z + 1)
+            again = max(0.0, 1 - below)
+            cost += n1 * sum(again**j for j in range(LEVELS))
+        if best is None or cost < best[0]:
+            best = cost, n1, need
+    return best[1], best[2]
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set of hashes, for its own band and the next."""
+    """The signatures of a set of hashes, for its own band and the next, in 48 bits: two that fall together cost a comparison."""
     ends = band_ends(percent)
     band = int(np.searchsorted(ends, len(s)))
     out = []
     with np.errstate(over="ignore"):
         for b in (band, band + 1):
-            k = differences(ends[b], percent)
-            n1 = k // 2 + (SPARE if k > 1 else 1)
-            need = n1 - k // 2
+            n1, need = layout(b, percent)
             tag = np.uint64(((b << 32) * 2654435761) & C.MASK)
             for level in range(LEVELS):
                 h = C.mix(s + np.uint64(level * 0x51ED270B + 1))
@@ -88,7 +108,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
                     break
             else:
                 out.append(C.mix(np.array([tag + np.uint64(0xE11)], np.uint64)))
-    return np.concatenate(out)
+    return np.concatenate(out) >> np.uint64(16)
 
 
 def set_id(s: np.ndarray) -> int:

@@ -1,6 +1,428 @@
-"""The registered queries and the SQL they are checked with."""
+"""The registered queries and the SQL they are checked with.
+
+The test tables hold no captured responses, sitemaps, result pages or decks, so several queries derive such relations
+from pages and documents, by the same rule here and in SQL. A template's index is a small constant.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..functions import text as T
+from ..functions import url as U
+from ..operators import deck, discover, gate, pages, policy
+from ..session import table
+from ..sources import dims
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+WS = r"[\s\p{Z}]"
+
+
+def sql_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def sql_unescape(x: str) -> str:
+    return rf"""regexp_replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')"""
+
+
+_SKIP = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "nav", "footer", "header", "noscript"))
+SQL_TEXT = rf"""array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(html, '(?is)<!--.*?-->|{_SKIP}', '<>', 'g'), '<[^>]*>'), lambda x: {sql_strip(sql_unescape('x'))}), lambda x: x <> ''), chr(10))"""
+SQL_TITLE = rf"""{sql_strip(sql_unescape("regexp_replace(CASE WHEN regexp_matches(html, '(?is)<title[^>]*>.*?</title>') THEN regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) ELSE regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) END, '<[^>]+>', '', 'g')"))}"""
+
+
+def sql_truncate(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN left({x}, {n}) || chr(10) || chr(10) || '[... 截断，原文共 ' || length({x}) || ' 字符 ...]' ELSE {x} END"
+
+
+# --- pages ---------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, {SQL_TITLE} AS title FROM pages")
+def page_title(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", H.title(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, {SQL_TEXT} AS text FROM pages")
+def page_clean_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.clean_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, {SQL_TEXT} AS text FROM pages")
+def page_parsed_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.parse_page(F.col("html"))["text"].alias("text"))
+
+
+@query(f"""WITH t AS (SELECT page_id, url, {SQL_TITLE} AS title, {SQL_TEXT} AS w FROM pages), n AS (SELECT *, length(w) >= 200 AS ok FROM t)
+SELECT page_id, url, 'html' AS type, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN CAST(length(w) AS INTEGER) END AS length, CASE WHEN ok AND length(w) > 8000 THEN true END AS truncated,
+CASE WHEN ok THEN {sql_truncate('w', 8000)} END AS text, CASE WHEN NOT ok THEN 'body too short' END AS error FROM n""")
+def page_clean_record(spark, sf):
+    return pages.clean_records(table(spark, sf, "pages"))
+
+
+@query(f"SELECT doc_id, CAST(length(text) AS INTEGER) AS length, {sql_truncate('text', 8000)} AS text FROM documents")
+def document_truncate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.length("text").alias("length"), T.truncate(F.col("text"), 8000).alias("text"))
+
+
+SQL_LINKS = rf"""WITH a AS (SELECT page_id, url AS base, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages),
+b AS (SELECT page_id, base, unnest(range(len(h))) AS pos, unnest(h) AS href, unnest(t) AS text FROM a),
+c AS (SELECT page_id, pos, regexp_extract(base, '^([a-zA-Z]+://[^/?#]+)', 1) || {sql_unescape('href')} AS url, trim(regexp_replace({sql_unescape('text')}, '{WS}+', ' ', 'g')) AS text FROM b),
+d AS (SELECT page_id, url, min(pos) AS pos, coalesce(arg_min(text, pos) FILTER (text <> ''), '') AS text FROM c GROUP BY ALL)
+SELECT page_id, url, text, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS rank FROM d WHERE text <> ''"""
+
+
+@query(SQL_LINKS)
+def page_links(spark, sf):
+    return pages.numbered(pages.split_links(pages.resolve(pages.raw_links(table(spark, sf, "pages"))))[1])
+
+
+ATTACHMENTS = """<a href="/d/a.pdf">Report</a><a href="b.OFD?x=1"></a><a href="/p/1.html">Page</a><a href="/d/a.pdf">again</a><a href="https://other.org/x.docx"><img alt="Form"></a><a href="mailto:x@y.z">m</a><a href="b.OFD?x=1">late</a>"""
+
+
+@query("""SELECT * FROM (VALUES (1, 'https://www.site.com/d/a.pdf', 'pdf', 'Report'), (2, 'https://www.site.com/sub/b.OFD?x=1', 'ofd', 'late'), (3, 'https://other.org/x.docx', 'docx', 'Form')) t(rank, url, ext, text)""")
+def attachment_links(spark, sf):
+    one = spark.createDataFrame([(1, "https://www.site.com/sub/", ATTACHMENTS)], "page_id long, url string, html string")
+    return pages.numbered(pages.split_links(pages.resolve(pages.raw_links(one, native=False), native=False))[0]).select("rank", "url", "ext", "text")
+
+
+@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS s, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS h FROM pages)
+SELECT page_id, CASE WHEN h LIKE 'www.%' THEN [s || '://' || h] ELSE [s || '://' || h, s || '://www.' || h] END AS roots FROM a""")
+def host_roots(spark, sf):
+    scheme = F.regexp_extract("url", "^(https?)://", 1)
+    return table(spark, sf, "pages").select("page_id", U.roots(F.concat(scheme, F.lit("://"), U.host(F.col("url")))).alias("roots"))
+
+
+# --- responses -----------------------------------------------------------------------------------------------
+
+_BODY = "CASE {m} WHEN 1 THEN left(html, 300) WHEN 2 THEN concat('<title>Just a moment</title>', html) WHEN 5 THEN concat('%PDF-1.7 ', html) ELSE html END"
+_STATUS = "CASE {m} WHEN 3 THEN 404 WHEN 4 THEN 412 WHEN 6 THEN 0 ELSE 200 END"
+_URL = "CASE {m} WHEN 7 THEN concat(split_part(url, '?', 1), '.pdf') ELSE url END"
+_CTYPE = "CASE {m} WHEN 5 THEN 'application/pdf' ELSE 'text/html' END"
+
+
+def responses_sql(engine: str, m: str) -> str:
+    """Responses of an engine, spoiled in turn by the page's number."""
+    f = lambda x: x.format(m=m)
+    return f"SELECT page_id, {f(_URL)} AS url, '{engine}' AS engine, CAST({f(_STATUS)} AS INT) AS status, encode({f(_BODY)}{{utf8}}) AS data, {f(_CTYPE)} AS content_type FROM pages"
+
+
+def responses(spark, sf: str, engine: str, m: str) -> DataFrame:
+    return spark.sql(responses_sql(engine, m).format(utf8=", 'UTF-8'").replace("FROM pages", "FROM {pages}"), pages=table(spark, sf, "pages"))
+
+
+SQL_VERDICT = """CASE WHEN status <> 0 AND status >= 400 THEN 'http_error' WHEN content_type LIKE '%pdf%' OR starts_with(decode(data), '%PDF-') THEN NULL
+WHEN lower(split_part(url, '?', 1)) LIKE '%.pdf' THEN 'wrong_content_type' WHEN octet_length(data) < 500 THEN 'empty_body' WHEN contains(left(decode(data), 4096), 'Just a moment') THEN 'challenge' END"""
+
+
+@query(f"SELECT page_id, {SQL_VERDICT} AS verdict FROM ({responses_sql('http', 'page_id % 8').format(utf8='')})")
+def response_verdict(spark, sf):
+    r = responses(spark, sf, "http", "page_id % 8")
+    return r.select("page_id", gate.verdict(F.col("status"), F.col("data"), F.col("content_type"), F.col("url")).alias("verdict"))
+
+
+@query("""WITH a AS (SELECT page_id, CAST([200, 403, 404, 410, 412, 429, 500, 503][page_id % 8 + 1] AS INTEGER) AS status, page_id % 3 > 0 AS passed FROM pages)
+SELECT page_id, CASE WHEN NOT passed THEN status WHEN status >= 400 AND status NOT IN (403, 412, 429, 503) THEN status ELSE 200 END AS final FROM a""")
+def status_launder(spark, sf):
+    df = table(spark, sf, "pages").select("page_id", F.element_at(F.array(*map(F.lit, (200, 403, 404, 410, 412, 429, 500, 503))), (F.col("page_id") % 8 + 1).cast("int")).alias("status"), (F.col("page_id") % 3 > 0).alias("passed"))
+    return df.select("page_id", gate.launder(F.col("status"), F.col("passed")).alias("final"))
+
+
+SQL_ACQUIRE = f"""WITH h AS ({responses_sql('http', 'page_id % 8').format(utf8='')}), b0 AS ({responses_sql('browser', 'page_id % 5').format(utf8='')}),
+b AS (SELECT b0.page_id, h.url, b0.engine, b0.status, b0.data, b0.content_type FROM b0 JOIN h USING (page_id)), r AS (SELECT *, 1 AS k FROM h UNION ALL SELECT *, 2 FROM b),
+v AS (SELECT *, {SQL_VERDICT} AS kind FROM r), d AS (SELECT *, CASE WHEN kind = 'http_error' THEN 'HTTP ' || status ELSE kind END AS detail FROM v),
+g AS (SELECT url, min(k) FILTER (kind IS NULL) AS won, string_agg(detail, '；' ORDER BY k) FILTER (kind IS NOT NULL) AS details, arg_min(engine, k) FILTER (kind IS NULL) AS engine_used, arg_min(octet_length(data), k) FILTER (kind IS NULL) AS n,
+ count(*) FILTER (kind IS NOT NULL) AS bad, bool_or(k = 1 AND kind IS NOT NULL) AS first_bad FROM d GROUP BY url)"""
+
+
+def outcomes(spark, sf):
+    h = responses(spark, sf, "http", "page_id % 8")
+    b = responses(spark, sf, "browser", "page_id % 5").drop("url").join(h.select("page_id", "url"), "page_id").select(h.columns)
+    return gate.acquire(h.unionByName(b))
+
+
+@query(SQL_ACQUIRE + " SELECT url, engine_used, CASE WHEN won IS NOT NULL THEN 200 END AS status, n AS bytes, CASE WHEN won = 2 THEN 1 WHEN won IS NULL THEN 2 ELSE 0 END AS failed, CASE WHEN won IS NULL THEN details END AS error FROM g")
+def tiered_acquire(spark, sf):
+    return outcomes(spark, sf).select("url", "engine_used", "status", F.octet_length("data").cast("long").alias("bytes"), F.coalesce(F.size("attempts"), F.lit(0)).alias("failed"), "error").withColumn("failed", F.greatest("failed", F.lit(0)))
+
+
+@query(SQL_ACQUIRE + " SELECT count(*) AS total, count(won) AS succeeded, count(*) FILTER (won = 2) AS degraded, CAST(sum(coalesce(n, 0)) AS BIGINT) AS length FROM g")
+def fetch_summary(spark, sf):
+    return gate.summary(outcomes(spark, sf))
+
+
+@query(f"SELECT page_id, url, octet_length(encode(html)) AS bytes, {SQL_TITLE} AS title, CAST(length({SQL_TEXT}) AS INTEGER) AS text_len, regexp_matches(html, 'Just a moment') AS challenge FROM pages")
+def diagnose_probe(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", "url", F.octet_length("html").cast("long").alias("bytes"), H.title(F.col("html")).alias("title"), F.length(H.clean_text(F.col("html"))).alias("text_len"), F.rlike("html", F.lit(gate.CHALLENGE)).alias("challenge"))
+
+
+# --- discovery -----------------------------------------------------------------------------------------------
+
+_LASTMOD = "CASE WHEN page_id % 11 = 0 THEN '' ELSE concat('2024-0', CAST(page_id % 9 + 1 AS STRING), '-1', CAST(page_id % 7 AS STRING)) END"
+
+
+@query(f"""WITH a AS (SELECT url, {_LASTMOD} AS lastmod, page_id AS ord FROM pages WHERE regexp_matches(url, '(?i)/(en|de)/')), b AS (SELECT *, row_number() OVER (ORDER BY lastmod DESC, ord) AS r FROM a WHERE lastmod <> '' AND left(lastmod, 10) >= '2024-03-01')
+SELECT url, lastmod, CAST(r AS INTEGER) AS rank FROM b WHERE r <= 20""")
+def sitemap_topk(spark, sf):
+    df = table(spark, sf, "pages").select("url", F.expr(_LASTMOD).alias("lastmod"), F.col("page_id").alias("ord"))
+    return discover.top_entries(df, "/(en|de)/", "2024-03-01")
+
+
+_ENTRY = "concat('<url><loc> ', url, ' </loc>', CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<lastmod>', " + _LASTMOD + ", '</lastmod>') END, '</url>')"
+
+
+@query(f"SELECT CAST(page_id % 10 AS BIGINT) AS sitemap, url AS loc, CASE WHEN page_id % 3 = 0 THEN '' ELSE {_LASTMOD} END AS lastmod, false AS child FROM pages WHERE regexp_matches(url, '^[^<[:space:]]+$')")
+def sitemap_entries(spark, sf):
+    # One document a tenth of the pages, to have documents with many entries.
+    e = table(spark, sf, "pages").select((F.col("page_id") % 10).alias("sitemap"), "page_id", F.expr(_ENTRY).alias("e"))
+    xml = e.groupBy("sitemap").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("e"), "\n"), F.lit("</urlset>")).alias("text"))
+    return discover.sitemap_rows(xml, "text", "sitemap").select("sitemap", "loc", "lastmod", "child")
+
+
+@query("""WITH RECURSIVE e AS (SELECT page_id AS p, c, pos FROM (SELECT page_id, unnest([page_id * 2 + 1, page_id * 2 + 2, page_id // 3]) AS c, unnest([0, 1, 2]) AS pos FROM pages)),
+w AS (SELECT CAST(0 AS BIGINT) AS u, 0 AS d, '' AS path UNION ALL SELECT e.c, d + 1, path || lpad(CAST(pos AS VARCHAR), 2, '0') FROM w JOIN e ON e.p = w.u WHERE d < 6),
+f AS (SELECT u, min((d, path)) AS o FROM w GROUP BY u), n AS (SELECT u, row_number() OVER (ORDER BY o) AS n FROM f) SELECT CAST(u AS VARCHAR) AS url, CAST(n AS INTEGER) AS n FROM n WHERE n <= 20""")
+def sitemap_bfs(spark, sf):
+    p = table(spark, sf, "pages")
+    kids = F.array(*[F.struct(c.cast("string").alias("child"), F.lit(k).alias("pos")) for k, c in enumerate((F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.floor(F.col("page_id") / 3)))])
+    edges = p.select(F.col("page_id").cast("string").alias("parent"), F.explode(kids).alias("x")).select("parent", "x.*")
+    return discover.expand(spark.createDataFrame([("0", 0)], "url string, ord int"), edges)
+
+
+_HIT = """concat('<h3 class="res-title "><a href="/r" data-mdurl="', CASE WHEN page_id % 4 = 0 THEN concat('https://www.so.com/', CAST(page_id AS STRING)) ELSE url END, '" x><em>Hit</em> ', CAST(page_id AS STRING), '&amp;</a></h3>')"""
+
+
+@query("""WITH a AS (SELECT page_id % 20 AS query, page_id, url, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS rank FROM pages WHERE page_id % 4 <> 0)
+SELECT query, 'Hit ' || page_id || '&' AS title, url, CAST(rank AS INTEGER) AS rank FROM a WHERE rank <= 10""")
+def serp_hits(spark, sf):
+    p = table(spark, sf, "pages").select((F.col("page_id") % 20).alias("query"), F.struct("page_id", F.expr(_HIT).alias("h")).alias("s"))
+    html = p.groupBy("query").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["h"]), "\n").alias("html"))
+    return discover.result_hits(html)
+
+
+# --- policies ------------------------------------------------------------------------------------------------
+
+
+def library_raw(spark, sf):
+    """A JSON answer for each department from documents: title, url, time and publisher by rule."""
+    d = table(spark, sf, "documents")
+    keys = dims.departments(spark).select(F.col("code").alias("dept"), F.col("name").alias("dept_name"), "puborg_keys", F.row_number().over(_by("code")).alias("k"))
+    row = F.struct(F.concat(F.lit("<em>T</em>"), F.col("doc_id").cast("string"), F.lit(" &amp; ")).alias("title"), F.when(F.col("doc_id") % 13 > 0, F.concat(F.lit("http://p/"), (F.col("doc_id") % 500).cast("string"))).alias("url"), F.when(F.col("doc_id") % 17 > 0, F.lit(1700000000000) + F.col("doc_id") * 3600000).alias("pubtime"), F.element_at(F.array(*map(F.lit, ("发展改革委办公厅", "应急管理部", "其他"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("puborg"), F.lit("c").alias("pcode"))
+    some = d.select((F.col("doc_id") % 8 + 1).alias("k"), F.col("doc_id"), row.alias("row"))
+    raw = some.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "row"))), lambda x: x["row"]).alias("l"))
+    return raw.join(F.broadcast(keys), "k").select("dept", "dept_name", "puborg_keys", F.to_json(F.struct(F.struct(F.col("l").alias("listVO")).alias("searchVO"))).alias("raw"))
+
+
+def _by(col: str):
+    from pyspark.sql import Window
+
+    return Window.orderBy(col)
+
+
+_VALUES = ", ".join(f"('{c}', '{n}', {k}, {('NULL' if not keys else repr(keys[0]))})" for k, (c, n, _, keys, *_) in enumerate(sorted(dims.DEPARTMENTS), 1))
+SQL_LIBRARY = f"""WITH dep(dept, dept_name, k, key) AS (VALUES {_VALUES}), r AS (SELECT doc_id, doc_id % 8 + 1 AS k, 'T' || doc_id || ' &' AS title, CASE WHEN doc_id % 13 > 0 THEN 'http://p/' || doc_id % 500 END AS url,
+CASE WHEN doc_id % 17 > 0 THEN 1700000000000 + doc_id * 3600000 END AS ms, ['发展改革委办公厅', '应急管理部', '其他'][doc_id % 3 + 1] AS puborg FROM documents),
+f AS (SELECT *, CAST(make_timestamp(ms * 1000) AS DATE) AS day, row_number() OVER (PARTITION BY dept ORDER BY doc_id) AS n FROM r JOIN dep USING (k) WHERE url IS NOT NULL AND ms IS NOT NULL AND CAST(make_timestamp(ms * 1000) AS DATE) >= DATE '2023-11-20' - 7 AND (key IS NULL OR contains(puborg, key)))"""
+
+
+@query(SQL_LIBRARY + " SELECT dept, dept_name, title, url, strftime(day, '%Y-%m-%d') AS date, puborg, 'c' AS pcode, 'policy_library' AS source_tier FROM f WHERE n <= 5")
+def policy_library(spark, sf):
+    return policy.library_candidates(library_raw(spark, sf), 5, "w", "2023-11-20").drop("pos")
+
+
+def listing_raw(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit('<li><a href="/t2024010'), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("_"), F.col("doc_id").cast("string"), F.lit('.html" target="_blank"> Notice on '), F.element_at(F.array(*map(F.lit, ("safety", "energy", "prices"))), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(" "), F.col("doc_id").cast("string"), F.lit(" </a></li>")).alias("h"))
+    html = d.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "\n").alias("raw"))
+    return html.select(F.lit("ndrc").alias("dept"), F.lit("国家发展和改革委员会").alias("dept_name"), F.lit("https://www.ndrc.gov.cn/xxgk/zcfb/fzggwl/").alias("list_url"), "raw")
+
+
+SQL_LISTING = """, l AS (SELECT doc_id, 'ndrc' AS dept, '国家发展和改革委员会' AS dept_name, 'Notice on ' || ['safety', 'energy', 'prices'][doc_id % 3 + 1] || ' ' || doc_id AS title,
+'https://www.ndrc.gov.cn/t2024010' || (doc_id % 9 + 1) || '_' || doc_id || '.html' AS url, '2024-01-0' || (doc_id % 9 + 1) AS date, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id % 3 < 2)"""
+_LIST = "SELECT dept, dept_name, title, url, date, CAST(NULL AS VARCHAR) AS puborg, CAST(NULL AS VARCHAR) AS pcode, 'official_site' AS source_tier"
+
+
+@query(f"WITH x AS (SELECT 1) {SQL_LISTING} {_LIST} FROM l WHERE n <= 5")
+def policy_listing(spark, sf):
+    return policy.listing_candidates(listing_raw(spark, sf), dims.DEPARTMENTS[0][6], ["safety", "energy"]).drop("pos")
+
+
+@query(f"""{SQL_LIBRARY} {SQL_LISTING}, a AS (SELECT dept, dept_name, title, url, strftime(day, '%Y-%m-%d') AS date, puborg, 'c' AS pcode, 'policy_library' AS source_tier, k * 2 AS p, n FROM f WHERE n <= 40 UNION ALL {_LIST}, 1000 AS p, n FROM l WHERE n <= 5),
+b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY p, n) AS first FROM a) SELECT dept, dept_name, title, url, date, puborg, pcode, source_tier FROM b WHERE first = 1""")
+def policy_union(spark, sf):
+    lib = policy.library_candidates(library_raw(spark, sf), 40, "w", "2023-11-20")
+    lst = policy.listing_candidates(listing_raw(spark, sf), dims.DEPARTMENTS[0][6], ["safety", "energy"])
+    plan = dims.departments(spark).select(F.col("code").alias("dept"), F.lit("policy_library").alias("source_tier"), (F.row_number().over(_by("code")) * 2).alias("plan_no")).unionByName(spark.createDataFrame([("ndrc", "official_site", 1000)], "dept string, source_tier string, plan_no int"))
+    return policy.union_first([lib, lst], plan)
+
+
+_STATES = [("a", "policy_library", False, None, 0, 0), ("b", "policy_library", True, "HTTP 404", 0, 0), ("c", "official_site", True, "request timed out", 0, 0), ("d", "official_site", True, None, 0, 0), ("e", "official_site", True, None, 7, 0), ("f", "policy_library", True, None, 3, 2), ("g", "policy_library", True, None, 0, 0)]
+
+
+@query("""SELECT * FROM (VALUES ('a', 'policy_library', 'invalid_response', 'missing'), ('b', 'policy_library', 'http_error', 'HTTP 404'), ('c', 'official_site', 'network_unreachable', 'request timed out'), ('d', 'official_site', 'invalid_response', 'stale pattern'), ('e', 'official_site', 'no_match', 'no match'), ('g', 'policy_library', 'no_match', 'no match')) t(dept, tier, kind, detail)""")
+def policy_errors(spark, sf):
+    return policy.tier_errors(spark.createDataFrame(_STATES, "dept string, tier string, fetched boolean, fetch_error string, links int, matched int"))
+
+
+@query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+def keep_first_dedupe(spark, sf):
+    return gate.keep_first(table(spark, sf, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
+
+
+# --- dimensions ----------------------------------------------------------------------------------------------
+
+
+def _sql_values(rows, names: str) -> str:
+    one = lambda v: "NULL" if v is None else "[" + ", ".join(map(one, v)) + "]" if isinstance(v, list) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
+
+
+@query(_sql_values([(r[0], r[1], r[2], "、".join(r[3]), r[4], r[5]) for r in dims.DEPARTMENTS], "code, name, site_domain, keys, library_type, list_url"))
+def dims_departments(spark, sf):
+    return dims.departments(spark).select("code", "name", "site_domain", F.array_join("puborg_keys", "、").alias("keys"), "library_type", "list_url")
+
+
+@query(_sql_values([(*r[:6], "、".join(r[6])) for r in dims.INSTITUTIONS], "code, name_zh, name_en, site_domain, org_type, language, reports"))
+def dims_sources(spark, sf):
+    return dims.institutions(spark).select("code", "name_zh", "name_en", "site_domain", "org_type", "language", F.array_join("report_types", "、").alias("reports"))
+
+
+@query("SELECT * FROM (VALUES ('通用模板', '通用模板', '通用 / 任意主题'), ('立项', '项目立项汇报模版', '项目立项 / 申报评审'), ('nothing', NULL, NULL)) t(name, key, label)")
+def template_resolve(spark, sf):
+    return dims.resolve_template(spark.createDataFrame([("通用模板",), ("立项",), ("nothing",)], "name string"), dims.templates(spark))
+
+
+@query("SELECT * FROM (VALUES ('mee', '生态环境部', 'mee.gov.cn'), ('zzz', 'zzz', '')) t(code, name, site_domain)")
+def department_resolve(spark, sf):
+    return dims.resolve_department(spark.createDataFrame([("mee",), ("zzz",)], "code string"), dims.departments(spark))
+
+
+# --- decks ---------------------------------------------------------------------------------------------------
+
+#: Slides of a template: number, kind, items, the title's capacity.
+SLIDES = [(0, "cover", None, 8), (1, "toc", 4, None), (2, "section", None, 8), (3, "content", 1, 9), (4, "content", 3, 9), (5, "content", 5, 9), (6, "content", 4, 9), (7, "section", None, 9), (8, "content", 6, 10), (9, "content", 3, 10), (10, "content", 4, 13), (11, "closing", None, 8)]
+SECTIONS = ["方针与责任", "辨识与管控", "一个很长的章节名称用来测试"]
+
+
+def slides(spark):
+    return spark.createDataFrame(SLIDES, "i int, kind string, items int, title_cap int")
+
+
+def outline(spark, total: int = 14):
+    return deck.allocate(slides(spark), SECTIONS, total)
+
+
+@query("SELECT kind, count(*) AS n FROM (VALUES " + ", ".join(f"('{s[1]}')" for s in SLIDES) + ") t(kind) GROUP BY kind")
+def kind_inventory(spark, sf):
+    return slides(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def outline_allocate(spark, sf):
+    return outline(spark)
+
+
+def written(spark):
+    """The outline with text in its items."""
+    item = lambda k: F.struct(F.concat(F.lit("要点"), k.cast("string")).alias("head"), F.when(k % 2 == 0, F.lit("说明 __ 文字")).otherwise(F.lit("")).alias("body"))
+    n = F.coalesce("items", F.lit(0))
+    return outline(spark).select("page", "src", "kind", "title", F.when(F.col("kind") == "cover", F.lit("副标题")).alias("subtitle"), F.when(n > 0, F.transform(F.sequence(F.lit(1), n), item)).otherwise(F.array().cast("array<struct<head:string,body:string>>")).alias("items"))
+
+
+@query(None)
+def outline_card(spark, sf):
+    return deck.cards(written(spark), 14)
+
+
+@query(None)
+def card_parse(spark, sf):
+    return deck.parse_cards(deck.cards(written(spark), 14)).select("page", "kind", "title", F.to_json("items").alias("items"))
+
+
+@query("SELECT * FROM (VALUES (1, 'cover', 'New', '副标题'), (3, 'section', '方针与责任', 'x')) t(page, kind, title, subtitle)")
+def outline_patch(spark, sf):
+    ops = spark.createDataFrame([(1, 1, "title", "Old"), (2, 1, "title", "New"), (3, 3, "subtitle", "x")], "ord int, page int, field string, value string")
+    return deck.patch(written(spark), ops)[0].where("page IN (1, 3)").select("page", "kind", "title", "subtitle")
+
+
+SLOTS = [(0, "cover", 1, "title", None), (0, "cover", 2, "subtitle", None), (0, "cover", 3, "decor", None), (2, "section", 1, "no", None), (2, "section", 2, "title", None), (4, "content", 1, "title", None), (4, "content", 2, "item_head", 0), (4, "content", 3, "item_body", 0), (4, "content", 4, "item_head", 7), (4, "content", 5, "no", None)]
+
+
+def filled(spark):
+    slots = spark.createDataFrame(SLOTS, "i int, kind string, sid int, role string, idx int")
+    rows = [(1, 0, "cover", "Deck", "Sub", []), (2, 2, "section", "One", None, []), (3, 4, "content", "One", None, [("h", "{a} __ ___")]), (4, 2, "section", "Two", None, []), (5, 4, "content", "A title that is far too long", None, [("单击此处", "b")])]
+    return deck.fill(spark.createDataFrame(rows, "page int, src int, kind string, title string, subtitle string, items array<struct<head:string,body:string>>"), slots)
+
+
+@query("""SELECT * FROM (VALUES (1, 1, 'Deck'), (1, 2, 'Sub'), (2, 1, '01'), (2, 2, 'One'), (3, 1, 'One'), (3, 2, 'h'), (3, 3, '{a} __ ___'), (3, 4, ''), (4, 1, '02'), (4, 2, 'Two'), (5, 1, 'A title that is far too long'), (5, 2, '单击此处'), (5, 3, 'b'), (5, 4, '')) t(page, sid, text)""")
+def slot_fill(spark, sf):
+    return filled(spark)
+
+
+@query("SELECT * FROM (VALUES (3, 3, 'residue'), (5, 1, 'overflow'), (5, 2, 'residue')) t(page, sid, category)")
+def content_check(spark, sf):
+    return deck.content_issues(filled(spark), spark.createDataFrame([(p, 1, 13) for p in range(1, 6)], "page int, sid int, cap int"))
+
+
+@query("SELECT 3 AS page, CAST(2 AS BIGINT) AS todo")
+def todo_slots(spark, sf):
+    return deck.todo_slots(filled(spark))
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, CAST(p_size * 90000 AS BIGINT) AS w, CAST((p_partkey % 9 + 1) * 150000 AS BIGINT) AS h, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE CAST(p_partkey % 30 + 6 AS DOUBLE) END AS f, length(p_name) AS n, ['title', 'subtitle', 'item_head', 'item_body', 'decor'][p_partkey % 5 + 1] AS role FROM part),
+b AS (SELECT *, CASE WHEN f = 0 THEN 18.0 ELSE f END AS s FROM a), c AS (SELECT *, greatest(1, CAST(round_even(CAST(w AS DOUBLE) / 12700 * 0.92::DOUBLE / s, 0) AS INTEGER)) * greatest(1, CAST(floor(CAST(h AS DOUBLE) / 12700 * 0.95::DOUBLE / (s * 1.25::DOUBLE)) AS INTEGER)) AS room FROM b)
+SELECT k AS p_partkey, least(greatest(room, n), CASE role WHEN 'title' THEN 24 WHEN 'subtitle' THEN 34 WHEN 'item_head' THEN 14 WHEN 'item_body' THEN 80 ELSE 40 END) AS cap FROM c""")
+def slot_cap(spark, sf):
+    p = table(spark, sf, "part")
+    font = F.when(F.col("p_partkey") % 4 == 0, 0.0).otherwise((F.col("p_partkey") % 30 + 6).cast("double"))
+    role = F.element_at(F.array(*map(F.lit, ("title", "subtitle", "item_head", "item_body", "decor"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    room = deck.capacity((F.col("p_size") * 90000).cast("double"), ((F.col("p_partkey") % 9 + 1) * 150000).cast("double"), font)
+    return p.select("p_partkey", deck.slot_cap(role, room, F.col("p_name")).cast("long").alias("cap"))
+
+
+def shapes(spark, sf):
+    """Text boxes from parts: ten to a slide."""
+    k = F.col("p_partkey")
+    text = F.when(k % 10 == 0, F.element_at(F.array(*map(F.lit, ("目 录", "01", "PROJECT", "谢谢"))), (k % 4 + 1).cast("int"))).when(k % 10 == 1, F.lit("第三")).otherwise(F.concat(F.lit("项 "), F.col("p_name")))
+    return table(spark, sf, "part").select(F.floor(k / 10).cast("int").alias("slide"), (k % 10).cast("int").alias("pos"), text.alias("text"), F.when(k % 3 == 0, 0.0).otherwise((k % 30).cast("double")).alias("font_pt"), ((k * 7919) % 9000000).alias("left"), ((k * 104729) % 6000000).alias("top"), F.lit(900000).cast("long").alias("width"), ((k % 9 + 1) * 150000).alias("height"), (k % 97 == 0).alias("has_table"), F.lit("").alias("layout"))
+
+
+@query(None)
+def slide_kind(spark, sf):
+    return deck.slide_kinds(shapes(spark, sf))
+
+
+@query(None)
+def slot_roles(spark, sf):
+    s = shapes(spark, sf)
+    return deck.slot_roles(s, deck.slide_kinds(s))
+
+
+@query(None)
+def head_body_pairing(spark, sf):
+    s = shapes(spark, sf)
+    return deck.pair(s.join(deck.slot_roles(s, deck.slide_kinds(s)), ["slide", "pos"]))
+
+
+@query("SELECT * FROM (VALUES ('dangling_rid', 's1', 'r9'), ('missing_target', 's1', '/ppt/charts/c9.xml'), ('duplicate_id', 's2', '4'), ('shared_part', '/ppt/charts/c1.xml', '2')) t(category, part, detail)")
+def package_check(spark, sf):
+    used = spark.createDataFrame([("s1", "r1"), ("s1", "r9"), ("s2", "r1")], "part string, rid string")
+    rels = spark.createDataFrame([("s1", "r1", "chart", "/ppt/charts/c1.xml", None), ("s1", "r2", "chart", "/ppt/charts/c9.xml", None), ("s2", "r1", "chart", "/ppt/charts/c1.xml", None), ("s2", "r3", "link", "http://x", "External")], "part string, rid string, type string, target string, mode string")
+    parts = spark.createDataFrame([("/ppt/charts/c1.xml",)], "part string")
+    ids = spark.createDataFrame([("s1", 4), ("s2", 4), ("s2", 4)], "part string, shape_id int")
+    return deck.package_issues(used, rels, parts, ids)

@@ -38,6 +38,13 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def wide(df: DataFrame, size_of: int = 1) -> DataFrame:
     """Deals rows of a single-file table over the cluster's cores; keeps as is what has partitions enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism * size_of

@@ -119,15 +119,15 @@ class Items:
                 yield self.ids[no], share, len(tiles)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cover: float = COVER) -> DataFrame:
-    """docs' columns with the array ``hits`` of (item_id, coverage, tiles), empty for clean documents."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cover: float = COVER, name: str = "hits") -> DataFrame:
+    """docs' columns with the array ``name`` of (item_id, coverage, tiles), empty for clean documents."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     spark = docs.sparkSession
     bench = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     blocks = max(1, -(-int(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
-    names = [c for c in docs.columns if c != "hits"]
+    names = [c for c in docs.columns if c != name]
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32())]))
     out = C.wide(docs).select(*names)
     for block in range(blocks):
@@ -153,13 +153,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cover: f
                     hits += mine
                     lo = hi
                 cols, said = [*batch.columns], [*batch.schema.names]
-                if "hits" in said:
-                    k = said.index("hits")
+                if name in said:
+                    k = said.index(name)
                     hits = [(a or []) + b for a, b in zip(cols.pop(k).to_pylist(), hits)]
                     said.pop(k)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, kind)], [*said, "hits"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, kind)], [*said, name])
 
-        schema = docs.select(*names).schema.add("hits", HITS)
+        schema = docs.select(*names).schema.add(name, HITS)
         out = out.mapInArrow(run, schema)
     return out
 
@@ -172,7 +172,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
 
 def clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cover: float = COVER) -> DataFrame:
     """The documents without contamination, their columns unchanged."""
-    return overlaps(docs, benchmark, match, cover).where(F.size("hits") == 0).select(*docs.columns)
+    name = C.fresh(docs, "hits")
+    return overlaps(docs, benchmark, match, cover, name).where(F.size(name) == 0).select(*docs.columns)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -423,8 +423,9 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # Ids of which some row goes, or whose row must be told apart from others of the same id.
     drop = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNotNull())).alias("goes"), F.max("n_shingles").alias("n"))
     odd, _ = C.write_out(docs.sparkSession, drop.where("goes OR (rows > 1 AND n > 0)"), "drops")
-    gone = odd.where("rows = 1 OR (rows > 1 AND goes)").select(F.col("doc_id").alias("__id"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    key = C.fresh(docs, "id")
+    gone = odd.where("rows = 1 OR (rows > 1 AND goes)").select(F.col("doc_id").alias(key))
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
     if not odd.where("rows > 1").limit(1).count():
         return out
     return _tell_apart(docs, n, percent)
@@ -439,18 +440,19 @@ def _tell_apart(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows, comp = link_classes(docs, n, percent)
     classes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("id"))
     whole = classes.join(comp, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "sid"))
-    first = whole.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sid")).alias("x")).select("x.sid", "x.id")
+    mark, key, own = (C.fresh(docs, x) for x in ("sid_of_row", "sid_kept", "id_kept"))
+    first = whole.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sid")).alias("x")).select(F.col("x.sid").alias(key), F.col("x.id").alias(own))
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             key = batch.select(["doc_id", "text"])
             sid = [set_id(s) if len(s) else None for _, s in _sets(key, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, "__sid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, mark])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())]))
-    kept = marked.where("__sid IS NOT NULL").join(first, (F.col("__sid") == F.col("sid")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    one = kept.groupBy("__sid").agg(F.min(F.struct(*[F.col(c) for c in sorted(names, key=lambda c: c != "text")])).alias("x")).select(*[F.col(f"x.{c}") for c in names])
-    return marked.where("__sid IS NULL").select(*names).unionByName(one)
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
+    kept = marked.where(F.col(mark).isNotNull()).join(first, (F.col(mark) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    one = kept.groupBy(mark).agg(F.min(F.struct(*[F.col(c) for c in sorted(names, key=lambda c: c != "text")])).alias("x")).select(*[F.col("x")[c].alias(c) for c in names])
+    return marked.where(F.col(mark).isNull()).select(*names).unionByName(one)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

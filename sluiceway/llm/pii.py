@@ -237,12 +237,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
     plain = docs.drop(count) if count else docs
     found, _ = C.write_out(spark, plain.select("doc_id", F.explode(entities(F.col("text"))).alias("surface")).distinct(), "pii-found")
     new = replacements(spark, found.select("surface").distinct(), key)
-    maps, _ = C.write_out(spark, found.join(new, "surface").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("__map")), "pii-maps")
+    maps, _ = C.write_out(spark, found.join(new, "surface").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("map")), "pii-maps")
     has = F.coalesce(F.rlike(F.col("text"), F.lit(PATTERN)), F.lit(False))
-    own = maps.select(F.col("doc_id").alias("__id"), "__map")
-    some = plain.where(has).join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    id_, map_ = C.fresh(plain, "id"), C.fresh(plain, "map")
+    own = maps.select(F.col("doc_id").alias(id_), F.col("map").alias(map_))
+    some = plain.where(has).join(own, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
     ents = entities(F.col("text"))
-    text = F.array_join(F.flatten(F.zip_with(F.split("text", PATTERN, -1), ents, lambda p, e: F.array(p, F.coalesce(F.element_at("__map", e), e, F.lit(""))))), "")
+    text = F.array_join(F.flatten(F.zip_with(F.split("text", PATTERN, -1), ents, lambda p, e: F.array(p, F.coalesce(F.element_at(map_, e), e, F.lit(""))))), "")
     cols = [c for c in plain.columns]
     extra = [F.size(ents).cast("long").alias(count)] if count else []
     some = some.select(*[text.alias("text") if c == "text" else F.col(c) for c in cols], *extra)

@@ -1,6 +1,6 @@
 """Secret scans: a random forest on candidates' shape and surroundings removes false positives.
 
-Candidates are runs of at least LEAST letters, digits and ``+/_=-`` with a digit among them. Features: length,
+Candidates are runs of at least LEAST letters, digits and ``+/_-`` with a digit among them, and padding. Features: length,
 shares of digits and capitals, transitions between kinds of characters, distinct characters, coverage by a dictionary of
 common word parts, forms (hexadecimal, UUID, digits alone), runs of one character, unpronounceable runs, the words before
 (those that announce a secret, those that announce an id or checksum), assignment and quotes, and the path.
@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST, ROWS, TREES, DEPTH, LEAF, CONTEXT = 16, 2400, 15, 5, 5, 48
-RUN = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{RUN}])(?=[{RUN}]*[0-9])[A-Za-z0-9+/_][{RUN}]{{{LEAST - 1},}}"
+RUN = "A-Za-z0-9+/_-"
+CANDIDATE = rf"(?<![{RUN}])(?=[{RUN}]*[0-9])[A-Za-z0-9+/_][{RUN}]{{{LEAST - 1},}}={{0,2}}"
 # Word parts of the dictionary, and words that announce a secret or its opposite.
 PARTS = "account admin agent alpha and archive asset author auto back base beta block book build cache card case cent change check class client code col com commit con config content copy count data date default demo dev dir doc down edit end ent error event example file final first fix font form full game get global group guide hand head help here high home host house icon image index info ing input item java job json just key lab lang last left level lib light line link list load local log long low mail main make man map mark media menu ment meta mini mode model module name net new next node note number object off old one open order out over page part path photo place plan play point post pre press price print pro product project public query read real record red ref release report res right role root row sample screen script search section select sent server service set shop side sign site size small source space spec start state step stop store string style sub super support switch system tab table tag task team temp term test text the theme time tion title tool top track type under unit update url use user util value version video view web week white wide window word work world year your zone".split()
 SECRET_WORDS = "token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential|client_secret|encryption_key|signing"

@@ -1,0 +1,426 @@
+"""Each operator against brute force on small tables, and on odd ones: nulls, empty and long texts, ties, repeats, no rows, clashing columns."""
+
+import collections
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from oracle import DATA, compare
+from sluiceway.llm import common, decontaminate, htmltext, jaccard, langid, packing, pii, pq, secretscan, sharding, urlfilter
+from sluiceway.llm.queries import ORACLE, QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def some(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 250").select("doc_id", "text", "lang", "source", "n_chars").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, blanks, repeats, ties, a long text, and columns named like the operators' own."""
+    long = " ".join(f"word{i * 7919 % 10007}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", "en", "a", 3), (None, "some words here now", "en", "b", 5), (5, "same text a b c d e", "en", "b", 5), (5, "same text a b c d e", "en", "b", 5), (6, "same text a b c d e", "fr", None, 5), (7, long, "en", "a", 9), (7, "other words x y z", "en", "a", 9), (8, "!!! 123 ???", "en", "a", 9)]
+    extra = "hits string, sid long, lang_pred string, score string, queue string, chunk string, n string, cut string, host string, comp string, grp string, `__map` string, component_id string, text2 string"
+    return spark.createDataFrame([(*r, *["x", 1, *["x"] * 12]) for r in rows], f"{DOCS}, {extra}")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    compare(spark, QUERIES[name], ORACLE[name])
+
+
+# --- 1 -------------------------------------------------------------------------------------------------------
+
+
+def sets_of(rows, n):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = []
+    for text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+        m = min(n, len(w))
+        out.append(frozenset(zip(*[w[i:] for i in range(m)])) if m else frozenset())
+    return out
+
+
+def components_of(ids, sets, percent):
+    up = list(range(len(ids)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(ids)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            up[top(a)] = top(b)
+    least = collections.defaultdict(list)
+    for k in range(len(ids)):
+        if ids[k] is not None:
+            least[top(k)].append(ids[k])
+    return [min(least[top(k)], default=None) for k in range(len(ids))]
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (3, 60)])
+def test_jaccard_brute_force(spark, n, percent):
+    rng = np.random.default_rng(n)
+    rows = []
+    for base in range(12):
+        words = [f"w{base}x{i}" for i in range(int(rng.integers(3, 120)))]
+        for _ in range(int(rng.integers(1, 9))):
+            w = list(words)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(len(w)))] = f"e{rng.integers(1000)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+    sets = sets_of([t for _, t in rows], n)
+    want = components_of([i for i, _ in rows], sets, percent)
+    assert got == {i: (len(s), c) for (i, _), s, c in zip(rows, sets, want)}
+
+
+def test_jaccard_real(some):
+    rows = some.select("doc_id", "text").collect()
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(some).collect()}
+    assert got == dict(zip((r.doc_id for r in rows), components_of([r.doc_id for r in rows], sets_of([r.text for r in rows], 4), 85)))
+
+
+def test_jaccard_odd(odd, none):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd).collect()]
+    assert len(got) == 10
+    assert got.count((5, 4, 5)) == 2 and (6, 4, 5) in got and (1, 0, 1) in got and (None, 1, None) in got
+    assert jaccard.jaccard_components(none).count() == 0
+    kept = jaccard.keep_first(odd)
+    assert kept.schema == odd.schema and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id = 7").count() == 2
+
+
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(1)
+    for percent in (50, 80, 85, 95):
+        for size in [*range(1, 50), 200, 900]:
+            a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+            k = int(rng.integers(0, jaccard.differences(size * 100 // percent + 1, percent) + 1))
+            gone = int(rng.integers(0, k + 1))
+            b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 62, k - gone).astype(np.uint64))))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                assert len(np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)))
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 5000, int(rng.integers(1, 3000))).astype(np.uint64)) for _ in range(30)]
+    s = jaccard.Sketches([jaccard.sketch(common.mix(x)) for x in sets])
+    for k in range(30):
+        for j, d in enumerate(s.differences(k)):
+            real = len(np.setxor1d(sets[j], sets[k]))
+            assert d <= real or max(len(sets[j]), len(sets[k])) > 2 * min(len(sets[j]), len(sets[k]))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
+    comp, _ = common.components(spark, spark.createDataFrame(edges, "u long, v long"))
+    assert {r.node: r.comp for r in comp.collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+
+
+# --- 2 -------------------------------------------------------------------------------------------------------
+
+
+def test_html_text(spark):
+    page = """<html><head><title>T</title><style>p{}</style></head><body><div class="site-header">x</div><header>Site</header><nav><a href=/>m</a></nav><div id=sidebar><p>s</p></div>
+    <div class="cookie-notice">c</div><article><header><h1>Head</h1></header><p>a &amp;amp; b&nbsp; c<p>d<br>e<div class="comments"><p>bad</div><ul><li>1<li>2</ul><aside>q</aside><form>f<input></form><script>var a="</p>"</script></article><footer>z"""
+    rows = [(1, "http://h/a", page), (2, None, None), (3, "http://h/b", ""), (4, "http://h/c", "<p>only <b>this"), (4, "http://h/c", "<p>only <b>this"), (5, "http://h/d", "<div>" * 3000 + "deep")]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    main = "Head\n\na &amp; b c\n\nd e\n\n1\n\n2"
+    assert got == [(1, main, len(main)), (2, "", 0), (3, "", 0), (4, "only this", 9), (4, "only this", 9), (5, "deep", 4)]
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string, cut string, host string")).count() == 0
+
+
+def test_entropy_cuts_what_a_site_repeats(spark):
+    rows = [(k, f"http://site.org/{k}", f"<body><div><p>Welcome to our site</p></div><div><p>story number {k}</p></div></body>") for k in range(40)]
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"story number {r.page_id}" for r in got)
+
+
+def test_html_real(spark):
+    import html
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    whole = {r.page_id: r.html for r in pages.collect()}
+    for r in htmltext.extract(pages).collect():
+        body = re.search(r"<article>(.*?)(</article>|\Z)", whole[r.page_id], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]+>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", body)]
+        assert r.text == "\n\n".join(x for x in blocks if x)
+
+
+# --- 3, 4, 5 -------------------------------------------------------------------------------------------------
+
+
+def test_secrets(spark, odd, none):
+    key, sha = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "a3f5c9d2e1b4a6978812cdef00aa11bb22cc33dd"
+    rows = [(1, f'token = "{key}"', "src1"), (2, f"commit {sha}", "src1"), (3, f"some text api_key: {key} and token={key}", None), (4, None, "x"), (5, "card 1234567890123456 here", "x"), (6, 'token = "xxxxxxxxxxxxxxxxxxx1"', "docs/readme.md")]
+    got = sorted((r.doc_id, r.nth, r.secret) for r in secretscan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == [(1, 0, key), (3, 0, key), (3, 1, key)]
+    assert secretscan.scan(odd).count() == 0 and secretscan.scan(none).count() == 0
+
+
+def test_secret_forest_held_out(spark):
+    found = secretscan.labelled(2400, seed=91)
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    from pyspark.sql import functions as F
+
+    df = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({', '.join(map(quote, r[:4]))}, {r[4]})" for r in found) + " AS t(candidate, left, right, path, secret)")
+    f = secretscan.features(*map(F.col, ("candidate", "left", "right", "path")))
+    wide = df.select("secret", *[v.cast("double").alias(k) for k, v in f.items()])
+    trees = secretscan.learn(secretscan.labelled_table(spark))
+    score = sum((secretscan.as_column(t, [F.col(k) for k in secretscan.FEATURES]) for t in trees), F.lit(0.0)) / len(trees)
+    right = wide.where((score >= 0.5) == (F.col("secret") == 1)).count()
+    assert right / len(found) > 0.95
+
+
+def test_sharding(spark, odd, none):
+    rows = [(k, "x" * (k % 90)) for k in range(2000)] + [(7, "y" * 30)] * 300 + [(9, "z" * 5000)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), limit=1000).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes) for r in out) == collections.Counter((i, len(t)) for i, t in rows)
+    shards = collections.defaultdict(list)
+    for r in out:
+        shards[r.shard, r.overflow].append(r)
+    for mine in shards.values():
+        total = sum(r.n_bytes for r in mine)
+        assert all((r.shard_bytes, r.shard_rows) == (total, len(mine)) for r in mine) and (total <= 1000 or len(mine) == 1)
+    names = {s for s, _ in shards}
+    assert not any(a != b and b.startswith(a) for a in names for b in names)
+    assert sharding.shard(odd, limit=50).count() == 10 and sharding.shard(none).count() == 0
+
+
+def test_url_rules(spark):
+    rows = [(1, "http://a.Example.NET/en/x"), (2, "http://example.net/de/"), (3, "https://net/en/"), (4, "http://www.example.com/de/1?q#f"), (5, "http://x.org/fr/"), (6, "http://notexample.net.xyz/"), (7, None), (8, "mailto:x"), (9, "http://m.casino-win.example.com/en/1"), (10, "http://best.com/casino"), (11, "http://a.net"), (12, "http://a.net?x/"), (12, "http://a.net?x/")]
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).orderBy("page_id").collect()]
+    assert got == [
+        (1, "a.example.net", "/en/x", "example.net/en/", "allow"), (2, "example.net", "/de/", "net/", "block"), (3, "net", "/en/", "net/", "block"), (4, "www.example.com", "/de/1", "example.com/de/", "block"), (5, "x.org", "/fr/", "org/fr/", "allow"),
+        (6, "notexample.net.xyz", "/", None, "allow"), (7, "", "", None, "allow"), (8, "", "", None, "allow"), (9, "m.casino-win.example.com", "/en/1", None, "block"), (10, "best.com", "/casino", None, "allow"), (11, "a.net", "", None, "allow"), (12, "a.net", "", None, "allow"), (12, "a.net", "", None, "allow"),
+    ]
+    assert urlfilter.url_filter(spark.createDataFrame([], "page_id long, url string, host string, best string")).count() == 0
+
+
+# --- 6 -------------------------------------------------------------------------------------------------------
+
+
+def test_embeddings_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 32))
+    x = np.concatenate([base, base[:20] + rng.normal(size=(20, 32)) * 0.35, np.repeat(base[:1], 30, 0), base[1] + rng.normal(size=(40, 32)) * 0.1]).astype(np.float32)
+    g = x.astype(float) @ x.astype(float).T / np.outer(*[np.linalg.norm(x.astype(float), axis=1)] * 2)
+    np.fill_diagonal(g, -1)
+    links = (g >= 0.9) | ((g > 0.9 - 1e-12) & (x[:, None] == x[None]).all(2) & ~np.eye(len(x), dtype=bool))
+    rows = [(int(k), v.tolist()) for k, v in enumerate(x)]
+    bad = [(1000, None), (1001, [0.0] * 32), (1002, [float("nan")] * 32), (1003, [1.0]), (1004, []), (1005, [None] * 32), (1006, [float("inf")] * 32)]
+    got = {r.vec_id: r for r in pq.near_duplicates(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")).collect()}
+    assert [got[k].n_links for k in range(len(x))] == links.sum(1).tolist()
+    assert all((got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True) for k, _ in bad)
+    lab = list(range(len(x)))
+    for _ in range(len(x)):
+        new = [min([lab[k], *[lab[j] for j in np.flatnonzero(links[k])]]) for k in range(len(x))]
+        if new == lab:
+            break
+        lab = new
+    assert [got[k].component_id for k in range(len(x))] == lab
+    assert pq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embeddings_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * side
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))]
+    got = pq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.where("n_links >= 1").count() >= 0.95 * 3000
+
+
+# --- 7 -------------------------------------------------------------------------------------------------------
+
+
+def test_pii_is_consistent_and_distinct(spark, odd, none):
+    rows = [(1, "Mr. John Smith met Mary Smith; write to John.Smith@acme.com or JOHN.SMITH@ACME.COM"), (2, "card 4111 1111 1111 1111 or 4111111111111111, ssn 123-45-6789, +1 (017) 555-7713"), (3, "John Smith, 10.1.2.3 and 10.1.2.4"), (4, None), (5, ""), (1, "again john.smith@acme.com")]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r.text)
+    first = max(by[1], key=len)
+    mail = re.findall(r"\S+@\S+", first)
+    assert mail[0].lower() == mail[1].lower() and mail[1].isupper() and mail[0] in min(by[1], key=len)
+    surname = re.match(r"Mr\. (\w+) (\w+) met (\w+) (\w+);", first)
+    assert surname[2] == surname[4] and f"{surname[1]} {surname[2]}," in by[3][0]
+    assert not re.search("Smith|acme|4111|123-45|7713|10.1.2", " ".join(t for ts in by.values() for t in ts if t))
+    one, two = re.findall(r"\d+\.\d+\.\d+\.\d+", by[3][0])
+    assert one != two
+    cards = re.search(r"card ([\d ]{19}) or (\d{16})", by[2][0])
+    assert cards[1].replace(" ", "") == cards[2]
+    digits = [int(c) for c in cards[2][::-1]]
+    assert sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+    assert by[4] == [None] and by[5] == [""]
+    kept = pii.pseudonymise(odd)
+    assert kept.schema == odd.schema and kept.count() == 10 and pii.pseudonymise(none).count() == 0
+
+
+def test_pii_collisions_are_drawn_again(spark):
+    # Two-letter addresses: 676 local parts, of which 500 are taken, under one domain.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    forms = [("email", f"{a}{b}@x.com") for a in letters for b in letters][:500]
+    got = pii.assign(spark, spark.createDataFrame(forms, "kind string, canon string"), "k").collect()
+    assert len({r.cand for r in got}) == 500 and not {r.cand for r in got} & {c for _, c in forms}
+
+
+def test_pii_real(some):
+    whole = {r.doc_id: r.text for r in some.collect()}
+    personal = re.compile(r"[\w.]+@[\w.]+|(?<![\w.])\d+\.\d+\.\d+\.\d+|\+1 \(\d{3}\) 555-\d{4}|(?<!\w)\d{16}(?!\w)")
+    for r in pii.pseudonymise(some).collect():
+        found = set(personal.findall(whole[r.doc_id]))
+        assert not any(f in r.text for f in found)
+        if not found:
+            assert r.text == whole[r.doc_id]
+
+
+# --- 8 -------------------------------------------------------------------------------------------------------
+
+
+def test_tiling_matches_plain_python():
+    def plain(a, b, n):
+        fa, fb, out = [True] * len(a), [True] * len(b), []
+        while True:
+            best, where = n - 1, []
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and fa[i + k] and fb[j + k]:
+                        k += 1
+                    if k > best:
+                        best, where = k, [(i, j)]
+                    elif k == best and k >= n:
+                        where.append((i, j))
+            if not where:
+                return sum(k for *_, k in out)
+            for i, j in where:
+                if all(fa[i : i + best]) and all(fb[j : j + best]):
+                    fa[i : i + best] = fb[j : j + best] = [False] * best
+                    out.append((i, j, best))
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a, b = rng.integers(0, 4, 30), rng.integers(0, 4, 60)
+        seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if (a[i : i + 3] == b[j : j + 3]).all()]
+        assert sum(k for *_, k in decontaminate.tile(a, b, seeds, 3)) == plain(a.tolist(), b.tolist(), 3)
+
+
+def test_decontamination(spark, odd, none):
+    item = " ".join(f"Term{k}" for k in range(30))
+    w = item.split()
+    moved = " ".join(w[20:] + ["filler"] + w[:10] + ["more"] + w[10:20])
+    docs = spark.createDataFrame([(1, f"before {item.upper()} after"), (2, f"x {moved} y"), (3, " ".join(w[:8]) + " and nothing else"), (4, None), (5, ""), (6, "a*** " + "*** ".join(w))], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, None), (12, "two words"), (13, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.tiles) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 10): (1.0, 1), (2, 10): (1.0, 3), (6, 10): (1.0, 1)}
+    left = decontaminate.clean(odd, bench)
+    assert left.schema == odd.schema and left.count() == 10
+    assert decontaminate.clean(none, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == 6
+
+
+# --- 9 -------------------------------------------------------------------------------------------------------
+
+
+def check_pieces(rows, texts, length=packing.LENGTH):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(packing.default_paths()[0]).encode
+    ids = {k: np.array([*(encode(t, add_special_tokens=False).ids if t else ()), 1], "<u4") for k, t in texts.items()}
+    seq, doc = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        seq[r.sequence_id].append((r.offset, r.length))
+        doc[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for mine in seq.values():
+        at = 0
+        for off, n in sorted(mine):
+            assert off == at and n > 0
+            at += n
+        assert at == length or (at < length and at & (at - 1) == 0)
+    assert set(doc) == set(ids)
+    for k, mine in doc.items():
+        at = 0
+        for start, n, crc, total in sorted(mine):
+            assert start == at and total == len(ids[k]) and zlib.crc32(ids[k][start : start + n].tobytes()) == crc
+            at += n
+        assert at == len(ids[k])
+    return seq
+
+
+def test_packing_real(some):
+    rows = packing.pack(some).collect()
+    check_pieces(rows, {r.doc_id: r.text for r in some.collect()})
+
+
+def test_packing_targets(spark, some):
+    rows = packing.pack(some, targets={"src1": 3, "src2": 1}, window=8192).collect()
+    check_pieces(rows, {r.doc_id: r.text for r in some.collect()})
+    got = collections.Counter()
+    for r in rows:
+        if r.sequence_id < 4:
+            got[r.queue] += r.length
+    assert abs(got["src1"] - 6144) < 64 and abs(got["src2"] - 2048) < 64
+
+
+def test_packing_odd(spark, odd, none):
+    one = odd.where("doc_id IS NOT NULL AND doc_id NOT IN (5, 7)")
+    check_pieces(packing.pack(one).collect(), {r.doc_id: r.text for r in one.collect()})
+    assert packing.pack(odd).where("start = 0").count() == 10 and packing.pack(none).count() == 0
+
+
+def test_both_encoders_agree():
+    e = packing.Encoder(*packing.default_paths())
+    for t in ["plain text, it's 12 o'clock\n\n  x", "Straße élève ciónó ñ", "日本語 mixed ё 🙂", "<|endoftext|>", "\u0085\u00a0x  \t y", "a" * 500]:
+        assert e(t) == e.slow.encode(t, add_special_tokens=False).ids
+
+
+# --- 10 ------------------------------------------------------------------------------------------------------
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = [r for r in QUERIES["op10_language_id"](spark, DATA).collect() if r.held_out]
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows) and all(0 <= r.score <= 1 for r in rows)
+    assert sum(lang[r.doc_id] == r.lang_pred for r in rows) / len(rows) > 0.98
+
+
+def test_forward_sums_all_segmentations():
+    pieces = sorted({b" ", b"a", b"b", b"ab", b" a", b" ab", b"ba", b"bab"})
+    lookup = langid.Lookup(pieces)
+    rng = np.random.default_rng(8)
+    p = np.vstack([rng.random((len(pieces), 2)), np.zeros((1, 2))])
+    words = [b" ab", b" abab", b" b", b" bbaab"]
+
+    def brute(w, k):
+        if not w:
+            return 1.0
+        return sum(p[pieces.index(w[:m]), k] * brute(w[m:], k) for m in range(1, len(w) + 1) if w[:m] in pieces)
+
+    got = langid.Lattice(words, lookup).log_prob(p)
+    assert np.allclose(got, [[np.log(brute(w, k)) for k in (0, 1)] for w in words])
+
+
+def test_language_odd(spark, odd, none):
+    got = {(r.doc_id, r.lang_pred) for r in langid.language_id(odd.select("doc_id", "text"), odd).collect() if r.doc_id in (1, 2, 3, 8)}
+    assert got == {(1, "und"), (2, "und"), (3, "und"), (8, "und")}
+    assert langid.language_id(odd).count() == 10 and langid.language_id(none).count() == 0
+    assert {r.lang_pred for r in langid.language_id(odd, none).collect()} == {"und"}

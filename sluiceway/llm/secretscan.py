@@ -1,8 +1,9 @@
 """Secret scans: a random forest on candidates' shape and surroundings removes false positives.
 
-Candidates are runs of at least LEAST letters, digits and ``+/_-`` with a digit among them, and padding. Features: length,
+Candidates are runs of at least LEAST letters, digits and ``+/_-`` with a digit among them (or an access
+key's prefix), and padding. Features: length,
 shares of digits and capitals, transitions between kinds of characters, distinct characters, coverage by a dictionary of
-common word parts, forms (hexadecimal, UUID, digits alone), runs of one character, unpronounceable runs, the words before
+common word parts, forms (hexadecimal, UUID, digits alone, prefixes of public services), runs of one character, unpronounceable runs, the words before
 (those that announce a secret, those that announce an id or checksum), assignment and quotes, and the path.
 
 The forest is learned from labelled findings (candidate, left, right, path, secret); without a table of them, from
@@ -23,14 +24,16 @@ from pyspark.sql import functions as F
 
 LEAST, ROWS, TREES, DEPTH, LEAF, CONTEXT = 16, 2400, 15, 5, 5, 48
 RUN = "A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{RUN}])(?=[{RUN}]*[0-9])[A-Za-z0-9+/_][{RUN}]{{{LEAST - 1},}}={{0,2}}"
+CANDIDATE = rf"(?<![{RUN}])(?=[{RUN}]*[0-9]|A[KS]IA[A-Z0-9]{{16}})[A-Za-z0-9+/_][{RUN}]{{{LEAST - 1},}}={{0,2}}"
 # Word parts of the dictionary, and words that announce a secret or its opposite.
 PARTS = "account admin agent alpha and archive asset author auto back base beta block book build cache card case cent change check class client code col com commit con config content copy count data date default demo dev dir doc down edit end ent error event example file final first fix font form full game get global group guide hand head help here high home host house icon image index info ing input item java job json just key lab lang last left level lib light line link list load local log long low mail main make man map mark media menu ment meta mini mode model module name net new next node note number object off old one open order out over page part path photo place plan play point post pre press price print pro product project public query read real record red ref release report res right role root row sample screen script search section select sent server service set shop side sign site size small source space spec start state step stop store string style sub super support switch system tab table tag task team temp term test text the theme time tion title tool top track type under unit update url use user util value version video view web week white wide window word work world year your zone".split()
 SECRET_WORDS = "token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential|client_secret|encryption_key|signing"
 PLAIN_WORDS = "sha1|sha256|sha512|md5|commit|checksum|digest|etag|uuid|guid|revision|hash|blob|tree|order|invoice|tracking|phone|card|isbn|serial|version|build|trace|request|session_id|integrity"
+#: How keys of public services begin.
+PREFIXES = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}$|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|sk-|npm_|eyJ)"
 PLAIN_PATHS, SECRET_PATHS = "test|example|sample|fixture|doc|readme|mock|lock|vendor|dist|changelog", r"\.env|config|settings|secret|credential|deploy|\.ya?ml|\.pem|\.ini|\.properties"
 
-FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "dictionary", "hex", "uuid", "number", "run", "hard", "secret_words", "plain_words", "assigned", "quoted", "path"]
+FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "dictionary", "hex", "uuid", "number", "run", "hard", "secret_words", "plain_words", "assigned", "quoted", "path", "prefix"]
 
 
 def features(c: Column, left: Column, right: Column, path: Column) -> dict[str, Column]:
@@ -57,6 +60,7 @@ def features(c: Column, left: Column, right: Column, path: Column) -> dict[str,
         "assigned": flag(left, r"[=:]\s*[\"'`]?$|(?i)bearer\s$"),
         "quoted": flag(left, "[\"'`]$") * flag(right, "^[\"'`]"),
         "path": flag(where, SECRET_PATHS) - flag(where, PLAIN_PATHS),
+        "prefix": flag(c, PREFIXES),
     }
 
 
@@ -74,6 +78,11 @@ def labelled(rows: int = ROWS, seed: int = 5) -> list[tuple[str, str, str, str,
     while len(out) < rows:
         name, q = pick(["token", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "TOKEN", "API_KEY", "Secret"]), pick(['"', "'", ""])
         value = pick([chars(hexa, pick([32, 40, 64])), chars(hexa, 40), chars(hexa.upper(), pick([32, 40])), chars(any_, size(20, 48)), "ghp_" + chars(any_, 36), "AKIA" + chars(low.upper() + digit, 16), "sk_live_" + chars(any_, 24), "xoxb-" + chars(digit, 12) + "-" + chars(any_, 24), chars(any_ + "+/", 43) + "="])
+        if r.random() < 0.25:  # a short one
+            value, name = chars(pick([hexa, any_]), size(LEAST, 25)), pick(["password", "passwd", "pwd", "secret", "PASSWORD"])
+        if r.random() < 0.15:  # one that needs no announcement
+            value = pick(["AKIA" + chars(low.upper() + digit, 16), "ghp_" + chars(any_, 36), "sk_live_" + chars(any_, 24), "xoxb-" + chars(digit, 12) + "-" + chars(any_, 24), "AIza" + chars(any_, 35)])
+            out.append((value, f"{pick(prose)} ", pick([" ", ". ", "\n", "### ", "!!"]), pick(["", "src7", "app/config.yml", "src/main.py"]), 1))
         out.append((value, f"{pick(prose)} {name}{pick([' = ', '=', ': ', ':'])}{q}", q + pick(["", " ", "\n", "### ", "!!"]), pick(["", "app/config.yml", ".env", "src/main.py", "src7", "deploy/settings.ini"]), 1))
         kind, left, q = size(0, 8), pick(prose) + " ", ""
         if kind == 0:
@@ -91,6 +100,8 @@ def labelled(rows: int = ROWS, seed: int = 5) -> list[tuple[str, str, str, str,
             value = f"/{words(2)}/{size(2000, 2030)}/{size(10, 13)}/{words(3)}"
         elif kind == 6:
             value = chars("-=_", size(16, 40)) + chars(digit, 1)
+        elif r.random() < 0.5:
+            value = chars(hexa, size(LEAST, 25))
         else:
             value = f"{size(2000, 2030)}-{size(10, 13)}-{size(10, 29)}T{size(10, 24)}-{size(10, 60)}-{size(10, 60)}"
         if len(value) >= LEAST:

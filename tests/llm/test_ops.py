@@ -275,6 +275,14 @@ def test_pii_is_consistent_and_distinct(spark, odd, none):
     assert kept.schema == odd.schema and kept.count() == 10 and pii.pseudonymise(none).count() == 0
 
 
+def test_pii_neighbours_stay_apart(spark):
+    rows = [(1, "+1 (608) 555-2280 37.92.178.161 4524132264652876 +1 (608) 555-2280"), (2, "37.92.178.161 +44 20 7946 0958 37.92.178.161")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a = re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}) (\d+\.\d+\.\d+\.\d+) \d{16} (\+1 \(\d{3}\) \d{3}-\d{4})", got[1])
+    b = re.fullmatch(r"(\d+\.\d+\.\d+\.\d+) \+44 \d\d \d{4} \d{4} (\d+\.\d+\.\d+\.\d+)", got[2])
+    assert a[1] == a[3] and a[2] == b[1] == b[2] and "555-2280" not in got[1] and "37.92" not in got[1] + got[2]
+
+
 def test_pii_collisions_are_drawn_again(spark):
     # Two-letter addresses: 676 local parts, of which 500 are taken, under one domain.
     letters = "abcdefghijklmnopqrstuvwxyz"

@@ -16,6 +16,7 @@ order. Without labelled rows every document is ``und``. Rows with null doc_id ar
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,10 +231,30 @@ def learn(texts: list[tuple[str, str]], pieces: list[bytes], rounds: int = 3, al
 
 
 def sample(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled training rows of each language, those with the smallest hashes of text."""
+    """At most ``rows`` labelled training rows of each language, those with the smallest hashes.
+
+    Rows are counted by language first, so that only hashes below a cut that lets about twice as many rows through are
+    sorted, however many partitions there are. A language that comes out short all the same (as one whose rows all have
+    one hash may) is sorted without a cut: the sample is that of the definition in any case.
+    """
     keep = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    ranked = keep.select("text", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(1)), "text")).alias("n"))
-    return [(r["text"], r["lang"]) for r in ranked.where(F.col("n") <= rows).collect()]
+    keep = keep.select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    counts = {r["lang"]: r["count"] for r in keep.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+
+    def first(df: DataFrame) -> list[tuple[str, str]]:
+        ranked = df.select("text", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")).alias("n"))
+        return [(r["text"], r["lang"]) for r in ranked.where(F.col("n") <= rows).collect()]
+
+    cut = lambda n: min((1 << 63) - 1, int(min(1.0, (2 * rows + 40) / n) * 2.0**64) - (1 << 63))
+    cuts = docs.sparkSession.createDataFrame([(lang, cut(n)) for lang, n in counts.items()], "lang string, cut long")
+    found = first(keep.join(F.broadcast(cuts), "lang").where("h <= cut"))
+    got = Counter(lang for _, lang in found)
+    short = [lang for lang, n in counts.items() if got[lang] < min(rows, n)]
+    if short:
+        found = [x for x in found if x[1] not in short] + first(keep.where(F.col("lang").isin(short)))
+    return found
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -432,3 +432,11 @@ def test_language_odd(spark, odd, none):
     assert got == {(1, "und"), (2, "und"), (3, "und"), (8, "und")}
     assert langid.language_id(odd).count() == 10 and langid.language_id(none).count() == 0
     assert {r.lang_pred for r in langid.language_id(odd, none).collect()} == {"und"}
+
+
+def test_language_sample_is_that_of_its_definition(spark):
+    rows = [(k, f"text {k % 37} of {k}", "ab"[k % 2]) for k in range(4000)] + [(7, "one row", "c")] * 500 + [(8, "few", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keep = df.where("crc32(CAST(doc_id AS STRING)) % 3 <> 1").selectExpr("text", "lang", "xxhash64(CAST(doc_id AS STRING), text) AS h").collect()
+    want = [(t, g) for lang in "abcd" for _, t, g in sorted((r.h, r.text, r.lang) for r in keep if r.lang == lang)[:20]]
+    assert sorted(langid.sample(df, 20)) == sorted(want)

@@ -12,20 +12,27 @@ DAYS = {"d": 1, "w": 7, "m": 31, "y": 366}
 LIBRARY = "struct<searchVO:struct<listVO:array<struct<title:string,url:string,pubtime:bigint,puborg:string,pcode:string>>>>"
 
 
+def _answer(raw: DataFrame) -> Column:
+    return (F.col("ord") if "ord" in raw.columns else F.lit(0)).cast("long").alias("answer")
+
+
 def library_candidates(raw: DataFrame, limit: int = 5, timelimit: str = "all", as_of: str = "2024-01-01", native: bool = False) -> DataFrame:
-    """Candidates of (dept, puborg_keys, raw JSON): with url and time, in time, of a publisher that holds a key; the first ``limit`` by dept."""
+    """Candidates of (dept, puborg_keys, raw JSON): with url and time, in time, of a publisher that holds a key; the first ``limit`` by dept.
+
+    A department may have several answers, in the order of ``ord`` if there is such a column.
+    """
     rows = F.coalesce(F.from_json("raw", LIBRARY)["searchVO"]["listVO"], F.array())
-    df = raw.select("dept", "dept_name", "puborg_keys", F.posexplode(rows).alias("pos", "x")).select("dept", "dept_name", "puborg_keys", "pos", "x.*")
+    df = raw.select("dept", "dept_name", "puborg_keys", _answer(raw), F.posexplode(rows).alias("pos", "x")).select("dept", "dept_name", "puborg_keys", "answer", "pos", "x.*")
     published = F.to_date(F.timestamp_millis("pubtime"))
     df = df.where((F.coalesce("url", F.lit("")) != "") & (F.coalesce("pubtime", F.lit(0)) != 0)).withColumn("published", published)
     if timelimit != "all":
         df = df.where(F.col("published") >= F.date_sub(F.lit(as_of).cast("date"), DAYS[timelimit]))
     keys = F.col("puborg_keys")
     df = df.where((F.size(keys) == 0) | F.exists(keys, lambda k: F.contains(F.coalesce("puborg", F.lit("")), k)))
-    df = df.withColumn("n", F.row_number().over(Window.partitionBy("dept").orderBy("pos"))).where(F.col("n") <= limit)
+    df = df.withColumn("n", F.row_number().over(Window.partitionBy("dept").orderBy("answer", "pos"))).where(F.col("n") <= limit)
     title = F.coalesce("title", F.lit(""))
     clean = T.strip(T.unescape_some(F.regexp_replace(title, "<[^>]+>", ""))) if native else T.strip_tags(title)
-    return df.select("dept", "dept_name", clean.alias("title"), "url", F.date_format("published", "yyyy-MM-dd").alias("date"), "puborg", "pcode", F.lit("policy_library").alias("source_tier"), "pos")
+    return df.select("dept", "dept_name", clean.alias("title"), "url", F.date_format("published", "yyyy-MM-dd").alias("date"), "puborg", "pcode", F.lit("policy_library").alias("source_tier"), F.col("n").alias("pos"))
 
 
 def normal_date(x: Column) -> Column:
@@ -33,28 +40,28 @@ def normal_date(x: Column) -> Column:
 
 
 def listing_links(raw: DataFrame, pattern: str) -> DataFrame:
-    """(dept, pos, href, hint, title) of a listing page; the pattern has these three groups."""
+    """(dept, dept_name, list_url, answer, pos, href, hint, title) of listing pages, answer being ``ord`` or 0; the pattern has the last three as groups."""
     p = F.lit(pattern)
     found = F.arrays_zip(*[F.regexp_extract_all("raw", p, F.lit(k)).alias(n) for k, n in ((1, "href"), (2, "hint"), (3, "title"))])
-    return raw.select("dept", F.posexplode(found).alias("pos", "x")).select("dept", "pos", "x.*")
+    return raw.select("dept", "dept_name", "list_url", _answer(raw), F.posexplode(found).alias("pos", "x")).select("dept", "dept_name", "list_url", "answer", "pos", "x.*")
 
 
 def listing_candidates(raw: DataFrame, pattern: str, keywords: list[str], limit: int = 5, native: bool = False) -> DataFrame:
     """Candidates of (dept, dept_name, list_url, raw HTML) whose title holds any keyword, the first ``limit`` by dept."""
     from .pages import absolute
 
-    links = listing_links(raw, pattern).join(F.broadcast(raw.select("dept", "dept_name", "list_url")), "dept")
+    links = listing_links(raw, pattern)
     title = T.strip(F.col("title"))
     hit = F.lit(not keywords)
     for k in keywords:
         hit = hit | F.contains(title, F.lit(k))
-    df = links.where(hit).withColumn("n", F.row_number().over(Window.partitionBy("dept").orderBy("pos"))).where(F.col("n") <= limit)
+    df = links.where(hit).withColumn("n", F.row_number().over(Window.partitionBy("dept").orderBy("answer", "pos"))).where(F.col("n") <= limit)
     url = absolute(F.col("list_url"), F.col("href"))
     if not native:
         from ..functions import url as U
 
         url = F.coalesce(url, U.join(F.col("list_url"), F.col("href")))
-    return df.select("dept", "dept_name", title.alias("title"), url.alias("url"), normal_date(F.col("hint")).alias("date"), F.lit(None).cast("string").alias("puborg"), F.lit(None).cast("string").alias("pcode"), F.lit("official_site").alias("source_tier"), "pos")
+    return df.select("dept", "dept_name", title.alias("title"), url.alias("url"), normal_date(F.col("hint")).alias("date"), F.lit(None).cast("string").alias("puborg"), F.lit(None).cast("string").alias("pcode"), F.lit("official_site").alias("source_tier"), F.col("n").alias("pos"))
 
 
 def union_first(tiers: list[DataFrame], plan: DataFrame) -> DataFrame:

@@ -187,10 +187,10 @@ def sitemap_topk(spark, sf):
 _ENTRY = "concat('<url><loc> ', url, ' </loc>', CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<lastmod>', " + _LASTMOD + ", '</lastmod>') END, '</url>')"
 
 
-@query(f"SELECT CAST(page_id % 10 AS BIGINT) AS sitemap, url AS loc, CASE WHEN page_id % 3 = 0 THEN '' ELSE {_LASTMOD} END AS lastmod, false AS child FROM pages WHERE regexp_matches(url, '^[^<[:space:]]+$')")
+@query(f"SELECT CAST(page_id // 50 AS BIGINT) AS sitemap, url AS loc, CASE WHEN page_id % 3 = 0 THEN '' ELSE {_LASTMOD} END AS lastmod, false AS child FROM pages WHERE regexp_matches(url, '^[^<[:space:]]+$')")
 def sitemap_entries(spark, sf):
-    # One document a tenth of the pages, to have documents with many entries.
-    e = table(spark, sf, "pages").select((F.col("page_id") % 10).alias("sitemap"), "page_id", F.expr(_ENTRY).alias("e"))
+    # One document for fifty pages, as many as there are.
+    e = table(spark, sf, "pages").select(F.expr("page_id DIV 50").alias("sitemap"), "page_id", F.expr(_ENTRY).alias("e"))
     xml = e.groupBy("sitemap").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("e"), "\n"), F.lit("</urlset>")).alias("text"))
     return discover.sitemap_rows(xml, "text", "sitemap").select("sitemap", "loc", "lastmod", "child")
 
@@ -208,10 +208,10 @@ def sitemap_bfs(spark, sf):
 _HIT = """concat('<h3 class="res-title "><a href="/r" data-mdurl="', CASE WHEN page_id % 4 = 0 THEN concat('https://www.so.com/', CAST(page_id AS STRING)) ELSE url END, '" x><em>Hit</em> ', CAST(page_id AS STRING), '&amp;</a></h3>')"""
 
 
-@query("""WITH a AS (SELECT page_id % 20 AS query, page_id, url, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS rank FROM pages WHERE page_id % 4 <> 0)
+@query("""WITH a AS (SELECT page_id // 20 AS query, page_id, url, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) AS rank FROM pages WHERE page_id % 4 <> 0)
 SELECT query, 'Hit ' || page_id || '&' AS title, url, CAST(rank AS INTEGER) AS rank FROM a WHERE rank <= 10""")
 def serp_hits(spark, sf):
-    p = table(spark, sf, "pages").select((F.col("page_id") % 20).alias("query"), F.struct("page_id", F.expr(_HIT).alias("h")).alias("s"))
+    p = table(spark, sf, "pages").select(F.expr("page_id DIV 20").alias("query"), F.struct("page_id", F.expr(_HIT).alias("h")).alias("s"))
     html = p.groupBy("query").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["h"]), "\n").alias("html"))
     return discover.result_hits(html)
 
@@ -220,13 +220,13 @@ def serp_hits(spark, sf):
 
 
 def library_raw(spark, sf):
-    """A JSON answer for each department from documents: title, url, time and publisher by rule."""
+    """JSON answers of fifty rows at most for each department from documents: title, url, time and publisher by rule."""
     d = table(spark, sf, "documents")
     keys = dims.departments(spark).select(F.col("code").alias("dept"), F.col("name").alias("dept_name"), "puborg_keys", F.row_number().over(_by("code")).alias("k"))
     row = F.struct(F.concat(F.lit("<em>T</em>"), F.col("doc_id").cast("string"), F.lit(" &amp; ")).alias("title"), F.when(F.col("doc_id") % 13 > 0, F.concat(F.lit("http://p/"), (F.col("doc_id") % 500).cast("string"))).alias("url"), F.when(F.col("doc_id") % 17 > 0, F.lit(1700000000000) + F.col("doc_id") * 3600000).alias("pubtime"), F.element_at(F.array(*map(F.lit, ("发展改革委办公厅", "应急管理部", "其他"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("puborg"), F.lit("c").alias("pcode"))
-    some = d.select((F.col("doc_id") % 8 + 1).alias("k"), F.col("doc_id"), row.alias("row"))
-    raw = some.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "row"))), lambda x: x["row"]).alias("l"))
-    return raw.join(F.broadcast(keys), "k").select("dept", "dept_name", "puborg_keys", F.to_json(F.struct(F.struct(F.col("l").alias("listVO")).alias("searchVO"))).alias("raw"))
+    some = d.select((F.col("doc_id") % 8 + 1).alias("k"), F.expr("doc_id DIV 400").alias("ord"), F.col("doc_id"), row.alias("row"))
+    raw = some.groupBy("k", "ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "row"))), lambda x: x["row"]).alias("l"))
+    return raw.join(F.broadcast(keys), "k").select("dept", "dept_name", "puborg_keys", "ord", F.to_json(F.struct(F.struct(F.col("l").alias("listVO")).alias("searchVO"))).alias("raw"))
 
 
 def _by(col: str):
@@ -247,9 +247,10 @@ def policy_library(spark, sf):
 
 
 def listing_raw(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit('<li><a href="/t2024010'), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("_"), F.col("doc_id").cast("string"), F.lit('.html" target="_blank"> Notice on '), F.element_at(F.array(*map(F.lit, ("safety", "energy", "prices"))), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(" "), F.col("doc_id").cast("string"), F.lit(" </a></li>")).alias("h"))
-    html = d.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "\n").alias("raw"))
-    return html.select(F.lit("ndrc").alias("dept"), F.lit("国家发展和改革委员会").alias("dept_name"), F.lit("https://www.ndrc.gov.cn/xxgk/zcfb/fzggwl/").alias("list_url"), "raw")
+    """Listing pages of one department, forty notices each."""
+    d = table(spark, sf, "documents").select("doc_id", F.expr("doc_id DIV 40").alias("ord"), F.concat(F.lit('<li><a href="/t2024010'), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("_"), F.col("doc_id").cast("string"), F.lit('.html" target="_blank"> Notice on '), F.element_at(F.array(*map(F.lit, ("safety", "energy", "prices"))), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(" "), F.col("doc_id").cast("string"), F.lit(" </a></li>")).alias("h"))
+    html = d.groupBy("ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "\n").alias("raw"))
+    return html.select(F.lit("ndrc").alias("dept"), F.lit("国家发展和改革委员会").alias("dept_name"), F.lit("https://www.ndrc.gov.cn/xxgk/zcfb/fzggwl/").alias("list_url"), "ord", "raw")
 
 
 SQL_LISTING = """, l AS (SELECT doc_id, 'ndrc' AS dept, '国家发展和改革委员会' AS dept_name, 'Notice on ' || ['safety', 'energy', 'prices'][doc_id % 3 + 1] || ' ' || doc_id AS title,
@@ -402,12 +403,25 @@ def shapes(spark, sf):
     return table(spark, sf, "part").select(F.floor(k / 10).cast("int").alias("slide"), (k % 10).cast("int").alias("pos"), text.alias("text"), F.when(k % 3 == 0, 0.0).otherwise((k % 30).cast("double")).alias("font_pt"), ((k * 7919) % 9000000).alias("left"), ((k * 104729) % 6000000).alias("top"), F.lit(900000).cast("long").alias("width"), ((k % 9 + 1) * 150000).alias("height"), (k % 97 == 0).alias("has_table"), F.lit("").alias("layout"))
 
 
-@query(None)
+_FLAT = rf"regexp_replace(text, '{WS}+', '', 'g')"
+_DECOR = f"(contains(upper(f), '目录') OR contains(upper(f), 'CONTENT') OR regexp_matches(f, '{'|'.join(deck.DECOR)}'))"
+SQL_SHAPES = f"""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN ['目 录', '01', 'PROJECT', '谢谢'][p_partkey % 4 + 1] WHEN p_partkey % 10 = 1 THEN '第三' ELSE '项 ' || p_name END AS text FROM part),
+f AS (SELECT CAST(k // 10 AS INTEGER) AS slide, CAST(k % 10 AS INTEGER) AS pos, {_FLAT} AS f, CASE WHEN k % 3 = 0 THEN 0 ELSE CAST(k % 30 AS DOUBLE) END AS font, (k * 104729) % 6000000 AS top, (k % 9 + 1) * 150000 AS height, k % 97 = 0 AS has_table FROM p),
+s AS (SELECT *, {_DECOR} AS decor, regexp_matches(f, '{deck.SECTION_NO}') AS numbered FROM f),
+g AS (SELECT slide, upper(string_agg(f, '' ORDER BY pos)) AS u, bool_or(numbered) AS numbered, count(*) FILTER (NOT decor AND f <> '') AS bodies, bool_or(has_table) AS has_table, min(slide) OVER () AS first, max(slide) OVER () AS last FROM s GROUP BY slide),
+kinds AS (SELECT slide, CASE WHEN slide = first THEN 'cover' WHEN contains(u, '目录') OR contains(u, 'CONTENT') THEN 'toc' WHEN contains(u, '谢谢') OR contains(u, '感谢') OR contains(u, 'THANKS') OR contains(u, 'THANK YOU') THEN 'closing'
+ WHEN has_table THEN 'table' WHEN numbered AND bodies <= 2 THEN 'section' WHEN slide = last THEN 'closing' ELSE 'content' END AS kind FROM g)"""
+
+
+@query(SQL_SHAPES + " SELECT slide, kind FROM kinds")
 def slide_kind(spark, sf):
     return deck.slide_kinds(shapes(spark, sf))
 
 
-@query(None)
+@query(SQL_SHAPES + """, a AS (SELECT s.*, kind, CASE WHEN s.numbered THEN 'no' WHEN decor OR (font > 0 AND font < 9) THEN 'decor' END AS aside FROM s JOIN kinds USING (slide)),
+r AS (SELECT *, row_number() OVER (PARTITION BY slide, aside IS NULL ORDER BY coalesce(nullif(font, 0), CAST(height AS DOUBLE) / 91440) DESC, pos) - 1 AS n, length(f) AS size FROM a)
+SELECT slide, pos, CASE WHEN aside IS NOT NULL THEN aside WHEN kind IN ('cover', 'section', 'closing') THEN CASE n WHEN 0 THEN 'title' WHEN 1 THEN 'subtitle' ELSE 'item_body' END
+ WHEN kind = 'toc' THEN 'item_head' WHEN n = 0 AND top < 2011680 AND size <= 20 THEN 'title' WHEN size <= 12 THEN 'item_head' ELSE 'item_body' END AS role FROM r""")
 def slot_roles(spark, sf):
     s = shapes(spark, sf)
     return deck.slot_roles(s, deck.slide_kinds(s))

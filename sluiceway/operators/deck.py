@@ -185,6 +185,53 @@ def parse_cards(cards_: DataFrame) -> DataFrame:
     return df.select("page", "kind", title.alias("title"), sub.alias("subtitle"), F.transform(bullets, item).alias("items"))
 
 
+def default_sections(slides: DataFrame) -> DataFrame:
+    """(template, ord, name): titles of a template's dividers, else the heads of its first contents page; each once, none empty.
+
+    slides: (template, i, kind, slots array<struct<role, sample, ...>>). One shuffle, by template.
+    """
+    role = F.when(F.col("kind") == "section", "title").when(F.col("kind") == "toc", "item_head")
+    each = slides.where(F.col("kind").isin("section", "toc")).select("template", "kind", "i", role.alias("want"), F.posexplode("slots").alias("pos", "x")).where("x.role = want")
+    mine = Window.partitionBy("template")
+    each = each.withColumn("divided", F.max(F.col("kind") == "section").over(mine)).withColumn("toc", F.min(F.when(F.col("kind") == "toc", F.col("i"))).over(mine))
+    used = each.where("IF(divided, kind = 'section', kind = 'toc' AND i = toc) AND x.sample <> ''")
+    names = used.groupBy("template", F.col("x.sample").alias("name")).agg(F.min(F.struct("i", "pos")).alias("at"))
+    return names.select("template", F.row_number().over(mine.orderBy("at")).alias("ord"), "name")
+
+
+def rebuild(skeleton: DataFrame, parsed: DataFrame, slides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages as written on cards, errors (page, error)). skeleton: what allocate gives; parsed: what parse_cards gives.
+
+    A page keeps its slide if its items are as many as the slide has. Contents pages take the nearest slide. Content
+    pages take slides of just that many items in turn, those that hold the title first; without any, fewer items leave
+    slots empty and more are an error, as is a page whose kind differs.
+    """
+    had = skeleton.select("page", "src", F.col("kind").alias("was"), F.coalesce("items", F.lit(0)).alias("have"))
+    j = parsed.join(had, "page").withColumn("need", F.size("items"))
+    moved = j.where("kind = was AND need <> have").select("page", "kind", "title", "need")
+    usable = F.broadcast(pool(slides).select("i", F.col("items").alias("n"), "title_cap"))
+    exact = moved.where("kind = 'content'").withColumn("k", F.row_number().over(Window.partitionBy("need").orderBy("page")) - 1).join(usable, F.col("n") == F.col("need"))
+    exact = exact.withColumn("holds", F.coalesce("title_cap", F.lit(99)) >= F.length("title"))
+    exact = exact.withColumn("some", F.max("holds").over(Window.partitionBy("page"))).where("holds OR NOT some")
+    turn = exact.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy("i")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("page"))).where("k % m = r").select("page", "i", "n")
+    tocs = F.broadcast(slides.where("kind = 'toc'").select("i", F.coalesce("items", F.lit(0)).alias("n")))
+    near = moved.where("kind = 'toc'").join(tocs).groupBy("page").agg(F.min_by(F.struct("i", "n"), F.struct(F.abs(F.col("n") - F.col("need")), "i")).alias("x")).select("page", "x.i", "x.n")
+    df = j.join(turn.unionByName(near), "page", "left").withColumn("room", F.coalesce("n", "have"))
+    error = F.when(F.col("kind").isNull() | (F.col("kind") != F.col("was")), "kind differs").when(F.col("need") > F.col("room"), "too many items")
+    given = F.transform(F.when(F.col("room") > 0, F.sequence(F.lit(0), F.col("room") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(*[F.coalesce(F.get("items", k)[f], F.lit("")).alias(f) for f in ("head", "body")]))
+    pages = df.where(error.isNull()).select("page", F.coalesce("i", "src").alias("src"), "kind", "title", "subtitle", given.alias("items"))
+    return pages, df.where(error.isNotNull()).select("page", error.alias("error"))
+
+
+def cap_warnings(pages: DataFrame, caps: DataFrame) -> DataFrame:
+    """(page, role, text, cap) of texts beyond their slide's tightest cap; a template's own ``{...}`` is none. caps: (i, role, cap)."""
+    one = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    items = F.flatten(F.transform(F.coalesce("items", F.array()), lambda x: F.array(one("item_head", x["head"]), one("item_body", x["body"]))))
+    said = pages.select("page", F.col("src").alias("i"), F.explode(F.concat(F.array(one("title", F.col("title")), one("subtitle", F.col("subtitle"))), items)).alias("x")).select("page", "i", "x.*")
+    df = said.join(F.broadcast(caps), ["i", "role"])
+    return df.where((F.length("text") > F.col("cap")) & (F.col("cap") > 0) & ~F.startswith("text", F.lit("{"))).select("page", "role", "text", "cap")
+
+
 FIELD = r"^items\[(\d+)\]\.(head|body)$"
 
 

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import deck, discover, gate, pages, policy
 from ..session import table
-from ..sources import dims
+from ..sources import decks, dims
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -440,3 +440,32 @@ def package_check(spark, sf):
     parts = spark.createDataFrame([("/ppt/charts/c1.xml",)], "part string")
     ids = spark.createDataFrame([("s1", 4), ("s2", 4), ("s2", 4)], "part string, shape_id int")
     return deck.package_issues(used, rels, parts, ids)
+
+
+#: Two templates' slots: number, kind, (role, sample, capacity).
+INDEXED = [("a", 1, "toc", [("item_head", "x", 14), ("item_head", "y", 12)]), ("a", 2, "section", [("no", "01", None), ("title", "One", 9)]), ("a", 5, "section", [("title", "Two", 8), ("title", "One", 7)]), ("b", 0, "cover", [("title", "T", 20)]), ("b", 1, "toc", [("item_head", "p", 10), ("item_head", "", 10), ("decor", "z", None), ("item_head", "q", 6)]), ("b", 4, "toc", [("item_head", "late", 5)])]
+
+
+def indexed(spark):
+    return spark.createDataFrame(INDEXED, "template string, i int, kind string, slots array<struct<role:string,sample:string,cap:int>>")
+
+
+@query("SELECT * FROM (VALUES ('a', 1, 'One'), ('a', 2, 'Two'), ('b', 1, 'p'), ('b', 2, 'q')) t(template, ord, name)")
+def section_defaults(spark, sf):
+    return deck.default_sections(indexed(spark))
+
+
+@query("SELECT * FROM (VALUES ('a', 1, 'item_head', 12), ('a', 2, 'title', 9), ('a', 5, 'title', 7), ('b', 0, 'title', 20), ('b', 1, 'item_head', 6), ('b', 4, 'item_head', 5)) t(template, i, role, cap)")
+def tightest_caps(spark, sf):
+    return decks.tightest_caps(indexed(spark)).select("template", "i", F.explode("caps").alias("role", "cap"))
+
+
+@query(None)
+def outline_rebuild(spark, sf):
+    return deck.rebuild(outline(spark), deck.parse_cards(deck.cards(written(spark), 14)), slides(spark))[0].withColumn("items", F.to_json("items"))
+
+
+@query("SELECT * FROM (VALUES (2, 'title', 'far too long', 5), (2, 'item_body', 'body', 3)) t(page, role, text, cap)")
+def cap_warnings(spark, sf):
+    pages = spark.createDataFrame([(1, 0, "{far too long}", None, []), (2, 3, "far too long", "any", [("h", "body")])], "page int, src int, title string, subtitle string, items array<struct<head:string,body:string>>")
+    return deck.cap_warnings(pages, spark.createDataFrame([(0, "title", 5), (3, "title", 5), (3, "item_head", 1), (3, "item_body", 3)], "i int, role string, cap int"))

@@ -74,3 +74,25 @@ def test_patch_with_an_invalid_op_changes_nothing(spark):
     out, bad = deck.patch(pages, ops)
     assert [r.page for r in bad.collect()] == [99]
     assert sorted(r.title for r in out.collect()) == sorted(r.title for r in pages.collect())
+
+
+def test_rebuild_realigns_pages(spark):
+    item = "array<struct<head:string,body:string>>"
+    skeleton = spark.createDataFrame([(1, 0, "cover", None), (2, 1, "toc", 3), (3, 4, "content", 3), (4, 4, "content", 3), (5, 4, "content", 3), (6, 5, "content", 5), (7, 5, "content", 5), (8, 11, "closing", None), (9, 6, "content", 4)], "page int, src int, kind string, items int")
+    some = lambda n: [(f"h{k}", f"b{k}") for k in range(n)]
+    card = [(1, "cover", "T", "S", []), (2, "toc", "目录", None, some(4)), (3, "content", "short", None, some(4)), (4, "content", "ten letter", None, some(4)), (5, "content", "a", None, some(4)), (6, "content", "b", None, some(2)), (7, "content", "c", None, some(7)), (8, "content", "x", None, []), (9, "content", "same", None, some(4))]
+    pages, errors = deck.rebuild(skeleton, spark.createDataFrame(card, f"page int, kind string, title string, subtitle string, items {item}"), spark.createDataFrame(Q.SLIDES, "i int, kind string, items int, title_cap int"))
+    got = {r.page: r for r in pages.collect()}
+    # Slides of four items are 6 (titles up to 9) and 10 (up to 13): pages 3, 4, 5 take turns 0, 1, 2.
+    assert {p: r.src for p, r in got.items()} == {1: 0, 2: 1, 3: 6, 4: 10, 5: 6, 6: 5, 9: 6}
+    assert [tuple(x) for x in got[6]["items"]] == [*some(2), ("", ""), ("", ""), ("", "")]
+    assert {r.page: r.error for r in errors.collect()} == {7: "too many items", 8: "kind differs"}
+
+
+def test_rebuild_of_an_outlines_own_card(spark):
+    back = deck.parse_cards(deck.cards(Q.written(spark), 14))
+    pages, errors = deck.rebuild(Q.outline(spark), back, Q.slides(spark))
+    assert errors.count() == 0
+    assert [tuple(r) for r in pages.select("page", "src", "kind", "title").orderBy("page").collect()] == [tuple(r) for r in Q.outline(spark).select("page", "src", "kind", "title").orderBy("page").collect()]
+    again = deck.parse_cards(deck.cards(pages, 14))
+    assert again.exceptAll(back).count() == 0 and back.exceptAll(again).count() == 0

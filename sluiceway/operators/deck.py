@@ -273,14 +273,22 @@ def todo_slots(filled: DataFrame) -> DataFrame:
     return filled.groupBy("page").agg(F.sum(F.regexp_count("text", F.lit("_{2,}"))).alias("todo")).where("todo > 0")
 
 
-def package_issues(used: DataFrame, rels: DataFrame, parts: DataFrame, shapes: DataFrame) -> DataFrame:
+def package_issues(used: DataFrame, rels: DataFrame, parts: DataFrame, shapes: DataFrame, charts: DataFrame | None = None) -> DataFrame:
     """(category, part, detail) of a package: used (part, rid), rels (part, rid, type, target, mode), parts (part), shapes (part, shape_id).
 
-    Targets are normalised part names. Parts for one owner only: tags, charts, embeddings, diagrams.
+    charts (part, rid), if given, has the relationships by which charts name their data; those must lead to a workbook.
+    Targets are normalised part names. Parts for one owner only: tags, charts, embeddings, diagrams. With a column
+    ``package`` in all of them, issues are those of each package, and have that column too.
     """
-    dangling = used.join(rels, ["part", "rid"], "left_anti").select(F.lit("dangling_rid").alias("category"), "part", F.col("rid").alias("detail"))
+    by = ["package"] if "package" in rels.columns else []
+    dangling = used.join(rels, [*by, "part", "rid"], "left_anti").select(*by, F.lit("dangling_rid").alias("category"), "part", F.col("rid").alias("detail"))
     inner = rels.where("mode IS NULL OR mode <> 'External'")
-    missing = inner.join(parts.select(F.col("part").alias("target")), "target", "left_anti").select(F.lit("missing_target").alias("category"), "part", F.col("target").alias("detail"))
-    twice = shapes.groupBy("part", "shape_id").count().where("count > 1").select(F.lit("duplicate_id").alias("category"), "part", F.col("shape_id").cast("string").alias("detail"))
-    shared = inner.where(F.rlike("target", F.lit("/(tags|charts|embeddings|diagrams)/"))).groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("shared_part").alias("category"), F.col("target").alias("part"), F.col("n").cast("string").alias("detail"))
-    return dangling.unionByName(missing).unionByName(twice).unionByName(shared)
+    missing = inner.join(parts.select(*by, F.col("part").alias("target")), [*by, "target"], "left_anti").select(*by, F.lit("missing_target").alias("category"), "part", F.col("target").alias("detail"))
+    twice = shapes.groupBy(*by, "part", "shape_id").count().where("count > 1").select(*by, F.lit("duplicate_id").alias("category"), "part", F.col("shape_id").cast("string").alias("detail"))
+    shared = inner.where(F.rlike("target", F.lit("/(tags|charts|embeddings|diagrams)/"))).groupBy(*by, "target").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, F.lit("shared_part").alias("category"), F.col("target").alias("part"), F.col("n").cast("string").alias("detail"))
+    out = dangling.unionByName(missing).unionByName(twice).unionByName(shared)
+    if charts is None:
+        return out
+    kind = F.substring_index(F.coalesce("type", F.lit("")), "/", -1)
+    led = charts.join(rels.select(*by, "part", "rid", "type"), [*by, "part", "rid"], "left").where(~F.endswith(F.coalesce("type", F.lit("")), F.lit("/package")))
+    return out.unionByName(led.select(*by, F.lit("chart_data").alias("category"), "part", F.coalesce(F.nullif(kind, F.lit("")), F.lit("missing")).alias("detail")))

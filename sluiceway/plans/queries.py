@@ -433,13 +433,14 @@ def head_body_pairing(spark, sf):
     return deck.pair(s.join(deck.slot_roles(s, deck.slide_kinds(s)), ["slide", "pos"]))
 
 
-@query("SELECT * FROM (VALUES ('dangling_rid', 's1', 'r9'), ('missing_target', 's1', '/ppt/charts/c9.xml'), ('duplicate_id', 's2', '4'), ('shared_part', '/ppt/charts/c1.xml', '2')) t(category, part, detail)")
+@query("SELECT * FROM (VALUES ('dangling_rid', 's1', 'r9'), ('missing_target', 's1', '/ppt/charts/c9.xml'), ('duplicate_id', 's2', '4'), ('shared_part', '/ppt/charts/c1.xml', '2'), ('chart_data', '/ppt/charts/c1.xml', 'chartStyle'), ('chart_data', '/ppt/charts/c2.xml', 'missing')) t(category, part, detail)")
 def package_check(spark, sf):
     used = spark.createDataFrame([("s1", "r1"), ("s1", "r9"), ("s2", "r1")], "part string, rid string")
-    rels = spark.createDataFrame([("s1", "r1", "chart", "/ppt/charts/c1.xml", None), ("s1", "r2", "chart", "/ppt/charts/c9.xml", None), ("s2", "r1", "chart", "/ppt/charts/c1.xml", None), ("s2", "r3", "link", "http://x", "External")], "part string, rid string, type string, target string, mode string")
-    parts = spark.createDataFrame([("/ppt/charts/c1.xml",)], "part string")
+    rels = spark.createDataFrame([("s1", "r1", "chart", "/ppt/charts/c1.xml", None), ("s1", "r2", "chart", "/ppt/charts/c9.xml", None), ("s2", "r1", "chart", "/ppt/charts/c1.xml", None), ("s2", "r3", "link", "http://x", "External"), ("/ppt/charts/c1.xml", "r1", "http://t/chartStyle", "/ppt/style1.xml", None), ("/ppt/charts/c3.xml", "r1", "http://t/package", "/ppt/style1.xml", None)], "part string, rid string, type string, target string, mode string")
+    parts = spark.createDataFrame([("/ppt/charts/c1.xml",), ("/ppt/style1.xml",)], "part string")
     ids = spark.createDataFrame([("s1", 4), ("s2", 4), ("s2", 4)], "part string, shape_id int")
-    return deck.package_issues(used, rels, parts, ids)
+    charts = spark.createDataFrame([(f"/ppt/charts/c{k}.xml", "r1") for k in (1, 2, 3)], "part string, rid string")
+    return deck.package_issues(used, rels, parts, ids, charts)
 
 
 #: Two templates' slots: number, kind, (role, sample, capacity).
@@ -469,3 +470,8 @@ def outline_rebuild(spark, sf):
 def cap_warnings(spark, sf):
     pages = spark.createDataFrame([(1, 0, "{far too long}", None, []), (2, 3, "far too long", "any", [("h", "body")])], "page int, src int, title string, subtitle string, items array<struct<head:string,body:string>>")
     return deck.cap_warnings(pages, spark.createDataFrame([(0, "title", 5), (3, "title", 5), (3, "item_head", 1), (3, "item_body", 3)], "i int, role string, cap int"))
+
+
+@query("SELECT 'zzz' AS code")
+def departments_unknown(spark, sf):
+    return dims.unknown_departments(spark.createDataFrame([("mee",), ("zzz",)], "code string"), dims.departments(spark))

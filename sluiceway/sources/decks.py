@@ -115,6 +115,43 @@ def relationships(packages_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return of("part", "part"), of("rel", "part", "rid", "type", "target", "mode"), of("used", "part", "rid")
 
 
+def faults(packages_: DataFrame) -> DataFrame:
+    """(package, part, fault): ``broken`` for XML that can't be parsed, ``unsafe`` for XML that declares entities; a package that is none has a null part."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, data in zip(frame.package, frame.data):
+                if (z := _open(data)) is None:
+                    out.append((name, None, "broken"))
+                    continue
+                for part in z.namelist():
+                    if part.endswith((".xml", ".rels")) and _read(z, part) is None:
+                        raw = z.read(part)
+                        out.append((name, "/" + part, "unsafe" if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw else "broken"))
+            yield pd.DataFrame(out, columns=["package", "part", "fault"])
+
+    return packages_.mapInPandas(run, "package string, part string, fault string")
+
+
+def chart_data(packages_: DataFrame) -> DataFrame:
+    """(package, part, rid): by which relationship each chart names its data."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        for frame in frames:
+            out = []
+            for name, data in zip(frame.package, frame.data):
+                z = _open(data)
+                for part in z.namelist() if z else ():
+                    if re.fullmatch(r"ppt/charts/chart\d+\.xml", part) and (tree := _read(z, part)) is not None:
+                        out += [(name, "/" + part, e.get(f"{{{NS['r']}}}id")) for e in tree.iter() if e.tag.endswith("}externalData")]
+            yield pd.DataFrame(out, columns=["package", "part", "rid"])
+
+    return packages_.mapInPandas(run, "package string, part string, rid string")
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     """(template, i, kind, items, slots) of template indexes in JSON."""
     return spark.read.schema(INDEX).json(path, multiLine=True).select("template", F.explode("slides").alias("s")).select("template", "s.*")

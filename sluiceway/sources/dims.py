@@ -64,3 +64,8 @@ def resolve_template(names: DataFrame, registry: DataFrame) -> DataFrame:
 def resolve_department(codes: DataFrame, dims: DataFrame) -> DataFrame:
     """(code, name, site_domain) with the code itself and '' for unknown ones."""
     return codes.join(F.broadcast(dims), "code", "left").select("code", F.coalesce("name", "code").alias("name"), F.coalesce("site_domain", F.lit("")).alias("site_domain"))
+
+
+def unknown_departments(codes: DataFrame, dim: DataFrame) -> DataFrame:
+    """The rows of codes (code) that name no department."""
+    return codes.join(F.broadcast(dim.select("code")), "code", "left_anti")

@@ -62,3 +62,24 @@ def test_stream(spark, tmp_path):
     q = ingest.run(ingest.accepted(ingest.incoming(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["u"]
+
+
+def test_package_faults_and_chart_data(spark, tmp_path):
+    ns = 'xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rel = '<Relationships><Relationship Id="rId1" Type="http://t/{}" Target="../embeddings/b.xlsx"/></Relationships>'
+    for name, kind in (("a", "package"), ("b", "chartStyle")):
+        with zipfile.ZipFile(tmp_path / f"{name}.pptx", "w") as z:
+            z.writestr("ppt/presentation.xml", "<p/>")
+            z.writestr("ppt/charts/chart1.xml", f'<c:chartSpace {ns}><c:externalData r:id="rId1"/></c:chartSpace>')
+            z.writestr("ppt/charts/_rels/chart1.xml.rels", rel.format(kind))
+            z.writestr("ppt/embeddings/b.xlsx", "x")
+            z.writestr("ppt/bad.xml", "<a><b></a>" if name == "b" else "<a/>")
+            z.writestr("ppt/dtd.xml", '<!DOCTYPE a [<!ENTITY x "y">]><a>&x;</a>' if name == "b" else "<a/>")
+    (tmp_path / "c.pptx").write_bytes(b"no archive")
+    p = decks.packages(spark, str(tmp_path))
+    short = lambda s: s[-6:]
+    assert {(short(r.package), r.part, r.fault) for r in decks.faults(p).collect()} == {("b.pptx", "/ppt/bad.xml", "broken"), ("b.pptx", "/ppt/dtd.xml", "unsafe"), ("c.pptx", None, "broken")}
+    parts, rels, used = decks.relationships(p)
+    ids = decks.shapes(p).select("package", F.lit("x").alias("part"), F.col("sid").alias("shape_id"))
+    found = {(short(r.package), r.category, r.detail) for r in deck.package_issues(used, rels, parts, ids, decks.chart_data(p)).collect()}
+    assert found == {("b.pptx", "chart_data", "chartStyle")}

@@ -333,7 +333,25 @@ def kind_inventory(spark, sf):
     return slides(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+_SLIDES = ", ".join(f"({i}, '{k}', {'NULL' if n is None else n}, {'NULL' if c is None else c})" for i, k, n, c in SLIDES)
+_SECTIONS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(SECTIONS))
+SQL_ALLOCATE = f"""WITH sl(i, kind, items, title_cap) AS (VALUES {_SLIDES}), sec(s, name) AS (VALUES {_SECTIONS}), q AS (SELECT count(*) AS n FROM sec),
+c AS (SELECT n, greatest(14 - 1 - count(*) FILTER (kind = 'closing') - max(CAST(kind = 'toc' AS INT)) - n * max(CAST(kind = 'section' AS INT)), n) AS body FROM sl, q GROUP BY n),
+b AS (SELECT s, name, unnest(range(greatest(1, body // n + CASE WHEN s < body % n THEN 1 ELSE 0 END))) AS b FROM sec, c), t AS (SELECT *, row_number() OVER (ORDER BY s, b) - 1 AS taken FROM b),
+usable AS (SELECT *, max(items) OVER () AS top FROM sl WHERE kind = 'content' AND items BETWEEN 1 AND 6), pool AS (SELECT i, items, title_cap FROM usable WHERE items >= 2 OR top < 2),
+o AS (SELECT s, i, items, coalesce(title_cap, 99) >= length(name) AS holds, bool_or(coalesce(title_cap, 99) >= length(name)) OVER (PARTITION BY s) AS anyone FROM sec, pool),
+f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY items, i) - 1 AS r, count(*) OVER (PARTITION BY s) AS m FROM o WHERE holds OR NOT anyone),
+d AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS r, count(*) OVER () AS m FROM sl WHERE kind = 'section'),
+p AS (SELECT 0 AS a, 0 AS b, min(i) AS src, 'cover' AS kind, '{{标题}}' AS title, NULL AS items FROM sl WHERE kind = 'cover'
+UNION ALL (SELECT 1, 0, i, 'toc', '目录', least(coalesce(items, n), n) FROM sl, q WHERE kind = 'toc' ORDER BY abs(coalesce(items, 0) - n), i LIMIT 1)
+UNION ALL SELECT 2 * s + 2, 0, i, 'section', name, NULL FROM sec JOIN d ON s % m = r
+UNION ALL SELECT 2 * t.s + 3, t.b, i, 'content', name, items FROM t JOIN f ON t.s = f.s AND taken % m = r
+UNION ALL SELECT 1000000, 0, min(i), 'closing', '{{致谢}}', NULL FROM sl WHERE kind = 'closing'),
+x AS (SELECT row_number() OVER (ORDER BY a, b) AS page, * FROM p)
+SELECT CAST(page AS INTEGER) AS page, src, kind, title, CAST(items AS INTEGER) AS items FROM x WHERE page <= 14"""
+
+
+@query(SQL_ALLOCATE)
 def outline_allocate(spark, sf):
     return outline(spark)
 

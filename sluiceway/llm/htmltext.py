@@ -3,20 +3,21 @@
 Pages of one host are merged: nodes with the same path of styles (tag, classes, role) are one style node of the host.
 Two measures come from the merged tree, both entropies: a presentation's (how evenly a node's pages are spread over
 different sequences of children) and a content's (a text that c of a node's m pages share has importance 1 - log c /
-log m). A branch's importance combines them with a prior of its style, and branches of low importance are cut from each
-page; what is left is the page's main text.
+log m). A branch's importance is weighted with a prior of its style, and branches whose weighted importance is low are
+cut from each page, in an article or not; what is left is the page's main text.
 
 The prior is there because entropy alone can't give the text asked for: menus, adverts and footers may differ on every
 page, which makes them look important, and copies of one article may fill a host, which makes it look like template. So
 the style of a node (nav, footer, aside, form; classes such as ad, sidebar, cookie, comments) weighs its branch down to
-nothing, and that of article or main holds it up; entropy decides about everything else.
+nothing, and that of article or main counts HELD times; and pages of a host whose text is the same but for branches
+weighed down are one page to the counts, so copies of an article don't make it template.
 
-Two passes read the pages; the first yields only counts by host, path and content hash (added up before and after the
-shuffle), the second joins each host's short list of shared contents to its pages. The list has at most m ** KEEP entries
-a style node of m pages; a host with a third of all pages is split by Spark's skew join.
+Two passes read the pages; the first yields hashes by host, page, path and content, from which counts by host, path and
+content are made; the second joins each host's short list of shared contents to its pages. Texts on more than m ** KEEP of a style
+node's m pages are listed; a host with a third of all pages is split by Spark's skew join.
 
 Defined results: null or empty html: empty text, 0 characters; null url: the host is empty, and hosts without a name are
-one site; repeated rows are extracted each; pages without article or main keep all that is not weighed down.
+one site; repeated rows are extracted each.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LEAST_PAGES, LOW, GAMMA = 8, 0.3, 0.9
+LEAST_PAGES, LOW, GAMMA, HELD = 8, 0.3, 0.9, 2
 KEEP = 1 - LOW
 
 TOKEN = re.compile(
@@ -54,7 +55,7 @@ HIGH_WORDS = frozenset("article post entry story content main maincontent articl
 
 
 class Node:
-    __slots__ = ("tag", "style", "prior", "high", "parent", "kids", "path", "heads")
+    __slots__ = ("tag", "style", "prior", "high", "parent", "kids", "path", "heads", "named")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.kids, self.heads = tag, parent, [], False
@@ -65,6 +66,7 @@ class Node:
         self.style = f"{tag}.{'.'.join(sorted(cls.split()))}#{role}" if said else tag
         self.high = tag in ("article", "main") or role in ("main", "article") or bool(words & HIGH_WORDS)
         low = tag in LOW_TAGS or role in LOW_ROLES or bool(words & LOW_WORDS) or "hidden" in said or said.get("aria-hidden") == "true"
+        self.named = "header" in words and tag not in HEADINGS and not low and tag not in ("article", "main", "body", "html")
         self.prior = 0 if low and tag not in ("article", "main", "body", "html") or (tag == "article" and words & {"comment", "comments", "reply"}) else 1
         self.path = hash64(self.style, parent.path if parent else 0)
 
@@ -164,7 +166,7 @@ def branches(root: Node) -> tuple[list[Branch], list[tuple[int, int, int]]]:
             parts.append(" ")
             continue
         own = x.prior
-        if x.tag == "header" and not (held and x.heads):
+        if x.tag == "header" and not (held and x.heads) or x.named and not x.heads:
             own = 0
         held_now = held or x.tag in ("article", "main") or (x.high and own and x.heads)
         prior_now = prior and own
@@ -185,40 +187,48 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
 
 
+def weight(b: Branch) -> int:
+    """The prior as a weight of a branch's importance."""
+    return b.prior * (HELD if b.held else 1)
+
+
 def style_counts(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """(host, kind, path, value, width, n): how many of a host's pages have a node with these children (kind 0) or this text (kind 1)."""
+    """(host, kind, path, value, width, n): how many of a host's pages have a node with these children (kind 0), this text (kind 1) or any text (kind 2).
+
+    Pages whose branches not weighed down have the same texts count once.
+    """
     import pyarrow as pa
 
-    names = ["host", "kind", "path", "value", "width", "n"]
+    names = ["host", "page", "kind", "path", "value", "width"]
 
     def run(batches: Iterator) -> Iterator:
-        seen: dict[tuple, int] = {}
+        seen: dict[tuple, set[tuple]] = {}
 
         def out():
-            cols = list(zip(*seen)) if seen else [()] * 5
-            batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in (*cols[2:], list(seen.values()))]], names)
+            rows = [(*key, *x) for key, found in seen.items() for x in found]
+            cols = list(zip(*rows)) if rows else [()] * 6
             seen.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[3:]]], names)
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not page:
                     continue
                 blocks, inner = branches(parse(page))
-                found = {(host, 0, path, value, width) for path, value, width in inner}
-                found |= {(host, 1, b.path, hash64(b.text), 0) for b in blocks if not b.held}
-                for key in found:
-                    seen[key] = seen.get(key, 0) + 1
-                if len(seen) > 100_000:
+                texts = [(b.path, hash64(b.text)) for b in blocks if b.prior]
+                found = {(0, *x) for x in inner} | {(1, path, value, 0) for path, value in texts} | {(2, path, 0, 0) for path, _ in texts}
+                seen.setdefault((host, hash64(repr(texts))), set()).update(found)
+                if len(seen) > 4096:
                     yield out()
         yield out()
 
-    flat = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, kind int, path long, value long, width long, n long")
-    return flat.groupBy("host", "kind", "path", "value").agg(F.max("width").alias("width"), F.sum("n").alias("n"))
+    flat = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, kind int, path long, value long, width long")
+    once = flat.groupBy("host", "page", "kind", "path", "value").agg(F.max("width").alias("width"))
+    return once.groupBy("host", "kind", "path", "value").agg(F.max("width").alias("width"), F.count(F.lit(1)).alias("n"))
 
 
 def low_branches(counts: DataFrame, low: float = LOW, least: int = LEAST_PAGES, gamma: float = GAMMA) -> DataFrame:
-    """(host, cut): for each host, the (path, text hash) pairs whose importance is under ``low``.
+    """(host, cut): for each host, the (path, text hash, importance) of what has an importance under ``low``.
 
     A text's importance is 1 - log c / log m; its node's presentation adds (1 - gamma ** kinds of children) times the
     entropy of the children's sequences, to base m, where the node has children.
@@ -226,25 +236,21 @@ def low_branches(counts: DataFrame, low: float = LOW, least: int = LEAST_PAGES,
     m = counts.groupBy("host", "kind", "path").agg(F.sum("n").alias("m"), F.max("width").alias("width"))
     p = F.col("n") / F.col("m")
     shape = counts.where("kind = 0").join(m, ["host", "kind", "path"]).groupBy("host", "path").agg((F.sum(-p * F.log(p)) / F.log(F.greatest(F.max("m"), F.lit(2)).cast("double"))).alias("node"), F.max(m["width"]).alias("l"))
-    text = counts.where("kind = 1 AND n >= 2").join(m.drop("width"), ["host", "kind", "path"]).where((F.col("m") >= least) & (F.col("n") > F.pow(F.col("m").cast("double"), F.lit(1 - low))))
-    # m of a text node counts texts, of which a page may have several: n over m never exceeds one.
+    readers = counts.where("kind = 2").select("host", "path", F.col("n").alias("m"))
+    text = counts.where("kind = 1 AND n >= 2").join(readers, ["host", "path"]).where((F.col("m") >= least) & (F.col("n") > F.pow(F.col("m").cast("double"), F.lit(1 - low))))
     text = text.join(shape, ["host", "path"], "left")
     g = F.pow(F.lit(gamma), F.coalesce("l", F.lit(0)))
     importance = (1 - g) * F.coalesce("node", F.lit(0.0)) + g * (1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double")))
-    return text.where(importance < low).groupBy("host").agg(F.collect_list(F.struct("path", "value")).alias("cut"))
+    text = text.withColumn("importance", importance)
+    return text.where(F.col("importance") < low).groupBy("host").agg(F.collect_list(F.struct("path", "value", "importance")).alias("cut"))
 
 
-def main_text(page: str | None, cut: set[tuple[int, int]]) -> str:
-    """The blocks of a page that stay: those held by an article, else all that neither prior nor entropy cuts."""
+def main_text(page: str | None, cut: dict[tuple[int, int], float]) -> str:
+    """The blocks of a page whose importance, weighted with the prior, is not low. ``cut`` has the importance of those that a host shares."""
     if not page:
         return ""
     blocks, _ = branches(parse(page))
-    keep = [b for b in blocks if b.prior]
-    if any(b.held for b in keep):
-        keep = [b for b in keep if b.held]
-    else:
-        keep = [b for b in keep if (b.path, hash64(b.text)) not in cut]
-    return "\n\n".join(b.text for b in keep)
+    return "\n\n".join(b.text for b in blocks if b.prior and weight(b) * (cut.get((b.path, hash64(b.text)), 1.0) if cut else 1.0) >= LOW)
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -259,7 +265,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [main_text(page, {(c["path"], c["value"]) for c in cut or ()}) for page, cut in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = [main_text(page, {(c["path"], c["value"]): c["importance"] for c in cut or ()}) for page, cut in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
     joined = pages.withColumn("host", host_of(F.col("url"))).join(cut, "host", "left").select("page_id", "url", "html", "cut")

@@ -150,6 +150,18 @@ def test_entropy_cuts_what_a_site_repeats(spark):
     assert all(r.text == f"story number {r.page_id}" for r in got)
 
 
+def test_entropy_decides_with_and_without_an_article(spark):
+    filler = "Read all our stories every day, wherever you are"
+    rows = [(k, f"http://a.org/{k}", f"<body><article><h1>Title {k}</h1><p>Story number {k}</p><p>{filler}</p></article></body>") for k in range(40)]
+    rows += [(k, f"http://b.org/{k}", f"<body><div><p>Body number {k}</p></div><div><article><p>Teaser {k}</p></article></div><div><p>{filler}</p></div></body>") for k in range(100, 140)]
+    copy = "<body><article><h1>One title</h1><p>One story</p></article><div class=ad>"
+    rows += [(k, f"http://c.org/{k}", f"{copy}{k}</div></body>") for k in range(200, 240)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\n\nStory number {k}" for k in range(40))
+    assert all(got[k] == f"Body number {k}\n\nTeaser {k}" for k in range(100, 140))
+    assert all(got[k] == "One title\n\nOne story" for k in range(200, 240))
+
+
 def test_html_real(spark):
     import html
 

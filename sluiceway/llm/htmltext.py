@@ -55,7 +55,7 @@ HIGH_WORDS = frozenset("article post entry story content main maincontent articl
 
 
 class Node:
-    __slots__ = ("tag", "style", "prior", "high", "parent", "kids", "path", "heads", "named")
+    __slots__ = ("tag", "style", "prior", "high", "parent", "kids", "path", "heads", "named", "worded")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.kids, self.heads = tag, parent, [], False
@@ -65,7 +65,9 @@ class Node:
         role = said.get("role", "").lower()
         self.style = f"{tag}.{'.'.join(sorted(cls.split()))}#{role}" if said else tag
         self.high = tag in ("article", "main") or role in ("main", "article") or bool(words & HIGH_WORDS)
-        low = tag in LOW_TAGS or role in LOW_ROLES or bool(words & LOW_WORDS) or "hidden" in said or said.get("aria-hidden") == "true"
+        sure = tag in LOW_TAGS or role in LOW_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
+        low = sure or bool(words & LOW_WORDS)
+        self.worded = low and not sure
         self.named = "header" in words and tag not in HEADINGS and not low and tag not in ("article", "main", "body", "html")
         self.prior = 0 if low and tag not in ("article", "main", "body", "html") or (tag == "article" and words & {"comment", "comments", "reply"}) else 1
         self.path = hash64(self.style, parent.path if parent else 0)
@@ -121,9 +123,62 @@ def parse(html: str) -> Node:
             now.kids.append(m["cdata"])
     if at < len(html):
         now.kids.append(html[at:])
+    clear(root)
     return root
 
 
+def size(node: Node) -> int:
+    """The characters of text in a tree, without white space."""
+    n, todo = 0, [node]
+    while todo:
+        for k in todo.pop().kids:
+            if isinstance(k, Node):
+                todo.append(k)
+            else:
+                n += len("".join(k.split()))
+    return n
+
+
+def clear(root: Node) -> None:
+    """Gives their weight back to nodes that words alone weigh down, where they hold what the page is about.
+
+    That is a main; without one, the largest article of a page that has none outside of such nodes; without any, more
+    than half of the page's text, unless there is a node of article's or main's words outside.
+    """
+    mains, articles, worded, free, todo = [], [], [], False, [(root, False, False)]
+    while todo:
+        x, sure, under = todo.pop()
+        words = (x.worded and not x.prior) or x.named
+        sure, under = sure or (not x.prior and not words) or (x.tag == "header" and not x.heads), under or words
+        if sure:
+            continue
+        if words:
+            worded.append(x)
+        elif x.tag in ("article", "main") or x.high and x.heads:
+            free = free or not under
+            if x.tag == "main":
+                mains.append((x, under))
+            elif x.tag == "article":
+                articles.append((x, under))
+        todo += [(k, sure, under) for k in x.kids if isinstance(k, Node)]
+    if not worded:
+        return
+    if mains:
+        held = [x for x, under in mains if under]
+    elif any(not under for _, under in articles):
+        held = []
+    elif articles:
+        held = [max((x for x, _ in articles), key=size)]
+    else:
+        half = 0 if free else size(root) / 2
+        held = [x for x in worded if size(x) > half] if half else []
+    for x in held:
+        while x is not None:
+            if x.worded:
+                x.prior = 1
+            x.named, x = False, x.parent
+
+
 def plain(parts: list[str]) -> str:
     return " ".join(H.unescape("".join(parts)).split())
 

@@ -162,6 +162,16 @@ def test_entropy_decides_with_and_without_an_article(spark):
     assert all(got[k] == "One title\n\nOne story" for k in range(200, 240))
 
 
+def test_html_wrappers_named_like_what_they_have_or_lack():
+    page = "<body><div class='%s'><div class=no-comments><article><h1>Title</h1><p>The story</p></article></div><div class=sidebar>side</div></div><div class=comments><p>bad</p></div></body>"
+    for name in ("content-sidebar-wrap", "layout has-sidebar", "post-with-banner", "hidden-xs", "has-header"):
+        assert htmltext.main_text(page % name, {}) == "Title\n\nThe story"
+        assert htmltext.main_text((page % name).replace("article", "main"), {}) == "Title\n\nThe story"
+        assert htmltext.main_text(f"<div class='{name}'><p>{'The story ' * 9}</p></div><p>end", {}) == f"{'The story ' * 9}".strip() + "\n\nend"
+    assert htmltext.main_text("<article><p>story</p></article><div class=comments><article><p>a comment that is longer</p></article></div>", {}) == "story"
+    assert htmltext.main_text("<div class=post><h1>story</h1></div><div class=comments><p>a comment that is longer</p></div>", {}) == "story"
+
+
 def test_html_real(spark):
     import html
 

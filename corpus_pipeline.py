@@ -2,7 +2,7 @@
 
 Language ID drops documents without a language; the n-gram Jaccard join leaves one document of each group of near
 copies (five-word shingles, similarity 0.8); benchmark decontamination drops documents that hold benchmark passages; PII
-puts surrogates for personal data; packing cuts the rest into sequences. All but the last return the columns of documents.
+puts surrogates for personal data; packing cuts the rest into sequences, as pieces with their token ids. All but the last return the columns of documents.
 
 Which document of a group stays: that with the smallest doc_id; of rows that share it, one.
 """
@@ -43,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the documents into sequences of 2048 tokens, every window in the corpus's proportions of sources."""
+    """Cuts the documents into pieces of sequences of 2048 tokens, with their ids, every window in the corpus's proportions of sources."""
     return packing.pack(docs)
 
 

@@ -8,8 +8,8 @@ and the deficits carry over both. Documents are cut where windows or sequences e
 sequence is padded. What is left after the last full sequence becomes sequences whose lengths are powers of two.
 
 Places in a queue are a two-level prefix sum: within the written chunk of a task, then over the chunks' totals (a row
-for each chunk and queue). Token ids go to the shared folder once (2 bytes each) and are never shuffled: the only
-shuffle is that of the chunks' totals. More than MAX_QUEUES sources share queues by hash.
+for each chunk and queue). Token ids go to the shared folder once (2 bytes each); a piece has its own, so packing shuffles
+the chunks' totals alone. sequences() shuffles the pieces' ids and puts sequences together. More than MAX_QUEUES sources share queues by hash.
 
 Defined results: null text is a document of id 1 alone; null source is a queue of its own; repeated rows are packed each.
 """
@@ -150,7 +150,7 @@ class Schedule:
 
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, source: str = "source", paths: tuple[str, str | None] | None = None, window: int = WINDOW, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue) per piece. targets: token proportions by source; by default those of the corpus."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids) per piece. targets: token proportions by source; by default those of the corpus."""
     import pyarrow as pa
 
     spark: SparkSession = docs.sparkSession
@@ -166,18 +166,28 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, source: str =
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(9)]
                 for doc, q, at, n, raw in zip(*(c.to_pylist() for c in batch.slice(lo, 1024).columns)):
                     ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                     for start, k, seq, off in plan.place(q, at, n):
-                        for c, v in zip(cols, (doc, start, k, zlib.crc32(ids[start : start + k].tobytes()), n, seq, off, q)):
+                        mine = ids[start : start + k]
+                        for c, v in zip(cols, (doc, start, k, zlib.crc32(mine.tobytes()), n, seq, off, q, mine)):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:7]], pa.array(cols[7], pa.string())], names)
+                ends = pa.array(np.concatenate(([0], np.cumsum(cols[2]))).astype(np.int32))
+                flat = pa.array(np.concatenate([np.empty(0, "<u4"), *cols[8]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:7]], pa.array(cols[7], pa.string()), pa.ListArray.from_arrays(ends, flat)], names)
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"]
     placed = tokens.join(bases.drop("n"), ["chunk", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("qoff")).alias("at"), "n", "ids")
-    return placed.mapInArrow(run, ", ".join(f"{c} {'string' if c == 'queue' else 'long'}" for c in names))
+    kinds = {"queue": "string", "ids": "array<int>"}
+    return placed.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, ids) of pieces: each sequence put together. None has padding."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return pieces.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

@@ -400,6 +400,17 @@ def test_packing_real(some):
     check_pieces(rows, {r.doc_id: r.text for r in some.collect()})
 
 
+def test_packing_keeps_the_ids(some):
+    pieces = packing.pack(some).cache()
+    encode = packing.Encoder(*packing.default_paths())
+    ids = {r.doc_id: [*(encode(r.text) if r.text else ()), 1] for r in some.collect()}
+    rows = pieces.collect()
+    assert all(list(r.ids) == ids[r.doc_id][r.start : r.start + r.length] for r in rows)
+    whole = {r.sequence_id: r.ids for r in packing.sequences(pieces).collect()}
+    assert all(whole[r.sequence_id][r.offset : r.offset + r.length] == r.ids for r in rows)
+    assert sum(map(len, whole.values())) == sum(map(len, ids.values()))
+
+
 def test_packing_targets(spark, some):
     rows = packing.pack(some, targets={"src1": 3, "src2": 1}, window=8192).collect()
     check_pieces(rows, {r.doc_id: r.text for r in some.collect()})

@@ -43,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the documents into pieces of sequences of 2048 tokens, with their ids, every window in the corpus's proportions of sources."""
+    """Cuts the documents into pieces of sequences of 2048 tokens, with their ids, every sequence in the corpus's proportions of sources."""
     return packing.pack(docs)
 
 

@@ -1,15 +1,16 @@
 """Mixture-controlled packing: deficit round-robin over source queues, cut into sequences of fixed length.
 
-Each source is a queue of tokens. A round of the scheduler is a window of WINDOW tokens, of which every queue gets its
-target share; what a share's fraction leaves is carried into the next window (the deficit), so after w windows a queue
-has been served floor(w * quantum) tokens or is empty. That is a closed form: a token's place in the packed stream
+Each source is a queue of tokens. A round of the scheduler is a window of a sequence's tokens, of which every queue
+gets its target share; what a share's fraction leaves is carried into the next window (the deficit), so after w windows a
+queue has been served floor(w * quantum) tokens or is empty. Queues with a share under BURST tokens are served BURST at a
+time, at their turns, so that their documents don't fall into single tokens; their deficit is under BURST. That is a closed form: a token's place in the packed stream
 follows from its place in its queue and the queues' totals alone, so windows and partitions need no order of execution
 and the deficits carry over both. Documents are cut where windows or sequences end; the stream has no gaps, so no
 sequence is padded. What is left after the last full sequence becomes sequences whose lengths are powers of two.
 
 Places in a queue are a two-level prefix sum: within the written chunk of a task, then over the chunks' totals (a row
 for each chunk and queue). Token ids go to the shared folder once (2 bytes each); a piece has its own, so packing shuffles
-the chunks' totals alone. sequences() shuffles the pieces' ids and puts sequences together. More than MAX_QUEUES sources share queues by hash.
+the chunks' totals alone. sequences() shuffles the pieces' ids and puts sequences together. More than MAX_QUEUES sources share queues by hash, and a queue's target is the sum of theirs.
 
 Defined results: null text is a document of id 1 alone; null source is a queue of its own; repeated rows are packed each.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LENGTH, END, WINDOW, MAX_QUEUES, UNIT = 2048, 1, 64 * 2048, 4096, 12
+LENGTH, END, MAX_QUEUES, UNIT, BURST = 2048, 1, 4096, 12, 32
 #: Texts of these characters alone take the faster of two libraries that have the same vocabulary and rules.
 PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
 
@@ -97,13 +98,17 @@ def tokenized(docs: DataFrame, paths: tuple[str, str | None], queue) -> DataFram
 class Schedule:
     """Where each queue's tokens go. Queues are served in order of name; totals are their tokens, quanta their tokens a window in units of 2**-UNIT."""
 
-    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW, length: int = LENGTH):
+    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, window: int = LENGTH, length: int = LENGTH):
         self.names = sorted(totals)
         self.no = {q: i for i, q in enumerate(self.names)}
         self.total = np.array([totals[q] for q in self.names], np.int64)
         share = {q: float(targets.get(q, 0)) for q in self.names} if targets else {q: float(n) for q, n in totals.items()}
         whole = sum(share.values()) or 1.0
         self.quantum = np.array([max(1, -int(-(window << UNIT) * share[q] // whole)) for q in self.names], np.int64)
+        small = self.quantum < BURST << UNIT
+        self.burst = np.where(small, BURST, 1).astype(np.int64)
+        self.phase = np.where(small, np.cumsum(small) * (BURST << UNIT) // (small.sum() + 1), 0).astype(np.int64)  # their turns
+        self.last = -(-((self.total + BURST) << UNIT) // self.quantum)  # a window by which a queue is empty
         self.end, self.length = int(self.total.sum()), length
         self.tail = self.end - self.end % length
         self.kept: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}
@@ -111,9 +116,9 @@ class Schedule:
     def window(self, w: int) -> tuple[np.ndarray, int, np.ndarray]:
         """Tokens served to each queue before the window; their sum; each queue's place within the window."""
         if w not in self.kept:
-            if len(self.kept) > 4096:
+            if len(self.kept) * len(self.names) > 1 << 20:
                 self.kept.clear()
-            a, b = (np.minimum(self.total, (x * self.quantum) >> UNIT) for x in (w, w + 1))
+            a, b = (np.minimum(self.total, ((np.minimum(x, self.last) * self.quantum + self.phase) >> UNIT) // self.burst * self.burst) for x in (w, w + 1))
             got = b - a
             self.kept[w] = a, int(a.sum()), np.cumsum(got) - got
         return self.kept[w]
@@ -121,12 +126,12 @@ class Schedule:
     def place(self, queue: str, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(start, length, sequence, offset) of the pieces of n tokens from place ``at`` of a queue."""
         q, start = self.no[queue], 0
-        r = int(self.quantum[q])
+        r, burst, phase = int(self.quantum[q]), int(self.burst[q]), int(self.phase[q])
         while start < n:
             i = at + start
-            w = -(-((i + 1) << UNIT) // r) - 1
+            w = -(-(((i // burst + 1) * burst << UNIT) - phase) // r) - 1
             served, base, before = self.window(w)
-            stop = min(at + n, int(min(self.total[q], ((w + 1) * r) >> UNIT)))
+            stop = min(at + n, int(min(self.total[q], (((w + 1) * r + phase) >> UNIT) // burst * burst)))
             pos, size = base + int(before[q]) + i - int(served[q]), stop - i
             while size:
                 seq, off, room = self.sequence(pos)
@@ -149,7 +154,7 @@ class Schedule:
             size >>= 1
 
 
-def pack(docs: DataFrame, targets: dict[str, float] | None = None, source: str = "source", paths: tuple[str, str | None] | None = None, window: int = WINDOW, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, targets: dict[str, float] | None = None, source: str = "source", paths: tuple[str, str | None] | None = None, window: int | None = None, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids) per piece. targets: token proportions by source; by default those of the corpus."""
     import pyarrow as pa
 
@@ -161,7 +166,10 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, source: str =
     sums = tokens.groupBy("chunk", "queue").agg(F.sum("n").alias("n"))
     bases, _ = C.write_out(spark, sums.select("chunk", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("chunk")) - F.col("n")).alias("base"), "n"), "bases")
     totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
-    plan = Schedule(totals, targets, window, length)
+    if targets and not few:
+        named = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "name string, share double").withColumn(source, F.col("name"))
+        targets = {r["queue"]: r["share"] for r in named.groupBy(queue.alias("queue")).agg(F.sum("share").alias("share")).collect()}
+    plan = Schedule(totals, targets, window or length, length)
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:

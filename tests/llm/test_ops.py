@@ -421,6 +421,32 @@ def test_packing_targets(spark, some):
     assert abs(got["src1"] - 6144) < 64 and abs(got["src2"] - 2048) < 64
 
 
+def test_packing_mixes_every_sequence(spark, monkeypatch):
+    rows = [(k, "some words of a text " * 40, "en", f"s{k % 10}" if k % 4 else "s0", 1) for k in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    pieces = packing.pack(docs).collect()
+    check_pieces(pieces, {k: text for k, text, *_ in rows})
+    total, each = collections.Counter(), collections.defaultdict(collections.Counter)
+    for r in pieces:
+        total[r.queue] += r.length
+        each[r.sequence_id][r.queue] += r.length
+    whole = sum(total.values())
+    assert all(abs(mine[q] - packing.LENGTH * n / whole) < 64 for mine in each.values() if sum(mine.values()) == packing.LENGTH for q, n in total.items())
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    shared = packing.pack(docs, targets={f"s{k}": 1 for k in range(10)}).collect()
+    check_pieces(shared, {k: text for k, text, *_ in rows})
+    assert {r.queue for r in shared} <= {"#0", "#1", "#2", "#3"} and np.mean([r.length for r in shared]) > 32
+
+
+def test_schedule_serves_each_token_once():
+    totals = {f"q{k}": 1 + 97 * k % 300 for k in range(200)} | {"big": 9000}
+    for targets in (None, {"big": 1.0}, {"q3": 5.0, "big": 1.0}):
+        plan = packing.Schedule(totals, targets)
+        at = sorted(seq * plan.length + off + k for q, n in totals.items() for _, size, seq, off in plan.place(q, 0, n) for k in range(size) if (seq + 1) * plan.length <= plan.tail)
+        assert at == list(range(plan.tail))
+        assert all(sum(size for _, size, *_ in plan.place(q, 0, n)) == n for q, n in totals.items())
+
+
 def test_packing_odd(spark, odd, none):
     one = odd.where("doc_id IS NOT NULL AND doc_id NOT IN (5, 7)")
     check_pieces(packing.pack(one).collect(), {r.doc_id: r.text for r in one.collect()})

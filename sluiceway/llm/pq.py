@@ -3,8 +3,8 @@
 Equal vectors become one class first. Coarse centroids (spherical k-means) and the codebooks of the residuals' subspaces
 are learned on at most SAMPLE classes (those with the smallest hashes); every class is then indexed: in the list of its
 nearest centroid, with its code and the length of what the code misses. A class probes every list that a vector within
-the threshold's distance may lie in, by the plane between two centroids and REACH standard deviations of a random
-direction (at least LEAST_PROBES lists). Table lookups give asymmetric distances; a pair stays if its distance less the
+the threshold's distance may lie in, by the plane between two centroids and REACH standard deviations of a difference
+along its normal, as the sample's vectors and residuals spread along it (at least LEAST_PROBES lists). Table lookups give asymmetric distances; a pair stays if its distance less the
 code's error is within the threshold's, so the codes lose nothing; cosines in double precision decide.
 
 Lists are cut into blocks of about BLOCK vectors, each a unit of work that holds its vectors while the lists' queries
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, PER_LIST, MAX_LISTS, BLOCK, SUBSPACES, CODES, REACH, LEAST_PROBES = 20_000, 128, 2048, 2048, 8, 256, 2.0, 4
+SAMPLE, PER_LIST, MAX_LISTS, BLOCK, SUBSPACES, CODES, REACH, LOCAL, LEAST_PROBES = 20_000, 128, 2048, 2048, 8, 256, 2.0, 4, 4
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool, seed: int = 11) -> np.ndarray:
@@ -61,12 +61,36 @@ class Index:
         self.dim, self.cosine = x.shape[1], cosine
         self.centroids = kmeans(x, max(1, min(lists, len(x))), 8, True)
         self.delta = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-        self.reach = self.delta * min(1.0, REACH / np.sqrt(self.dim))
-        r = x - self.centroids[nearest(x, self.centroids)]
+        home = nearest(x, self.centroids)
+        r = x - self.centroids[home]
         self.cuts = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
         self.books = [kmeans(r[:, a:b], CODES, 6, False) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
         gap = np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))
-        self.gap = gap
+        self.far = self.delta * gap * np.minimum(1.0, REACH * np.sqrt(self.shares(x, r, home, gap)))
+
+    def shares(self, x: np.ndarray, r: np.ndarray, home: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """For each list and other list, how much of a difference's square lies along the line between their centroids.
+
+        The largest of three measures: the sample's about its mean, the residuals', and the list's own residuals' (as far as
+        it has some). A dimension would have 1 / dim of it if all were alike.
+        """
+        c, square = self.centroids, np.maximum(gap * gap, 1e-12)
+        r = r - (r * c[home]).sum(1, keepdims=True) * c[home]  # near vectors differ along the sphere
+
+        def along(v: np.ndarray) -> np.ndarray:
+            cov = v.T @ v / max(float((v * v).sum()), 1e-12)
+            q = c @ cov @ c.T
+            return np.maximum(0, np.diag(q)[:, None] + np.diag(q) - q - q.T) / square
+
+        own, total, n = np.zeros(gap.shape), np.zeros(len(c)), np.bincount(home, minlength=len(c))
+        for i in np.unique(home):
+            mine = r[home == i]
+            own[i] = (((mine @ c.T) - (mine @ c[i])[:, None]) ** 2).sum(0)
+            total[i] = (mine * mine).sum()
+        own /= square * np.maximum(total, 1e-12)[:, None]
+        residuals = along(r)
+        local = (n[:, None] * own + LOCAL * residuals) / (n[:, None] + LOCAL)
+        return np.maximum(np.maximum(along(x - x.mean(0)), residuals), local)
 
     def encode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
         """(list, codes, error, probes) of vectors."""
@@ -80,7 +104,7 @@ class Index:
             miss += ((r[:, a:b] - book[k]) ** 2).sum(1)
         dots = x @ self.centroids.T
         lag = dots[np.arange(len(x)), home][:, None] - dots
-        probe = lag <= self.reach * self.gap[home]
+        probe = lag <= self.far[home]
         if dots.shape[1] > LEAST_PROBES:
             probe[np.arange(len(x))[:, None], np.argpartition(lag, LEAST_PROBES - 1, axis=1)[:, :LEAST_PROBES]] = True
         else:

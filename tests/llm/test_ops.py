@@ -271,6 +271,20 @@ def test_embeddings_recall_at_the_threshold(spark):
     assert got.where("n_links >= 1").count() >= 0.95 * 3000
 
 
+@pytest.mark.parametrize(("dim", "rank", "lists"), [(64, 8, 2048), (384, 32, 2048), (64, 64, 512)])
+def test_probes_reach_pairs_of_low_rank_vectors(dim, rank, lists):
+    rng = np.random.default_rng(7)
+    base = np.linalg.qr(rng.normal(size=(dim, rank)))[0]
+    x, a, side = (rng.normal(size=(n, rank)) for n in (12_000, 3000, 3000))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side -= (side * a).sum(1, keepdims=True) * a
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    index = pq.Index(x @ base.T, lists, 0.9)
+    (home, _, _, probes), (home2, _, _, probes2) = index.encode(a @ base.T), index.encode(b @ base.T)
+    assert np.mean([h2 in p or h in p2 for h, p, h2, p2 in zip(home, probes, home2, probes2)]) >= 0.95
+    assert np.mean([len(p) for p in probes]) < lists / 16
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------
 
 

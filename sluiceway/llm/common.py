@@ -23,9 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The session's own folder in the shared one. It is deleted when the driver ends; what is known to be read no more is dropped before."""
+    sc = spark.sparkContext
+    found = f"{shared_dir(spark)}/sluiceway/{sc.applicationId}"
+    if getattr(sc, "_sluiceway_scratch", None) != found:
+        path = sc._jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        sc._sluiceway_scratch = found
+    return found
+
+
 def write_out(spark: SparkSession, df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends here, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(spark)}/sluiceway/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -38,6 +49,23 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tables(spark: SparkSession) -> set[str]:
+    """The paths of the session's tables that are there now."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {x.getPath().toString() for x in fs.listStatus(top)} if fs.exists(top) else set()
+
+
+def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a driver's list without Python workers, RDDs or Arrow: JSON in the plan."""
+    import json
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{schema}>>")).alias("x")).select("x.*")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df has not."""
     while name in df.columns:

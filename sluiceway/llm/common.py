@@ -66,6 +66,22 @@ def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{schema}>>")).alias("x")).select("x.*")
 
 
+def smallest(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The ``rows`` rows of df with the smallest hashes of keys (then the smallest keys), as a bounded sample.
+
+    Rows are counted first, so that only those below a cut that lets about twice as many through are sorted, however many
+    partitions there are; if that comes out short all the same (as rows that share a hash may make it), all are.
+    """
+    n = df.count()
+    mark = fresh(df, "hash")
+    hashed = df.withColumn(mark, F.xxhash64(*keys))
+    cut = int(min(1.0, (2 * rows + 40) / max(n, 1)) * 2.0**64) - (1 << 63)
+    low = hashed.where(F.col(mark) <= min(cut, (1 << 63) - 1))
+    if low.limit(min(rows, n)).count() < min(rows, n):
+        low = hashed
+    return low.orderBy(mark, *keys).limit(rows).drop(mark)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df has not."""
     while name in df.columns:
@@ -104,6 +120,21 @@ def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, str]:
     return out, path
 
 
+#: Marks matches within a text. Texts that hold the character themselves are read twice.
+MARK = "\ufdd0"
+
+
+def cut(text: Column, pattern: str, grouped: str | None = None) -> Column:
+    """A text cut at the matches of a pattern, in one pass: what stands before the first, the first, what stands between, and so on; one element without matches.
+
+    ``grouped`` is the pattern with back references a number higher, if it has any.
+    """
+    marked = F.split(F.regexp_replace(text, f"({grouped or pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    apart = F.slice(F.flatten(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda p, e: F.array(p, e))), 1, F.size(between) * 2 - 1)
+    return F.when(F.contains(text, F.lit(MARK)), apart).otherwise(marked)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -37,9 +37,7 @@ from . import common as C
 
 #: Where the queries and the pipeline find the key.
 KEY_CONF = "spark.sluiceway.pii.key"
-GROW = 24
-#: Marks entities within a text. Texts that hold the character themselves are read twice.
-MARK = "\ufdd0"
+GROW = 12
 
 # Given names and titles by gender. A surname may follow any of them.
 FEMALE = "Alice Anna Barbara Camille Carmen Catherine Claudia Emily Emma Helga Ingrid Isabel Jane Jennifer Julia Karen Laura Linda Lucia Maria Marie Mary Monika Patricia Sarah Sophie Susan Ursula Анна Елена Мария Наталья Ольга Татьяна".split()
@@ -87,6 +85,7 @@ def _joined() -> str:
 
 
 PATTERN = _joined()
+GROUPED = PATTERN.replace(r"\1", r"\2")
 DIGITS = ("phone", "ssn", "card")
 CONSONANTS, VOWELS = "bdfgklmnprstvz", "aeiou"
 CYRILLIC_CONSONANTS, CYRILLIC_VOWELS = "бвгдзклмнпрст", "аеиоу"
@@ -100,13 +99,6 @@ def key_of(spark: SparkSession) -> str:
     return found or "public test key"
 
 
-def cut(text: Column) -> Column:
-    """A text cut at its entities: what stands before the first, the first, what stands between, and so on; one element without entities."""
-    marked = F.split(F.regexp_replace(text, f"({PATTERN.replace(chr(92) + '1', chr(92) + '2')})", f"{MARK}$1{MARK}"), MARK, -1)
-    apart = F.slice(F.flatten(F.zip_with(F.split(text, PATTERN, -1), F.concat(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array(F.lit(""))), lambda p, e: F.array(p, e))), 1, F.size(F.split(text, PATTERN, -1)) * 2 - 1)
-    return F.when(F.contains(text, F.lit(MARK)), apart).otherwise(marked)
-
-
 def every_second(parts: Column) -> Column:
     """The entities of a cut text."""
     return F.filter(parts, lambda x, i: i % 2 == 1)
@@ -311,7 +303,7 @@ def pseudonymise(docs: DataFrame, key: str, count: str | None = None) -> DataFra
     spark = docs.sparkSession
     plain = docs.drop(count) if count else docs
     row, parts = C.fresh(plain, "row"), C.fresh(plain, "parts")
-    read = plain.withColumn(parts, cut(F.col("text")))
+    read = plain.withColumn(parts, C.cut(F.col("text"), PATTERN, GROUPED))
     some = F.size(parts) > 1
     tagged = read.select(F.monotonically_increasing_id().alias(row), *[F.when(~F.coalesce(some, F.lit(False)), F.col("text")).alias("text") if c == "text" else F.col(c) for c in plain.columns], F.when(some, F.col(parts)).alias(parts))
     tagged, _ = C.write_out(spark, tagged, "pii-cut")

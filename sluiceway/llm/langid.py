@@ -366,14 +366,14 @@ def sample(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
     return found
 
 
-def identify(docs: DataFrame, model: Model | None, fit: str | None = None) -> DataFrame:
-    """The rows of docs with lang_pred and score beside their columns; ``fit`` names a column for the mean log-probability of a byte under the predicted language (null for ``und``)."""
+def identify(docs: DataFrame, model: Model | None, fit: str | None = None, pred: str = "lang_pred", mark: str = "score") -> DataFrame:
+    """The rows of docs with the columns ``pred`` and ``mark`` beside their own; ``fit`` names a column for the mean log-probability of a byte under the predicted language (null for ``und``)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", fit)]
+    names = [c for c in docs.columns if c not in (pred, mark, fit)]
     if model is None:
-        return docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *([F.lit(None).cast("double").alias(fit)] if fit else []))
+        return docs.select(*names, F.lit("und").alias(pred), F.lit(0.0).alias(mark), *([F.lit(None).cast("double").alias(fit)] if fit else []))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
@@ -394,16 +394,16 @@ def identify(docs: DataFrame, model: Model | None, fit: str | None = None) -> Da
                 lo = hi
             lang = [model.langs[b] if h else "und" for b, h in zip(best, has)]
             more = [pa.array(mean, mask=~has)] if fit else []
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i, c in enumerate(batch.schema.names) if c in names], pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0)), *more], [*[c for c in batch.schema.names if c in names], "lang_pred", "score", *([fit] if fit else [])])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i, c in enumerate(batch.schema.names) if c in names], pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0)), *more], [*[c for c in batch.schema.names if c in names], pred, mark, *([fit] if fit else [])])
 
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*names).schema.add(pred, "string").add(mark, "double")
     return docs.select(*names).mapInArrow(run, schema.add(fit, "double") if fit else schema)
 
 
-def language_id(docs: DataFrame, train: DataFrame | None = None, rows: int = ROWS, vocabulary_path: str | None = None, fit: str | None = None) -> DataFrame:
-    """Learns from the labelled training rows of ``train`` (docs by default) and adds lang_pred and score to docs' columns."""
+def language_id(docs: DataFrame, train: DataFrame | None = None, rows: int = ROWS, vocabulary_path: str | None = None, **names: str) -> DataFrame:
+    """Learns from the labelled training rows of ``train`` (docs by default) and adds identify()'s columns to docs', under other names if given."""
     texts = sample(docs if train is None else train, rows)
-    return identify(docs, learn(texts, vocabulary(vocabulary_path)) if texts else None, fit)
+    return identify(docs, learn(texts, vocabulary(vocabulary_path)) if texts else None, **names)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -27,3 +27,47 @@ def test_near_copies_leave_the_first(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_copies(spark, docs, DATA)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def through(spark, docs, to=len(corpus_pipeline.STAGES)):
+    for _, stage in corpus_pipeline.STAGES[:to]:
+        docs = stage(spark, docs, DATA)
+    return docs
+
+
+def test_language_rejects_what_no_language_explains(spark):
+    train = [(k, f"the people of the land and the sea number {k}", "en", "s", 1) for k in range(40)]
+    rows = [(100, "the sea and the people", None, "s", 1), (101, "xkq zzvw pqrj wvxz kkqj zxcv qqzx", None, "s", 1), (102, "我们今天去公园看花", None, "s", 1), (103, "12 34 !!", None, "s", 1), (104, None, "en", "s", 1), (105, "", "en", "s", 1)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, spark.createDataFrame(train + rows, SCHEMA), DATA).collect()}
+    assert 100 in kept and set(range(40)) <= kept and not kept & {101, 102, 103, 104, 105}
+
+
+def test_odd_tables(spark):
+    """Nulls in every column, repeated rows, a long text, and columns named like the stages' own."""
+    text = "the people of the land and the sea went on and on, as they say, number %s"
+    rows = [(k, text % k, "en", "s", 1) for k in range(1, 30)] + [(None, "the other people of the hill, none of them known", None, None, None), (40, None, "en", None, 1), (41, "the same once and again, word for word, and no more", "en", "s", 1), (41, "the same once and again, word for word, and no more", "en", "s", 1), (42, " ".join(f"the sea{k * 7919 % 10007}" for k in range(30_000)), None, "s", 9)]
+    extra = "lang_pred string, score string, fit string, hits string, sid long, queue string, map string, row long, parts string"
+    docs = spark.createDataFrame([(*r, "p", "q", "f", "h", 1, "u", "m", 2, "t") for r in rows], f"{SCHEMA}, {extra}")
+    got = through(spark, docs, 4)
+    assert got.columns == docs.columns
+    out = got.collect()
+    assert {(r.lang_pred, r.score, r.fit, r.hits, r.sid, r.queue, r.map, r.row, r.parts) for r in out} == {("p", "q", "f", "h", 1, "u", "m", 2, "t")}
+    ids = [r.doc_id for r in out]
+    assert ids.count(None) == 1 and ids.count(41) == 1 and ids.count(42) == 1 and 40 not in ids
+    assert through(spark, docs).where("start = 0").count() == len(out)
+    assert through(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_run_leaves_no_tables_but_its_result(spark, tmp_path):
+    from sluiceway.llm import common
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = common.tables(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = common.tables(spark) - before
+    assert out.count() > 0 and len(left) == 1

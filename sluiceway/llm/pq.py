@@ -1,21 +1,26 @@
 """Embedding near-duplicates by product quantisation: coarse inverted lists, residual codes, asymmetric distances, exact rerank.
 
-Equal vectors become one class first. Coarse centroids (spherical k-means) and the codebooks of the residuals' subspaces
-are learned on at most SAMPLE classes (those with the smallest hashes); every class is then indexed: in the list of its
-nearest centroid, with its code and the length of what the code misses. A class probes every list that a vector within
-the threshold's distance may lie in, by the plane between two centroids and REACH standard deviations of a difference
-along its normal, as the sample's vectors and residuals spread along it (at least LEAST_PROBES lists). Table lookups give asymmetric distances; a pair stays if its distance less the
-code's error is within the threshold's, so the codes lose nothing; cosines in double precision decide.
-
-Lists are cut into blocks of about BLOCK vectors, each a unit of work that holds its vectors while the lists' queries
-stream by; so a list with a third of all vectors is many units. A unit gives, for each vector, its number of links, and
-a spanning forest of the links found, never the pairs. A pair found from one side counts for both.
-
-At most MAX_LISTS lists are made; beyond BLOCK * MAX_LISTS vectors lists grow longer, and are cut into more blocks.
-
-Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
-link with nothing; equal vectors link with each other whatever their rows; a row without vec_id counts as a partner, its
-component being that of its vector.
+Equal vectors become one class first. Vectors of each length are indexed on their own; the lists of all lengths are
+numbered on. Coarse centroids (spherical k-means) and the codebooks of the residuals' subspaces are learned on a sample of
+at most SAMPLE classes (those with the smallest hashes, shared out over the lengths); every class is then indexed: in the list of its nearest
+centroid, with its code and the length of what the code misses. Two vectors within the threshold's distance, on either
+side of the plane between two centroids, lie together no further from it than the difference's part along its normal; one
+of them lies within half of that, and its search comes upon the other. So a class probes every list whose plane lies
+within half of REACH standard deviations of a difference along the normal, as the sample's vectors and residuals spread along it (at
+least LEAST_PROBES lists). Table lookups give asymmetric distances; a pair stays if its distance less the code's error
+is within the threshold's, so the codes lose nothing; cosines in double precision, of the vectors as they came, decide.
+
+Neighbouring lists form groups, and groups are cut into blocks of about BLOCK vectors: units of work, each of which holds
+its vectors while the queries of its lists stream by. A query is sent to a unit once, however many of the group's lists
+it probes. A list with a third of all vectors is many units. A unit gives, for each vector, its number of links, and a
+spanning forest of the links found, never the pairs. A pair found from one side counts for both.
+
+At most MAX_LISTS lists are made; beyond PER_LIST * MAX_LISTS vectors lists grow longer, and their groups are cut into more blocks.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors
+of different lengths link with each other never; equal vectors link with each other whatever their rows; a row without vec_id counts
+as a partner, its component being that of its vector (null if no row of it has an id); repeated rows are rows of their own; vectors of any length are compared whole; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, PER_LIST, MAX_LISTS, BLOCK, SUBSPACES, CODES, REACH, LOCAL, LEAST_PROBES = 20_000, 128, 2048, 2048, 8, 256, 2.0, 4, 4
+SAMPLE, PER_LIST, MAX_LISTS, BLOCK, SUBSPACES, CODES, REACH, LOCAL, LEAST_PROBES = 20_000, 128, 2048, 4096, 8, 256, 2.6, 4, 2
+SAMPLE_BYTES, GROUP = 64 << 20, 8
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool, seed: int = 11) -> np.ndarray:
@@ -53,6 +59,12 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def groups(c: np.ndarray, size: int = GROUP) -> np.ndarray:
+    """A group for each centroid, of about ``size`` neighbours."""
+    k = -(-len(c) // size)
+    return nearest(c, kmeans(c, k, 6, True)) if k > 1 else np.zeros(len(c), np.int64)
+
+
 class Index:
     """What all tasks need: centroids, codebooks and the reach of a probe. Bounded by MAX_LISTS and CODES."""
 
@@ -66,7 +78,8 @@ class Index:
         self.cuts = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
         self.books = [kmeans(r[:, a:b], CODES, 6, False) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
         gap = np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))
-        self.far = self.delta * gap * np.minimum(1.0, REACH * np.sqrt(self.shares(x, r, home, gap)))
+        self.far = self.delta * gap * np.minimum(1.0, REACH / 2 * np.sqrt(self.shares(x, r, home, gap)))
+        self.group = groups(self.centroids)
 
     def shares(self, x: np.ndarray, r: np.ndarray, home: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """For each list and other list, how much of a difference's square lies along the line between their centroids.
@@ -133,22 +146,51 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
 
 
-def indexed(reps: DataFrame, index: Index) -> DataFrame:
-    """(no, m, vec, home, codes, error, probes) of each class."""
+def sample_of(reps: DataFrame, sizes: dict[int, int], sample: int) -> dict[int, np.ndarray]:
+    """By length, at most ``sample`` vectors in all and SAMPLE_BYTES of them, those with the smallest hashes; each length gets its part."""
+    whole, out = sum(sizes.values()), {}
+    for d, n in sorted(sizes.items()):
+        rows = max(1, min(n, sample * n // whole, SAMPLE_BYTES * n // whole // (8 * d)))
+        some = C.smallest(reps.where(F.size("embedding") == d).select("embedding", "no"), ["embedding", "no"], rows)
+        out[d] = np.array([r["embedding"] for r in some.select("embedding").collect()], np.float64)
+    return out
+
+
+def indexes(sample: dict[int, np.ndarray], sizes: dict[int, int], cosine: float) -> dict[int, tuple[int, int, Index]]:
+    """By length: the number of its first list, that of its first group, and its index. MAX_LISTS lists at most, or one for each length."""
+    whole, lists, groups_, out = sum(sizes.values()), 0, 0, {}
+    for d, x in sample.items():
+        index = Index(x, max(1, min(MAX_LISTS * sizes[d] // whole, sizes[d] // PER_LIST)), cosine)
+        out[d] = (lists, groups_, index)
+        lists, groups_ = lists + len(index.centroids), groups_ + int(index.group.max()) + 1
+    return out
+
+
+CODED = "no long, m long, vec binary, d int, grp int, home int, codes binary, error double, probes array<int>"
+
+
+def indexed(reps: DataFrame, all_: dict[int, tuple[int, int, Index]], kind: str) -> DataFrame:
+    """CODED's columns of each class. vec has the components as they came, of numpy's type ``kind``."""
     import pyarrow as pa
 
-    shipped = reps.sparkSession.sparkContext.broadcast(index)
+    shipped = reps.sparkSession.sparkContext.broadcast(all_)
+    names = [c.split()[0] for c in CODED.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
-        index = shipped.value
+        all_ = shipped.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                v = np.array(part.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(part.num_rows, -1)
-                home, codes, error, probes = index.encode(v)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(home.astype(np.int32)), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], ["no", "m", "vec", "home", "codes", "error", "probes"])
+                some = batch.slice(lo, 2048)
+                length = np.diff(some.column(2).offsets.to_numpy())
+                for d in np.unique(length).tolist():
+                    part = some.take(pa.array(np.flatnonzero(length == d)))
+                    base, first, index = all_[d]
+                    v = np.array(part.column(2).flatten().to_numpy(zero_copy_only=False), kind).reshape(part.num_rows, -1)
+                    home, codes, error, probes = index.encode(v.astype(np.float64))
+                    grp = (first + index.group[home]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.full(len(v), d, np.int32)), pa.array(grp), pa.array((base + home).astype(np.int32)), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(error), pa.array([[base + q for q in p] for p in probes], pa.list_(pa.int32()))], names)
 
-    return reps.select("no", "m", "embedding").mapInArrow(run, "no long, m long, vec binary, home int, codes binary, error double, probes array<int>")
+    return reps.select("no", "m", "embedding").mapInArrow(run, CODED)
 
 
 def _labels(i: np.ndarray, j: np.ndarray, n: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,115 +206,132 @@ def _labels(i: np.ndarray, j: np.ndarray, n: int, q: int) -> tuple[np.ndarray, n
         lab = new
 
 
-def search(coded: DataFrame, index: Index, blocks: dict[int, int]) -> DataFrame:
+class Unit:
+    """The vectors of a block, by list, and the links that queries find."""
+
+    def __init__(self, parts: list, all_: dict[int, tuple[int, int, Index]], kind: str):
+        cat = lambda k: np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts])
+        flat = lambda k, t: np.frombuffer(b"".join(x for p in parts for x in p.column(k).to_pylist()), t)
+        self.no, self.m, self.home, self.error = cat(3), cat(4), cat(7), cat(9)
+        self.base, _, self.index = all_[int(parts[0].column(6)[0].as_py())]
+        self.v = flat(5, kind).reshape(len(self.no), -1)
+        self.codes = flat(8, np.uint8).reshape(len(self.no), -1)
+        self.norm = np.linalg.norm(self.v.astype(np.float64), axis=1)
+        self.lists = {int(h): np.flatnonzero(self.home == h) for h in np.unique(self.home)}
+        probes = [p for x in parts for p in x.column(10).to_pylist()]
+        self.probes = np.full((len(self.no), max(map(len, probes))), -1, np.int32)
+        for k, p in enumerate(probes):
+            self.probes[k, : len(p)] = p
+
+    def links(self, q: np.ndarray, qno: np.ndarray, probes: list) -> tuple[np.ndarray, np.ndarray]:
+        """Places (query, vector) of the pairs within the threshold."""
+        at_i, at_j = [], []
+        qn = np.linalg.norm(q, axis=1)
+        by: dict[int, list[int]] = {}
+        for k, p in enumerate(probes):
+            for h in p:
+                if h in self.lists:
+                    by.setdefault(h, []).append(k)
+        for h, asked in by.items():
+            rows, asked = self.lists[h], np.array(asked)
+            i, j = np.nonzero(self.index.candidates(q[asked], h - self.base, self.codes[rows], self.error[rows]))
+            i, j = asked[i], rows[j]
+            for c in range(0, len(i), 65536):
+                a, b = i[c : c + 65536], j[c : c + 65536]
+                cos = np.einsum("ij,ij->i", q[a], self.v[b].astype(np.float64)) / (qn[a] * self.norm[b])
+                ok = (cos >= self.index.cosine) & (qno[a] != self.no[b])
+                at_i.append(a[ok])
+                at_j.append(b[ok])
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *at_i]), np.concatenate([none, *at_j])
+
+
+def search(coded: DataFrame, all_: dict[int, tuple[int, int, Index]], blocks: dict[int, int], kind: str) -> DataFrame:
     """(kind, a, b): kind 0 says that vector a has b more links, kind 1 that a and b are in one component."""
     import pyarrow as pa
 
     spark = coded.sparkSession
-    shipped = spark.sparkContext.broadcast(index)
-    count = F.create_map(*itertools_chain((F.lit(k), F.lit(v)) for k, v in blocks.items()))  # a row for each list, MAX_LISTS at most
-    block = F.pmod(F.xxhash64("no"), F.element_at(count, F.col("home"))).cast("int")
-    stored = coded.select(F.col("home").alias("list"), block.alias("block"), F.lit(0).alias("side"), "no", "m", "vec", "home", "codes", "error", "probes")
-    asked = coded.select(F.explode("probes").alias("list"), "no", "m", "vec", "home").where(F.map_contains_key(count, F.col("list")))
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.element_at(count, F.col("list")) - 1)).alias("block"), F.lit(1).alias("side"), "no", "m", "vec", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("array<int>").alias("probes"))
+    shipped = spark.sparkContext.broadcast(all_)
+    of = np.concatenate([first + index.group for _, first, index in all_.values()]).tolist()  # the group of each list, MAX_LISTS or so
+    group_of = F.array(*map(F.lit, of))
+    count = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])  # a row for each group
+    block = F.pmod(F.xxhash64("no"), F.element_at(count, F.col("grp"))).cast("int")
+    stored = coded.select("grp", block.alias("block"), F.lit(0).alias("side"), "no", "m", "vec", "d", "home", "codes", "error", "probes")
+    wanted = F.array_distinct(F.transform("probes", lambda p: F.get(group_of, p)))
+    asked = coded.withColumn("g", F.explode(wanted)).where(F.map_contains_key(count, F.col("g")))
+    asked = asked.withColumn("mine", F.filter("probes", lambda p: F.get(group_of, p) == F.col("g")))
+    asked = asked.select(F.col("g").alias("grp"), F.explode(F.sequence(F.lit(0), F.element_at(count, F.col("g")) - 1)).alias("block"), F.lit(1).alias("side"), "no", "m", "vec", "d", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.col("mine").alias("probes"))
 
     def run(batches: Iterator) -> Iterator:
-        index = shipped.value
-        now, held = None, []
-        no = m = v = codes = error = norm = probes = None
-
-        def ready():
-            nonlocal no, m, v, codes, error, norm, probes
-            no, m = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            v = np.frombuffer(b"".join(x for h in held for x in h[2]), np.float64).reshape(len(no), -1)
-            codes = np.frombuffer(b"".join(x for h in held for x in h[3]), np.uint8).reshape(len(no), -1)
-            error = np.concatenate([h[4] for h in held])
-            norm = np.linalg.norm(v, axis=1)
-            lists = [p for h in held for p in h[5]]
-            probes = np.full((len(no), max(map(len, lists))), -1, np.int32)
-            for k, p in enumerate(lists):
-                probes[k, : len(p)] = p
-
+        all_ = shipped.value
+        now, held, unit = None, [], None
         for batch in batches:
-            lists, bl, side = (batch.column(k).to_numpy() for k in range(3))
-            turn = np.flatnonzero(np.concatenate(([True], (lists[1:] != lists[:-1]) | (bl[1:] != bl[:-1]) | (side[1:] != side[:-1]))))
-            kind, one, two = [], [], []
+            grp, bl, side = (batch.column(k).to_numpy() for k in range(3))
+            turn = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (bl[1:] != bl[:-1]) | (side[1:] != side[:-1]))))
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
             for lo, hi in zip(turn, np.append(turn[1:], batch.num_rows)):
                 part = batch.slice(int(lo), int(hi - lo))
                 if side[lo] == 0:
-                    if now != (lists[lo], bl[lo]):
-                        now, held = (lists[lo], bl[lo]), []
-                    held.append((part.column(3).to_numpy(), part.column(4).to_numpy(), part.column(5).to_pylist(), part.column(7).to_pylist(), part.column(8).to_numpy(), part.column(9).to_pylist()))
-                    no = None
+                    if now != (grp[lo], bl[lo]):
+                        now, held = (grp[lo], bl[lo]), []
+                    held.append(part)
+                    unit = None
                     continue
-                if now != (lists[lo], bl[lo]) or not held:
+                if now != (grp[lo], bl[lo]) or not held:
                     continue  # a block without vectors
-                if no is None:
-                    ready()
+                unit = unit or Unit(held, all_, kind)
                 for at in range(0, part.num_rows, 512):
                     some = part.slice(at, 512)
-                    qno, qm, qhome = some.column(3).to_numpy(), some.column(4).to_numpy(), some.column(6).to_numpy()
-                    q = np.frombuffer(b"".join(some.column(5).to_pylist()), np.float64).reshape(len(qno), -1)
-                    i, j = np.nonzero(index.candidates(q, int(lists[lo]), codes, error))
-                    cos = np.empty(len(i))
-                    qn = np.linalg.norm(q, axis=1)
-                    for c in range(0, len(i), 65536):
-                        a, b = i[c : c + 65536], j[c : c + 65536]
-                        cos[c : c + 65536] = np.einsum("ij,ij->i", q[a], v[b]) / (qn[a] * norm[b])
-                    ok = (cos >= index.cosine) & (qno[i] != no[j])
-                    i, j = i[ok], j[ok]
+                    qno, qm, qhome = some.column(3).to_numpy(), some.column(4).to_numpy(), some.column(7).to_numpy()
+                    q = np.frombuffer(b"".join(some.column(5).to_pylist()), kind).reshape(len(qno), -1).astype(np.float64)
+                    i, j = unit.links(q, qno, some.column(10).to_pylist())
                     if not len(i):
                         continue
-                    back = (probes[j] == qhome[i][:, None]).any(1)  # whether j's own search comes upon i
-                    for rows, add in ((qno, np.bincount(i, weights=m[j], minlength=len(qno))), (no, np.bincount(j[~back], weights=qm[i[~back]], minlength=len(no)))):
+                    back = (unit.probes[j] == qhome[i][:, None]).any(1)  # whether j's own search comes upon i
+                    for rows, add in ((qno, np.bincount(i, weights=unit.m[j], minlength=len(qno))), (unit.no, np.bincount(j[~back], weights=qm[i[~back]], minlength=len(unit.no)))):
                         has = np.flatnonzero(add)
-                        kind.append(np.zeros(len(has), np.int32))
-                        one.append(rows[has])
-                        two.append(add[has].astype(np.int64))
-                    of_q, lab = _labels(i, j, len(no), len(qno))
-                    for rows, l in ((qno, of_q), (no, lab)):
-                        has = np.flatnonzero((l < len(no)) & (rows != no[np.minimum(l, len(no) - 1)]))
-                        kind.append(np.ones(len(has), np.int32))
-                        one.append(rows[has])
-                        two.append(no[l[has]])
-            if kind:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kind, one, two)], ["kind", "a", "b"])
+                        out.append((0, rows[has], add[has].astype(np.int64)))
+                    of_q, lab = _labels(i, j, len(unit.no), len(qno))
+                    for rows, l in ((qno, of_q), (unit.no, lab)):
+                        has = np.flatnonzero((l < len(unit.no)) & (rows != unit.no[np.minimum(l, len(unit.no) - 1)]))
+                        out.append((1, rows[has], unit.no[l[has]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(a), k, np.int32) for k, a, _ in out])), pa.array(np.concatenate([a for _, a, _ in out])), pa.array(np.concatenate([b for *_, b in out]))], ["kind", "a", "b"])
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return stored.unionByName(asked).repartition(4 * parts, "list", "block").sortWithinPartitions("list", "block", "side").mapInArrow(run, "kind int, a long, b long")
-
-
-def itertools_chain(pairs) -> list:
-    return [x for p in pairs for x in p]
+    return stored.unionByName(asked).repartition(4 * parts, "grp", "block").sortWithinPartitions("grp", "block", "side").mapInArrow(run, "kind int, a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, embedding: str = "embedding", vec_id: str = "vec_id", sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vectors."""
     spark = vectors.sparkSession
     rows = C.wide(vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding")))
-    common = rows.where(valid("embedding")).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = valid("embedding") & (F.size("embedding") == common["d"])
-    ok = F.coalesce(usable, F.lit(False))
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    if kind == "<f8":
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    ok = valid("embedding")
     good, bad = rows.where(ok), rows.where(~ok)
     # Classes get numbers of their own: vec_id may be null or repeated. The smallest vec_id of a class is its name.
     reps, _ = C.write_out(spark, classes(good).withColumn("no", F.monotonically_increasing_id()), "classes")
-    n = reps.count()
-    size = max(1, min(sample, (64 << 20) // (4 * common["d"])))
-    drawn = np.array([r["embedding"] for r in reps.orderBy(F.xxhash64("embedding"), "no").limit(size).select("embedding").collect()], np.float64)
-    index = Index(drawn, max(1, min(MAX_LISTS, n // PER_LIST)), cosine)
-    coded, _ = C.write_out(spark, indexed(reps, index), "coded")
-    blocks = {r["home"]: -(-r["count"] // BLOCK) for r in coded.groupBy("home").count().collect()}  # MAX_LISTS rows at most
-    found, _ = C.write_out(spark, search(coded, index, blocks), "found")
-    links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
+    sizes = {r["d"]: r["count"] for r in reps.groupBy(F.size("embedding").alias("d")).count().collect()}  # a row for each length
+    alone = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    if not sizes:
+        return alone.select("*", kept)
+    all_ = indexes(sample_of(reps, sizes, sample), sizes, cosine)
+    coded, coded_at = C.write_out(spark, indexed(reps, all_, kind), "coded")
+    blocks = {r["grp"]: -(-r["count"] // BLOCK) for r in coded.groupBy("grp").count().collect()}  # a row for each group
+    found, found_at = C.write_out(spark, search(coded, all_, blocks, kind), "found")
+    C.drop_path(spark, coded_at)
+    links, _ = C.write_out(spark, found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links")), "links")
     comp, _ = C.components(spark, found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    C.drop_path(spark, found_at)
     whole = reps.join(comp, F.col("no") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "no")).join(links, F.col("no") == F.col("a"), "left")
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "comp").select(F.col("embedding").alias("e"), "m", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    # Classes are joined back by vector; a vector with a third of all rows is split by Spark's skew join.
     out = good.join(named, F.col("embedding") == F.col("e")).select("vec_id", (F.col("m") - 1 + F.col("links")).cast("long").alias("n_links"), "component_id")
-    alone = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.unionByName(alone).select("*", kept)
 
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:

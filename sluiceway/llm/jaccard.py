@@ -16,9 +16,11 @@ Candidates: signatures are shuffled, sorted and streamed; sets that share some f
 compared by sketches: their elements counted in buckets, whose differences add up to at most the number of
 elements in which the sets differ. A pair whose sketches differ by more than similar sets may is none; so sets that share
 but a passage fall apart here, exactly, and none is lost. Not all pairs that are left are verified: first each set with
-the first of its group that it may be similar to; the links found are joined into components; then, only across
-components, each with the NEAR nearest; then, across components again, all that is left. So a group of near copies costs
-about a pair each, and no link that joins two components is lost. Groups of over CELL sets are compared in blocks.
+the first leader of its group that it may be similar to (a leader being a set that may be similar to no leader before it); the
+links found are joined into components; then, only across components, each with the NEAR nearest; then, across components again, all
+that is left. Sets of a group's largest component are compared with those of others alone. So a group of near copies
+costs about a pair each, in sketches as in texts, and no link that joins two components is lost. Groups of over CELL sets are
+compared in blocks; a group of many sets none of which may be similar to another costs comparisons of sketches with the square of its size.
 Pairs are verified on the texts themselves, each first partner's text being held while the others stream by; one with
 many partners is dealt to several tasks.
 
@@ -26,8 +28,9 @@ Shingles are compared by 64-bit hashes, as are whole sets: with 10**9 sets the c
 over all of them.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; texts of fewer than n words have
-one shingle, the whole sequence; repeated rows link with each other; a row without doc_id has no id to link by and takes
-part as any other, its component being null only if no row of it has an id.
+one shingle, the whole sequence; texts of any length are read whole; repeated rows link with each other; a row without doc_id has no id to link by and takes
+part as any other, its component being null only if no row of it has an id; rows that share a doc_id, however many, are sets of their own;
+an empty table gives an empty result; other columns, whatever their names, are ignored, and keep_first() hands them on as they were.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,15 +148,15 @@ class Sketches:
             self.full[w] = np.frombuffer(b"".join(raw[r] for r in rows), np.uint8).reshape(len(rows), w).astype(np.int16)
             self.half[w] = self.full[w].reshape(len(rows), 2, w // 2).sum(1, dtype=np.int16)
 
-    def differences(self, k: int) -> np.ndarray:
-        """For each set before the k-th a lower bound of the elements in which it differs from it."""
-        out = np.full(k, np.iinfo(np.int64).max >> 16)
-        w = int(self.width[k])
+    def differences(self, k: int, rows: np.ndarray) -> np.ndarray:
+        """For each of the given sets a lower bound of the elements in which it differs from the k-th."""
+        out = np.full(len(rows), np.iinfo(np.int64).max >> 16)
+        w, width = int(self.width[k]), self.width[rows]
         for v, own, others in ((w, self.full, self.full), (2 * w, self.full, self.half), (w // 2, self.half, self.full)):
-            if v in self.rows:
-                rows = self.rows[v]
-                m = int(np.searchsorted(rows, k))
-                out[rows[:m]] = np.abs(others[v][:m] - own[w][self.at[k]]).sum(1)
+            at = np.flatnonzero(width == v)
+            for lo in range(0, len(at), 4096):
+                some = at[lo : lo + 4096]
+                out[some] = np.abs(others[v][self.at[rows[some]]] - own[w][self.at[k]]).sum(1)
         return out
 
 
@@ -251,7 +254,8 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     """The pairs (a, b) of set ids that are similar enough, as edges (u, v). texts: (sid, text)."""
     import pyarrow as pa
 
-    deal = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / PARTNERS)))).select("a", "b", F.col("salt").cast("int").alias("salt"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("deals")).where("deals > 1")
+    deal = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("deals", F.lit(1))).cast("int").alias("salt"))
     deal, path = C.write_out(pairs.sparkSession, deal, "pairs")
     partner = deal.join(texts, F.col("b") == F.col("sid")).select("a", "salt", F.lit(1).alias("side"), "b", "text")
     pivot = deal.select("a", "salt").distinct().join(texts, F.col("a") == F.col("sid")).select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
@@ -283,18 +287,21 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent: int, near: int | None) -> DataFrame:
     """Pairs (kind 0, a < b) of sets in groups (grp, sid) whose sketches allow similarity, by info (sid, n, sketch).
 
-    Without comp, each set with the first such set of its group; and as kind 1 the rows (grp, sid) of sets that have any.
+    Without comp, each set with the first such leader of its group; and as kind 1 the rows (grp, sid) of sets that have any such partner.
     With comp (node, comp), only sets of different components: each with its ``near`` nearest, or with all if that is None.
     """
     import pyarrow as pa
 
     spark = groups.sparkSession
-    w = Window.partitionBy("grp")
     if comp is None:
-        now = groups.select("grp", "sid", F.lit(0).cast("long").alias("comp"), F.count(F.lit(1)).over(w).alias("size"))
+        now = groups.select("grp", "sid", F.lit(0).cast("long").alias("comp"))
+        size = now.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     else:
         now = groups.join(comp, F.col("sid") == F.col("node"), "left").select("grp", "sid", F.coalesce("comp", "sid").alias("comp"))
-        now = now.select("*", F.count(F.lit(1)).over(w).alias("size"), F.min("comp").over(w).alias("low"), F.max("comp").over(w).alias("high")).where("low <> high")
+        now, _ = C.write_out(spark, now, "members")
+        size = now.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
+    large = size.where(F.col("size") > CELL) if comp is None else size
+    now = now.join(large, "grp", "left" if comp is None else "inner").withColumn("size", F.coalesce("size", F.lit(1)))
     blocks = F.ceil(F.col("size") / CELL).cast("int")
     now = now.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j")))
@@ -302,28 +309,53 @@ def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent:
 
     first = comp is None
 
-    def cell(grp, sid, comp_, blk, n, sk, across: bool, out: list[list[np.ndarray]]) -> None:
+    def near_enough(apart: np.ndarray, m: np.ndarray, mine: int) -> np.ndarray:
+        return (100 + percent) * apart <= (100 - percent) * (m + mine)
+
+    def lead(grp, sid, n, sk, out: list[list[np.ndarray]]) -> None:
+        """Each set with the first leader that it may be similar to. Every set that may be similar to any is marked."""
         x = Sketches(sk)
         any_ = np.zeros(len(sid), bool)
+        leaders, others = [0], []
         for k in range(1, len(sid)):
-            apart = x.differences(k)
-            ok = (100 + percent) * apart <= (100 - percent) * (n[:k] + n[k])
-            if across:
-                ok &= blk[:k] != blk[k]
-            if not first:
-                ok &= comp_[:k] != comp_[k]
-            found = np.flatnonzero(ok)
-            if not len(found):
+            rows = np.array(leaders)
+            ok = rows[near_enough(x.differences(k, rows), n[rows], n[k])]
+            if len(ok):
+                any_[ok] = any_[k] = True
+                others.append(k)
+                out.append([np.zeros(1, np.int32), sid[ok[:1]], sid[k : k + 1]])
                 continue
-            any_[found] = any_[k] = True
-            if first:
-                found = found[:1]
-            elif near is not None and len(found) > near:
-                found = found[np.argsort(apart[found], kind="stable")[:near]]
-            out.append([np.zeros(len(found), np.int32), sid[found], np.full(len(found), sid[k])])
-        if first and any_.any():
+            rows = np.array(others, np.int64)
+            ok = rows[near_enough(x.differences(k, rows), n[rows], n[k])] if len(rows) else rows
+            if len(ok):
+                any_[ok] = any_[k] = True
+                out.append([np.zeros(1, np.int32), sid[ok[:1]], sid[k : k + 1]])
+            leaders.append(k)
+        if any_.any():
             out.append([np.ones(int(any_.sum()), np.int32), np.full(int(any_.sum()), grp), sid[any_]])
 
+    def cell(grp, sid, comp_, blk, n, sk, across: bool, out: list[list[np.ndarray]]) -> None:
+        if first:
+            return lead(grp, sid, n, sk, out)
+        x = Sketches(sk)
+        kinds, of, size = np.unique(comp_, return_inverse=True, return_counts=True)
+        small = of != size.argmax()  # the largest component's sets are compared by those of others
+        for k in np.flatnonzero(small).tolist():
+            ok = comp_ != comp_[k]
+            ok &= ~small | (np.arange(len(sid)) < k)  # each pair once
+            if across:
+                ok &= blk != blk[k]
+            rows = np.flatnonzero(ok)
+            if not len(rows):
+                continue
+            apart = x.differences(k, rows)
+            ok = near_enough(apart, n[rows], n[k])
+            rows, apart = rows[ok], apart[ok]
+            if near is not None and len(rows) > near:
+                rows = rows[np.argsort(apart, kind="stable")[:near]]
+            if len(rows):
+                out.append([np.zeros(len(rows), np.int32), np.minimum(sid[rows], sid[k]), np.maximum(sid[rows], sid[k])])
+
     def run(batches: Iterator) -> Iterator:
         rest = None
         for batch in itertools.chain(batches, [None]):
@@ -369,8 +401,9 @@ def link_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     one = mark.groupBy("one", "two").agg(F.min("grp").alias("grp")).select("grp")
     groups, groups_at = C.write_out(spark, left.join(one, "grp"), "groups")
     # One text for each class that is left.
-    first, _ = C.write_out(spark, info.select("sid", "doc_id").join(groups.select("sid").distinct(), "sid"), "first")
+    first, first_at = C.write_out(spark, info.select("sid", "doc_id").join(groups.select("sid").distinct(), "sid"), "first")
     texts, texts_at = C.write_out(spark, _texts(docs, first, n), "texts")
+    C.drop_path(spark, first_at)
     pairs, comp, comp_at = found.where("kind = 0").select("a", "b").distinct(), None, None
     for near in (NEAR, None, 0):
         edges, edges_at = C.write_out(spark, verify(pairs, texts, n, percent), "links")
@@ -388,29 +421,48 @@ def link_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     return rows, comp
 
 
-def _texts(docs: DataFrame, first: DataFrame, n: int) -> DataFrame:
-    """(sid, text): the text of one row of each class. Rows that share a doc_id with different texts are told apart by their set."""
+def _marked(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """docs with the id of each text's set, null for empty ones."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            pick = [i for i, (sid, s) in enumerate(_sets(batch, n)) if len(s) and set_id(s) == sid]
-            if pick:
-                yield batch.take(pa.array(pick))
+            sid = [set_id(s) if len(s) else None for _, s in _sets(batch.select(["text", "text"]), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
 
-    joined = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"])).select("sid", "text")
-    return joined.mapInArrow(run, "sid long, text string").dropDuplicates(["sid"])
+def _texts(docs: DataFrame, first: DataFrame, n: int) -> DataFrame:
+    """(sid, text): the text of one row of each class.
+
+    An id of one class alone finds its row's text; rows of ids that name several classes, and rows without id, are
+    marked with their set and found by that, so that no id, nor its absence, joins many rows with many classes.
+    """
+    ids = first.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("classes"), F.min("sid").alias("want"))
+    own = docs.join(ids.where("classes = 1").drop("classes"), "doc_id").select("text", "want")
+    out = _marked(own, n, "sid").where("sid = want").select("sid", "text")
+    if first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1 OR doc_id IS NULL").limit(1).count():
+        several = ids.where("classes > 1").select("doc_id")
+        rest = docs.where("doc_id IS NULL").select("text").unionByName(docs.join(several, "doc_id", "left_semi").select("text"))
+        named = first.join(several.withColumn("several", F.lit(True)), "doc_id", "left").where("several OR doc_id IS NULL").select("sid")
+        out = out.unionByName(_marked(rest, n, "sid").where("sid IS NOT NULL").join(named, "sid", "left_semi").select("sid", "text"))
+    return out.dropDuplicates(["sid"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) per row: the smallest doc_id reachable by links, and that among equal sets."""
-    rows, comp = link_classes(docs, n, percent)
+    return _named(*link_classes(docs, n, percent)).drop("sid")
+
+
+def _named(rows: DataFrame, comp: DataFrame) -> DataFrame:
     classes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("class_id"))
     whole = classes.join(comp, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = whole.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = whole.join(least, "comp").select("sid", "class_id", "component_id")
     out = rows.join(named, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    own = lambda name: F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col(name)).alias(name)
+    return out.select("sid", "doc_id", "n_shingles", own("component_id"), own("class_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -419,38 +471,29 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of rows that share the smallest doc_id the one with the smallest text stays. Rows without doc_id stay only where no row
     of their component has one. Texts are not shuffled unless ids are repeated: who goes is decided on ids.
     """
-    named = jaccard_components(docs, n, percent)
+    rows, comp = link_classes(docs, n, percent)
+    named = _named(rows, comp)
     # Ids of which some row goes, or whose row must be told apart from others of the same id.
-    drop = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNotNull())).alias("goes"), F.max("n_shingles").alias("n"))
+    goes = F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
+    drop = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), goes.alias("goes"), F.max("n_shingles").alias("n"))
     odd, _ = C.write_out(docs.sparkSession, drop.where("goes OR (rows > 1 AND n > 0)"), "drops")
-    key = C.fresh(docs, "id")
-    gone = odd.where("rows = 1 OR (rows > 1 AND goes)").select(F.col("doc_id").alias(key))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
-    if not odd.where("rows > 1").limit(1).count():
-        return out
-    return _tell_apart(docs, n, percent)
+    if odd.where("rows > 1").limit(1).count():
+        return _tell_apart(docs, rows, comp, n)
+    if odd.where("doc_id IS NULL").limit(1).count():
+        docs = docs.where("doc_id IS NOT NULL")
+    return docs.join(odd.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
-def _tell_apart(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _tell_apart(docs: DataFrame, rows: DataFrame, comp: DataFrame, n: int) -> DataFrame:
     """keep_first() for tables in which doc_ids are repeated: rows are matched by id and set, texts being shuffled once."""
-    import pyarrow as pa
-
-    spark = docs.sparkSession
     names = docs.columns
-    rows, comp = link_classes(docs, n, percent)
     classes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("id"))
     whole = classes.join(comp, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "sid"))
     mark, key, own = (C.fresh(docs, x) for x in ("sid_of_row", "sid_kept", "id_kept"))
     first = whole.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sid")).alias("x")).select(F.col("x.sid").alias(key), F.col("x.id").alias(own))
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            key = batch.select(["doc_id", "text"])
-            sid = [set_id(s) if len(s) else None for _, s in _sets(key, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, mark])
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
+    marked = _marked(docs, n, mark)
     kept = marked.where(F.col(mark).isNotNull()).join(first, (F.col(mark) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    # Of a class's rows one: the least, found before the shuffle as well as after it.
     one = kept.groupBy(mark).agg(F.min(F.struct(*[F.col(c) for c in sorted(names, key=lambda c: c != "text")])).alias("x")).select(*[F.col("x")[c].alias(c) for c in names])
     return marked.where(F.col(mark).isNull()).select(*names).unionByName(one)
 

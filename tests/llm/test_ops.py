@@ -120,11 +120,43 @@ def test_sketches_never_exceed_the_difference():
     sets = [np.unique(rng.integers(0, 5000, int(rng.integers(1, 3000))).astype(np.uint64)) for _ in range(30)]
     s = jaccard.Sketches([jaccard.sketch(common.mix(x)) for x in sets])
     for k in range(30):
-        for j, d in enumerate(s.differences(k)):
+        for j, d in enumerate(s.differences(k, np.arange(k))):
             real = len(np.setxor1d(sets[j], sets[k]))
             assert d <= real or max(len(sets[j]), len(sets[k])) > 2 * min(len(sets[j]), len(sets[k]))
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "few"])
+def test_jaccard_rows_without_ids_of_their_own(spark, ids):
+    """A third of all rows without id, or with one id, or ids of three rows each: linear, and as by brute force."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{rng.integers(40)}" for _ in range(int(rng.integers(1, 30)))) for _ in range(150)]
+    texts += [t.replace("w7", "w8", 1) for t in texts]
+    key = {"null": lambda k: None if k % 3 == 0 else k, "one": lambda k: 7 if k % 3 == 0 else k, "few": lambda k: k // 3}[ids]
+    rows = [(key(k), t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_of([i for i, _ in rows], sets_of([t for _, t in rows], 4), 85)
+    got = [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()]
+    assert collections.Counter(got) == collections.Counter((i, c) for (i, _), c in zip(rows, want))
+    kept = jaccard.keep_first(docs, 4, 85).collect()
+    assert len(kept) == len(set(components_of(range(len(texts)), sets_of(texts, 4), 85)))
+
+
+def test_jaccard_groups_beyond_a_block(spark, monkeypatch):
+    """Groups cut into blocks, with several components that share passages, give what brute force does."""
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    rng = np.random.default_rng(12)
+    shared, rows = [f"s{k}" for k in range(40)], []
+    for base in range(6):
+        own = [f"b{base}x{k}" for k in range(8)]
+        for _ in range(25):
+            w = shared + own
+            for _ in range(int(rng.integers(0, 3))):
+                w[int(rng.integers(len(w)))] = f"e{rng.integers(10_000)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == dict(zip((i for i, _ in rows), components_of([i for i, _ in rows], sets_of([t for _, t in rows], 3), 80)))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     comp, _ = common.components(spark, spark.createDataFrame(edges, "u long, v long"))

@@ -13,15 +13,21 @@ nothing, and that of article or main counts HELD times; and pages of a host whos
 weighed down are one page to the counts, so copies of an article don't make it template.
 
 Two passes read the pages; the first yields hashes by host, page, path and content, from which counts by host, path and
-content are made; the second joins each host's short list of shared contents to its pages. Texts on more than m ** KEEP of a style
-node's m pages are listed; a host with a third of all pages is split by Spark's skew join.
+content are made; the second looks each page's blocks up among its host's shared contents, those on more than m ** KEEP of a
+style node's m pages. Up to CUTS of these in all are sent to all executors. Beyond that pages are dealt by host and salt, each
+deal preceded by its host's shared contents, which a task holds while the deal's pages stream by: about m ** LOW for each
+style node, and nothing of them is attached to a page.
+
+Parsing takes time in proportion to the page, whatever its end tags and nesting.
 
 Defined results: null or empty html: empty text, 0 characters; null url: the host is empty, and hosts without a name are
-one site; repeated rows are extracted each.
+one site; pages of any length and depth are read whole; repeated rows are extracted each; rows without page_id come out without; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as H
 import re
 from collections.abc import Iterator
@@ -32,11 +38,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LEAST_PAGES, LOW, GAMMA, HELD = 8, 0.3, 0.9, 2
+LEAST_PAGES, LOW, GAMMA, HELD, CUTS, DEAL = 8, 0.3, 0.9, 2, 1 << 18, 1 << 14
 KEEP = 1 - LOW
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|audio|video|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|</(?P<end>[a-z][^\s/>]*)[^>]*>|<(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*)>",
     re.I | re.S,
@@ -47,13 +53,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
+#: What an inline element's end tag doesn't reach beyond.
+BARRIERS = frozenset("td th table article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LOW_TAGS = frozenset("nav aside footer form menu dialog button head search label fieldset".split())
 LOW_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 LOW_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies widget widgets pagination pager paging toolbar copyright hidden".split())
+#: What a class name may end in without meaning anything else.
+PLAIN_WORDS = frozenset("area bar block body bottom box button buttons col column container content group holder inner item items layout left link links list module outer panel right row section slot text title top unit wrap wrapper".split())
 HIGH_WORDS = frozenset("article post entry story content main maincontent articlebody".split())
 
 
+def low_name(name: str) -> bool:
+    """Whether a class or id names what isn't main text: its last part that means anything does (``share-buttons``, not ``share-price``)."""
+    parts = re.findall(r"[a-z]+", name)
+    while len(parts) > 1 and parts[-1] in PLAIN_WORDS:
+        parts.pop()
+    return bool(parts) and parts[-1] in LOW_WORDS
+
+
 class Node:
     __slots__ = ("tag", "style", "prior", "high", "parent", "kids", "path", "heads", "named", "worded")
 
@@ -61,12 +79,13 @@ class Node:
         self.tag, self.parent, self.kids, self.heads = tag, parent, [], False
         said = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs)} if attrs else {}
         cls = said.get("class", "").lower()
-        words = set(re.findall(r"[a-z]+", f"{cls} {said.get('id', '').lower()}")) if said else frozenset()
+        names = f"{cls} {said.get('id', '').lower()}".split() if said else []
+        words = set(re.findall(r"[a-z]+", " ".join(names)))
         role = said.get("role", "").lower()
         self.style = f"{tag}.{'.'.join(sorted(cls.split()))}#{role}" if said else tag
         self.high = tag in ("article", "main") or role in ("main", "article") or bool(words & HIGH_WORDS)
         sure = tag in LOW_TAGS or role in LOW_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
-        low = sure or bool(words & LOW_WORDS)
+        low = sure or any(map(low_name, names))
         self.worded = low and not sure
         self.named = "header" in words and tag not in HEADINGS and not low and tag not in ("article", "main", "body", "html")
         self.prior = 0 if low and tag not in ("article", "main", "body", "html") or (tag == "article" and words & {"comment", "comments", "reply"}) else 1
@@ -81,29 +100,56 @@ def hash64(text: str, seed: int = 0) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+class Open:
+    """The open elements of a page being parsed, with where each tag, each block and each barrier stands among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.barriers = [root], {}, [], [0]
+
+    def push(self, node: Node) -> None:
+        n = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(n)
+        if node.tag in BLOCK:
+            self.blocks.append(n)
+        if node.tag in BARRIERS:
+            self.barriers.append(n)
+
+    def close(self, n: int) -> None:
+        """Closes the elements from the n-th on."""
+        while len(self.stack) > n:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in BARRIERS:
+                self.barriers.pop()
+
+    def last(self, tag: str) -> int:
+        found = self.at.get(tag)
+        return found[-1] if found else 0
+
+
 def parse(html: str) -> Node:
     """The tree of a page: kids are nodes and strings (text, with references still encoded)."""
     root = Node("#root", "", None)
-    now, at = root, 0
-    for m in TOKEN.finditer(html):
+    open_, at, m = Open(root), 0, None
+    closed = html.rfind(">") + 1  # no tag ends beyond; what looks like one there is text
+    for m in TOKEN.finditer(html, 0, closed):
         if m.start() > at:
-            now.kids.append(html[at : m.start()])
+            open_.stack[-1].kids.append(html[at : m.start()])
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag:
             tag = tag.lower()
-            if tag in BLOCK and tag != "body":
-                x = now
-                while x is not root and x.tag not in BLOCK:
-                    x = x.parent
-                if x.tag == "p":
-                    now = x.parent  # a block ends an open paragraph
+            if tag in BLOCK and tag != "body" and open_.blocks and open_.stack[open_.blocks[-1]].tag == "p":
+                open_.close(open_.blocks[-1])  # a block ends an open paragraph
             if tag in CLOSES:
-                x = now
-                while x is not root and x.tag not in SCOPE[tag]:
-                    if x.tag in CLOSES[tag]:
-                        now = x.parent
-                    x = x.parent
+                scope = max(open_.last(x) for x in SCOPE[tag])
+                ends = [found[k] for x in CLOSES[tag] if (found := open_.at.get(x)) and (k := bisect.bisect_right(found, scope)) < len(found)]
+                if ends:
+                    open_.close(min(ends))
+            now = open_.stack[-1]
             node = Node(tag, m["attrs"] if m["tag"] else m["attrs2"], now)
             now.kids.append(node)
             if tag in HEADINGS:
@@ -111,32 +157,28 @@ def parse(html: str) -> Node:
                 while x is not None and not x.heads:
                     x.heads, x = True, x.parent
             if tag not in VOID and not (m[0].endswith("/>") and tag not in BLOCK):
-                now = node
+                open_.push(node)
         elif m["end"]:
             tag = m["end"].lower()
-            x = now
-            while x is not root and x.tag != tag and not (x.tag in ("td", "th", "table", "article", "main") and tag not in BLOCK):
-                x = x.parent
-            if x.tag == tag:
-                now = x.parent
-        elif m["cdata"]:
-            now.kids.append(m["cdata"])
-    if at < len(html):
-        now.kids.append(html[at:])
+            # An inline element's end tag doesn't reach beyond a cell, a table or an article.
+            n = open_.last(tag)
+            if n and (tag in BLOCK or n >= open_.barriers[-1]):
+                open_.close(n)
+    unclosed = m is not None and at == closed and (m[0].startswith("<!--") and not m[0].endswith("-->") or m["raw"] and not re.search(r"</[a-z]+\s*>$", m[0], re.I))
+    if at < len(html) and not unclosed:
+        open_.stack[-1].kids.append(html[at:].partition("<!--")[0])
     clear(root)
     return root
 
 
-def size(node: Node) -> int:
-    """The characters of text in a tree, without white space."""
-    n, todo = 0, [node]
-    while todo:
-        for k in todo.pop().kids:
-            if isinstance(k, Node):
-                todo.append(k)
-            else:
-                n += len("".join(k.split()))
-    return n
+def sizes(root: Node) -> dict[int, int]:
+    """By the id of each node the characters of text in its tree, without white space."""
+    out, order = {}, [root]
+    for x in order:
+        order += [k for k in x.kids if isinstance(k, Node)]
+    for x in reversed(order):
+        out[id(x)] = sum(out[id(k)] if isinstance(k, Node) else len("".join(k.split())) for k in x.kids)
+    return out
 
 
 def clear(root: Node) -> None:
@@ -167,13 +209,17 @@ def clear(root: Node) -> None:
         held = [x for x, under in mains if under]
     elif any(not under for _, under in articles):
         held = []
-    elif articles:
-        held = [max((x for x, _ in articles), key=size)]
     else:
-        half = 0 if free else size(root) / 2
-        held = [x for x in worded if size(x) > half] if half else []
+        size = sizes(root)
+        if articles:
+            held = [max((x for x, _ in articles), key=lambda x: size[id(x)])]
+        else:
+            half = 0 if free else size[id(root)] / 2
+            held = [x for x in worded if size[id(x)] > half] if half else []
+    done: set[int] = set()
     for x in held:
-        while x is not None:
+        while x is not None and id(x) not in done:
+            done.add(id(x))
             if x.worded:
                 x.prior = 1
             x.named, x = False, x.parent
@@ -283,7 +329,7 @@ def style_counts(pages: DataFrame, html: str, url: str) -> DataFrame:
 
 
 def low_branches(counts: DataFrame, low: float = LOW, least: int = LEAST_PAGES, gamma: float = GAMMA) -> DataFrame:
-    """(host, cut): for each host, the (path, text hash, importance) of what has an importance under ``low``.
+    """(host, path, value, importance) of what has an importance under ``low``: value is a text's hash.
 
     A text's importance is 1 - log c / log m; its node's presentation adds (1 - gamma ** kinds of children) times the
     entropy of the children's sequences, to base m, where the node has children.
@@ -297,7 +343,7 @@ def low_branches(counts: DataFrame, low: float = LOW, least: int = LEAST_PAGES,
     g = F.pow(F.lit(gamma), F.coalesce("l", F.lit(0)))
     importance = (1 - g) * F.coalesce("node", F.lit(0.0)) + g * (1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double")))
     text = text.withColumn("importance", importance)
-    return text.where(F.col("importance") < low).groupBy("host").agg(F.collect_list(F.struct("path", "value", "importance")).alias("cut"))
+    return text.where(F.col("importance") < low).select("host", "path", "value", "importance")
 
 
 def main_text(page: str | None, cut: dict[tuple[int, int], float]) -> str:
@@ -308,23 +354,74 @@ def main_text(page: str | None, cut: dict[tuple[int, int], float]) -> str:
     return "\n\n".join(b.text for b in blocks if b.prior and weight(b) * (cut.get((b.path, hash64(b.text)), 1.0) if cut else 1.0) >= LOW)
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """(page_id, url, text, n_chars) per row of pages."""
+OUT = "page_id long, url string, text string, n_chars long"
+
+
+def _texts(ids, urls, texts: list[str]):
     import pyarrow as pa
 
+    return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """(page_id, url, text, n_chars) per row of pages."""
     spark = pages.sparkSession
-    pages = C.wide(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
+    pages = C.wide(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
     cut, _ = C.write_out(spark, low_branches(style_counts(pages, "html", "url")), "styles")
+    pages = pages.withColumn("host", host_of(F.col("url")))
+    few = cut.limit(CUTS + 1).count() <= CUTS
+    return by_table(pages, cut) if few else by_host(pages, cut)
+
+
+def by_table(pages: DataFrame, cut: DataFrame) -> DataFrame:
+    """The pages' texts, with all that hosts share in every task: CUTS rows at most."""
+    by: dict[str, dict[tuple[int, int], float]] = {}
+    for r in cut.collect():
+        by.setdefault(r["host"], {})[r["path"], r["value"]] = r["importance"]
+    shipped = pages.sparkSession.sparkContext.broadcast(by)
 
     def run(batches: Iterator) -> Iterator:
+        by, none = shipped.value, {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [main_text(page, {(c["path"], c["value"]): c["importance"] for c in cut or ()}) for page, cut in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
+                yield _texts(part.column(0), part.column(1), [main_text(page, by.get(host, none)) for host, page in zip(part.column(3).to_pylist(), part.column(2).to_pylist())])
+
+    return pages.mapInArrow(run, OUT)
+
 
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(cut, "host", "left").select("page_id", "url", "html", "cut")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+def by_host(pages: DataFrame, cut: DataFrame) -> DataFrame:
+    """The same by deals of about DEAL pages of a host, each preceded by what the host shares. Pages of hosts that share nothing are in no shuffle."""
+    hosts = cut.select("host").distinct()
+    deals = pages.join(hosts, "host", "left_semi").groupBy("host").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("deals"))
+    deals, _ = C.write_out(pages.sparkSession, deals, "deals")
+    nothing = {"page_id": "long", "url": "string", "html": "string", "path": "long", "value": "long", "importance": "double"}
+    row = lambda side, *own: [F.lit(side).alias("side"), *[F.col(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in nothing.items()]]
+    ahead = cut.join(deals, "host").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("host", "deal", *row(0, "path", "value", "importance"))
+    # A page's deal follows from its own row, so that a lost task deals it again as before.
+    dealt = pages.join(deals, "host").withColumn("deal", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("deals")).cast("int")).select("host", "deal", *row(1, "page_id", "url", "html"))
+
+    def run(batches: Iterator) -> Iterator:
+        now, held = None, {}
+        for batch in batches:
+            host, deal, side, ids, urls, html, path, value, importance = (c.to_pylist() for c in batch.columns)
+            rows, texts = [], []
+            for k in range(batch.num_rows):
+                if now != (host[k], deal[k]):
+                    now, held = (host[k], deal[k]), {}
+                if side[k] == 0:
+                    held[path[k], value[k]] = importance[k]
+                else:
+                    rows.append(k)
+                    texts.append(main_text(html[k], held))
+            if rows:
+                some = batch.take(rows)
+                yield _texts(some.column(3), some.column(4), texts)
+
+    parts = max(pages.sparkSession.sparkContext.defaultParallelism, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of = ahead.unionByName(dealt).repartition(4 * parts, "host", "deal").sortWithinPartitions("host", "deal", "side").mapInArrow(run, OUT)
+    rest = pages.join(hosts, "host", "left_anti").select("page_id", "url", "html", "host")
+    return of.unionByName(by_table(rest, cut.limit(0)))
 
 
 def op2_html(spark, sf_dir: str) -> DataFrame:

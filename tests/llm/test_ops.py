@@ -204,6 +204,54 @@ def test_html_wrappers_named_like_what_they_have_or_lack():
     assert htmltext.main_text("<div class=post><h1>story</h1></div><div class=comments><p>a comment that is longer</p></div>", {}) == "story"
 
 
+def test_what_hosts_share_may_be_more_than_a_task_holds(spark, monkeypatch):
+    """Pages dealt by host, in deals of any size, have the same texts as with a table in every task; and without it other texts."""
+    rows = [(k, f"http://site{k % 3}.org/{k}", f"<body><div><p>Welcome to site {k % 3}</p><p>{'About us' if k % 3 else k}</p></div><div><p>story number {k}</p></div></body>") for k in range(120)]
+    rows += [(None, None, "<p>no host</p>"), (7, "http://alone.org/", "<p>one page</p>"), (8, "http://site1.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = collections.Counter(map(tuple, htmltext.extract(pages).collect()))
+    monkeypatch.setattr(htmltext, "CUTS", 0)
+    for deal in (1 << 14, 5):
+        monkeypatch.setattr(htmltext, "DEAL", deal)
+        assert collections.Counter(map(tuple, htmltext.extract(pages).collect())) == want
+    assert all(t.endswith(f"story number {i}") and "Welcome" not in t for i, u, t, _ in want if u and "site" in u and t)
+    monkeypatch.setattr(htmltext, "low_branches", lambda counts: counts.select("host", "path", "value").withColumn("importance", __import__("pyspark").sql.functions.lit(0.0)).limit(0))
+    monkeypatch.setattr(htmltext, "CUTS", 10)
+    assert all("Welcome" in r.text for r in htmltext.extract(pages).collect() if r.url and "site" in r.url and r.text)
+
+
+def test_importance_by_plain_python(spark):
+    """Importances of a small site against the entropies' definitions."""
+    import math
+
+    html = [f"<div><p>same</p><p>{'shared' if k < 9 else k}</p></div>" + ("<ul><li>x</li></ul>" if k % 2 else "") for k in range(16)]
+    pages = spark.createDataFrame([(k, f"http://h/{k}", x) for k, x in enumerate(html)], "page_id long, url string, html string")
+    got = {(r.path, r.value): r.importance for r in htmltext.low_branches(htmltext.style_counts(pages, "html", "url"), low=2.0, least=2).collect()}
+    blocks = {b.text: b for b in htmltext.branches(htmltext.parse(html[1]))[0]}
+    seen = {html[k] for k in range(16)}  # pages of equal texts count once
+    m = len({(k % 2, "shared" if k < 9 else k) for k in range(16)})
+    for text in ("same", "shared"):
+        b = blocks[text]
+        c = len({x for x in seen if text in x})
+        assert abs(got[b.path, htmltext.hash64(text)] - (1 - math.log(c) / math.log(m))) < 1e-9
+
+
+def test_html_pages_that_try_the_parser():
+    """Time in proportion to the page: unmatched end tags, deep nesting, lists and cells without their scope, wrappers by name."""
+    import time
+
+    n = 40_000
+    hostile = ["<b>" * n + "</i>" * n, "<i><table><td>" + "<b>" * n + "</i>" * n, "<div>" * n + "<li>" * n, "<td>" * n, "<b>" * n + "<p></p>" * n, "<div class=sidebar>" * n + "x", "<p>" * n, "</p>" * n, "<h1>" * n, "<" * n, "<a " * n, "&amp;" * n, "<!--" * n, "<script>" * n]
+    for page in hostile:
+        began = time.time()
+        htmltext.main_text(page, {})
+        assert time.time() - began < 5, page[:20]
+    assert htmltext.main_text("<p>a<![CDATA[ hidden ]]>b</p>", {}) == "ab"
+    assert [htmltext.main_text(x, {}) for x in ("<p>a<!-- b > c", "<p>a<!-- b", "<p>a<script>b > c", "<p>a < b", "<p>a<b c", "<p>a<script>x</script>b")] == ["a", "a", "a", "a < b", "a<b c", "ab"]
+    assert htmltext.main_text("<main><div class=share-price><p>12 euros</p></div><div id=notice-board><p>found: a cat</p></div><div class=share-buttons>x</div><p>story</p></main>", {}) == "12 euros\n\nfound: a cat\n\nstory"
+    assert htmltext.main_text("<i><b>one</i>two</b> three<table><tr><td>x</i>y<td>z</table>", {}) == "onetwo three\n\nxy\n\nz"
+
+
 def test_html_real(spark):
     import html
 

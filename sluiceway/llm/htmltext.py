@@ -367,7 +367,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     """(page_id, url, text, n_chars) per row of pages."""
     spark = pages.sparkSession
     pages = C.wide(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
-    cut, _ = C.write_out(spark, low_branches(style_counts(pages, "html", "url")), "styles")
+    # Written, for each kind of count is read on its own, and pages are to be parsed once for all.
+    counts, counts_at = C.write_out(spark, style_counts(pages, "html", "url"), "counts")
+    cut, _ = C.write_out(spark, low_branches(counts), "styles")
+    C.drop_path(spark, counts_at)
     pages = pages.withColumn("host", host_of(F.col("url")))
     few = cut.limit(CUTS + 1).count() <= CUTS
     return by_table(pages, cut) if few else by_host(pages, cut)

@@ -10,7 +10,7 @@ within half of REACH standard deviations of a difference along the normal, as th
 least LEAST_PROBES lists). Table lookups give asymmetric distances; a pair stays if its distance less the code's error
 is within the threshold's, so the codes lose nothing; cosines in double precision, of the vectors as they came, decide.
 
-Neighbouring lists form groups, and groups are cut into blocks of about BLOCK vectors: units of work, each of which holds
+Neighbouring lists form groups, and groups are cut into blocks of about BLOCK bytes of vectors: units of work, each of which holds
 its vectors while the queries of its lists stream by. A query is sent to a unit once, however many of the group's lists
 it probes. A list with a third of all vectors is many units. A unit gives, for each vector, its number of links, and a
 spanning forest of the links found, never the pairs. A pair found from one side counts for both.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, PER_LIST, MAX_LISTS, BLOCK, SUBSPACES, CODES, REACH, LOCAL, LEAST_PROBES = 20_000, 128, 2048, 4096, 8, 256, 2.6, 4, 2
-SAMPLE_BYTES, GROUP = 64 << 20, 8
+SAMPLE, PER_LIST, MAX_LISTS, BLOCK, SUBSPACES, CODES, REACH, LOCAL, LEAST_PROBES = 20_000, 128, 2048, 16 << 20, 8, 256, 2.6, 4, 2
+SAMPLE_BYTES, GROUP, ROWS = 64 << 20, 24, 8192
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool, seed: int = 11) -> np.ndarray:
@@ -234,8 +234,12 @@ class Unit:
                     by.setdefault(h, []).append(k)
         for h, asked in by.items():
             rows, asked = self.lists[h], np.array(asked)
-            i, j = np.nonzero(self.index.candidates(q[asked], h - self.base, self.codes[rows], self.error[rows]))
-            i, j = asked[i], rows[j]
+            found = []
+            for lo in range(0, len(rows), ROWS):
+                some = rows[lo : lo + ROWS]
+                i, j = np.nonzero(self.index.candidates(q[asked], h - self.base, self.codes[some], self.error[some]))
+                found.append((asked[i], some[j]))
+            i, j = (np.concatenate(x) for x in zip(*found))
             for c in range(0, len(i), 65536):
                 a, b = i[c : c + 65536], j[c : c + 65536]
                 cos = np.einsum("ij,ij->i", q[a], self.v[b].astype(np.float64)) / (qn[a] * self.norm[b])
@@ -320,7 +324,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, embedding: str = "e
         return alone.select("*", kept)
     all_ = indexes(sample_of(reps, sizes, sample), sizes, cosine)
     coded, coded_at = C.write_out(spark, indexed(reps, all_, kind), "coded")
-    blocks = {r["grp"]: -(-r["count"] // BLOCK) for r in coded.groupBy("grp").count().collect()}  # a row for each group
+    size = int(kind[2])
+    blocks = {r["grp"]: -(-r["count"] * r["d"] * size // BLOCK) for r in coded.groupBy("grp", "d").count().collect()}  # a row for each group
     found, found_at = C.write_out(spark, search(coded, all_, blocks, kind), "found")
     C.drop_path(spark, coded_at)
     links, _ = C.write_out(spark, found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links")), "links")

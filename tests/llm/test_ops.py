@@ -433,7 +433,8 @@ def test_embeddings_of_several_lengths(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicates(vectors).collect()}
     assert sum(got[k][0] for k in lab) >= 0.98 * sum(lab.values()) and all(got[k][0] <= n for k, n in lab.items())
     assert [got[k][0] for k in range(40)] == [lab[k] for k in range(40)]
-    monkeypatch.setattr(pq, "BLOCK", 50)
+    monkeypatch.setattr(pq, "BLOCK", 1000)
+    monkeypatch.setattr(pq, "ROWS", 30)
     assert {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicates(vectors).collect()} == got
 
 

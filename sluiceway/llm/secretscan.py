@@ -40,7 +40,8 @@ _ANNOUNCED = rf"{_NAMES}[A-Za-z_]{{0,12}}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}
 _VALUE = rf"[^\s\"'`<>]{{{LEAST - 1},}}(?<![,;.)\]}}])|[^\s\"'`<>]{{{LEAST},}}"
 _RUN = rf"(?<![{RUN}])(?:(?=[A-Za-z+/_-]*+[0-9])|(?=[A-Z0-9+/_-]*+[a-z][a-z0-9+/_-]*+[A-Z])|(?=A[KS]IA[A-Z0-9]{{16}}))[A-Za-z0-9+/_][{RUN}]{{{LONG - 1},}}={{0,2}}"
 BEFORE = rf"(?:{_ANNOUNCED})(?!eyJ[\w-]{{5,}}\.|-----BEGIN|A[KS]IA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|npm_|AIza)"
-CANDIDATE = rf"{_KEY}|{_SIGNED}|{_USER}[^\s:/@?#\"']+|{BEFORE}(?:{_VALUE})|{_RUN}"
+#: Each alternative looks at its first character before all else.
+CANDIDATE = rf"(?=-){_KEY}|(?=e){_SIGNED}|(?<=/){_USER}[^\s:/@?#\"']+|(?=[ABCPSTabcpst]){BEFORE}(?:{_VALUE})|(?=[A-Za-z0-9+/_]){_RUN}"
 # Word parts of the dictionary, and words that announce a secret or its opposite.
 PARTS = "account admin agent alpha and archive asset author auto back base beta block book build cache card case cent change check class client code col com commit con config content copy count data date default demo dev dir doc down edit end ent error event example file final first fix font form full game get global group guide hand head help here high home host house icon image index info ing input item java job json just key lab lang last left level lib light line link list load local log long low mail main make man map mark media menu ment meta mini mode model module name net new next node note number object off old one open order out over page part path photo place plan play point post pre press price print pro product project public query read real record red ref release report res right role root row sample screen script search section select sent server service set shop side sign site size small source space spec start state step stop store string style sub super support switch system tab table tag task team temp term test text the theme time tion title tool top track type under unit update url use user util value version video view web week white wide window word work world year your zone".split()
 SECRET_WORDS = "token|secret|passw|passwd|passphrase|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential|client_secret|encryption_key|signing"

@@ -49,3 +49,17 @@ def unescape_some(x: Column) -> Column:
 def strip_tags(x: Column) -> Column:
     """Tags removed, references decoded, ends stripped."""
     return strip(unescape(F.regexp_replace(x, "<[^>]+>", "")))
+
+
+def words(x: Column, separator: str = r"[,\s]+") -> Column:
+    """The parts of a list given as text, without blank ones."""
+    return F.filter(F.transform(F.split(x, separator), strip), lambda p: p != "")
+
+
+def page_numbers(x: Column, pages: Column) -> Column:
+    """The numbers of ``1,3-5`` that are pages of so many: digits alone or two of them with a hyphen, each once, in order; all else is passed over."""
+    each = F.transform(F.split(x, ","), strip)
+    some = F.filter(each, lambda p: F.rlike(p, F.lit(r"^\d{1,6}(?:-\d{1,6})?$")))
+    spans = F.transform(some, lambda p: F.struct(F.greatest(F.lit(1), F.substring_index(p, "-", 1).cast("int")).alias("lo"), F.least(pages, F.substring_index(p, "-", -1).cast("int")).alias("hi")))
+    whole = F.flatten(F.transform(F.filter(spans, lambda s: s["lo"] <= s["hi"]), lambda s: F.sequence(s["lo"], s["hi"])))
+    return F.array_sort(F.array_distinct(whole))

@@ -42,6 +42,11 @@ def normal_site(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "^https?://", ""), "^/+|/+$", "")
 
 
+def query_string(**params: Column) -> Column:
+    """``a=x+y&b=z``: values percent-encoded, spaces as plus signs."""
+    return F.concat_ws("&", *[F.concat(F.lit(f"{k}="), F.url_encode(v)) for k, v in params.items()])
+
+
 def slash_join(base: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(path, "^/+", ""))
 

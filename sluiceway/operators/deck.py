@@ -9,7 +9,7 @@ from ..functions import text as T
 
 # Fixed values of the template format.
 CAP_MAX = {"title": 24, "subtitle": 34, "item_head": 14, "item_body": 80}
-CAP_OTHER, FINE_PRINT, TOP_AREA, BAND, TOLERANCE, MAX_ITEMS = 40, 9.0, 2011680, 548640, 1.15, 6
+CAP_OTHER, FINE_PRINT, TOP_AREA, BAND, TOLERANCE, MAX_ITEMS, SAMPLE = 40, 9.0, 2011680, 548640, 1.15, 6, 24
 DECOR = [r"^\d{1,2}$", r"^(PART|Part)\s*\.?\s*\d+$", r"^[A-Za-z][A-Za-z\s\.&/-]*$", r"^第?[一二三四五六七八九十]+$"]
 TOC_HINTS, CLOSING_HINTS = ("目录", "CONTENTS", "CONTENT"), ("谢谢", "感谢", "THANKS", "THANK YOU")
 SECTION_NO = r"(?i)^(0?\d|PART\s*\.?\s*\d+)$"
@@ -98,6 +98,69 @@ def pair(slots: DataFrame) -> DataFrame:
     return per.select("slide", F.explode(F.concat(heads, bodies)).alias("x")).select("slide", "x.*")
 
 
+def index_slides(shapes: DataFrame) -> DataFrame:
+    """(slide, kind, items, slots) of a template: its slots in reading order, with role, the text's beginning, capacity and item number.
+
+    shapes: slide_kinds()'s columns and sid. Decoration and section numbers have no capacity; heads and bodies are paired.
+    items, the number of items a slide holds, is null for dividers and tables, as for slides without heads and bodies.
+    """
+    kinds = slide_kinds(shapes)
+    slots = shapes.join(slot_roles(shapes, kinds), ["slide", "pos"])
+    paired = pair(slots).select("slide", "pos", "idx")
+    df = slots.join(paired, ["slide", "pos"], "left")
+    text = T.strip(F.col("text"))
+    cap = F.when(~F.col("role").isin("decor", "no"), slot_cap(F.col("role"), capacity(F.col("width"), F.col("height"), F.col("font_pt")), text)).cast("int")
+    at = [F.floor(F.col("top") / BAND).alias("band"), F.col("left").alias("left"), F.col("pos").alias("pos")]
+    each = F.struct(*at, F.struct(F.col("sid").cast("int").alias("sid"), "role", F.left(text, F.lit(SAMPLE)).alias("sample"), cap.alias("cap"), "idx").alias("slot"))
+    per = df.groupBy("slide").agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["slot"]).alias("slots"), (F.max("idx") + 1).alias("items"))
+    counted = F.col("kind").isin("content", "toc", "cover", "closing")
+    return per.join(kinds, "slide").select("slide", "kind", F.when(counted, F.col("items")).alias("items"), "slots")
+
+
+def slides_of(index: DataFrame) -> DataFrame:
+    """(i, kind, items, title_cap) of an index, as allocate() and rebuild() take them: the title's tightest capacity."""
+    caps = F.transform(F.filter("slots", lambda x: (x["role"] == "title") & x["cap"].isNotNull()), lambda x: x["cap"])
+    return index.select(F.col("slide").alias("i"), "kind", "items", F.array_min(caps).alias("title_cap"))
+
+
+def slots_of(index: DataFrame) -> DataFrame:
+    """(i, kind, sid, role, cap, idx, sample) of an index, as fill() takes them."""
+    return index.select(F.col("slide").alias("i"), "kind", F.explode("slots").alias("s")).select("i", "kind", "s.sid", "s.role", "s.cap", "s.idx", "s.sample")
+
+
+def blank_pages(index: DataFrame) -> DataFrame:
+    """(i, kind, caps, items) of what is to be written on each slide: by role the tightest capacity, and items with a placeholder in each field that has a slot."""
+    caps = F.filter("slots", lambda x: x["cap"].isNotNull())
+    least = lambda r: F.struct(r.alias("role"), F.array_min(F.transform(F.filter(caps, lambda x: x["role"] == r), lambda x: x["cap"])).alias("cap"))
+    tight = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform(caps, lambda x: x["role"]))), least))
+    of = lambda role, k: F.filter("slots", lambda x: (x["role"] == role) & (x["idx"] == k))
+    front = F.col("kind").isin("cover", "closing")
+
+    def item(k):
+        body = F.get(of("item_body", k), F.lit(0))
+        head = F.when(F.col("kind") == "toc", F.lit("{章节名}")).when(~front & (F.size(of("item_head", k)) > 0), F.lit("{要点}"))
+        text = F.when(front, F.concat(F.lit("{"), F.coalesce(body["sample"], F.lit("署名")), F.lit("}"))).when((F.col("kind") != "toc") & (body.isNotNull() | head.isNull()), F.lit("{说明}"))
+        return F.struct(head.alias("head"), text.alias("body"))
+
+    items = F.when(F.coalesce("items", F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col("items") - 1), item))
+    return index.select(F.col("slide").alias("i"), "kind", F.when(F.size(tight) > 0, tight).alias("caps"), items.alias("items"))
+
+
+def kind_counts(kinds: DataFrame) -> DataFrame:
+    """(ord, kind, n) of a template's slides, in the kinds' order; kinds without a slide are left out."""
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(place.alias("ord"), "kind", "n")
+
+
+def summary(index: DataFrame) -> DataFrame:
+    """(slides, kinds, capacities, line) of a template: one row."""
+    by = kind_counts(index).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "kind", "n"))), lambda x: F.concat(x["kind"], x["n"].cast("string"))), " ").alias("kinds"), F.sum("n").alias("slides"))
+    items = F.when((F.col("kind") == "content") & (F.col("items") > 0), F.col("items"))
+    room = index.agg(F.sort_array(F.collect_set(items)).alias("capacities"))
+    line = F.concat(F.col("slides").cast("string"), F.lit(" slides ("), "kinds", F.lit("); items: "), F.when(F.size("capacities") > 0, F.array_join(F.transform("capacities", lambda x: x.cast("string")), "/")).otherwise("-"))
+    return by.crossJoin(room).select("slides", "kinds", "capacities", line.alias("line"))
+
+
 def pool(slides: DataFrame) -> DataFrame:
     """(i, items, title_cap) of content slides with 1 to MAX_ITEMS items; with two or more if there are any."""
     usable = slides.where((F.col("kind") == "content") & F.col("items").between(1, MAX_ITEMS))
@@ -139,9 +202,19 @@ def label(kind: Column) -> Column:
     return out
 
 
-def cards(pages: DataFrame, total: int) -> DataFrame:
-    """(page, card): a page as text. pages: (page, kind, title, subtitle, items array<struct<head,body>>)."""
-    no = F.sum((F.col("kind") == "section").cast("int")).over(Window.orderBy("page"))
+def _deck(df: DataFrame) -> list[str]:
+    """The key of a table that holds several decks."""
+    return ["deck"] if "deck" in df.columns else []
+
+
+def _numbered(pages: DataFrame) -> Column:
+    """The number of the section that a page belongs to, by deck."""
+    return F.sum((F.col("kind") == "section").cast("int")).over(Window.partitionBy(*_deck(pages)).orderBy("page"))
+
+
+def cards(pages: DataFrame) -> DataFrame:
+    """(page, card): a page as text. pages: (page, kind, title, subtitle, items array<struct<head,body>>), and deck if there are several."""
+    df = pages.withColumn("no", _numbered(pages))
     title, sub = F.coalesce("title", F.lit("")), F.coalesce("subtitle", F.lit(""))
     head = F.concat(F.lit("**第 "), F.col("page").cast("string"), F.lit(" 页**　`"), label(F.col("kind")), F.lit("`"))
     front = F.col("kind").isin("cover", "closing")
@@ -152,21 +225,62 @@ def cards(pages: DataFrame, total: int) -> DataFrame:
 
     items = F.transform(F.coalesce("items", F.array()), line)
     first = F.when((F.col("kind") == "section") | front | (title == ""), head).otherwise(F.concat(head, F.lit("　"), title))
-    own = F.when(F.col("kind") == "section", F.array(F.concat(F.lit("### "), F.lpad(no.cast("string"), 2, "0"), F.lit(" · "), title))).when(front, F.when(sub != "", F.array(F.concat(F.lit("# "), title), sub)).otherwise(F.array(F.concat(F.lit("# "), title)))).when(sub != "", F.array(F.concat(F.lit("*"), sub, F.lit("*")))).otherwise(F.array().cast("array<string>"))
-    return pages.select("page", F.array_join(F.concat(F.array(first), own, items), "\n").alias("card"))
+    own = F.when(F.col("kind") == "section", F.array(F.concat(F.lit("### "), F.lpad(F.col("no").cast("string"), 2, "0"), F.lit(" · "), title))).when(front, F.when(sub != "", F.array(F.concat(F.lit("# "), title), sub)).otherwise(F.array(F.concat(F.lit("# "), title)))).when(sub != "", F.array(F.concat(F.lit("*"), sub, F.lit("*")))).otherwise(F.array().cast("array<string>"))
+    return df.select(*_deck(pages), "page", F.array_join(F.concat(F.array(first), own, items), "\n").alias("card"))
+
+
+def preview(cards_: DataFrame, template: str, title: str) -> DataFrame:
+    """(text): whole cards, a row for each deck: a head line, the pages between separators, a separator. A deck is as long as its pages."""
+    by = _deck(cards_)
+    whole = cards_.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("page", "card"))).alias("c"))
+    head = F.concat(F.lit(f"**{title}**　模板：{template}　共 "), F.size("c").cast("string"), F.lit(" 页"))
+    pages = F.array_join(F.transform("c", lambda x: x["card"]), "\n\n---\n\n")
+    return whole.select(*by, F.concat(head, F.lit("\n\n---\n\n"), pages, F.lit("\n\n---\n")).alias("text"))
+
+
+CARD_HEAD = r"^\*\*(.+?)\*\*[　 ]+模板：(.+?)[　 ]+共 (\d+) 页$"
+
+
+def read_cards(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(card, page, kind, title, subtitle, items) of whole card texts (card, text), and (card, error) of those that aren't right.
+
+    What stands before the head line is noise; pages end at the first block that begins with no page's head. A text
+    without a head line or without pages, with a page of unknown label, a divider without a title, or another number of
+    pages than its head line says is an error, and gives no pages. Pages are numbered by their place.
+    """
+    lines = F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, f"{T.SPACE}+$", ""))
+    at = F.array_position(F.transform("lines", lambda x: F.rlike(x, F.lit(CARD_HEAD))), F.lit(True))
+    df = texts.select("card", lines.alias("lines")).withColumn("at", at.cast("int"))
+    df = df.withColumn("head", F.when(F.col("at") > 0, F.element_at("lines", F.greatest("at", F.lit(1)))))
+    body = F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines") - F.col("at"), F.lit(0)))
+    blocks = F.filter(F.split(F.array_join(F.filter(F.transform(body, lambda x: F.when(T.strip(x) == "---", F.lit("\x01")).otherwise(x)), lambda x: x != ""), "\n"), "\x01"), lambda b: T.strip(b) != "")
+    first = lambda b: F.get(F.filter(F.split(b, "\n"), lambda x: x != ""), F.lit(0))
+    df = df.withColumn("blocks", F.when(F.col("at") > 0, blocks))
+    foreign = F.array_position(F.transform("blocks", lambda b: ~F.rlike(first(b), F.lit(PAGE_HEAD))), F.lit(True))
+    df = df.withColumn("end", foreign.cast("int")).withColumn("own", F.when(F.col("end") > 0, F.slice("blocks", 1, F.col("end") - 1)).otherwise(F.col("blocks")))
+    labels = F.transform("own", lambda b: T.strip(F.regexp_extract(first(b), PAGE_HEAD, 2)))
+    unknown = F.get(F.filter(labels, lambda x: ~x.isin(*LABELS.values())), F.lit(0))
+    bare = F.exists("own", lambda b: (F.regexp_extract(first(b), PAGE_HEAD, 2) == LABELS["section"]) & ~F.rlike(b, F.lit(r"(?m)^### \d+ · .+$")) & (T.strip(F.regexp_extract(first(b), PAGE_HEAD, 3)) == ""))
+    said = F.regexp_extract("head", CARD_HEAD, 3).cast("int")
+    error = F.when(F.col("head").isNull(), F.lit("no head line")).when(F.size("own") == 0, F.lit("no pages")).when(unknown.isNotNull(), F.concat(F.lit("unknown label "), unknown)).when(bare, F.lit("divider without a title")).when(F.size("own") != said, F.concat(F.lit("head line says "), said.cast("string"), F.lit(" pages, there are "), F.size("own").cast("string")))
+    df = df.withColumn("error", error)
+    each = df.where("error IS NULL").select("card", F.posexplode("own").alias("k", "block"))
+    parsed = parse_cards(each.select(F.struct("card", "k").alias("key"), F.col("block").alias("card")), ["key"])
+    return parsed.select(F.col("key.card").alias("card"), (F.col("key.k") + 1).alias("page"), "kind", "title", "subtitle", "items"), df.where("error IS NOT NULL").select("card", "error")
 
 
 PAGE_HEAD = r"^\*\*第 (\d+) 页\*\*[　 ]+`([^`]+)`(?:[　 ]+(.*))?$"
 
 
-def parse_cards(cards_: DataFrame) -> DataFrame:
-    """(page, kind, title, subtitle, items) of card texts; rows whose first line is no page head are left out."""
+def parse_cards(cards_: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(page, kind, title, subtitle, items) of card texts, and columns to keep (deck by default); rows whose first line is no page head are left out (read_cards() tells what is wrong with whole texts)."""
+    keep = _deck(cards_) if keep is None else keep
     lines = F.filter(F.transform(F.split("card", "\n"), lambda x: T.strip(x)), lambda x: x != "")
-    df = cards_.select(lines.alias("l")).withColumn("h", F.get("l", F.lit(0))).where(F.rlike("h", F.lit(PAGE_HEAD)))
+    df = cards_.select(*keep, lines.alias("l")).withColumn("h", F.get("l", F.lit(0))).where(F.rlike("h", F.lit(PAGE_HEAD)))
     kind = F.lit(None).cast("string")
     for k, v in LABELS.items():
         kind = F.when(F.regexp_extract("h", PAGE_HEAD, 2) == v, k).otherwise(kind)
-    df = df.select(F.regexp_extract("h", PAGE_HEAD, 1).cast("int").alias("page"), kind.alias("kind"), F.regexp_extract("h", PAGE_HEAD, 3).alias("t"), F.slice("l", 2, 1000).alias("l"))
+    df = df.select(*keep, F.regexp_extract("h", PAGE_HEAD, 1).cast("int").alias("page"), kind.alias("kind"), F.regexp_extract("h", PAGE_HEAD, 3).alias("t"), F.slice("l", F.lit(2), F.size("l")).alias("l"))
     bullets = F.filter("l", lambda x: F.startswith(x, F.lit("- ")))
     front = F.col("kind").isin("cover", "closing")
 
@@ -182,7 +296,7 @@ def parse_cards(cards_: DataFrame) -> DataFrame:
     rest = F.get(F.filter("l", lambda x: ~F.startswith(x, F.lit("- ")) & ~F.startswith(x, F.lit("#"))), F.lit(0))
     title = F.when(front, F.substr(big, F.lit(3))).when(F.col("kind") == "section", F.regexp_replace(sec, r"^### \d+ · ", "")).otherwise(F.col("t"))
     sub = F.when(front, rest).otherwise(F.regexp_replace(rest, r"^\*|\*$", ""))
-    return df.select("page", "kind", title.alias("title"), sub.alias("subtitle"), F.transform(bullets, item).alias("items"))
+    return df.select(*keep, "page", "kind", title.alias("title"), sub.alias("subtitle"), F.transform(bullets, item).alias("items"))
 
 
 def default_sections(slides: DataFrame) -> DataFrame:
@@ -199,6 +313,12 @@ def default_sections(slides: DataFrame) -> DataFrame:
     return names.select("template", F.row_number().over(mine.orderBy("at")).alias("ord"), "name")
 
 
+def same(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows by which two parsed cards differ, with the side that has them: none if a card was rebuilt as it was."""
+    one = lambda x, y, side: x.exceptAll(y).withColumn("side", F.lit(side))
+    return one(a, b, "first").unionByName(one(b, a, "second"))
+
+
 def rebuild(skeleton: DataFrame, parsed: DataFrame, slides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages as written on cards, errors (page, error)). skeleton: what allocate gives; parsed: what parse_cards gives.
 
@@ -228,7 +348,7 @@ def cap_warnings(pages: DataFrame, caps: DataFrame) -> DataFrame:
     one = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
     items = F.flatten(F.transform(F.coalesce("items", F.array()), lambda x: F.array(one("item_head", x["head"]), one("item_body", x["body"]))))
     said = pages.select("page", F.col("src").alias("i"), F.explode(F.concat(F.array(one("title", F.col("title")), one("subtitle", F.col("subtitle"))), items)).alias("x")).select("page", "i", "x.*")
-    df = said.join(F.broadcast(caps), ["i", "role"])
+    df = said.join(caps, ["i", "role"])
     return df.where((F.length("text") > F.col("cap")) & (F.col("cap") > 0) & ~F.startswith("text", F.lit("{"))).select("page", "role", "text", "cap")
 
 
@@ -236,41 +356,59 @@ FIELD = r"^items\[(\d+)\]\.(head|body)$"
 
 
 def patch(pages: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(patched pages, invalid ops). ops: (ord, page, field, value); the last of a page's field wins; with any invalid op nothing changes."""
-    n = pages.select("page", F.size("items").alias("n"))
+    """(patched pages, invalid ops). ops: (ord, page, field, value); the last of a page's field wins; with any invalid op nothing of the deck changes.
+
+    With a column deck in both tables, ops are those of each deck.
+    """
+    by = _deck(pages)
+    n = pages.select(*by, "page", F.size("items").alias("n"))
     at = F.regexp_extract("field", FIELD, 1)
-    j = ops.join(F.broadcast(n), "page", "left").withColumn("k", F.when(at != "", at.cast("int")))
+    j = ops.join(n, [*by, "page"], "left").withColumn("k", F.when(at != "", at.cast("int")))
     ok = F.col("n").isNotNull() & F.col("value").isNotNull() & (F.col("field").isin("title", "subtitle") | (F.col("k") < F.col("n")))
-    bad = j.where(~F.coalesce(ok, F.lit(False))).select("ord", "page", "field")
-    last = j.groupBy("page", "field").agg(F.max_by("value", "ord").alias("value")).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"))
-    fine = bad.agg((F.count(F.lit(1)) == 0).alias("fine"))
-    df = pages.join(last, "page", "left").join(F.broadcast(fine)).withColumn("m", F.when(F.col("fine"), F.col("m")))
+    bad = j.where(~F.coalesce(ok, F.lit(False))).select(*by, "ord", "page", "field")
+    last = j.groupBy(*by, "page", "field").agg(F.max_by("value", "ord").alias("value")).groupBy(*by, "page").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"))
+    if by:
+        last = last.join(bad.select(*by).distinct(), by, "left_anti")
+    else:
+        last = last.crossJoin(bad.agg((F.count(F.lit(1)) == 0).alias("fine"))).where("fine").drop("fine")
+    df = pages.join(last, [*by, "page"], "left")
     get = lambda field, old: F.coalesce(F.element_at("m", field), old)
     items = F.transform("items", lambda x, i: F.struct(get(F.concat(F.lit("items["), i.cast("string"), F.lit("].head")), x["head"]).alias("head"), get(F.concat(F.lit("items["), i.cast("string"), F.lit("].body")), x["body"]).alias("body")))
-    return df.select("page", "kind", get(F.lit("title"), F.col("title")).alias("title"), get(F.lit("subtitle"), F.col("subtitle")).alias("subtitle"), items.alias("items")), bad
+    return df.select(*by, "page", "kind", get(F.lit("title"), F.col("title")).alias("title"), get(F.lit("subtitle"), F.col("subtitle")).alias("subtitle"), items.alias("items")), bad
+
+
+def unknown_slides(pages: DataFrame, slots: DataFrame) -> DataFrame:
+    """(page, error) of pages whose slide the index doesn't have."""
+    lost = pages.join(slots.select(F.col("i").alias("src")).distinct(), "src", "left_anti")
+    return lost.select(*_deck(pages), "page", F.concat(F.lit("no slide "), F.coalesce(F.col("src").cast("string"), F.lit("given"))).alias("error"))
 
 
 def fill(pages: DataFrame, slots: DataFrame) -> DataFrame:
-    """(page, sid, text): what goes into each slot. pages: (page, src, title, subtitle, items); slots: (i, kind, sid, role, idx). Decoration stays."""
-    no = F.sum((F.col("kind") == "section").cast("int")).over(Window.orderBy("page"))
+    """(page, sid, text): what goes into each slot. pages: (page, src, title, subtitle, items), and deck if there are several; slots: (i, kind, sid, role, idx). Decoration stays.
+
+    Pages of slides that the index doesn't have are errors, given by unknown_slides(), and have no slots.
+    """
+    by = _deck(pages)
     kinds = slots.select("i", "kind").distinct()
-    df = pages.drop("kind").join(kinds, F.col("src") == F.col("i")).withColumn("no", no).drop("i", "kind").join(slots, F.col("src") == F.col("i"))
+    df = pages.drop("kind").join(kinds, F.col("src") == F.col("i"))
+    df = df.withColumn("no", _numbered(df)).drop("i", "kind").join(slots, F.col("src") == F.col("i"))
     item = F.get("items", F.coalesce("idx", F.lit(0)))
     text = F.when((F.col("role") == "no") & (F.col("kind") == "section"), F.lpad(F.col("no").cast("string"), 2, "0")).when(F.col("role") == "title", F.col("title")).when(F.col("role") == "subtitle", F.col("subtitle")).when(F.col("role") == "item_head", item["head"]).when(F.col("role") == "item_body", item["body"])
-    return df.where("role <> 'decor' AND (role <> 'no' OR kind = 'section')").select("page", "sid", F.coalesce(text, F.lit("")).alias("text"))
+    return df.where("role <> 'decor' AND (role <> 'no' OR kind = 'section')").select(*by, "page", "sid", F.coalesce(text, F.lit("")).alias("text"))
 
 
 def content_issues(filled: DataFrame, caps: DataFrame) -> DataFrame:
-    """(page, sid, category): placeholders left over, and text beyond a cap's tolerance. caps: (page, sid, cap)."""
+    """(page, sid, category): placeholders left over, and text beyond a cap's tolerance. caps: cap by any of deck, page and sid."""
     text = T.strip(F.col("text"))
-    df = filled.join(caps, ["page", "sid"], "left").where(text != "")
+    by = _deck(filled)
+    df = filled.join(caps, [*(c for c in by if c in caps.columns), *(c for c in ("page", "sid") if c in caps.columns)], "left").where(text != "")
     both = F.filter(F.array(F.when(_any(F.col("text"), RESIDUE), F.lit("residue")), F.when(F.length(text) > F.col("cap") * TOLERANCE, F.lit("overflow"))), lambda x: x.isNotNull())
-    return df.select("page", "sid", F.explode(both).alias("category"))
+    return df.select(*by, "page", "sid", F.explode(both).alias("category"))
 
 
 def todo_slots(filled: DataFrame) -> DataFrame:
     """(page, todo): runs of two underscores or more."""
-    return filled.groupBy("page").agg(F.sum(F.regexp_count("text", F.lit("_{2,}"))).alias("todo")).where("todo > 0")
+    return filled.groupBy(*_deck(filled), "page").agg(F.sum(F.regexp_count("text", F.lit("_{2,}"))).alias("todo")).where("todo > 0")
 
 
 def package_issues(used: DataFrame, rels: DataFrame, parts: DataFrame, shapes: DataFrame, charts: DataFrame | None = None) -> DataFrame:
@@ -292,3 +430,10 @@ def package_issues(used: DataFrame, rels: DataFrame, parts: DataFrame, shapes: D
     kind = F.substring_index(F.coalesce("type", F.lit("")), "/", -1)
     led = charts.join(rels.select(*by, "part", "rid", "type"), [*by, "part", "rid"], "left").where(~F.endswith(F.coalesce("type", F.lit("")), F.lit("/package")))
     return out.unionByName(led.select(*by, F.lit("chart_data").alias("category"), "part", F.coalesce(F.nullif(kind, F.lit("")), F.lit("missing")).alias("detail")))
+
+
+def grid(cells: Column, columns: int) -> Column:
+    """(rows, row, column) of the cells 0, 1, ... of a grid: the number of rows it takes, and each cell's place."""
+    rows = F.ceil(cells / columns).cast("int")
+    place = lambda k: F.struct(F.floor(k / columns).cast("int").alias("row"), (k % columns).cast("int").alias("column"))
+    return F.struct(rows.alias("rows"), F.when(cells > 0, F.transform(F.sequence(F.lit(0), cells.cast("int") - 1), place)).otherwise(F.array().cast("array<struct<row:int,column:int>>")).alias("cells"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..session import checkpointed
 
 # Markup that is looked for, the bound of sitemaps read, and the engine's own domains.
 LOC = r"(?is)<loc>\s*([^<\s]+)\s*</loc>"
@@ -40,23 +41,78 @@ def top_entries(entries: DataFrame, match: str = "", since: str = "", limit: int
     return best.select("url", "lastmod", F.row_number().over(Window.orderBy(F.desc("lastmod"), order)).alias("rank"))
 
 
+def locate(sites: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, url, ord) of the sitemaps with which each site begins, and (site, kind, detail) of sites without any.
+
+    sites: (site), with or without scheme; fetched: (url, text, kind), kind being null where there is a text. Roots are
+    tried in turn: the sitemaps that a root's robots.txt names, else its /sitemap.xml if that is one. Of a site without
+    any the first refusal is told, else that there is none.
+    """
+    tried = sites.select("site", F.posexplode(U.roots(F.col("site"))).alias("r", "root"))
+    files = tried.select("site", "r", "root", F.posexplode(F.array(F.lit("/robots.txt"), F.lit("/sitemap.xml"))).alias("f", "file")).withColumn("url", F.concat("root", "file"))
+    got = files.join(fetched, "url", "left")
+    declared = got.where("f = 0").select("site", "r", "f", F.posexplode(robots_sitemaps(F.col("text"))).alias("ord", "found"))
+    plain = got.where((F.col("f") == 1) & F.rlike("text", F.lit(XML))).select("site", "r", "f", F.lit(0).alias("ord"), F.col("url").alias("found"))
+    both = declared.unionByName(plain)
+    best = both.groupBy("site").agg(F.min(F.struct("r", "f")).alias("b"))
+    roots_ = both.join(best, "site").where((F.col("r") == F.col("b.r")) & (F.col("f") == F.col("b.f"))).select("site", F.col("found").alias("url"), "ord")
+    refused = F.min_by("kind", F.when(F.col("kind") == "blocked", F.struct("r", "f")))
+    lost = got.withColumn("kind", error_kind(F.col("kind"))).groupBy("site").agg(refused.alias("refused")).join(best, "site", "left_anti")
+    errors = lost.select("site", F.coalesce("refused", F.lit("no_sitemap")).alias("kind"), F.when(F.col("refused").isNotNull(), "refused").otherwise("no sitemap found").alias("detail"))
+    return roots_, errors
+
+
 def expand(roots: DataFrame, edges: DataFrame, limit: int = MAX_SITEMAPS) -> DataFrame:
-    """(url, n): sitemaps in the order a queue reads them, the first ``limit``. roots: (url, ord); edges: (parent, child, pos).
+    """(site, url, n): by site the sitemaps in the order a queue reads them, the first ``limit``. roots: (site, url, ord); edges: (parent, child, pos).
 
-    Level by level: children of a level that were not seen, each once, by (parent's place, position). At most ``limit``
-    rows a level are kept, so the driver's loop is bounded and no level grows.
+    Level by level for all sites at once: children of a level that the site has not seen, each once, by (parent's place,
+    position). A level has at most ``limit`` rows a site, and each is a checkpoint. Without a column site there is one.
+    """
+    one = "site" not in roots.columns
+    if one:
+        roots = roots.withColumn("site", F.lit(""))
+    turn = Window.partitionBy("site")
+    seen = roots.groupBy("site", "url").agg(F.min("ord").alias("ord")).select("site", "url", F.row_number().over(turn.orderBy("ord")).alias("n"), F.lit(0).alias("level")).where(F.col("n") <= limit)
+    for level in range(1, limit):
+        seen = checkpointed(seen)
+        last = seen.where(F.col("level") == level - 1).select("site", F.col("url").alias("parent"), "n")
+        new = last.join(edges, "parent").groupBy("site", F.col("child").alias("url")).agg(F.min(F.struct("n", "pos")).alias("at")).join(seen.select("site", "url"), ["site", "url"], "left_anti")
+        have = seen.groupBy("site").agg(F.max("n").alias("have"))
+        new = new.join(have, "site").select("site", "url", (F.col("have") + F.row_number().over(turn.orderBy("at"))).alias("n"), F.lit(level).alias("level")).where(F.col("n") <= limit)
+        new = checkpointed(new)
+        if not new.limit(1).count():
+            break
+        seen = seen.unionByName(new)
+    return seen.select(*(["url", "n"] if one else ["site", "url", "n"]))
+
+
+def collect(sites: DataFrame, fetched: DataFrame, match: str = "", since: str = "", limit: int = 20, max_sitemaps: int = MAX_SITEMAPS) -> tuple[DataFrame, DataFrame]:
+    """(site, url, lastmod, rank) of each site's newest entries, and (site, kind, detail) of what went wrong.
+
+    Locating, expansion, parsing, filters and top-k in one: fetched (url, text, kind) holds robots.txt files and sitemaps.
+    Of the sitemaps read, those without a text or that are no sitemap are errors; a site without results and without errors has the error no_match.
     """
-    spark = roots.sparkSession
-    place = Window.orderBy("ord")
-    level = [(r["url"],) for r in roots.groupBy("url").agg(F.min("ord").alias("ord")).orderBy("ord").limit(limit).collect()]
-    seen = [u for (u,) in level]
-    while level and len(seen) < limit:
-        now = spark.createDataFrame([(u, k) for k, (u,) in enumerate(level)], "parent string, place long")
-        new = edges.join(F.broadcast(now), "parent").where(~F.col("child").isin(seen)).groupBy("child").agg(F.min(F.struct("place", "pos")).alias("ord"))
-        level = [(r["child"],) for r in new.orderBy("ord").limit(limit - len(seen)).collect()]
-        seen += [u for (u,) in level]
-    del place
-    return spark.createDataFrame([(u, k + 1) for k, u in enumerate(seen)], "url string, n int")
+    first, errors = locate(sites, fetched)
+    rows = sitemap_rows(fetched)
+    read = expand(first, rows.where("child").select(F.col("sitemap").alias("parent"), F.col("loc").alias("child"), "pos"), max_sitemaps)
+    read = checkpointed(read)
+    state = read.join(fetched, "url", "left")
+    broken = state.where(~F.coalesce(F.rlike("text", F.lit(XML)), F.lit(False))).select("site", F.when(F.col("text").isNotNull(), "invalid_response").otherwise(error_kind(F.coalesce("kind", F.lit("http_error")))).alias("kind"), F.col("url").alias("detail"))
+    entries = read.join(rows.where("NOT child"), F.col("url") == F.col("sitemap")).select("site", F.col("loc").alias("url"), "lastmod", "n", "pos")
+    if match:
+        entries = entries.where(F.rlike("url", F.lit(f"(?i){match}")))
+    if since:
+        entries = entries.where((F.col("lastmod") != "") & (F.substring("lastmod", 1, 10) >= since))
+    newest = Window.partitionBy("site").orderBy(F.desc("lastmod"), "n", "pos")
+    results = entries.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit).select("site", "url", "lastmod", "rank")
+    errors = errors.unionByName(broken)
+    empty = sites.select("site").join(results.select("site").distinct(), "site", "left_anti").join(errors.select("site").distinct(), "site", "left_anti")
+    return results, errors.unionByName(empty.select("site", F.lit("no_match").alias("kind"), F.lit("no entry matches").alias("detail")))
+
+
+def site_query(site: Column, words: Column) -> Column:
+    """What a search engine is asked for: words within a site, if there is one."""
+    return T.strip(F.concat_ws(" ", F.when(F.coalesce(site, F.lit("")) != "", F.concat(F.lit("site:"), site)), words))
 
 
 def own_domain(url: Column) -> Column:

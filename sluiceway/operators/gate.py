@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the gate.
@@ -50,14 +50,25 @@ def error_kind(error_class: Column, message: Column) -> Column:
     return F.when(F.coalesce(too_large, F.lit(False)), "too_large").when(F.coalesce(timeout, F.lit(False)), "timeout").otherwise("network")
 
 
-def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
+def is_download(message: Column) -> Column:
+    """Whether a browser's message says that an address is a download and no page."""
+    return F.coalesce(F.rlike(message, F.lit(DOWNLOAD)), F.lit(False))
+
+
+def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MIN_BYTES, engine: str = "auto") -> DataFrame:
     """Per url the response of the first engine that passes, with the attempts that failed before it.
 
     (url, engine_used, status, data, content_type, attempts, error). attempts is null where none failed; error joins
-    the details in engine order where all did. One shuffle, by url.
+    the details in engine order where all did. Responses with a column error_class (and error_message) that isn't null have
+    failed without bytes, as those over MAX_BYTES. ``engine`` asks for one engine's responses alone. One shuffle, by url.
     """
+    if engine != "auto":
+        responses = responses.where(F.col("engine") == engine)
     rank = F.array_position(F.array(*map(F.lit, ENGINES)), F.col("engine"))
     kind = verdict(F.col("status"), F.col("data"), F.col("content_type"), F.col("url"), expect, min_bytes)
+    if "error_class" in responses.columns:
+        message = F.coalesce(F.col("error_message"), F.lit("")) if "error_message" in responses.columns else F.lit("")
+        kind = F.when(F.col("error_class").isNotNull(), error_kind(F.col("error_class"), message)).otherwise(kind)
     judged = responses.withColumn("kind", kind).withColumn("rank", rank).withColumn("detail", F.when(F.col("kind") == "http_error", F.concat(F.lit("HTTP "), F.col("status").cast("string"))).otherwise(F.col("kind")))
     first = F.min(F.when(F.col("kind").isNull(), F.col("rank")))
     got = judged.groupBy("url").agg(
@@ -83,7 +94,20 @@ def last_kind(attempts: Column) -> Column:
     return F.coalesce(F.try_element_at(attempts, F.lit(-1))["kind"], F.lit("invalid_response"))
 
 
+def failures(outcomes: DataFrame) -> DataFrame:
+    """(url, kind, error, attempts) of the outcomes without a response."""
+    return outcomes.where(F.col("error").isNotNull()).select("url", last_kind(F.col("attempts")).alias("kind"), "error", "attempts")
+
+
+def public(df: DataFrame) -> DataFrame:
+    """Without the columns whose names begin with an underscore."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key in the given order: a minimum, taken before the shuffle as well as after it."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
+    return first.select(*[F.col(c) if c in keys else F.col("__first")[c].alias(c) for c in df.columns])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
-from .gate import MIN_TEXT
+from .gate import MIN_TEXT, is_pdf
 
 ATTACHMENT = r"(?i)\.(pdf|docx?|xlsx?|ofd|wps)$"
 SKIPPED_SCHEMES = ("#", "javascript:", "mailto:", "tel:")
@@ -27,8 +28,14 @@ def clean_records(pages: DataFrame, max_chars: int = 8000, native: bool = True)
 
 
 def raw_links(pages: DataFrame, native: bool = True) -> DataFrame:
-    """(page_id, base, pos, href, text) of all anchors in order."""
-    links = F.transform(H.anchors(F.col("html")), lambda x, i: F.struct(i.alias("pos"), x["href"].alias("href"), x["text"].alias("text"))) if native else H.parse_page(F.col("html"))["links"]
+    """(page_id, base, pos, href, text) of all anchors in order. Pages whose anchors aren't all of the plain form go through the parser in any case."""
+    plain = F.transform(H.anchors(F.col("html")), lambda x, i: F.struct(i.cast("int").alias("pos"), x["href"].alias("href"), x["text"].alias("text")))
+    links = H.parse_page(F.col("html"))["links"]
+    if native:
+        regular = F.coalesce((F.regexp_count("html", F.lit(r"(?i)<a[\s>]")) == F.size(plain)) & ~F.rlike("html", F.lit("(?is)<(script|style)\b[^>]*>(?:(?!</\1).)*<a\b")), F.lit(False))
+        simple = pages.where(regular).select("page_id", F.col("url").alias("base"), F.explode(plain).alias("x"))
+        odd = pages.where(~regular).select("page_id", F.col("url").alias("base"), F.explode(links).alias("x"))
+        return simple.unionByName(odd).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
     return pages.select("page_id", F.col("url").alias("base"), F.explode(links).alias("x")).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
 
 
@@ -42,8 +49,12 @@ def resolve(links: DataFrame, native: bool = True) -> DataFrame:
     skip = F.lit(False)
     for s in SKIPPED_SCHEMES:
         skip = skip | F.startswith("href", F.lit(s))
-    url = absolute(F.col("base"), F.col("href")) if native else F.coalesce(absolute(F.col("base"), F.col("href")), U.join(F.col("base"), F.col("href")))
-    ok = links.where(~skip & (F.col("href") != "")).withColumn("url", url).where(F.rlike("url", F.lit("^https?://")))
+    some = links.where(~skip & (F.col("href") != "")).withColumn("url", absolute(F.col("base"), F.col("href")))
+    if native:  # relative links alone go through the resolver
+        ok = some.where(F.col("url").isNotNull()).unionByName(some.where(F.col("url").isNull()).withColumn("url", U.join(F.col("base"), F.col("href"))))
+    else:
+        ok = some.withColumn("url", F.coalesce("url", U.join(F.col("base"), F.col("href"))))
+    ok = ok.where(F.rlike("url", F.lit("^https?://")))
     return ok.groupBy("page_id", "base", "url").agg(F.min("pos").alias("pos"), F.coalesce(F.min_by("text", F.when(F.col("text") != "", F.col("pos"))), F.lit("")).alias("text"))
 
 
@@ -61,6 +72,38 @@ def numbered(links: DataFrame) -> DataFrame:
     return links.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).drop("pos")
 
 
+def raw_records(outcomes: DataFrame) -> DataFrame:
+    """(url, engine_used, status, content_type, degraded, length, raw, error): a response's text as it came; a PDF is an error, and so is what has no response."""
+    text = codec.decode(F.col("data"), codec.charset(F.col("data"), F.col("content_type")))
+    pdf = is_pdf(F.col("data"), F.col("content_type"))
+    fine = F.col("error").isNull() & ~pdf
+    df = outcomes.withColumn("raw", F.when(fine, text))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(pdf, F.lit("a PDF has no raw text"))
+    return df.select("url", "engine_used", "status", "content_type", F.when(F.col("attempts").isNotNull(), F.lit(True)).alias("degraded"), F.length("raw").alias("length"), "raw", error.alias("error"))
+
+
+def fetch(outcomes: DataFrame, max_chars: int = 8000, raw: bool = False, include_links: bool = False) -> DataFrame:
+    """Records of acquired responses: raw ones, or clean ones, with their attachments and, if asked for, page links.
+
+    attachments and links are null where there are none. One parse of each page.
+    """
+    if raw:
+        return raw_records(outcomes)
+    pdf = is_pdf(F.col("data"), F.col("content_type"))
+    html = codec.decode(F.col("data"), codec.charset(F.col("data"), F.col("content_type")))
+    df = outcomes.withColumn("html", F.when(F.col("error").isNull() & ~pdf, html)).withColumn("page", H.parse_page(F.col("html")))
+    whole, n = F.col("page.text"), F.length("page.text")
+    fine = F.coalesce(n >= MIN_TEXT, F.lit(False))
+    records = df.select("url", "engine_used", F.when(fine, F.lit("html")).when(F.col("error").isNull() & pdf, F.lit("pdf")).alias("type"), F.when(fine, H.title(F.col("html"))).alias("title"), F.when(fine, n).alias("length"), F.when(F.col("attempts").isNotNull(), F.lit(True)).alias("degraded"), F.when(fine & (n > max_chars), F.lit(True)).alias("truncated"), F.when(fine, T.truncate(whole, max_chars)).alias("text"), F.when(F.col("error").isNotNull(), F.col("error")).when(~pdf & ~fine, F.lit("body too short")).alias("error"))
+    each = df.where(F.col("html").isNotNull()).select(F.col("url").alias("page_id"), F.col("url").alias("base"), F.explode("page.links").alias("x")).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
+    attachments, inner = split_links(resolve(each, native=False))
+    lists = [("attachments", attachments, ("url", "ext", "text"))] + ([("links", inner, ("url", "text"))] if include_links else [])
+    for name, found, cols in lists:
+        own = found.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", *cols))), lambda x: F.struct(*[x[c].alias(c) for c in cols])).alias(name))  # noqa: B023
+        records = records.join(own, records["url"] == own["page_id"], "left").drop("page_id")
+    return records
+
+
 def pdf_records(pages: DataFrame, max_chars: int = 8000, max_pages: int = 30) -> DataFrame:
     """Clean records of PDFs from page texts (url, page, text, total_pages, encrypted, meta_title).
 

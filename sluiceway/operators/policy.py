@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import dims
 from .gate import keep_first
 
 DAYS = {"d": 1, "w": 7, "m": 31, "y": 366}
@@ -69,7 +70,7 @@ def union_first(tiers: list[DataFrame], plan: DataFrame) -> DataFrame:
     out = tiers[0]
     for t in tiers[1:]:
         out = out.unionByName(t)
-    return keep_first(out.join(F.broadcast(plan), ["dept", "source_tier"]), ["url"], ["plan_no", "pos"]).drop("plan_no", "pos")
+    return keep_first(out.join(plan, ["dept", "source_tier"]), ["url"], ["plan_no", "pos"]).drop("plan_no", "pos")
 
 
 def tier_errors(state: DataFrame) -> DataFrame:
@@ -82,3 +83,45 @@ def tier_errors(state: DataFrame) -> DataFrame:
     kind = F.when(~F.col("fetched"), "invalid_response").when(text.isNotNull(), classified).when((F.col("tier") == "official_site") & (F.col("links") == 0), "invalid_response").when(F.col("matched") == 0, "no_match")
     detail = F.when(~F.col("fetched"), "missing").when(text.isNotNull(), text).when((F.col("tier") == "official_site") & (F.col("links") == 0), "stale pattern").when(F.col("matched") == 0, "no match")
     return state.select("dept", "tier", kind.alias("kind"), detail.alias("detail")).where("kind IS NOT NULL")
+
+
+def plan(depts: DataFrame, departments: DataFrame) -> DataFrame:
+    """(plan_no, dept, tier, url): by department (code, ord) its library's address, then its listing's if it has one."""
+    d = depts.join(departments, "code")
+    urls = F.array(F.struct(F.lit("policy_library").alias("tier"), F.concat(F.lit("library:"), F.col("code")).alias("url")), F.struct(F.lit("official_site").alias("tier"), F.col("list_url").alias("url")))
+    each = d.select("ord", F.col("code").alias("dept"), F.posexplode(urls).alias("k", "x")).where(F.col("x.url").isNotNull())
+    return each.select((F.col("ord") * 2 + F.col("k")).alias("plan_no"), "dept", F.col("x.tier").alias("tier"), F.col("x.url").alias("url"))
+
+
+def search(plan_: DataFrame, fetched: DataFrame, departments: DataFrame, keywords: list[str], limit: int = 5, timelimit: str = "all", as_of: str = "2024-01-01", native: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both tiers from a plan: (candidates, errors). fetched: (url, raw, error) and, where a department has several answers, ord.
+
+    Candidates are those of all tiers in plan order, each url once. Errors (dept, dept_name, tier, kind, detail,
+    site_domain) are of plan rows without answer, with a failed one, with a page whose links its pattern doesn't find, or with none that fits.
+    """
+    answers = plan_.join(fetched, "url", "left").join(departments.select(F.col("code").alias("dept"), F.col("name").alias("dept_name"), "puborg_keys", "list_url", "link_pattern"), "dept")
+    fine = answers.where(F.col("raw").isNotNull() & F.col("error").isNull())
+    tiers = [library_candidates(fine.where("tier = 'policy_library'"), limit, timelimit, as_of, native)]
+    found = []
+    for code, _, _, _, _, _, pattern in dims.DEPARTMENTS:  # a fixed list: a pattern is a literal of its department's branch
+        if pattern:
+            mine = fine.where((F.col("tier") == "official_site") & (F.col("dept") == code))
+            tiers.append(listing_candidates(mine, pattern, keywords, limit, native))
+            found.append(listing_links(mine, pattern).groupBy("dept").agg(F.count(F.lit(1)).cast("int").alias("links")))
+    links = found[0]
+    for f in found[1:]:
+        links = links.unionByName(f)
+    matched = tiers[0]
+    for t in tiers[1:]:
+        matched = matched.unionByName(t)
+    matched = matched.groupBy("dept", F.col("source_tier").alias("tier")).agg(F.count(F.lit(1)).cast("int").alias("matched"))
+    per = answers.groupBy("dept", "tier").agg(F.max(F.col("raw").isNotNull() | F.col("error").isNotNull()).alias("fetched"), F.max("error").alias("fetch_error"))
+    state = per.join(links, "dept", "left").join(matched, ["dept", "tier"], "left").fillna(0, ["links", "matched"])
+    errors = tier_errors(state).join(departments.select(F.col("code").alias("dept"), F.col("name").alias("dept_name"), "site_domain"), "dept", "left")
+    errors = errors.select("dept", F.coalesce("dept_name", "dept").alias("dept_name"), "tier", "kind", "detail", F.coalesce("site_domain", F.lit("")).alias("site_domain"))
+    return union_first(tiers, plan_.select("plan_no", "dept", F.col("tier").alias("source_tier"))), errors
+
+
+def counts(candidates: DataFrame, errors: DataFrame) -> DataFrame:
+    """(what, n): candidates by tier, and errors but those that say that nothing matched."""
+    return candidates.groupBy(F.col("source_tier").alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(errors.agg(F.lit("errors").alias("what"), F.count_if(F.col("kind") != "no_match").alias("n")))

@@ -1,7 +1,8 @@
 """The registered queries and the SQL they are checked with.
 
-The test tables hold no captured responses, sitemaps, result pages or decks, so several queries derive such relations
-from pages and documents, by the same rule here and in SQL. A template's index is a small constant.
+The test tables hold no captured responses, sitemaps, result pages or decks, so queries derive such relations from
+pages, documents and parts, by the same rule here and in SQL. Where a rule is one that both engines read alike, it is
+written once, as SQL.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import deck, discover, gate, pages, policy
+from ..operators import deck, diagnose, discover, gate, pages, policy
 from ..session import table
 from ..sources import decks, dims
 
@@ -50,6 +51,14 @@ def sql_truncate(x: str, n: int) -> str:
     return f"CASE WHEN length({x}) > {n} THEN left({x}, {n}) || chr(10) || chr(10) || '[... 截断，原文共 ' || length({x}) || ' 字符 ...]' ELSE {x} END"
 
 
+def shared(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
+    """A relation that both engines derive by the same SQL."""
+    for t in tables:
+        table(spark, sf, t).createOrReplaceTempView(f"sluiceway_{t}")
+        sql = sql.replace(f"FROM {t}", f"FROM sluiceway_{t}")
+    return spark.sql(sql)
+
+
 # --- pages ---------------------------------------------------------------------------------------------------
 
 
@@ -92,13 +101,29 @@ def page_links(spark, sf):
     return pages.numbered(pages.split_links(pages.resolve(pages.raw_links(table(spark, sf, "pages"))))[1])
 
 
-ATTACHMENTS = """<a href="/d/a.pdf">Report</a><a href="b.OFD?x=1"></a><a href="/p/1.html">Page</a><a href="/d/a.pdf">again</a><a href="https://other.org/x.docx"><img alt="Form"></a><a href="mailto:x@y.z">m</a><a href="b.OFD?x=1">late</a>"""
+_ATTACHED = """SELECT page_id, url, concat('<a href="/d/', page_id, '.pdf">Report ', page_id, '</a><a href="b', page_id, '.OFD?x=1"></a><a href="/p/1.html">Page</a><a href="/d/', page_id, '.pdf">again</a><a href="https://other.org/', page_id, '.docx"><img alt="Form"></a><a href="mailto:x@y.z">m</a><a href="b', page_id, '.OFD?x=1">late</a>') AS html FROM pages"""
+SQL_ATTACHMENTS = """WITH a AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') AS root, regexp_replace(regexp_extract(url, '^[^?#]*'), '[^/]*$', '') AS dir FROM pages),
+l AS (SELECT page_id, 1 AS rank, root || '/d/' || page_id || '.pdf' AS url, 'pdf' AS ext, 'Report ' || page_id AS text FROM a UNION ALL SELECT page_id, 2, dir || 'b' || page_id || '.OFD?x=1', 'ofd', 'late' FROM a UNION ALL SELECT page_id, 3, 'https://other.org/' || page_id || '.docx', 'docx', 'Form' FROM a)"""
+
 
+def attached(spark, sf):
+    return pages.split_links(pages.resolve(pages.raw_links(shared(spark, sf, _ATTACHED, "pages"), native=False), native=False))
 
-@query("""SELECT * FROM (VALUES (1, 'https://www.site.com/d/a.pdf', 'pdf', 'Report'), (2, 'https://www.site.com/sub/b.OFD?x=1', 'ofd', 'late'), (3, 'https://other.org/x.docx', 'docx', 'Form')) t(rank, url, ext, text)""")
+
+@query(SQL_ATTACHMENTS + " SELECT * FROM l")
 def attachment_links(spark, sf):
-    one = spark.createDataFrame([(1, "https://www.site.com/sub/", ATTACHMENTS)], "page_id long, url string, html string")
-    return pages.numbered(pages.split_links(pages.resolve(pages.raw_links(one, native=False), native=False))[0]).select("rank", "url", "ext", "text")
+    return pages.numbered(attached(spark, sf)[0]).select("page_id", "rank", "url", "ext", "text")
+
+
+@query(SQL_ATTACHMENTS + " SELECT page_id, count(*) AS attachments_total, CAST(1 AS BIGINT) AS pages_total, string_agg(url, ' ' ORDER BY rank) FILTER (rank <= 2) AS attachments, 'Page' AS pages FROM l GROUP BY page_id")
+def diagnose_links(spark, sf):
+    lists = diagnose.link_lists(*attached(spark, sf), most=2)
+    return lists.select("page_id", "attachments_total", "pages_total", F.array_join(F.transform("attachments", lambda x: x["url"]), " ").alias("attachments"), F.array_join(F.transform("pages", lambda x: x["text"]), " ").alias("pages"))
+
+
+@query(SQL_ATTACHMENTS + " SELECT page_id, count(*) AS matched, arg_min(url, rank) AS url, arg_min(text, rank) AS text FROM l WHERE regexp_matches(text, '(?i)REPORT .*7|form') GROUP BY page_id")
+def diagnose_target(spark, sf):
+    return diagnose.target(attached(spark, sf)[0], "REPORT .*7|form")
 
 
 @query("""WITH a AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS s, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS h FROM pages)
@@ -172,6 +197,39 @@ def diagnose_probe(spark, sf):
     return p.select("page_id", "url", F.octet_length("html").cast("long").alias("bytes"), H.title(F.col("html")).alias("title"), F.length(H.clean_text(F.col("html"))).alias("text_len"), F.rlike("html", F.lit(gate.CHALLENGE)).alias("challenge"))
 
 
+@query(SQL_ACQUIRE + f""", w AS (SELECT d.url, d.engine, d.data, d.content_type, won FROM d JOIN g USING (url) WHERE k = won), p AS (SELECT g.url, g.engine_used, w.content_type, g.won, details, content_type LIKE '%pdf%' OR starts_with(decode(data), '%PDF-') AS pdf, decode(data) AS t FROM g LEFT JOIN w USING (url))
+SELECT url, engine_used, CASE WHEN won IS NOT NULL THEN 200 END AS status, content_type, CASE WHEN won IS NULL OR won = 2 THEN true END AS degraded, CASE WHEN won IS NOT NULL AND NOT pdf THEN CAST(length(t) AS INTEGER) END AS length, CASE WHEN won IS NOT NULL AND NOT pdf THEN t END AS raw, CASE WHEN won IS NULL THEN details WHEN pdf THEN 'a PDF has no raw text' END AS error FROM p""")
+def raw_record(spark, sf):
+    return pages.fetch(outcomes(spark, sf), raw=True)
+
+
+@query(SQL_ACQUIRE + " SELECT url, arg_max(kind, k) AS kind, details AS error, count(*) AS attempts FROM d JOIN g USING (url) WHERE won IS NULL GROUP BY url, details")
+def acquire_failures(spark, sf):
+    return gate.failures(outcomes(spark, sf)).withColumn("attempts", F.size("attempts").cast("long"))
+
+
+@query(f"""WITH r AS ({responses_sql('http', 'page_id % 8').format(utf8='')}) SELECT engine, coalesce(verdict, 'pass') AS verdict, count(*) AS n, CAST(sum(octet_length(data)) AS BIGINT) AS bytes FROM (SELECT *, {SQL_VERDICT} AS verdict FROM r) GROUP BY ALL""")
+def diagnose_report(spark, sf):
+    return diagnose.report(diagnose.describe(responses(spark, sf, "http", "page_id % 8")))
+
+
+_MESSAGE = "SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'Page.goto: Download is starting ' WHEN 1 THEN 'net::ERR_ABORTED at ' WHEN 2 THEN 'Timeout 30000ms exceeded ' ELSE 'net::ERR_FAILED ' END, doc_id) AS message FROM documents"
+
+
+@query(f"SELECT doc_id, doc_id % 4 < 2 AS download FROM ({_MESSAGE})")
+def download_messages(spark, sf):
+    return shared(spark, sf, _MESSAGE, "documents").select("doc_id", gate.is_download(F.col("message")).alias("download"))
+
+
+_SAID = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('site', doc_id % 9, '.org') END AS site, concat('energy ', doc_id, ' report') AS words, concat(' a', doc_id, ', ,b c,, d') AS list, concat(doc_id % 5, ', ', doc_id % 7, '-', doc_id % 7 + 3, ',x,9-2') AS spec FROM documents"
+
+
+@query(f"SELECT doc_id, 'https://s.org/s?q=' || CASE WHEN site = '' THEN '' ELSE 'site%3A' || site || '+' END || replace(words, ' ', '+') AS url, 'a' || doc_id || '|b|c|d' AS words, array_to_string(list_sort(list_distinct(list_filter(list_concat([doc_id % 5], range(doc_id % 7, doc_id % 7 + 4)), lambda x: x BETWEEN 1 AND 6))), ',') AS pages FROM ({_SAID})")
+def query_parts(spark, sf):
+    d = shared(spark, sf, _SAID, "documents")
+    return d.select("doc_id", diagnose.query_url("https://s.org/s", F.col("site"), F.col("words")).alias("url"), F.array_join(T.words(F.col("list")), "|").alias("words"), F.array_join(T.page_numbers(F.col("spec"), F.lit(6)), ",").alias("pages"))
+
+
 # --- discovery -----------------------------------------------------------------------------------------------
 
 _LASTMOD = "CASE WHEN page_id % 11 = 0 THEN '' ELSE concat('2024-0', CAST(page_id % 9 + 1 AS STRING), '-1', CAST(page_id % 7 AS STRING)) END"
@@ -216,6 +274,39 @@ def serp_hits(spark, sf):
     return discover.result_hits(html)
 
 
+#: Sites are the pages' hosts, of three kinds: with an index that robots.txt names (and another that doesn't answer), with /sitemap.xml alone, with nothing but a refusal.
+_SITES = "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS site, min(page_id) % 3 AS k, min(page_id) AS first FROM pages GROUP BY 1"
+
+
+def sitemap_files(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf, "pages").withColumn("site", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
+    sites = p.groupBy("site").agg(F.min("page_id").alias("first")).withColumn("k", F.col("first") % 3)
+    each = F.struct("page_id", F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>"), F.expr(_LASTMOD), F.lit("</lastmod></url>")).alias("e"))
+    # A site's entries in one sitemap, as in the wild; a sitemap has fifty thousand at most.
+    lists = p.groupBy("site").agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["e"]), ""), F.lit("</urlset>")).alias("xml"))
+    root = F.concat(F.lit("https://"), "site")
+    file = lambda df, path, text, kind=None: df.select(F.concat(root, F.lit(path)).alias("url"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(kind).cast("string").alias("kind"))
+    named = sites.where("k = 0")
+    robots = file(named, "/robots.txt", F.concat(F.lit("User-agent: *\nSitemap: "), root, F.lit("/a.xml\nsitemap : "), root, F.lit("/gone.xml\n")))
+    index = file(named, "/a.xml", F.concat(F.lit("<sitemapindex><sitemap><loc>"), root, F.lit("/b.xml</loc></sitemap><sitemap><loc>"), root, F.lit("/a.xml</loc></sitemap></sitemapindex>")))
+    own = lambda k, path: file(lists.join(sites.where(F.col("k") == k).select("site"), "site", "left_semi"), path, F.col("xml"))
+    refused = file(sites.where("k = 2 AND first % 2 = 0"), "/robots.txt", F.lit(None).cast("string"), "challenge")
+    fetched = robots.unionByName(index).unionByName(own(0, "/b.xml")).unionByName(own(1, "/sitemap.xml")).unionByName(refused)
+    return sites.select("site"), fetched
+
+
+@query(f"""WITH s AS ({_SITES}), e AS (SELECT site, url, {_LASTMOD} AS lastmod, page_id FROM pages JOIN s ON site = regexp_extract(url, '^https?://([^/?#]+)', 1) WHERE k < 2 AND regexp_matches(url, '(?i)/(en|de|fr)/')),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY lastmod DESC, page_id) AS rank FROM e WHERE lastmod >= '2024-02-01') SELECT site, url, lastmod, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def sitemap_discovery(spark, sf):
+    return discover.collect(*sitemap_files(spark, sf), "/(en|de|fr)/", "2024-02-01", 3)[0]
+
+
+@query(f"""WITH s AS ({_SITES}) SELECT site, CASE WHEN k = 0 THEN 'http_error' WHEN first % 2 = 0 THEN 'blocked' ELSE 'no_sitemap' END AS kind, CASE WHEN k = 0 THEN 'https://' || site || '/gone.xml' WHEN first % 2 = 0 THEN 'refused' ELSE 'no sitemap found' END AS detail FROM s WHERE k <> 1
+UNION ALL SELECT site, 'no_match', 'no entry matches' FROM s WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM pages WHERE regexp_extract(url, '^https?://([^/?#]+)', 1) = site AND regexp_matches(url, '(?i)/(en|de|fr)/') AND {_LASTMOD} >= '2024-02-01')""")
+def sitemap_errors(spark, sf):
+    return discover.collect(*sitemap_files(spark, sf), "/(en|de|fr)/", "2024-02-01", 3)[1]
+
+
 # --- policies ------------------------------------------------------------------------------------------------
 
 
@@ -272,12 +363,46 @@ def policy_union(spark, sf):
     return policy.union_first([lib, lst], plan)
 
 
-_STATES = [("a", "policy_library", False, None, 0, 0), ("b", "policy_library", True, "HTTP 404", 0, 0), ("c", "official_site", True, "request timed out", 0, 0), ("d", "official_site", True, None, 0, 0), ("e", "official_site", True, None, 7, 0), ("f", "policy_library", True, None, 3, 2), ("g", "policy_library", True, None, 0, 0)]
+_STATES = "SELECT concat('d', doc_id) AS dept, CASE WHEN doc_id % 2 = 0 THEN 'policy_library' ELSE 'official_site' END AS tier, doc_id % 7 > 0 AS fetched, CASE doc_id % 11 WHEN 1 THEN 'HTTP 404' WHEN 2 THEN 'request timed out' WHEN 3 THEN '疑似反爬' WHEN 4 THEN 'other' END AS fetch_error, CAST(doc_id % 3 AS INT) AS links, CAST(doc_id % 5 AS INT) AS matched FROM documents"
 
 
-@query("""SELECT * FROM (VALUES ('a', 'policy_library', 'invalid_response', 'missing'), ('b', 'policy_library', 'http_error', 'HTTP 404'), ('c', 'official_site', 'network_unreachable', 'request timed out'), ('d', 'official_site', 'invalid_response', 'stale pattern'), ('e', 'official_site', 'no_match', 'no match'), ('g', 'policy_library', 'no_match', 'no match')) t(dept, tier, kind, detail)""")
+@query(f"""WITH s AS ({_STATES}), e AS (SELECT dept, tier, CASE WHEN NOT fetched THEN 'invalid_response' WHEN fetch_error = 'HTTP 404' THEN 'http_error' WHEN fetch_error = 'request timed out' THEN 'network_unreachable' WHEN fetch_error = '疑似反爬' THEN 'blocked' WHEN fetch_error IS NOT NULL THEN 'invalid_response' WHEN tier = 'official_site' AND links = 0 THEN 'invalid_response' WHEN matched = 0 THEN 'no_match' END AS kind,
+CASE WHEN NOT fetched THEN 'missing' WHEN fetch_error IS NOT NULL THEN fetch_error WHEN tier = 'official_site' AND links = 0 THEN 'stale pattern' WHEN matched = 0 THEN 'no match' END AS detail FROM s) SELECT * FROM e WHERE kind IS NOT NULL""")
 def policy_errors(spark, sf):
-    return policy.tier_errors(spark.createDataFrame(_STATES, "dept string, tier string, fetched boolean, fetch_error string, links int, matched int"))
+    return policy.tier_errors(shared(spark, sf, _STATES, "documents"))
+
+
+def policy_found(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The search over all departments: one library unread, one with a failed answer, one listing whose links have changed, one unread."""
+    d = dims.departments(spark)
+    plan = policy.plan(d.select("code", F.row_number().over(_by("code")).alias("ord")), d)
+    lib = library_raw(spark, sf).select(F.concat(F.lit("library:"), "dept").alias("url"), "ord", "raw", F.lit(None).cast("string").alias("error")).where("url NOT IN ('library:samr', 'library:mof')")
+    lst = listing_raw(spark, sf).select(F.col("list_url").alias("url"), F.col("ord"), "raw", F.lit(None).cast("string").alias("error"))
+    rest = d.where("code IN ('mof', 'miit')").select(F.when(F.col("code") == "mof", F.lit("library:mof")).otherwise(F.col("list_url")).alias("url"), F.lit(0).cast("long").alias("ord"), F.when(F.col("code") == "miit", "<li>nothing</li>").alias("raw"), F.when(F.col("code") == "mof", "HTTP 404").alias("error"))
+    fetched = lib.unionByName(lst).unionByName(rest)
+    return policy.search(plan, fetched, d, ["safety", "energy"], 5, "w", "2023-11-20")
+
+
+SQL_SEARCH = f"""{SQL_LIBRARY} {SQL_LISTING}, a AS (SELECT dept, dept_name, title, url, strftime(day, '%Y-%m-%d') AS date, puborg, 'c' AS pcode, 'policy_library' AS source_tier, k * 2 AS p, n FROM f WHERE n <= 5 AND dept NOT IN ('samr', 'mof')
+UNION ALL SELECT l.dept, l.dept_name, title, url, date, NULL, NULL, 'official_site', k * 2 + 1, n FROM l JOIN dep USING (dept) WHERE n <= 5),
+b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY p, n) AS first FROM a),
+e AS (SELECT dept, 'policy_library' AS tier, CASE dept WHEN 'samr' THEN 'invalid_response' WHEN 'mof' THEN 'http_error' ELSE 'no_match' END AS kind, CASE dept WHEN 'samr' THEN 'missing' WHEN 'mof' THEN 'HTTP 404' ELSE 'no match' END AS detail FROM dep WHERE dept IN ('samr', 'mof') OR dept NOT IN (SELECT dept FROM f)
+UNION ALL SELECT 'miit', 'official_site', 'invalid_response', 'stale pattern' UNION ALL SELECT 'mem', 'official_site', 'invalid_response', 'missing')"""
+
+
+@query(SQL_SEARCH + " SELECT dept, dept_name, title, url, date, puborg, pcode, source_tier FROM b WHERE first = 1")
+def policy_search(spark, sf):
+    return policy_found(spark, sf)[0]
+
+
+@query(SQL_SEARCH + f", site(dept, site_domain) AS (VALUES {', '.join(f'({r[0]!r}, {r[2]!r})' for r in dims.DEPARTMENTS)}) SELECT dept, dept_name, tier, kind, detail, site_domain FROM e JOIN dep USING (dept) JOIN site USING (dept)")
+def policy_search_errors(spark, sf):
+    return policy_found(spark, sf)[1]
+
+
+@query(SQL_SEARCH + " SELECT source_tier AS what, count(*) AS n FROM b WHERE first = 1 GROUP BY 1 UNION ALL SELECT 'errors', count(*) FILTER (kind <> 'no_match') FROM e")
+def policy_search_counts(spark, sf):
+    return policy.counts(*policy_found(spark, sf))
 
 
 @query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
@@ -303,14 +428,37 @@ def dims_sources(spark, sf):
     return dims.institutions(spark).select("code", "name_zh", "name_en", "site_domain", "org_type", "language", F.array_join("report_types", "、").alias("reports"))
 
 
-@query("SELECT * FROM (VALUES ('通用模板', '通用模板', '通用 / 任意主题'), ('立项', '项目立项汇报模版', '项目立项 / 申报评审'), ('nothing', NULL, NULL)) t(name, key, label)")
+_KNOWN = [*(r[0] for r in dims.TEMPLATES), *(a for r in dims.TEMPLATES for a in r[2]), "nothing"]
+_NAMES = f"SELECT DISTINCT element_at(array({', '.join(map(repr, _KNOWN))}), CAST(doc_id % {len(_KNOWN)} + 1 AS INT)) AS name FROM documents"
+_REGISTRY = ", ".join(f"({k}, {r[0]!r}, {r[1]!r}, {r[2]!r}, {r[3]!r})" for k, r in enumerate(dims.TEMPLATES))
+SQL_NAMES = f"WITH reg(ord, key, label, aliases, sections) AS (VALUES {_REGISTRY}), n AS (SELECT DISTINCT [{', '.join(map(repr, _KNOWN))}][doc_id % {len(_KNOWN)} + 1] AS name FROM documents), t AS (SELECT name, key, label, sections, row_number() OVER (PARTITION BY name ORDER BY name <> key, ord) AS r FROM n LEFT JOIN reg ON name = key OR list_contains(aliases, name))"
+
+
+@query(SQL_NAMES + " SELECT name, key, label FROM t WHERE r = 1")
 def template_resolve(spark, sf):
-    return dims.resolve_template(spark.createDataFrame([("通用模板",), ("立项",), ("nothing",)], "name string"), dims.templates(spark))
+    return dims.resolve_template(shared(spark, sf, _NAMES, "documents"), dims.templates(spark))
 
 
-@query("SELECT * FROM (VALUES ('mee', '生态环境部', 'mee.gov.cn'), ('zzz', 'zzz', '')) t(code, name, site_domain)")
+@query(SQL_NAMES + " SELECT name, CASE WHEN length(name) = 2 THEN 'own' ELSE array_to_string(sections, '|') END AS sections FROM t WHERE r = 1")
+def sections_given_or_usual(spark, sf):
+    given = F.when(F.length("name") == 2, F.array(F.lit("own"))).when(F.length("name") == 3, F.array().cast("array<string>"))
+    out = dims.default_sections(shared(spark, sf, _NAMES, "documents").withColumn("sections", given), dims.templates(spark))
+    return out.select("name", F.array_join("sections", "|").alias("sections"))
+
+
+_CODES = [*(r[0] for r in dims.DEPARTMENTS), "yyy", "zzz"]
+_ASKED = f"SELECT DISTINCT element_at(array({', '.join(map(repr, _CODES))}), CAST(doc_id % 10 + 1 AS INT)) AS code FROM documents"
+SQL_CODES = f"WITH dep(code, name, site_domain) AS (VALUES {', '.join(f'({r[0]!r}, {r[1]!r}, {r[2]!r})' for r in dims.DEPARTMENTS)}), n AS (SELECT DISTINCT [{', '.join(map(repr, _CODES))}][doc_id % 10 + 1] AS code FROM documents)"
+
+
+@query(SQL_CODES + " SELECT code, coalesce(name, code) AS name, coalesce(site_domain, '') AS site_domain FROM n LEFT JOIN dep USING (code)")
 def department_resolve(spark, sf):
-    return dims.resolve_department(spark.createDataFrame([("mee",), ("zzz",)], "code string"), dims.departments(spark))
+    return dims.resolve_department(shared(spark, sf, _ASKED, "documents"), dims.departments(spark))
+
+
+@query(SQL_CODES + " SELECT code FROM n ANTI JOIN dep USING (code)")
+def departments_unknown(spark, sf):
+    return dims.unknown_departments(shared(spark, sf, _ASKED, "documents"), dims.departments(spark))
 
 
 # --- decks ---------------------------------------------------------------------------------------------------
@@ -328,11 +476,6 @@ def outline(spark, total: int = 14):
     return deck.allocate(slides(spark), SECTIONS, total)
 
 
-@query("SELECT kind, count(*) AS n FROM (VALUES " + ", ".join(f"('{s[1]}')" for s in SLIDES) + ") t(kind) GROUP BY kind")
-def kind_inventory(spark, sf):
-    return slides(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 _SLIDES = ", ".join(f"({i}, '{k}', {'NULL' if n is None else n}, {'NULL' if c is None else c})" for i, k, n, c in SLIDES)
 _SECTIONS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(SECTIONS))
 SQL_ALLOCATE = f"""WITH sl(i, kind, items, title_cap) AS (VALUES {_SLIDES}), sec(s, name) AS (VALUES {_SECTIONS}), q AS (SELECT count(*) AS n FROM sec),
@@ -363,44 +506,110 @@ def written(spark):
     return outline(spark).select("page", "src", "kind", "title", F.when(F.col("kind") == "cover", F.lit("副标题")).alias("subtitle"), F.when(n > 0, F.transform(F.sequence(F.lit(1), n), item)).otherwise(F.array().cast("array<struct<head:string,body:string>>")).alias("items"))
 
 
-@query(None)
+_LABEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in deck.LABELS.items()) + " END"
+SQL_CARDS = f"""WITH o AS ({SQL_ALLOCATE}), n AS (SELECT *, coalesce(items, 0) AS m, sum(CAST(kind = 'section' AS INT)) OVER (ORDER BY page) AS no, '**第 ' || page || ' 页**　`' || {_LABEL} || '`' AS head FROM o)"""
+
+
+@query(SQL_CARDS + """ SELECT page, CASE kind WHEN 'cover' THEN head || chr(10) || '# ' || title || chr(10) || '副标题' WHEN 'closing' THEN head || chr(10) || '# ' || title WHEN 'section' THEN head || chr(10) || '### ' || lpad(CAST(no AS VARCHAR), 2, '0') || ' · ' || title
+ELSE array_to_string(list_concat([head || '　' || title], list_transform(range(1, m + 1), lambda k: CASE WHEN kind = 'toc' THEN '- 要点' || k WHEN k % 2 = 0 THEN '- **要点' || k || '** — 说明 __ 文字' ELSE '- **要点' || k || '**' END)), chr(10)) END AS card FROM n""")
 def outline_card(spark, sf):
-    return deck.cards(written(spark), 14)
+    return deck.cards(written(spark))
 
 
-@query(None)
+_ITEMS = """'[' || array_to_string(list_transform(range(1, m + 1), lambda k: '{"head":"要点' || k || '","body":"' || CASE WHEN k % 2 = 0 AND kind <> 'toc' THEN '说明 __ 文字' ELSE '' END || '"}'), ',') || ']'"""
+
+
+@query(SQL_CARDS + f" SELECT page, kind, title, {_ITEMS} AS items FROM n")
 def card_parse(spark, sf):
-    return deck.parse_cards(deck.cards(written(spark), 14)).select("page", "kind", "title", F.to_json("items").alias("items"))
+    return deck.parse_cards(deck.cards(written(spark))).select("page", "kind", "title", F.to_json("items").alias("items"))
 
 
-@query("SELECT * FROM (VALUES (1, 'cover', 'New', '副标题'), (3, 'section', '方针与责任', 'x')) t(page, kind, title, subtitle)")
-def outline_patch(spark, sf):
-    ops = spark.createDataFrame([(1, 1, "title", "Old"), (2, 1, "title", "New"), (3, 3, "subtitle", "x")], "ord int, page int, field string, value string")
-    return deck.patch(written(spark), ops)[0].where("page IN (1, 3)").select("page", "kind", "title", "subtitle")
+@query(SQL_CARDS + f" SELECT page, src, kind, title, CASE WHEN kind = 'cover' THEN '副标题' END AS subtitle, {_ITEMS} AS items FROM n")
+def outline_rebuild(spark, sf):
+    return deck.rebuild(outline(spark), deck.parse_cards(deck.cards(written(spark))), slides(spark))[0].withColumn("items", F.to_json("items"))
+
+
+#: Card texts with something wrong by turns: no head line, an unknown label, a divider without title, another number of pages.
+_CARDS = """SELECT CAST(doc_id AS STRING) AS card, concat('noise', CHR(10), CASE WHEN doc_id % 5 = 0 THEN '**T** no head' ELSE concat('**T', doc_id, '**　模板：X　共 ', doc_id % 3 + 1, ' 页') END, CHR(10), '---', CHR(10), '**第 1 页**　`', CASE doc_id % 4 WHEN 0 THEN '封套' WHEN 1 THEN '封底' ELSE '封面' END, '`', CHR(10), '# A', CHR(10), 'sub', CHR(10), '- x', CHR(10), ' --- ', CHR(10), '**第 2 页** `章节`', CHR(10), CASE WHEN doc_id % 7 = 0 THEN 'no title' ELSE concat('### 01 · S', doc_id) END, CHR(10), '---', CHR(10), 'tail', CHR(10), '---', CHR(10), '**第 3 页** `要点` never read') AS text FROM documents"""
+SQL_CARD_ERRORS = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'no head line' WHEN doc_id % 4 = 0 THEN 'unknown label 封套' WHEN doc_id % 7 = 0 THEN 'divider without a title' WHEN doc_id % 3 <> 1 THEN 'head line says ' || (doc_id % 3 + 1) || ' pages, there are 2' END AS error FROM documents"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS card, error FROM ({SQL_CARD_ERRORS}) WHERE error IS NOT NULL")
+def card_errors(spark, sf):
+    return deck.read_cards(shared(spark, sf, _CARDS, "documents"))[1]
+
+
+@query(f"WITH e AS ({SQL_CARD_ERRORS}) SELECT CAST(doc_id AS VARCHAR) AS card, 1 AS page, CASE WHEN doc_id % 4 = 1 THEN 'closing' ELSE 'cover' END AS kind, 'A' AS title, 'sub' AS subtitle FROM e WHERE error IS NULL UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 'section', 'S' || doc_id, NULL FROM e WHERE error IS NULL")
+def card_pages(spark, sf):
+    return deck.read_cards(shared(spark, sf, _CARDS, "documents"))[0].select("card", "page", "kind", "title", "subtitle")
 
 
 SLOTS = [(0, "cover", 1, "title", None), (0, "cover", 2, "subtitle", None), (0, "cover", 3, "decor", None), (2, "section", 1, "no", None), (2, "section", 2, "title", None), (4, "content", 1, "title", None), (4, "content", 2, "item_head", 0), (4, "content", 3, "item_body", 0), (4, "content", 4, "item_head", 7), (4, "content", 5, "no", None)]
+_SLOTS = ", ".join(f"({i}, '{k}', {s}, '{r}', {'NULL' if x is None else x})" for i, k, s, r, x in SLOTS)
+#: Decks of fourteen pages from documents; every seventh page names a slide that the index doesn't have.
+_DECKS = "SELECT CAST(floor(doc_id / 14) AS BIGINT) AS deck, CAST(doc_id % 14 + 1 AS INT) AS page, doc_id, CAST(CASE doc_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 99 ELSE 4 END AS INT) AS src, left(text, CAST(doc_id % 30 AS INT)) AS title, CASE WHEN doc_id % 3 = 0 THEN concat('Sub ', doc_id) END AS subtitle, doc_id % 5 > 0 AS has_item, concat('h', doc_id) AS head, CASE doc_id % 4 WHEN 0 THEN '单击此处' WHEN 1 THEN '{a} __ ___' ELSE 'body' END AS body FROM documents"
+SQL_FILL = f"""WITH sl(i, kind, sid, role, idx) AS (VALUES {_SLOTS}), d AS ({_DECKS.replace('floor(doc_id / 14)', 'doc_id // 14')}), k AS (SELECT DISTINCT i, kind FROM sl), n AS (SELECT d.*, sum(CAST(kind = 'section' AS INT)) OVER (PARTITION BY deck ORDER BY page) AS no FROM d JOIN k ON src = i),
+f AS (SELECT deck, page, sid, coalesce(CASE WHEN role = 'no' THEN lpad(CAST(no AS VARCHAR), 2, '0') WHEN role = 'title' THEN title WHEN role = 'subtitle' THEN subtitle WHEN has_item AND coalesce(idx, 0) = 0 THEN CASE WHEN role = 'item_head' THEN head ELSE body END END, '') AS text FROM n JOIN sl ON src = i WHERE role <> 'decor' AND (role <> 'no' OR kind = 'section'))"""
+
+
+def decks_of_documents(spark, sf):
+    items = F.when(F.col("has_item"), F.array(F.struct("head", "body"))).otherwise(F.array().cast("array<struct<head:string,body:string>>"))
+    return shared(spark, sf, _DECKS, "documents").withColumn("items", items)
 
 
-def filled(spark):
-    slots = spark.createDataFrame(SLOTS, "i int, kind string, sid int, role string, idx int")
-    rows = [(1, 0, "cover", "Deck", "Sub", []), (2, 2, "section", "One", None, []), (3, 4, "content", "One", None, [("h", "{a} __ ___")]), (4, 2, "section", "Two", None, []), (5, 4, "content", "A title that is far too long", None, [("单击此处", "b")])]
-    return deck.fill(spark.createDataFrame(rows, "page int, src int, kind string, title string, subtitle string, items array<struct<head:string,body:string>>"), slots)
+def filled(spark, sf):
+    return deck.fill(decks_of_documents(spark, sf).select("deck", "page", "src", "title", "subtitle", "items"), spark.createDataFrame(SLOTS, "i int, kind string, sid int, role string, idx int"))
 
 
-@query("""SELECT * FROM (VALUES (1, 1, 'Deck'), (1, 2, 'Sub'), (2, 1, '01'), (2, 2, 'One'), (3, 1, 'One'), (3, 2, 'h'), (3, 3, '{a} __ ___'), (3, 4, ''), (4, 1, '02'), (4, 2, 'Two'), (5, 1, 'A title that is far too long'), (5, 2, '单击此处'), (5, 3, 'b'), (5, 4, '')) t(page, sid, text)""")
+@query(SQL_FILL + " SELECT * FROM f")
 def slot_fill(spark, sf):
-    return filled(spark)
+    return filled(spark, sf)
 
 
-@query("SELECT * FROM (VALUES (3, 3, 'residue'), (5, 1, 'overflow'), (5, 2, 'residue')) t(page, sid, category)")
+@query(SQL_FILL + " SELECT deck, page, 'no slide 99' AS error FROM d WHERE src = 99")
+def slides_unknown(spark, sf):
+    return deck.unknown_slides(decks_of_documents(spark, sf), spark.createDataFrame(SLOTS, "i int, kind string, sid int, role string, idx int"))
+
+
+_RESIDUE = " OR ".join(f"contains(text, '{w}')" for w in deck.RESIDUE)
+
+
+@query(SQL_FILL + f", s AS (SELECT *, {sql_strip('text')} AS t FROM f) SELECT deck, page, sid, 'residue' AS category FROM s WHERE t <> '' AND ({_RESIDUE}) UNION ALL SELECT deck, page, sid, 'overflow' FROM s WHERE length(t) > CASE sid WHEN 1 THEN 13 WHEN 2 THEN 4 END * 1.15::DOUBLE")
 def content_check(spark, sf):
-    return deck.content_issues(filled(spark), spark.createDataFrame([(p, 1, 13) for p in range(1, 6)], "page int, sid int, cap int"))
+    return deck.content_issues(filled(spark, sf), spark.createDataFrame([(1, 13), (2, 4)], "sid int, cap int"))
 
 
-@query("SELECT 3 AS page, CAST(2 AS BIGINT) AS todo")
+@query(SQL_FILL + ", t AS (SELECT deck, page, CAST(sum(len(regexp_extract_all(text, '_{2,}'))) AS BIGINT) AS todo FROM f GROUP BY ALL) SELECT * FROM t WHERE todo > 0")
 def todo_slots(spark, sf):
-    return deck.todo_slots(filled(spark))
+    return deck.todo_slots(filled(spark, sf))
+
+
+_CAPS = [(0, "title", 5), (0, "subtitle", 6), (2, "title", 20), (4, "title", 9), (4, "item_head", 3), (4, "item_body", 6)]
+
+
+@query(f"""WITH d AS ({_DECKS.replace('floor(doc_id / 14)', 'doc_id // 14')}), c(i, role, cap) AS (VALUES {', '.join(map(str, _CAPS))}), t AS (SELECT doc_id, src, 'title' AS role, title AS text FROM d UNION ALL SELECT doc_id, src, 'subtitle', subtitle FROM d UNION ALL SELECT doc_id, src, 'item_head', head FROM d WHERE has_item UNION ALL SELECT doc_id, src, 'item_body', body FROM d WHERE has_item)
+SELECT doc_id AS page, t.role, text, cap FROM t JOIN c ON src = i AND t.role = c.role WHERE length(text) > cap AND NOT starts_with(text, '{{')""")
+def cap_warnings(spark, sf):
+    return deck.cap_warnings(decks_of_documents(spark, sf).withColumn("page", F.col("doc_id")), spark.createDataFrame(_CAPS, "i int, role string, cap int"))
+
+
+_OPS = "SELECT CAST(floor(doc_id / 14) AS BIGINT) AS deck, doc_id AS ord, CAST(doc_id * 5 % 14 + 1 AS INT) AS page, CASE doc_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'subtitle' ELSE 'items[0].head' END AS field, concat('v', doc_id) AS value FROM documents WHERE doc_id % 4 = 0"
+
+
+@query(f"""WITH d AS ({_DECKS.replace('floor(doc_id / 14)', 'doc_id // 14')}), o AS ({_OPS.replace('floor(doc_id / 14)', 'doc_id // 14')}), j AS (SELECT o.*, d.page IS NOT NULL AND (field <> 'items[0].head' OR has_item) AS fine FROM o LEFT JOIN d USING (deck, page)), bad AS (SELECT DISTINCT deck FROM j WHERE NOT fine),
+w AS (SELECT deck, page, field, arg_max(value, ord) AS value FROM j WHERE deck NOT IN (SELECT deck FROM bad) GROUP BY ALL), v AS (SELECT deck, page, max(value) FILTER (field = 'title') AS t, max(value) FILTER (field = 'subtitle') AS s, max(value) FILTER (field = 'items[0].head') AS h FROM w GROUP BY ALL)
+SELECT deck, page, coalesce(t, title) AS title, coalesce(s, subtitle) AS subtitle, CASE WHEN has_item THEN coalesce(h, head) END AS head FROM d LEFT JOIN v USING (deck, page)""")
+def outline_patch(spark, sf):
+    pages_ = decks_of_documents(spark, sf).select("deck", "page", F.lit("content").alias("kind"), "title", "subtitle", "items")
+    out = deck.patch(pages_, shared(spark, sf, _OPS, "documents"))[0]
+    return out.select("deck", "page", "title", "subtitle", F.get("items", F.lit(0))["head"].alias("head"))
+
+
+@query("SELECT p_partkey, CAST(ceil(p_size / 3) AS INTEGER) AS rows, CAST((p_size - 1) // 3 AS INTEGER) AS last_row, CAST((p_size - 1) % 3 AS INTEGER) AS last_column FROM part")
+def grid_places(spark, sf):
+    g = deck.grid(F.col("p_size"), 3)
+    last = F.element_at(g["cells"], -1)
+    return table(spark, sf, "part").select("p_partkey", g["rows"].alias("rows"), last["row"].alias("last_row"), last["column"].alias("last_column"))
 
 
 @query("""WITH a AS (SELECT p_partkey AS k, CAST(p_size * 90000 AS BIGINT) AS w, CAST((p_partkey % 9 + 1) * 150000 AS BIGINT) AS h, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE CAST(p_partkey % 30 + 6 AS DOUBLE) END AS f, length(p_name) AS n, ['title', 'subtitle', 'item_head', 'item_body', 'decor'][p_partkey % 5 + 1] AS role FROM part),
@@ -445,51 +654,88 @@ def slot_roles(spark, sf):
     return deck.slot_roles(s, deck.slide_kinds(s))
 
 
-@query(None)
+_ROLES = """, a AS (SELECT s.*, kind, CASE WHEN s.numbered THEN 'no' WHEN decor OR (font > 0 AND font < 9) THEN 'decor' END AS aside FROM s JOIN kinds USING (slide)),
+r AS (SELECT *, row_number() OVER (PARTITION BY slide, aside IS NULL ORDER BY coalesce(nullif(font, 0), CAST(height AS DOUBLE) / 91440) DESC, pos) - 1 AS n, length(f) AS size FROM a),
+roles AS (SELECT slide, pos, CASE WHEN aside IS NOT NULL THEN aside WHEN kind IN ('cover', 'section', 'closing') THEN CASE n WHEN 0 THEN 'title' WHEN 1 THEN 'subtitle' ELSE 'item_body' END
+ WHEN kind = 'toc' THEN 'item_head' WHEN n = 0 AND top < 2011680 AND size <= 20 THEN 'title' WHEN size <= 12 THEN 'item_head' ELSE 'item_body' END AS role FROM r),
+geo AS (SELECT CAST(k // 10 AS INTEGER) AS slide, CAST(k % 10 AS INTEGER) AS pos, k AS sid, text, CASE WHEN k % 3 = 0 THEN 0 ELSE CAST(k % 30 AS DOUBLE) END AS font, (k * 7919) % 9000000 AS l, (k * 104729) % 6000000 AS t, (k % 9 + 1) * 150000 AS height FROM p),
+g2 AS (SELECT geo.*, role, t // 548640 AS band, CAST(l AS DOUBLE) + 450000 AS x, CAST(t AS DOUBLE) + CAST(height AS DOUBLE) / 2 AS y FROM geo JOIN roles USING (slide, pos)),
+heads AS (SELECT slide, coalesce(list({'pos': pos, 'x': x, 'y': y} ORDER BY band, l, pos) FILTER (role = 'item_head'), []) AS h FROM g2 GROUP BY slide),
+bodies AS (SELECT slide, pos, x, y, row_number() OVER (PARTITION BY slide ORDER BY band, l, pos) AS n FROM g2 WHERE role = 'item_body'),
+pairs AS (SELECT slide, CAST(0 AS BIGINT) AS n, range(len(h)) AS free, CAST(len(h) AS BIGINT) AS nxt, CAST(NULL AS INTEGER) AS pos, CAST(NULL AS BIGINT) AS idx FROM heads
+ UNION ALL SELECT slide, n, list_filter(free, lambda z: z IS DISTINCT FROM best), nxt + CAST(best IS NULL AS BIGINT), pos, coalesce(best, nxt) FROM
+ (SELECT c.slide, b.n, c.free, c.nxt, b.pos, list_sort(list_transform(c.free, lambda z: {'d': pow(g.h[z + 1].x - b.x, 2) + pow(g.h[z + 1].y - b.y, 2), 'z': z}))[1].z AS best FROM pairs c JOIN bodies b ON b.slide = c.slide AND b.n = c.n + 1 JOIN heads g ON g.slide = c.slide)),
+numbers AS (SELECT slide, pos, CAST(idx AS INTEGER) AS idx FROM pairs WHERE pos IS NOT NULL UNION ALL SELECT slide, e.pos, CAST(k - 1 AS INTEGER) FROM (SELECT slide, unnest(h) AS e, unnest(range(1, len(h) + 1)) AS k FROM heads))"""
+SQL_PAIRS = SQL_SHAPES.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + _ROLES
+
+
+@query(SQL_PAIRS + " SELECT * FROM numbers")
 def head_body_pairing(spark, sf):
     s = shapes(spark, sf)
     return deck.pair(s.join(deck.slot_roles(s, deck.slide_kinds(s)), ["slide", "pos"]))
 
 
-@query("SELECT * FROM (VALUES ('dangling_rid', 's1', 'r9'), ('missing_target', 's1', '/ppt/charts/c9.xml'), ('duplicate_id', 's2', '4'), ('shared_part', '/ppt/charts/c1.xml', '2'), ('chart_data', '/ppt/charts/c1.xml', 'chartStyle'), ('chart_data', '/ppt/charts/c2.xml', 'missing')) t(category, part, detail)")
-def package_check(spark, sf):
-    used = spark.createDataFrame([("s1", "r1"), ("s1", "r9"), ("s2", "r1")], "part string, rid string")
-    rels = spark.createDataFrame([("s1", "r1", "chart", "/ppt/charts/c1.xml", None), ("s1", "r2", "chart", "/ppt/charts/c9.xml", None), ("s2", "r1", "chart", "/ppt/charts/c1.xml", None), ("s2", "r3", "link", "http://x", "External"), ("/ppt/charts/c1.xml", "r1", "http://t/chartStyle", "/ppt/style1.xml", None), ("/ppt/charts/c3.xml", "r1", "http://t/package", "/ppt/style1.xml", None)], "part string, rid string, type string, target string, mode string")
-    parts = spark.createDataFrame([("/ppt/charts/c1.xml",), ("/ppt/style1.xml",)], "part string")
-    ids = spark.createDataFrame([("s1", 4), ("s2", 4), ("s2", 4)], "part string, shape_id int")
-    charts = spark.createDataFrame([(f"/ppt/charts/c{k}.xml", "r1") for k in (1, 2, 3)], "part string, rid string")
-    return deck.package_issues(used, rels, parts, ids, charts)
+SQL_INDEX = SQL_PAIRS + f""", c AS (SELECT g2.*, kind, idx, {sql_strip('text')} AS clean, CASE WHEN font = 0 THEN 18.0 ELSE font END AS size FROM g2 JOIN kinds USING (slide) LEFT JOIN numbers USING (slide, pos)),
+slots AS (SELECT slide, kind, row_number() OVER (PARTITION BY slide ORDER BY band, l, pos) - 1 AS n, sid, role, left(clean, 24) AS sample, CASE WHEN role NOT IN ('decor', 'no') THEN least(greatest(greatest(1, CAST(round_even(900000::DOUBLE / 12700 * 0.92::DOUBLE / size, 0) AS INTEGER)) * greatest(1, CAST(floor(CAST(height AS DOUBLE) / 12700 * 0.95::DOUBLE / (size * 1.25::DOUBLE)) AS INTEGER)), length(clean)),
+ CASE role WHEN 'title' THEN 24 WHEN 'subtitle' THEN 34 WHEN 'item_head' THEN 14 WHEN 'item_body' THEN 80 ELSE 40 END) END AS cap, idx FROM c),
+per AS (SELECT slide, kind, CASE WHEN kind IN ('content', 'toc', 'cover', 'closing') THEN max(idx) + 1 END AS items FROM slots GROUP BY slide, kind)"""
 
 
-#: Two templates' slots: number, kind, (role, sample, capacity).
-INDEXED = [("a", 1, "toc", [("item_head", "x", 14), ("item_head", "y", 12)]), ("a", 2, "section", [("no", "01", None), ("title", "One", 9)]), ("a", 5, "section", [("title", "Two", 8), ("title", "One", 7)]), ("b", 0, "cover", [("title", "T", 20)]), ("b", 1, "toc", [("item_head", "p", 10), ("item_head", "", 10), ("decor", "z", None), ("item_head", "q", 6)]), ("b", 4, "toc", [("item_head", "late", 5)])]
+def indexed(spark, sf):
+    """The index of the template that the parts' shapes make up."""
+    return deck.index_slides(shapes(spark, sf).withColumn("sid", F.col("slide") * 10 + F.col("pos")))
 
 
-def indexed(spark):
-    return spark.createDataFrame(INDEXED, "template string, i int, kind string, slots array<struct<role:string,sample:string,cap:int>>")
+@query(SQL_INDEX + " SELECT slide, kind, items, CAST(n AS INTEGER) AS n, CAST(sid AS INTEGER) AS sid, role, sample, CAST(cap AS INTEGER) AS cap, idx FROM slots JOIN per USING (slide, kind)")
+def template_index(spark, sf):
+    return indexed(spark, sf).select("slide", "kind", "items", F.posexplode("slots").alias("n", "s")).select("slide", "kind", "items", "n", "s.*")
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 'One'), ('a', 2, 'Two'), ('b', 1, 'p'), ('b', 2, 'q')) t(template, ord, name)")
-def section_defaults(spark, sf):
-    return deck.default_sections(indexed(spark))
+@query(SQL_SHAPES + f" SELECT CAST(list_position([{', '.join(map(repr, deck.KINDS))}], kind) AS INTEGER) AS ord, kind, count(*) AS n FROM kinds GROUP BY kind")
+def kind_inventory(spark, sf):
+    return deck.kind_counts(deck.slide_kinds(shapes(spark, sf)))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 'item_head', 12), ('a', 2, 'title', 9), ('a', 5, 'title', 7), ('b', 0, 'title', 20), ('b', 1, 'item_head', 6), ('b', 4, 'item_head', 5)) t(template, i, role, cap)")
+@query(SQL_INDEX + f""", k AS (SELECT list_position([{', '.join(map(repr, deck.KINDS))}], kind) AS ord, kind, count(*) AS n FROM per GROUP BY kind), room AS (SELECT coalesce(array_to_string(list_sort(list(DISTINCT items) FILTER (kind = 'content' AND items > 0)), '/'), '-') AS r FROM per), q AS (SELECT string_agg(kind || n, ' ' ORDER BY ord) AS kinds, CAST(sum(n) AS BIGINT) AS slides FROM k)
+SELECT slides, kinds, slides || ' slides (' || kinds || '); items: ' || r AS line FROM q, room""")
+def template_summary(spark, sf):
+    return deck.summary(indexed(spark, sf)).drop("capacities")
+
+
+@query(SQL_INDEX + " SELECT slide AS i, role, CAST(min(cap) AS INTEGER) AS cap FROM slots WHERE cap IS NOT NULL GROUP BY ALL")
 def tightest_caps(spark, sf):
-    return decks.tightest_caps(indexed(spark)).select("template", "i", F.explode("caps").alias("role", "cap"))
+    slides_ = indexed(spark, sf).select(F.lit("t").alias("template"), F.col("slide").alias("i"), "slots")
+    return decks.tightest_caps(slides_).select("i", F.explode("caps").alias("role", "cap"))
 
 
-@query(None)
-def outline_rebuild(spark, sf):
-    return deck.rebuild(outline(spark), deck.parse_cards(deck.cards(written(spark), 14)), slides(spark))[0].withColumn("items", F.to_json("items"))
+@query(SQL_INDEX + """, t AS (SELECT slide % 9 AS template, slide AS i, kind, role, sample, n FROM slots WHERE sample <> ''), u AS (SELECT t.* FROM t JOIN (SELECT template, bool_or(kind = 'section') AS divided, min(i) FILTER (kind = 'toc') AS toc FROM t WHERE (kind = 'section' AND role = 'title') OR (kind = 'toc' AND role = 'item_head') GROUP BY template) USING (template) WHERE CASE WHEN divided THEN kind = 'section' AND role = 'title' ELSE kind = 'toc' AND role = 'item_head' AND i = toc END),
+named AS (SELECT template, sample AS name, min((i, n)) AS place FROM u GROUP BY ALL) SELECT template, CAST(row_number() OVER (PARTITION BY template ORDER BY place) AS INTEGER) AS ord, name FROM named""")
+def section_defaults(spark, sf):
+    return deck.default_sections(indexed(spark, sf).select((F.col("slide") % 9).alias("template"), F.col("slide").alias("i"), "kind", "slots"))
 
 
-@query("SELECT * FROM (VALUES (2, 'title', 'far too long', 5), (2, 'item_body', 'body', 3)) t(page, role, text, cap)")
-def cap_warnings(spark, sf):
-    pages = spark.createDataFrame([(1, 0, "{far too long}", None, []), (2, 3, "far too long", "any", [("h", "body")])], "page int, src int, title string, subtitle string, items array<struct<head:string,body:string>>")
-    return deck.cap_warnings(pages, spark.createDataFrame([(0, "title", 5), (3, "title", 5), (3, "item_head", 1), (3, "item_body", 3)], "i int, role string, cap int"))
+@query(SQL_INDEX + """, b AS (SELECT slide, kind, items, unnest(range(items)) AS k FROM per WHERE items > 0), w AS (SELECT b.slide, b.kind, k, bool_or(role = 'item_head') AS h, arg_min(sample, n) FILTER (role = 'item_body') AS s, bool_or(role = 'item_body') AS body FROM b LEFT JOIN slots ON slots.slide = b.slide AND idx = k GROUP BY ALL)
+SELECT slide AS i, CAST(k AS INTEGER) AS k, CASE WHEN kind = 'toc' THEN '{章节名}' WHEN kind = 'content' AND h THEN '{要点}' END AS head, CASE WHEN kind IN ('cover', 'closing') THEN '{' || coalesce(s, '署名') || '}' WHEN kind = 'content' AND (body OR NOT coalesce(h, false)) THEN '{说明}' END AS body FROM w""")
+def blank_pages(spark, sf):
+    return deck.blank_pages(indexed(spark, sf)).select("i", F.posexplode("items").alias("k", "x")).select("i", "k", F.col("x.head").alias("head"), F.col("x.body").alias("body"))
 
 
-@query("SELECT 'zzz' AS code")
-def departments_unknown(spark, sf):
-    return dims.unknown_departments(spark.createDataFrame([("mee",), ("zzz",)], "code string"), dims.departments(spark))
+#: Packages of parts, relationships and shapes from the parts table.
+_PACK = "SELECT DISTINCT p_partkey % 40 AS package, {0} FROM part"
+_PART, _CHART, _RID = "concat('/ppt/slides/s', p_partkey % 7, '.xml')", "concat('/ppt/charts/c', p_partkey % 9, '.xml')", "concat('r', p_partkey % 5)"
+_RELS = f"""SELECT package, part, rid, min(type) AS type, min(target) AS target, min(mode) AS mode FROM (SELECT p_partkey % 40 AS package, {_PART} AS part, {_RID} AS rid, 'http://t/chart' AS type, {_CHART} AS target, CASE WHEN p_partkey % 11 = 0 THEN 'External' END AS mode FROM part WHERE p_partkey % 3 > 0
+UNION ALL SELECT p_partkey % 40, {_CHART}, {_RID}, CASE WHEN p_partkey % 2 = 0 THEN 'http://t/package' ELSE 'http://t/chartStyle' END, concat('/ppt/embeddings/e', p_partkey % 8, '.xlsx'), CAST(NULL AS STRING) FROM part WHERE p_partkey % 4 > 0) q GROUP BY package, part, rid"""
+_USED = _PACK.format(f"{_PART} AS part, {_RID} AS rid")
+_PARTS = _PACK.format("CASE WHEN p_partkey % 2 = 0 THEN concat('/ppt/charts/c', p_partkey % 6, '.xml') ELSE concat('/ppt/embeddings/e', p_partkey % 5, '.xlsx') END AS part")
+_SHAPE_IDS = f"SELECT p_partkey % 40 AS package, {_PART} AS part, CAST(p_partkey % 4 AS INT) AS shape_id FROM part"
+_CHARTS = _PACK.format(f"{_CHART} AS part, {_RID} AS rid")
+
+
+@query(f"""WITH used AS ({_USED}), rels AS ({_RELS}), parts AS ({_PARTS}), shapes AS ({_SHAPE_IDS}), charts AS ({_CHARTS}), inside AS (SELECT * FROM rels WHERE mode IS DISTINCT FROM 'External')
+SELECT package, 'dangling_rid' AS category, part, rid AS detail FROM used ANTI JOIN rels USING (package, part, rid)
+UNION ALL SELECT package, 'missing_target', part, target FROM inside WHERE NOT EXISTS (SELECT 1 FROM parts WHERE parts.package = inside.package AND parts.part = inside.target)
+UNION ALL SELECT package, 'duplicate_id', part, CAST(shape_id AS VARCHAR) FROM shapes GROUP BY package, part, shape_id HAVING count(*) > 1
+UNION ALL SELECT package, 'shared_part', target, CAST(count(*) AS VARCHAR) FROM inside WHERE regexp_matches(target, '/(tags|charts|embeddings|diagrams)/') GROUP BY package, target HAVING count(*) > 1
+UNION ALL SELECT package, 'chart_data', part, coalesce(split_part(type, '/', -1), 'missing') FROM charts LEFT JOIN rels USING (package, part, rid) WHERE type IS NULL OR NOT ends_with(type, '/package')""")
+def package_check(spark, sf):
+    return deck.package_issues(*[shared(spark, sf, q, "part") for q in (_USED, _RELS, _PARTS, _SHAPE_IDS, _CHARTS)])

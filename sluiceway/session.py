@@ -28,3 +28,17 @@ def session(app: str = "sluiceway", cpus: int | None = None, **conf: str) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A test-data table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df):
+    """df read from a checkpoint: its lineage ends. The folder is the cluster's; only a local session without one gets its own."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sluiceway-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()

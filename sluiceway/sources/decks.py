@@ -21,9 +21,21 @@ NS = {"a": "http://schemas.openxmlformats.org/drawingml/2006/main", "p": "http:/
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
-    """(package, data) of the .pptx files under a path, up to MAX_PACKAGE bytes."""
+    """(package, data) of the .pptx files under a path; of those over MAX_PACKAGE bytes data is null, which faults() reports as too_large."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.pptx").option("recursiveFileLookup", "true").load(path)
-    return df.where(F.col("length") <= MAX_PACKAGE).select(F.col("path").alias("package"), F.col("content").alias("data"))
+    small = df.where(F.col("length") <= MAX_PACKAGE).select(F.col("path").alias("package"), F.col("content").alias("data"))
+    return small.unionByName(df.where(F.col("length") > MAX_PACKAGE).select(F.col("path").alias("package"), F.lit(None).cast("binary").alias("data")))
+
+
+def acquire(packages_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packages that are presentations, and (package, error) of those that aren't: too_large or invalid."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            errors = ["too_large" if d is None else None if _open(d) is not None else "invalid" for d in frame.data]
+            yield pd.DataFrame({"package": frame.package, "error": errors})
+
+    judged = packages_.mapInPandas(run, "package string, error string")
+    return packages_.join(judged.where("error IS NULL").select("package"), "package", "left_semi"), judged.where("error IS NOT NULL")
 
 
 def _open(data: bytes):
@@ -31,6 +43,8 @@ def _open(data: bytes):
     import io
     import zipfile
 
+    if data is None:
+        return None
     try:
         z = zipfile.ZipFile(io.BytesIO(data))
         return z if "ppt/presentation.xml" in z.namelist() else None
@@ -51,30 +65,83 @@ def _read(z, part: str):
         return None
 
 
+def _related(z, part: str, kind: str | None = None) -> dict[str, str]:
+    """By id the parts that a part's relationships lead to, of one kind if given."""
+    import posixpath
+
+    folder, name = posixpath.split(part)
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist() or (tree := _read(z, rels)) is None:
+        return {}
+    return {r.get("Id"): posixpath.normpath(posixpath.join("/" + folder, r.get("Target", ""))).lstrip("/") for r in tree if r.get("TargetMode") != "External" and (kind is None or (r.get("Type") or "").endswith(f"/{kind}"))}
+
+
+def _slides(z) -> list[str]:
+    """The slides' parts in the presentation's order; those that it doesn't list follow by number."""
+    import re
+
+    by_number = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
+    tree, parts = _read(z, "ppt/presentation.xml"), _related(z, "ppt/presentation.xml")
+    listed = [parts.get(x.get(f"{{{NS['r']}}}id")) for x in tree.iterfind(".//p:sldIdLst/p:sldId", NS)] if tree is not None else []
+    listed = [p for p in dict.fromkeys(listed) if p in by_number]
+    return listed + [p for p in by_number if p not in listed]
+
+
+def _layout(z, part: str) -> str:
+    """The name of a slide's layout."""
+    for p in _related(z, part, "slideLayout").values():
+        if p in z.namelist() and (tree := _read(z, p)) is not None:
+            own = tree.find("p:cSld", NS)
+            return (own.get("name") or "") if own is not None else ""
+    return ""
+
+
+def _boxes(tree) -> list[tuple]:
+    """(shape, left, top, width, height) of the shapes of a slide in document order; those of groups in the slide's own coordinates."""
+    out: list[tuple] = []
+
+    def walk(node, sx: float, sy: float, dx: float, dy: float) -> None:
+        for x in node:
+            if x.tag == f"{{{NS['p']}}}sp":
+                off, ext = x.find("p:spPr/a:xfrm/a:off", NS), x.find("p:spPr/a:xfrm/a:ext", NS)
+                left, top = (int(off.get("x")), int(off.get("y"))) if off is not None else (0, 0)
+                w, h = (int(ext.get("cx")), int(ext.get("cy"))) if ext is not None else (0, 0)
+                out.append((x, int(left * sx + dx), int(top * sy + dy), int(w * sx), int(h * sy)))
+            elif x.tag == f"{{{NS['p']}}}grpSp":
+                of = {k: x.find(f"p:grpSpPr/a:xfrm/a:{k}", NS) for k in ("off", "ext", "chOff", "chExt")}
+                if any(v is None for v in of.values()):
+                    walk(x, sx, sy, dx, dy)
+                    continue
+                num = lambda k, a: int(of[k].get(a))  # noqa: B023, E731
+                gx = num("ext", "cx") / num("chExt", "cx") if num("chExt", "cx") else 1.0
+                gy = num("ext", "cy") / num("chExt", "cy") if num("chExt", "cy") else 1.0
+                walk(x, sx * gx, sy * gy, dx + sx * (num("off", "x") - gx * num("chOff", "x")), dy + sy * (num("off", "y") - gy * num("chOff", "y")))
+
+    top = tree.find(".//p:spTree", NS)
+    walk(tree if top is None else top, 1.0, 1.0, 0.0, 0.0)
+    return out
+
+
 def shapes(packages_: DataFrame) -> DataFrame:
-    """The text boxes of each slide, those within groups too, in document order."""
+    """The text boxes of each slide, those within groups too, in document order; slides are numbered from 1 in the presentation's order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         for frame in frames:
             out = []
             for name, data in zip(frame.package, frame.data):
                 if (z := _open(data)) is None:
                     continue
-                for part in sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0])):
+                for number, part in enumerate(_slides(z), 1):
                     if (tree := _read(z, part)) is None:
                         continue
-                    table = tree.find(".//a:tbl", NS) is not None
-                    for pos, sp in enumerate(tree.iterfind(".//p:sp", NS)):
+                    table, layout = tree.find(".//a:tbl", NS) is not None, _layout(z, part)
+                    for pos, (sp, *size) in enumerate(_boxes(tree)):
                         own = sp.find(".//p:cNvPr", NS)
                         text = "\n".join("".join(t.text or "" for t in p.iterfind(".//a:t", NS)) for p in sp.iterfind(".//a:p", NS))
                         if not text.strip():
                             continue
                         font = max((int(x.get("sz")) / 100 for x in sp.iter() if (x.get("sz") or "").isdigit()), default=0.0)
-                        off, ext = sp.find(".//a:off", NS), sp.find(".//a:ext[@cx]", NS)
-                        size = [int(e.get(k)) if e is not None else 0 for e, k in ((off, "x"), (off, "y"), (ext, "cx"), (ext, "cy"))]
-                        out.append((name, int(re.search(r"(\d+)\.xml", part)[1]), pos, int(own.get("id")) if own is not None else None, text, font, *size, table, ""))
+                        out.append((name, number, pos, int(own.get("id")) if own is not None else None, text, font, *size, table, layout))
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in SHAPES.split(", ")])
 
     return packages_.mapInPandas(run, SHAPES)
@@ -123,7 +190,7 @@ def faults(packages_: DataFrame) -> DataFrame:
             out = []
             for name, data in zip(frame.package, frame.data):
                 if (z := _open(data)) is None:
-                    out.append((name, None, "broken"))
+                    out.append((name, None, "too_large" if data is None else "broken"))
                     continue
                 for part in z.namelist():
                     if part.endswith((".xml", ".rels")) and _read(z, part) is None:
@@ -180,3 +247,49 @@ def cards(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.text(path, wholetext=True)
     blocks = F.transform(F.split("value", r"(?m)^---\s*$"), F.trim)
     return df.select(F.explode(F.slice(blocks, 2, F.greatest(F.size(blocks) - 2, F.lit(0)))).alias("card"))
+
+
+REGISTRY = T.MapType(T.StringType(), T.StructType().add("label", "string").add("source", "string").add("index", "string").add("aliases", T.ArrayType(T.StringType())).add("sections", T.ArrayType(T.StringType())))
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, key, label, source, index, aliases, sections) of a template registry in JSON, in its order."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", REGISTRY).alias("m"))
+    return whole.select(F.posexplode(F.map_entries("m")).alias("ord", "x")).select("ord", F.col("x.key").alias("key"), "x.value.*")
+
+
+def inspect(packages_: DataFrame) -> DataFrame:
+    """(package, slides, masters, layouts, width, height, names, samples): counts, the layouts' names with their placeholders, and by slide its layout and first four texts, forty characters each."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        for frame in frames:
+            out = []
+            for name, data in zip(frame.package, frame.data):
+                if (z := _open(data)) is None:
+                    continue
+                tree = _read(z, "ppt/presentation.xml")
+                size = tree.find("p:sldSz", NS) if tree is not None else None
+                layouts = sorted(n for n in z.namelist() if re.fullmatch(r"ppt/slideLayouts/slideLayout\d+\.xml", n))
+                masters = [n for n in z.namelist() if re.fullmatch(r"ppt/slideMasters/slideMaster\d+\.xml", n)]
+                names = []
+                for n in layouts:
+                    if (t := _read(z, n)) is not None:
+                        own = t.find("p:cSld", NS)
+                        marks = [f"{p.get('idx') or 0}:{p.get('type') or 'obj'}" for p in t.iterfind(".//p:nvPr/p:ph", NS)]
+                        names.append(f"{own.get('name') if own is not None else ''} {' '.join(marks)}".strip())
+                samples = []
+                for part in _slides(z):
+                    if (t := _read(z, part)) is not None:
+                        texts = ["\n".join("".join(x.text or "" for x in p.iterfind(".//a:t", NS)) for p in sp.iterfind(".//a:p", NS)).strip() for sp in t.iterfind(".//p:sp", NS)]
+                        samples.append(f"{_layout(z, part)}: {' / '.join([x.replace(chr(10), ' | ')[:40] for x in texts if x][:4])}")
+                out.append((name, len(_slides(z)), len(masters), len(layouts), int(size.get("cx")) if size is not None else None, int(size.get("cy")) if size is not None else None, names, samples))
+            yield pd.DataFrame(out, columns=["package", "slides", "masters", "layouts", "width", "height", "names", "samples"])
+
+    return packages_.mapInPandas(run, "package string, slides int, masters int, layouts int, width long, height long, names array<string>, samples array<string>")
+
+
+def card_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(card, text) of whole card files, for deck.read_cards()."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("card"), F.col("value").alias("text"))

@@ -57,15 +57,22 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def resolve_template(names: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, key, label): the template of that key, else the first that has the name among its aliases; null key if none."""
-    hit = names.join(F.broadcast(registry), (F.col("name") == F.col("key")) | F.array_contains("aliases", F.col("name")), "left")
+    hit = names.join(registry, (F.col("name") == F.col("key")) | F.array_contains("aliases", F.col("name")), "left")
     return hit.groupBy("name").agg(F.min_by(F.struct("key", "label"), F.when(F.col("key").isNotNull(), F.struct(F.when(F.col("key") == F.col("name"), 0).otherwise(1), "ord"))).alias("x")).select("name", "x.*")
 
 
 def resolve_department(codes: DataFrame, dims: DataFrame) -> DataFrame:
     """(code, name, site_domain) with the code itself and '' for unknown ones."""
-    return codes.join(F.broadcast(dims), "code", "left").select("code", F.coalesce("name", "code").alias("name"), F.coalesce("site_domain", F.lit("")).alias("site_domain"))
+    return codes.join(dims, "code", "left").select("code", F.coalesce("name", "code").alias("name"), F.coalesce("site_domain", F.lit("")).alias("site_domain"))
 
 
 def unknown_departments(codes: DataFrame, dim: DataFrame) -> DataFrame:
     """The rows of codes (code) that name no department."""
-    return codes.join(F.broadcast(dim.select("code")), "code", "left_anti")
+    return codes.join(dim.select("code"), "code", "left_anti")
+
+
+def default_sections(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """(name, sections): those given with a name (array sections), else its template's."""
+    own = resolve_template(names.select("name").distinct(), registry).join(registry.select("key", F.col("sections").alias("usual")), "key", "left")
+    given = F.when(F.size(F.coalesce("sections", F.array().cast("array<string>"))) > 0, F.col("sections"))
+    return names.join(own.select("name", "usual"), "name", "left").select("name", F.coalesce(given, "usual").alias("sections"))

@@ -23,10 +23,13 @@ def captured(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", engine: str = "http") -> DataFrame:
-    """Files as responses of status 200; over MAX_BYTES their bytes are not read."""
+    """Files as responses of status 200; those over MAX_BYTES are failures: their bytes are not read, and error_class is TooLarge."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     kind = F.when(F.endswith(F.lower("path"), F.lit(".pdf")), "application/pdf").when(F.rlike(F.lower("path"), F.lit(r"\.html?$")), "text/html").otherwise("application/octet-stream")
-    return df.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("url"), F.lit(engine).alias("engine"), F.col("content").alias("data"), kind.alias("content_type"), F.lit(200).alias("status"))
+    row = [F.col("path").alias("url"), F.lit(engine).alias("engine")]
+    small = df.where(F.col("length") <= MAX_BYTES).select(*row, F.col("content").alias("data"), kind.alias("content_type"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error_class"))
+    large = df.where(F.col("length") > MAX_BYTES).select(*row, F.lit(None).cast("binary").alias("data"), kind.alias("content_type"), F.lit(0).alias("status"), F.lit("TooLarge").alias("error_class"))
+    return small.unionByName(large)
 
 
 def sheet(responses: DataFrame, urls: DataFrame) -> DataFrame:

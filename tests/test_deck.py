@@ -41,7 +41,7 @@ def test_allocate_matches_plain_python(spark):
 
 def test_cards_round_trip(spark):
     pages = Q.written(spark)
-    back = deck.parse_cards(deck.cards(pages, 14)).select("page", "kind", "title", F.coalesce("subtitle", F.lit("")).alias("subtitle"), "items")
+    back = deck.parse_cards(deck.cards(pages)).select("page", "kind", "title", F.coalesce("subtitle", F.lit("")).alias("subtitle"), "items")
     want = pages.select("page", "kind", "title", F.coalesce("subtitle", F.lit("")).alias("subtitle"), "items")
     plain = lambda df: sorted((r.page, r.kind, r.title, r.subtitle, [("" if r.kind in ("cover", "closing") else i.head, "" if r.kind == "toc" else i.body) for i in r["items"]]) for r in df.collect())
     assert plain(back) == plain(want)
@@ -90,9 +90,9 @@ def test_rebuild_realigns_pages(spark):
 
 
 def test_rebuild_of_an_outlines_own_card(spark):
-    back = deck.parse_cards(deck.cards(Q.written(spark), 14))
+    back = deck.parse_cards(deck.cards(Q.written(spark)))
     pages, errors = deck.rebuild(Q.outline(spark), back, Q.slides(spark))
     assert errors.count() == 0
     assert [tuple(r) for r in pages.select("page", "src", "kind", "title").orderBy("page").collect()] == [tuple(r) for r in Q.outline(spark).select("page", "src", "kind", "title").orderBy("page").collect()]
-    again = deck.parse_cards(deck.cards(pages, 14))
+    again = deck.parse_cards(deck.cards(pages))
     assert again.exceptAll(back).count() == 0 and back.exceptAll(again).count() == 0

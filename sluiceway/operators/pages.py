@@ -32,7 +32,9 @@ def raw_links(pages: DataFrame, native: bool = True) -> DataFrame:
     plain = F.transform(H.anchors(F.col("html")), lambda x, i: F.struct(i.cast("int").alias("pos"), x["href"].alias("href"), x["text"].alias("text")))
     links = H.parse_page(F.col("html"))["links"]
     if native:
-        regular = F.coalesce((F.regexp_count("html", F.lit(r"(?i)<a[\s>]")) == F.size(plain)) & ~F.rlike("html", F.lit("(?is)<(script|style)\b[^>]*>(?:(?!</\1).)*<a\b")), F.lit(False))
+        opened = lambda x: F.regexp_count(x, F.lit(r"(?i)<a[\s>]"))
+        quiet = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+        regular = F.coalesce((opened(F.col("html")) == F.size(plain)) & (opened(quiet) == F.size(plain)), F.lit(False))
         simple = pages.where(regular).select("page_id", F.col("url").alias("base"), F.explode(plain).alias("x"))
         odd = pages.where(~regular).select("page_id", F.col("url").alias("base"), F.explode(links).alias("x"))
         return simple.unionByName(odd).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))

@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import deck, diagnose, discover, gate, pages, policy
 from ..session import table
-from ..sources import decks, dims
+from ..sources import decks, dims, writer
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -571,6 +571,43 @@ def slides_unknown(spark, sf):
     return deck.unknown_slides(decks_of_documents(spark, sf), spark.createDataFrame(SLOTS, "i int, kind string, sid int, role string, idx int"))
 
 
+def template_package() -> bytes:
+    """A template of five slides with the shapes of SLOTS, whose texts are their slide and number."""
+    import io
+    import zipfile
+
+    ns = " ".join(f'xmlns:{k}="{v}"' for k, v in decks.NS.items())
+    rels = lambda *to: f'<Relationships xmlns="{writer.REL_NS}">' + "".join(f'<Relationship Id="rId{k}" Type="{decks.NS["r"]}/{kind}" Target="{target}"/>' for k, (kind, target) in enumerate(to, 1)) + "</Relationships>"
+    shape = '<p:sp><p:nvSpPr><p:cNvPr id="{sid}" name="s"/></p:nvSpPr><p:spPr/><p:txBody><a:p><a:r><a:rPr sz="1800"/><a:t>S{i}-{sid}</a:t></a:r><a:r><a:t> old</a:t></a:r></a:p></p:txBody></p:sp>'
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w") as z:
+        each = "".join(f'<Override PartName="/ppt/slides/slide{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.presentationml.slide+xml"/>' for k in range(1, 6))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/>{each}</Types>')
+        z.writestr("_rels/.rels", rels(("officeDocument", "ppt/presentation.xml")))
+        z.writestr("ppt/presentation.xml", f"<p:presentation {ns}><p:sldIdLst>" + "".join(f'<p:sldId id="{256 + k}" r:id="rId{k}"/>' for k in range(1, 6)) + "</p:sldIdLst></p:presentation>")
+        z.writestr("ppt/_rels/presentation.xml.rels", rels(*[("slide", f"slides/slide{k}.xml") for k in range(1, 6)]))
+        for k in range(5):
+            z.writestr(f"ppt/slides/slide{k + 1}.xml", f"<p:sld {ns}><p:cSld><p:spTree>" + "".join(shape.format(sid=sid, i=i) for i, _, sid, *_ in SLOTS if i == k) + "</p:spTree></p:cSld></p:sld>")
+    return whole.getvalue()
+
+
+def built(spark, sf, unknown: bool):
+    """Packages of the decks, with their pages of unknown slides or without them."""
+    whole = decks_of_documents(spark, sf).select("deck", F.lit("t").alias("package"), "page", "src")
+    pages_ = whole if unknown else whole.where("src <> 99")
+    return writer.build(pages_, filled(spark, sf), spark.createDataFrame([("t", bytearray(template_package()))], "package string, data binary"))
+
+
+@query(SQL_FILL + f", o AS (SELECT deck, page, src, CAST(row_number() OVER (PARTITION BY deck ORDER BY page) AS INT) AS slide FROM d WHERE src <> 99), b AS (SELECT CAST(o.deck AS VARCHAR) AS package, slide, sl.sid, CASE WHEN f.sid IS NULL THEN 'S' || src || '-' || sl.sid || ' old' ELSE f.text END AS text FROM o JOIN sl ON i = src LEFT JOIN f ON f.deck = o.deck AND f.page = o.page AND f.sid = sl.sid) SELECT * FROM b WHERE {sql_strip('text')} <> ''")
+def deck_build(spark, sf):
+    return decks.shapes(built(spark, sf, False).select(F.col("deck").cast("string").alias("package"), "data")).select("package", "slide", "sid", "text")
+
+
+@query(SQL_FILL + " SELECT deck, CASE WHEN bool_or(src = 99) THEN 'no slide 99' END AS error, bool_or(src = 99) AS lacks FROM d GROUP BY deck")
+def deck_build_errors(spark, sf):
+    return built(spark, sf, True).select("deck", "error", F.col("data").isNull().alias("lacks"))
+
+
 _RESIDUE = " OR ".join(f"contains(text, '{w}')" for w in deck.RESIDUE)
 
 

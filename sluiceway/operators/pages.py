@@ -30,15 +30,15 @@ def clean_records(pages: DataFrame, max_chars: int = 8000, native: bool = True)
 def raw_links(pages: DataFrame, native: bool = True) -> DataFrame:
     """(page_id, base, pos, href, text) of all anchors in order. Pages whose anchors aren't all of the plain form go through the parser in any case."""
     plain = F.transform(H.anchors(F.col("html")), lambda x, i: F.struct(i.cast("int").alias("pos"), x["href"].alias("href"), x["text"].alias("text")))
-    links = H.parse_page(F.col("html"))["links"]
-    if native:
+    if native:  # one pass; of pages with plain anchors alone the parser gets a null
         opened = lambda x: F.regexp_count(x, F.lit(r"(?i)<a[\s>]"))
         quiet = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
-        regular = F.coalesce((opened(F.col("html")) == F.size(plain)) & (opened(quiet) == F.size(plain)), F.lit(False))
-        simple = pages.where(regular).select("page_id", F.col("url").alias("base"), F.explode(plain).alias("x"))
-        odd = pages.where(~regular).select("page_id", F.col("url").alias("base"), F.explode(links).alias("x"))
-        return simple.unionByName(odd).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
-    return pages.select("page_id", F.col("url").alias("base"), F.explode(links).alias("x")).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
+        regular = F.coalesce((opened(F.col("html")) == F.size("plain")) & (opened(quiet) == F.size("plain")), F.lit(False))
+        df = pages.select("page_id", F.col("url").alias("base"), "html", plain.alias("plain")).withColumn("regular", regular)
+        links = F.when(F.col("regular"), F.col("plain")).otherwise(H.parse_page(F.when(~F.col("regular"), F.col("html")))["links"])
+    else:
+        df, links = pages.withColumnRenamed("url", "base"), H.parse_page(F.col("html"))["links"]
+    return df.select("page_id", "base", F.explode(links).alias("x")).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
 
 
 def absolute(base: Column, href: Column) -> Column:
@@ -46,16 +46,13 @@ def absolute(base: Column, href: Column) -> Column:
     return F.when(F.rlike(href, F.lit("^/[^/]")), F.concat(F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]+)", 1), href)).when(F.rlike(href, F.lit("^https?://")), href)
 
 
-def resolve(links: DataFrame, native: bool = True) -> DataFrame:
+def resolve(links: DataFrame) -> DataFrame:
     """Links to http and https, with the absolute ``url``; by page and url the first place and the first text that isn't empty."""
     skip = F.lit(False)
     for s in SKIPPED_SCHEMES:
         skip = skip | F.startswith("href", F.lit(s))
     some = links.where(~skip & (F.col("href") != "")).withColumn("url", absolute(F.col("base"), F.col("href")))
-    if native:  # relative links alone go through the resolver
-        ok = some.where(F.col("url").isNotNull()).unionByName(some.where(F.col("url").isNull()).withColumn("url", U.join(F.col("base"), F.col("href"))))
-    else:
-        ok = some.withColumn("url", F.coalesce("url", U.join(F.col("base"), F.col("href"))))
+    ok = some.withColumn("url", F.coalesce("url", U.join(F.col("base"), F.when(F.col("url").isNull(), F.col("href")))))  # the resolver gets nulls for the others
     ok = ok.where(F.rlike("url", F.lit("^https?://")))
     return ok.groupBy("page_id", "base", "url").agg(F.min("pos").alias("pos"), F.coalesce(F.min_by("text", F.when(F.col("text") != "", F.col("pos"))), F.lit("")).alias("text"))
 
@@ -98,7 +95,7 @@ def fetch(outcomes: DataFrame, max_chars: int = 8000, raw: bool = False, include
     fine = F.coalesce(n >= MIN_TEXT, F.lit(False))
     records = df.select("url", "engine_used", F.when(fine, F.lit("html")).when(F.col("error").isNull() & pdf, F.lit("pdf")).alias("type"), F.when(fine, H.title(F.col("html"))).alias("title"), F.when(fine, n).alias("length"), F.when(F.col("attempts").isNotNull(), F.lit(True)).alias("degraded"), F.when(fine & (n > max_chars), F.lit(True)).alias("truncated"), F.when(fine, T.truncate(whole, max_chars)).alias("text"), F.when(F.col("error").isNotNull(), F.col("error")).when(~pdf & ~fine, F.lit("body too short")).alias("error"))
     each = df.where(F.col("html").isNotNull()).select(F.col("url").alias("page_id"), F.col("url").alias("base"), F.explode("page.links").alias("x")).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
-    attachments, inner = split_links(resolve(each, native=False))
+    attachments, inner = split_links(resolve(each))
     lists = [("attachments", attachments, ("url", "ext", "text"))] + ([("links", inner, ("url", "text"))] if include_links else [])
     for name, found, cols in lists:
         own = found.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", *cols))), lambda x: F.struct(*[x[c].alias(c) for c in cols])).alias(name))  # noqa: B023

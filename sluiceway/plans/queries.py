@@ -107,7 +107,7 @@ l AS (SELECT page_id, 1 AS rank, root || '/d/' || page_id || '.pdf' AS url, 'pdf
 
 
 def attached(spark, sf):
-    return pages.split_links(pages.resolve(pages.raw_links(shared(spark, sf, _ATTACHED, "pages"), native=False), native=False))
+    return pages.split_links(pages.resolve(pages.raw_links(shared(spark, sf, _ATTACHED, "pages"), native=False)))
 
 
 @query(SQL_ATTACHMENTS + " SELECT * FROM l")

@@ -294,7 +294,9 @@ def build(pages: DataFrame, filled: DataFrame, templates: DataFrame, first: int
                 yield pd.DataFrame({"deck": [deck], "data": [out], "error": [why]})
 
     # One template is at hand in a task at a time: its row comes ahead of its decks. Keys are strings there, for pandas makes numbers next to nulls floats.
-    both = ahead.unionByName(dealt).repartition("package", "deal").sortWithinPartitions("package", "deal", "side")
+    spark = pages.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = ahead.unionByName(dealt).repartition(4 * parts, "package", "deal").sortWithinPartitions("package", "deal", "side")
     made = both.select("package", "deal", "side", "data", "deck", "pages").mapInPandas(run, "deck string, data binary, error string")
     return made.withColumn("deck", F.col("deck").cast(decks.schema["deck"].dataType))
 

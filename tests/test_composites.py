@@ -28,7 +28,7 @@ def test_fetch_gives_clean_raw_and_link_bearing_records(spark):
 def test_links_of_any_markup_take_the_parser(spark):
     odd = [(1, "http://a.org/x/", PAGE), (2, "http://a.org/", '<a href="/p">P</a>'), (3, "http://a.org/y/", '<a href="q">Q</a><A HREF="/r">R</A>')]
     df = spark.createDataFrame(odd, "page_id long, url string, html string")
-    rows = lambda native: sorted((r.page_id, r.url, r.text) for r in pages.resolve(pages.raw_links(df, native), native).collect())
+    rows = lambda native: sorted((r.page_id, r.url, r.text) for r in pages.resolve(pages.raw_links(df, native)).collect())
     assert rows(True) == rows(False) and (3, "http://a.org/y/q", "Q") in rows(True) and (3, "http://a.org/r", "R") in rows(True)
 
 

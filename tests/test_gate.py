@@ -48,7 +48,7 @@ def test_text(spark):
 def test_anchor_text_never_leaks(spark):
     html = '<a href="/1">one<a href="/2"><img alt="two"></a><a href="/3"></a><a href="javascript:x">j</a><a href="https://sub.site.com/4">four</a><a href="https://other.com/5">five</a>'
     one = spark.createDataFrame([(1, "https://www.site.com/x", html)], "page_id long, url string, html string")
-    got = pages.split_links(pages.resolve(pages.raw_links(one, native=False), native=False))[1]
+    got = pages.split_links(pages.resolve(pages.raw_links(one, native=False)))[1]
     assert {(r.url, r.text) for r in got.collect()} == {("https://www.site.com/1", "one"), ("https://www.site.com/2", "two"), ("https://sub.site.com/4", "four")}
 
 

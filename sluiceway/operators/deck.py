@@ -329,13 +329,14 @@ def rebuild(skeleton: DataFrame, parsed: DataFrame, slides: DataFrame) -> tuple[
     had = skeleton.select("page", "src", F.col("kind").alias("was"), F.coalesce("items", F.lit(0)).alias("have"))
     j = parsed.join(had, "page").withColumn("need", F.size("items"))
     moved = j.where("kind = was AND need <> have").select("page", "kind", "title", "need")
-    usable = F.broadcast(pool(slides).select("i", F.col("items").alias("n"), "title_cap"))
+    usable = pool(slides).select("i", F.col("items").alias("n"), "title_cap")
     exact = moved.where("kind = 'content'").withColumn("k", F.row_number().over(Window.partitionBy("need").orderBy("page")) - 1).join(usable, F.col("n") == F.col("need"))
     exact = exact.withColumn("holds", F.coalesce("title_cap", F.lit(99)) >= F.length("title"))
     exact = exact.withColumn("some", F.max("holds").over(Window.partitionBy("page"))).where("holds OR NOT some")
     turn = exact.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy("i")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("page"))).where("k % m = r").select("page", "i", "n")
-    tocs = F.broadcast(slides.where("kind = 'toc'").select("i", F.coalesce("items", F.lit(0)).alias("n")))
-    near = moved.where("kind = 'toc'").join(tocs).groupBy("page").agg(F.min_by(F.struct("i", "n"), F.struct(F.abs(F.col("n") - F.col("need")), "i")).alias("x")).select("page", "x.i", "x.n")
+    # The contents slides of a template as one row.
+    tocs = slides.where("kind = 'toc'").agg(F.collect_list(F.struct("i", F.coalesce("items", F.lit(0)).alias("n"))).alias("tocs"))
+    near = moved.where("kind = 'toc'").join(F.broadcast(tocs)).select("page", F.array_min(F.transform("tocs", lambda x: F.struct(F.abs(x["n"] - F.col("need")).alias("far"), x["i"].alias("i"), x["n"].alias("n")))).alias("x")).where("x IS NOT NULL").select("page", "x.i", "x.n")
     df = j.join(turn.unionByName(near), "page", "left").withColumn("room", F.coalesce("n", "have"))
     error = F.when(F.col("kind").isNull() | (F.col("kind") != F.col("was")), "kind differs").when(F.col("need") > F.col("room"), "too many items")
     given = F.transform(F.when(F.col("room") > 0, F.sequence(F.lit(0), F.col("room") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(*[F.coalesce(F.get("items", k)[f], F.lit("")).alias(f) for f in ("head", "body")]))

@@ -11,6 +11,7 @@ from .pii import op7_pii
 from .pq import op6_embedding_dedup
 from .secretscan import op3_secret_scan
 from .sharding import OP4_SQL, op4_sharding
+from .tokenbin import op12_bit_packing
 from .urlfilter import OP5_SQL, op5_url_filters
 
 QUERIES = {
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op12_bit_packing": op12_bit_packing,
 }
 ORACLE = {"op4_sharding": OP4_SQL, "op5_url_filters": OP5_SQL}

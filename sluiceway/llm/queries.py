@@ -6,9 +6,11 @@ from .decontaminate import op8_decontamination
 from .htmltext import op2_html
 from .jaccard import op1_ngram_jaccard
 from .langid import op10_language_id
+from .merkle import OP11_SQL, op11_merkle_proofs
 from .packing import op9_packing
 from .pii import op7_pii
 from .pq import op6_embedding_dedup
+from .prefixtrie import OP13_SQL, op13_prefix_trie
 from .secretscan import op3_secret_scan
 from .sharding import OP4_SQL, op4_sharding
 from .tokenbin import op12_bit_packing
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_merkle_proofs": op11_merkle_proofs,
     "op12_bit_packing": op12_bit_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE = {"op4_sharding": OP4_SQL, "op5_url_filters": OP5_SQL}
+ORACLE = {"op4_sharding": OP4_SQL, "op5_url_filters": OP5_SQL, "op11_merkle_proofs": OP11_SQL, "op13_prefix_trie": OP13_SQL}

@@ -55,27 +55,22 @@ def is_download(message: Column) -> Column:
     return F.coalesce(F.rlike(message, F.lit(DOWNLOAD)), F.lit(False))
 
 
-def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MIN_BYTES, engine: str = "auto") -> DataFrame:
-    """Per url the response of the first engine that passes, with the attempts that failed before it.
+def judged(responses: DataFrame, expect: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """responses with ``rank`` (the engine's, from 1), ``kind`` and ``detail`` of the failure, null where they pass. Bytes of what failed are left out.
 
-    (url, engine_used, status, data, content_type, attempts, error). attempts is null where none failed; error joins
-    the details in engine order where all did. Responses with a column error_class (and error_message) that isn't null have
-    failed without bytes, as those over MAX_BYTES. ``engine`` asks for one engine's responses alone. One shuffle, by url.
+    Responses with a column error_class (and error_message) that isn't null have failed without bytes, as those over MAX_BYTES.
     """
-    if engine != "auto":
-        responses = responses.where(F.col("engine") == engine)
     rank = F.array_position(F.array(*map(F.lit, ENGINES)), F.col("engine"))
     kind = verdict(F.col("status"), F.col("data"), F.col("content_type"), F.col("url"), expect, min_bytes)
     if "error_class" in responses.columns:
         message = F.coalesce(F.col("error_message"), F.lit("")) if "error_message" in responses.columns else F.lit("")
         kind = F.when(F.col("error_class").isNotNull(), error_kind(F.col("error_class"), message)).otherwise(kind)
-    judged = responses.withColumn("kind", kind).withColumn("rank", rank).withColumn("detail", F.when(F.col("kind") == "http_error", F.concat(F.lit("HTTP "), F.col("status").cast("string"))).otherwise(F.col("kind")))
-    first = F.min(F.when(F.col("kind").isNull(), F.col("rank")))
-    got = judged.groupBy("url").agg(
-        first.alias("won"),
-        F.min_by(F.struct("engine", "status", "data", "content_type"), F.when(F.col("kind").isNull(), F.col("rank"))).alias("w"),
-        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("rank", "engine", "kind", "detail")))).alias("failed"),
-    )
+    detail = F.when(F.col("kind") == "http_error", F.concat(F.lit("HTTP "), F.col("status").cast("string"))).otherwise(F.col("kind"))
+    return responses.withColumn("kind", kind).withColumn("rank", rank).withColumn("detail", detail).withColumn("data", F.when(F.col("kind").isNull(), F.col("data")))
+
+
+def decided(got: DataFrame) -> DataFrame:
+    """Outcomes from (url, won, w, failed): the winner's rank and response, null without one, and all failures as (rank, engine, kind, detail), sorted."""
     before = F.filter("failed", lambda x: F.col("won").isNull() | (x["rank"] < F.col("won")))
     attempts = F.transform(before, lambda x: F.struct(x["engine"].alias("engine"), x["kind"].alias("kind"), x["detail"].alias("detail")))
     status = F.when(F.col("won").isNotNull(), launder(F.col("w.status"), F.lit(True)))
@@ -83,6 +78,23 @@ def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MI
     return got.select("url", F.col("w.engine").alias("engine_used"), status.alias("status"), F.col("w.data").alias("data"), F.col("w.content_type").alias("content_type"), F.when(F.size(attempts) > 0, attempts).alias("attempts"), error.alias("error"))
 
 
+def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MIN_BYTES, engine: str = "auto") -> DataFrame:
+    """Per url the response of the first engine that passes, with the attempts that failed before it.
+
+    (url, engine_used, status, data, content_type, attempts, error). attempts is null where none failed; error joins
+    the details in engine order where all did. ``engine`` asks for one engine's responses alone. One shuffle, by url, of what passed.
+    """
+    if engine != "auto":
+        responses = responses.where(F.col("engine") == engine)
+    won = F.when(F.col("kind").isNull(), F.col("rank"))
+    got = judged(responses, expect, min_bytes).groupBy("url").agg(
+        F.min(won).alias("won"),
+        F.min_by(F.struct("engine", "status", "data", "content_type"), won).alias("w"),
+        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("rank", "engine", "kind", "detail")))).alias("failed"),
+    )
+    return decided(got)
+
+
 def summary(outcomes: DataFrame) -> DataFrame:
     """One row: how many succeeded, how many after a failed attempt, and the bytes they hold."""
     ok = F.col("error").isNull()

@@ -55,7 +55,6 @@ def placed(spark: SparkSession, rows: DataFrame, order: list[str]) -> DataFrame:
     chunks = dealt.groupBy("part", "g").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first"))
     w = Window.partitionBy("g").orderBy("part")
     chunks = chunks.select("part", "g", "first", (F.sum("c").over(w) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("g")).alias("n"))
-    chunks, _ = C.write_out(spark, chunks, "merkle-chunks")
     return dealt.join(chunks, ["part", "g"]).withColumn("pos", F.col("before") + F.col("at") - F.col("first")).drop("part", "at", "first", "before")
 
 
@@ -143,7 +142,9 @@ def paths(spark: SparkSession, leaves: DataFrame, nodes: DataFrame, depth: int,
         tops = (level if base else leaves).where(ends).select("g").distinct().join(above, "g").select("g", F.lit(0).cast("long").alias("b"), "path", "siblings", *carried)
         parents = tops if found is None else tops.unionByName(found.select("g", F.col("pos").alias("b"), "path", "siblings", *carried))
         joined = own.withColumn("b", F.floor(F.col("pos") / block)).join(parents, ["g", "b"])
-        joined = joined.withColumn("path", F.concat(F.when(F.col("x").isNull(), F.array().cast(PATH)).otherwise(steps(base, arity, step)), F.col("path")))
+        # One that is its run alone at all these levels has no siblings, yet a step for each.
+        joined = joined.withColumn("x", F.coalesce("x", F.array().cast("array<struct<level:int,at:bigint,left:boolean,h:string>>")))
+        joined = joined.withColumn("path", F.concat(steps(base, arity, step), F.col("path")))
         found = joined.withColumn("siblings", F.concat(F.concat_ws("", F.transform("x", lambda s: s["h"])), F.col("siblings"))).drop("x", "b")
         if base:
             found, _ = C.write_out(spark, found, "merkle-paths")

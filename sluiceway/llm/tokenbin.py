@@ -12,12 +12,15 @@ cut out of the eight bytes that begin where it does.
 
 Spark writes the files: rows (a file each, of at most about FILE ids unless one document has more) go through its text
 sink, whose committer leaves no file of a task that failed or ran twice, on any file system Spark knows; the sink's line
-feed is the trailer's last byte. Spark reads them as binaryFile rows. Documents are encoded where they are read, their
-ids written once, sorted by range of doc_id (ties: by a hash of ids, then by row, so that a hot doc_id spreads), and
-packed as they stream by. Where a file's ids begin among all ids is a prefix sum over the files' trailers, one row a file.
+feed is the trailer's last byte. Spark reads them as binaryFile rows.
 
-The tokenizer drops white space and encodes words by themselves (see ``by_word``), so a task encodes each word it meets
-once and keeps the first WORDS of them; a test holds that against encoding whole texts.
+Documents are encoded where they are read and dealt by range of doc_id, the bounds being quantiles of all doc_ids; where one
+doc_id is several quantiles, its rows are dealt over the ranges between. Ids are shuffled once, sorted within a range and packed as they
+stream by. Where a file's ids begin among all ids is a prefix sum over the files' trailers, one row a file.
+
+The tokenizer drops white space and the case of letters and encodes words by themselves (see ``by_word``), so a task
+encodes each word it meets once, keeps the first WORDS of them, and puts texts together by number; tests hold that against
+encoding whole texts.
 
 Defined results: null or empty text has the end id alone; a null doc_id comes first; documents that share a doc_id lie next to each
 other, each with ids of its own, repeated rows as well; texts of any length are encoded whole; an empty table has no files and gives no
@@ -30,6 +33,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,10 +41,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MAGIC, BLOCK, FILE, END, WORDS, LONG = b"SLWBITS1", 1 << 16, 1 << 24, 2, 3 << 18, 64
+#: What a null key counts as.
+NONE = -(1 << 63)
+MAGIC, BLOCK, FILE, END, WORDS, LONG = b"SLWBITS1", 1 << 16, 1 << 23, 2, 1 << 18, 64
 #: magic, width, block, documents, ids, blocks, place, line feed
 TRAILER = "<8sIIQQQqc"
 TAIL = struct.calcsize(TRAILER)
+#: Stands between words that are encoded together: a character that is a token of its own. Bytes of texts, words, and rows at a time.
+BETWEEN, AT_ONCE, TOGETHER, ROWS = "\x1f", 1 << 22, 2000, 2000
 
 
 def width_of(vocabulary: int) -> int:
@@ -49,7 +57,7 @@ def width_of(vocabulary: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
@@ -120,7 +128,19 @@ def by_word(spec: dict) -> bool:
     split, plain = steps[0], {"NFC", "Lowercase", "Replace"}
     norms = (spec.get("normalizer") or {}).get("normalizers") or []
     bare = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"]) for t in spec.get("added_tokens", []))
-    return bool(spec["model"].get("end_of_word_suffix")) and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and "\\s" in str(split.get("pattern")) and {n["type"] for n in norms} <= plain and bare
+    lower = "Lowercase" in {n["type"] for n in norms}
+    return lower and bool(spec["model"].get("end_of_word_suffix")) and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and "\\s" in str(split.get("pattern")) and {n["type"] for n in norms} <= plain and bare
+
+
+#: A letter and what other signs end its word, but for apostrophes, which may begin a piece of their own.
+ENDING = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(\s|$)"
+
+
+def apart(texts):
+    """Texts whose words are fewer and have the same ids: A-Z in lower case, signs after a word's last letter as words. Those with special tokens, perhaps, stay as they are."""
+    import pyarrow.compute as pc
+
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(pc.ascii_lower(texts), ENDING, r"\1 \2\3"))
 
 
 class Encoder:
@@ -138,16 +158,45 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """As _encode(), of words that are one text for the library, which saves its cost of a call for each."""
+        size = np.dtype(self.kind).itemsize
+        mark = self._encode([BETWEEN])[0]
+        for lo in range(0, len(words), TOGETHER):
+            part = words[lo : lo + TOGETHER]
+            (raw,) = self._encode([f" {BETWEEN} ".join(part)])
+            ends = np.flatnonzero(np.frombuffer(raw, self.kind) == np.frombuffer(mark, self.kind)[0]) * size if len(mark) == size else ()
+            if len(ends) != len(part) - 1:  # a word holds the character itself
+                yield from self._encode(part)
+                continue
+            for a, b in zip([0, *(ends + size).tolist()], [*ends.tolist(), len(raw)]):
+                yield raw[a:b]
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of texts, one after the other, and how many each has."""
+        import pyarrow.compute as pc
+
         if self.words is None:
-            return self._encode(texts)
-        # Blanks of ASCII alone: what else a pattern may count as white space stays within words, where the tokenizer drops it.
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+            raw = self._encode(texts.to_pylist())
+            return np.frombuffer(b"".join(raw), self.kind), np.array([len(x) for x in raw], np.int64) // np.dtype(self.kind).itemsize
+        split = pc.ascii_split_whitespace(apart(texts))
+        coded = split.flatten().dictionary_encode()
+        pieces = self._pieces(coded.dictionary.to_pylist())
+        size = np.array([len(x) for x in pieces], np.int64) // np.dtype(self.kind).itemsize
+        table, first, word = np.frombuffer(b"".join(pieces), self.kind), np.cumsum(size) - size, coded.indices.to_numpy()
+        n = size[word]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat((first[word] - ends[:-1]).astype(np.int32), n)  # a batch has far fewer ids than 1 << 31
+        at += np.arange(len(at), dtype=np.int32)
+        ids = table[at]
+        return ids, np.diff(ends[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))])
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
         known = self.words
-        new = [w for w in set().union(*split) if w not in known]
+        new = [w for w in words if w not in known]
         full = len(known) >= WORDS
-        known.update(zip(new, self._encode(new)))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        known.update(zip(new, self._encode_words(new)))
+        out = [known[w] for w in words]
         for w in new:
             if full or len(w) > LONG:
                 del known[w]
@@ -163,58 +212,71 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str, end: int = END, key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, mark, ids): each document's ids and the end id, as bytes; mark is a hash of them."""
+def encoded(docs: DataFrame, path: str, bounds: list[int], end: int = END, key: str = "doc_id") -> DataFrame:
+    """(doc_id, bucket, n_tokens, ids): each document's ids and the end id, as bytes; bucket is the range between bounds that its doc_id is in, or one of several."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches: Iterator) -> Iterator:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
-        last = np.array([end], encode.kind).tobytes()
+        encode, seen, edges = encoder(path), 0, np.array(bounds, np.int64)
+        size = np.dtype(encode.kind).itemsize
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                out = [x + last for x in encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // len(last) for x in out], pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "mark", "ids"])
-
-    return C.wide(docs.select(F.col(key).cast("long").alias("doc_id"), C.text_of().alias("text"))).mapInArrow(run, "doc_id long, n_tokens long, mark long, ids binary")
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+                part, lo = batch.slice(lo, hi - lo), hi
+                ids, n = encode(part.column(1))
+                raw = np.insert(ids, np.cumsum(n), end).astype(encode.kind)
+                offsets = np.concatenate(([0], np.cumsum((n + 1) * size))).astype(np.int32)
+                keys = pc.fill_null(part.column(0), NONE).to_numpy()
+                low, high = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
+                bucket = low + (seen + np.arange(len(keys))) % (high - low + 1)
+                seen += len(keys)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bucket, pa.int64()), pa.array(n + 1), pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])], ["doc_id", "bucket", "n_tokens", "ids"])
+
+    return C.wide(docs.select(F.col(key).cast("long").alias("doc_id"), C.text_of().alias("text"))).mapInArrow(run, "doc_id long, bucket long, n_tokens long, ids binary")
+
+
+def bounds_of(docs: DataFrame, key: str = "doc_id") -> list[int]:
+    """Quantiles of a key that cut a table in as many ranges as a shuffle has partitions; null is the least value."""
+    spark = docs.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    return docs.agg(F.percentile_approx(F.coalesce(F.col(key).cast("long"), F.lit(NONE)), at, F.lit(10_000)).alias("q")).first()["q"] or []
 
 
 def write_files(tokens: DataFrame, path: str, width: int, file_ids: int = FILE, block: int = BLOCK) -> None:
-    """Writes files of packed ids in ascending doc_id order; tokens is encoded()'s table, written."""
+    """Writes files of packed ids in ascending doc_id order from encoded()'s rows."""
     import pyarrow as pa
 
-    spark = tokens.sparkSession
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-total // file_ids))
-
     def run(batches: Iterator) -> Iterator:
-        from pyspark import TaskContext
-
-        place, keys, sizes, ids, have = TaskContext.get().partitionId() << 32, [], [], [], 0
+        place, keys, sizes, raws, have = None, [], [], [], 0
 
         def done():
-            value = pack_file(keys, sizes, np.concatenate(ids), width, place, block)
+            kind = "<u2" if sum(map(len, raws)) == 2 * have else "<u4"
+            value = pack_file(keys, sizes, np.frombuffer(b"".join(raws), kind), width, place, block)
             return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
 
         for batch in batches:
-            for k, n, raw in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if keys and have + n > file_ids:
+            for k, bucket, n, raw in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                other = place is not None and bucket != place >> 32
+                if keys and (other or have + n > file_ids):
                     yield done()
-                    place, keys, sizes, ids, have = place + 1, [], [], [], 0
+                    place, keys, sizes, raws, have = None if other else place + 1, [], [], [], 0
+                place = bucket << 32 if place is None else place
                 keys.append(k)
                 sizes.append(n)
-                ids.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4"))
+                raws.append(raw)
                 have += n
         if keys:
             yield done()
 
-    rows = tokens.withColumn("row", F.monotonically_increasing_id())
-    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row")]
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    files = rows.select("doc_id", "n_tokens", "ids").mapInArrow(run, "value binary")
+    rows = tokens.repartition(F.col("bucket")).sortWithinPartitions(F.col("bucket"), F.col("doc_id").asc_nulls_first())
+    files = rows.select("doc_id", "bucket", "n_tokens", "ids").mapInArrow(run, "value binary")
     files.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
@@ -228,6 +290,7 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([f[6] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())], ["place", "n_ids"])
 
     def rows(batches: Iterator) -> Iterator:
+        _encoders.clear()  # a worker that has encoded holds words that it needs no more
         for batch in batches:
             for content in batch.column(0):
                 file, lo = BitFile(content.as_buffer()), 0
@@ -249,19 +312,28 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     tails = files.select(F.substring("content", -TAIL, TAIL).alias("tail")).mapInArrow(trailers, "place long, n_ids long")
-    heads, _ = C.write_out(spark, tails, "bits-files")
     # A row a file: the window sorts these, not documents.
-    bases = heads.select("place", (F.sum("n_ids").over(Window.orderBy("place")) - F.col("n_ids")).alias("base"))
+    bases = tails.select("place", (F.sum("n_ids").over(Window.orderBy("place")) - F.col("n_ids")).alias("base"))
     found = files.select("content").mapInArrow(rows, "place long, doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
     return found.join(bases, "place").withColumn("start", F.col("base") + F.col("start")).drop("place", "base")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Rows that go to Python at a time, in what is run within: whole texts, of which thousands are too much for a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def token_files(docs: DataFrame, tokenizer: str, path: str, end: int = END, file_ids: int = FILE) -> None:
     """Encodes docs and writes their files to path."""
-    spark = docs.sparkSession
-    tokens, own = C.write_out(spark, encoded(docs, tokenizer, end), "bits-tokens")
-    write_files(tokens, path, width_of(max(encoder(tokenizer).vocabulary, end + 1)), file_ids)
-    C.drop_path(spark, own)
+    with batches_of(docs.sparkSession, ROWS):
+        write_files(encoded(docs, tokenizer, bounds_of(docs), end), path, width_of(max(encoder(tokenizer).vocabulary, end + 1)), file_ids)
 
 
 def op12_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

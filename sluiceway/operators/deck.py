@@ -48,29 +48,36 @@ def is_decor(text: Column) -> Column:
     return _any(F.upper(flat), TOC_HINTS) | F.rlike(flat, F.lit("|".join(DECOR)))
 
 
+def _template(df: DataFrame) -> list[str]:
+    """The key of a table that holds several templates."""
+    return ["template"] if "template" in df.columns else []
+
+
 def slide_kinds(shapes: DataFrame) -> DataFrame:
-    """(slide, kind) by ordered rules. shapes: (slide, pos, text, font_pt, left, top, width, height, has_table, layout)."""
-    per = shapes.groupBy("slide").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: T.flatten(x["text"])), "").alias("flat"), F.max(F.rlike(T.flatten(F.col("text")), F.lit(SECTION_NO))).alias("numbered"), F.count_if(~is_decor(F.col("text")) & (T.strip(F.col("text")) != "")).alias("bodies"), F.max("has_table").alias("has_table"), F.max("layout").alias("layout"))
-    ends = shapes.agg(F.min("slide").alias("first"), F.max("slide").alias("last"))
+    """(slide, kind) by ordered rules. shapes: (slide, pos, text, font_pt, left, top, width, height, has_table, layout), and template if there are several, as in all that is made of them."""
+    key = _template(shapes)
+    per = shapes.groupBy(*key, "slide").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: T.flatten(x["text"])), "").alias("flat"), F.max(F.rlike(T.flatten(F.col("text")), F.lit(SECTION_NO))).alias("numbered"), F.count_if(~is_decor(F.col("text")) & (T.strip(F.col("text")) != "")).alias("bodies"), F.max("has_table").alias("has_table"), F.max("layout").alias("layout"))
+    ends = shapes.groupBy(*key).agg(F.min("slide").alias("first"), F.max("slide").alias("last"))
     up = F.upper("flat")
     kind = F.when(F.col("slide") == F.col("first"), "cover").when(_any(up, TOC_HINTS), "toc").when(_any(up, CLOSING_HINTS), "closing").when(F.col("has_table"), "table").when(F.col("numbered") & ((F.col("bodies") <= 2) | F.contains("layout", F.lit("节"))), "section").when(F.col("slide") == F.col("last"), "closing").otherwise("content")
-    return per.join(F.broadcast(ends)).select("slide", kind.alias("kind"))
+    # Without a key, ends is one row.
+    return (per.join(ends, key) if key else per.crossJoin(ends)).select(*key, "slide", kind.alias("kind"))
 
 
 def slot_roles(shapes: DataFrame, kinds: DataFrame) -> DataFrame:
     """(slide, pos, role): decoration first, the rest by prominence."""
-    text = F.col("text")
+    key, text = _template(shapes), F.col("text")
     numbered = F.rlike(T.flatten(text), F.lit(SECTION_NO))
     fine = (F.col("font_pt") > 0) & (F.col("font_pt") < FINE_PRINT)
-    df = shapes.join(kinds, "slide").withColumn("aside", F.when(numbered, "no").when(is_decor(text) | fine, "decor"))
-    rest = Window.partitionBy("slide", F.col("aside").isNull()).orderBy(F.desc(prominence(F.col("font_pt"), F.col("height"))), "pos")
+    df = shapes.join(kinds, [*key, "slide"]).withColumn("aside", F.when(numbered, "no").when(is_decor(text) | fine, "decor"))
+    rest = Window.partitionBy(*key, "slide", F.col("aside").isNull()).orderBy(F.desc(prominence(F.col("font_pt"), F.col("height"))), "pos")
     n, size = F.row_number().over(rest) - 1, F.length(T.flatten(text))
     front = F.col("kind").isin("cover", "section", "closing")
     role = (
         F.when(F.col("aside").isNotNull(), F.col("aside")).when(front & (n == 0), "title").when(front & (n == 1), "subtitle").when(front, "item_body").when(F.col("kind") == "toc", "item_head")
         .when((n == 0) & (F.col("top") < TOP_AREA) & (size <= 20), "title").when(size <= 12, "item_head").otherwise("item_body")
     )
-    return df.select("slide", "pos", role.alias("role"))
+    return df.select(*key, "slide", "pos", role.alias("role"))
 
 
 def pair(slots: DataFrame) -> DataFrame:
@@ -80,7 +87,8 @@ def pair(slots: DataFrame) -> DataFrame:
     """
     cx, cy = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
     at = F.struct(F.floor(F.col("top") / BAND).alias("band"), F.col("left").alias("left"), F.col("pos").alias("pos"), cx.alias("x"), cy.alias("y"))
-    per = slots.groupBy("slide").agg(F.sort_array(F.collect_list(F.when(F.col("role") == "item_head", at))).alias("heads"), F.sort_array(F.collect_list(F.when(F.col("role") == "item_body", at))).alias("bodies"))
+    key = _template(slots)
+    per = slots.groupBy(*key, "slide").agg(F.sort_array(F.collect_list(F.when(F.col("role") == "item_head", at))).alias("heads"), F.sort_array(F.collect_list(F.when(F.col("role") == "item_body", at))).alias("bodies"))
     free = F.sequence(F.lit(0), F.size("heads") - 1)
     start = F.struct(F.when(F.size("heads") > 0, free).otherwise(F.array().cast("array<int>")).alias("free"), F.size("heads").alias("next"), F.array().cast("array<struct<pos:int,idx:int>>").alias("out"))
 
@@ -95,7 +103,7 @@ def pair(slots: DataFrame) -> DataFrame:
 
     bodies = F.aggregate("bodies", start, step)["out"]
     heads = F.transform("heads", lambda h, i: F.struct(h["pos"].cast("int").alias("pos"), i.cast("int").alias("idx")))
-    return per.select("slide", F.explode(F.concat(heads, bodies)).alias("x")).select("slide", "x.*")
+    return per.select(*key, "slide", F.explode(F.concat(heads, bodies)).alias("x")).select(*key, "slide", "x.*")
 
 
 def index_slides(shapes: DataFrame) -> DataFrame:
@@ -104,28 +112,29 @@ def index_slides(shapes: DataFrame) -> DataFrame:
     shapes: slide_kinds()'s columns and sid. Decoration and section numbers have no capacity; heads and bodies are paired.
     items, the number of items a slide holds, is null for dividers and tables, as for slides without heads and bodies.
     """
-    kinds = slide_kinds(shapes)
-    slots = shapes.join(slot_roles(shapes, kinds), ["slide", "pos"])
-    paired = pair(slots).select("slide", "pos", "idx")
-    df = slots.join(paired, ["slide", "pos"], "left")
+    key, kinds = _template(shapes), slide_kinds(shapes)
+    slots = shapes.join(slot_roles(shapes, kinds), [*key, "slide", "pos"])
+    paired = pair(slots).select(*key, "slide", "pos", "idx")
+    df = slots.join(paired, [*key, "slide", "pos"], "left")
     text = T.strip(F.col("text"))
     cap = F.when(~F.col("role").isin("decor", "no"), slot_cap(F.col("role"), capacity(F.col("width"), F.col("height"), F.col("font_pt")), text)).cast("int")
     at = [F.floor(F.col("top") / BAND).alias("band"), F.col("left").alias("left"), F.col("pos").alias("pos")]
     each = F.struct(*at, F.struct(F.col("sid").cast("int").alias("sid"), "role", F.left(text, F.lit(SAMPLE)).alias("sample"), cap.alias("cap"), "idx").alias("slot"))
-    per = df.groupBy("slide").agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["slot"]).alias("slots"), (F.max("idx") + 1).alias("items"))
+    per = df.groupBy(*key, "slide").agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["slot"]).alias("slots"), (F.max("idx") + 1).alias("items"))
     counted = F.col("kind").isin("content", "toc", "cover", "closing")
-    return per.join(kinds, "slide").select("slide", "kind", F.when(counted, F.col("items")).alias("items"), "slots")
+    return per.join(kinds, [*key, "slide"]).select(*key, "slide", "kind", F.when(counted, F.col("items")).alias("items"), "slots")
 
 
 def slides_of(index: DataFrame) -> DataFrame:
     """(i, kind, items, title_cap) of an index, as allocate() and rebuild() take them: the title's tightest capacity."""
     caps = F.transform(F.filter("slots", lambda x: (x["role"] == "title") & x["cap"].isNotNull()), lambda x: x["cap"])
-    return index.select(F.col("slide").alias("i"), "kind", "items", F.array_min(caps).alias("title_cap"))
+    return index.select(*_template(index), F.col("slide").alias("i"), "kind", "items", F.array_min(caps).alias("title_cap"))
 
 
 def slots_of(index: DataFrame) -> DataFrame:
     """(i, kind, sid, role, cap, idx, sample) of an index, as fill() takes them."""
-    return index.select(F.col("slide").alias("i"), "kind", F.explode("slots").alias("s")).select("i", "kind", "s.sid", "s.role", "s.cap", "s.idx", "s.sample")
+    key = _template(index)
+    return index.select(*key, F.col("slide").alias("i"), "kind", F.explode("slots").alias("s")).select(*key, "i", "kind", "s.sid", "s.role", "s.cap", "s.idx", "s.sample")
 
 
 def blank_pages(index: DataFrame) -> DataFrame:
@@ -143,56 +152,96 @@ def blank_pages(index: DataFrame) -> DataFrame:
         return F.struct(head.alias("head"), text.alias("body"))
 
     items = F.when(F.coalesce("items", F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col("items") - 1), item))
-    return index.select(F.col("slide").alias("i"), "kind", F.when(F.size(tight) > 0, tight).alias("caps"), items.alias("items"))
+    return index.select(*_template(index), F.col("slide").alias("i"), "kind", F.when(F.size(tight) > 0, tight).alias("caps"), items.alias("items"))
 
 
 def kind_counts(kinds: DataFrame) -> DataFrame:
     """(ord, kind, n) of a template's slides, in the kinds' order; kinds without a slide are left out."""
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(place.alias("ord"), "kind", "n")
+    key = _template(kinds)
+    return kinds.groupBy(*key, "kind").agg(F.count(F.lit(1)).alias("n")).select(*key, place.alias("ord"), "kind", "n")
 
 
 def summary(index: DataFrame) -> DataFrame:
-    """(slides, kinds, capacities, line) of a template: one row."""
-    by = kind_counts(index).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "kind", "n"))), lambda x: F.concat(x["kind"], x["n"].cast("string"))), " ").alias("kinds"), F.sum("n").alias("slides"))
+    """(slides, kinds, capacities, line): a row for each template."""
+    key = _template(index)
+    by = kind_counts(index).groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "kind", "n"))), lambda x: F.concat(x["kind"], x["n"].cast("string"))), " ").alias("kinds"), F.sum("n").alias("slides"))
     items = F.when((F.col("kind") == "content") & (F.col("items") > 0), F.col("items"))
-    room = index.agg(F.sort_array(F.collect_set(items)).alias("capacities"))
+    room = index.groupBy(*key).agg(F.sort_array(F.collect_set(items)).alias("capacities"))
     line = F.concat(F.col("slides").cast("string"), F.lit(" slides ("), "kinds", F.lit("); items: "), F.when(F.size("capacities") > 0, F.array_join(F.transform("capacities", lambda x: x.cast("string")), "/")).otherwise("-"))
-    return by.crossJoin(room).select("slides", "kinds", "capacities", line.alias("line"))
+    return (by.join(room, key) if key else by.crossJoin(room)).select(*key, "slides", "kinds", "capacities", line.alias("line"))
 
 
-def pool(slides: DataFrame) -> DataFrame:
-    """(i, items, title_cap) of content slides with 1 to MAX_ITEMS items; with two or more if there are any."""
-    usable = slides.where((F.col("kind") == "content") & F.col("items").between(1, MAX_ITEMS))
-    return usable.withColumn("some", F.max((F.col("items") >= 2).cast("int")).over(Window.partitionBy(F.lit(1)))).where("items >= 2 OR some = 0").select("i", "items", "title_cap")
+def templates(slides: DataFrame) -> DataFrame:
+    """A row for each template, which is a few dozen slides: cover, end and closings, tocs (i, n, items), divs, and the pool (items, i, title_cap).
 
+    The pool is content slides with 1 to MAX_ITEMS items, with two or more if there are any. slides: (i, kind, items, title_cap).
+    """
+    of = lambda kind, x: F.sort_array(F.collect_list(F.when(kind, x)))
+    kind, i = F.col("kind"), F.col("i")
+    usable = (kind == "content") & F.col("items").between(1, MAX_ITEMS)
+    per = slides.groupBy(*_template(slides)).agg(
+        F.min(F.when(kind == "cover", i)).alias("cover"), F.min(F.when(kind == "closing", i)).alias("end"), F.count_if(kind == "closing").alias("closings"), of(kind == "section", i).alias("divs"),
+        of(kind == "toc", F.struct("i", F.coalesce("items", F.lit(0)).alias("n"), "items")).alias("tocs"), of(usable, F.struct("items", "i", "title_cap")).alias("pool"),
+    )
+    several = F.filter("pool", lambda x: x["items"] >= 2)
+    return per.withColumn("pool", F.when(F.size(several) > 0, several).otherwise(F.col("pool")))
 
-def allocate(slides: DataFrame, sections: list[str], total: int, title: str = "{标题}") -> DataFrame:
-    """(page, src, kind, title, items) of an outline: cover, contents, per section a divider and its share of body pages, closing.
 
-    slides: (i, kind, items, title_cap). Body pages are dealt by divmod, the remainder to the first sections; one counter
-    runs through all sections and picks from the slides that hold a section's name.
+def _holding(pool: Column, title: Column) -> Column:
+    """The slides of a pool that hold a title; all if none does."""
+    holds = F.filter(pool, lambda x: F.coalesce(x["title_cap"], F.lit(99)) >= F.length(title))
+    return F.when(F.size(holds) > 0, holds).otherwise(pool)
+
+
+def outlines(slides: DataFrame, requests: DataFrame) -> DataFrame:
+    """(deck, template, page, src, kind, title, items) of outlines: cover, contents, per section a divider and its share of body pages, closing.
+
+    slides: (template, i, kind, items, title_cap); requests: (deck, template, title, total, sections). Keys that requests lack are left out.
+    Body pages are dealt by divmod, the remainder to the first sections; one counter runs through all sections and picks from
+    the slides that hold a section's name. An outline is a few dozen pages, made within its request's row by higher-order
+    functions: one join of requests with a row for each template, and no shuffle of pages.
+
+    Defined results: null sections are none; a template that is missing, or without slides, gives no pages; a total under one gives none.
     """
-    n = len(sections)
-    spark = slides.sparkSession
-    # A template is a few dozen rows; its counts by kind are one row.
-    c = slides.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("toc", "section", "closing")], F.min(F.when(F.col("kind") == "cover", F.col("i"))).alias("cover"), F.min(F.when(F.col("kind") == "closing", F.col("i"))).alias("end"), F.min_by("i", F.when(F.col("kind") == "toc", F.struct(F.abs(F.coalesce("items", F.lit(0)) - n), "i"))).alias("toc_i"), F.min_by("items", F.when(F.col("kind") == "toc", F.struct(F.abs(F.coalesce("items", F.lit(0)) - n), "i"))).alias("toc_items"))
-    named = spark.createDataFrame([(k, s) for k, s in enumerate(sections)], "s int, name string")
-    fixed = 1 + F.col("closing") + F.when(F.col("toc") > 0, 1).otherwise(0) + F.when(F.col("section") > 0, n).otherwise(0)
-    body = F.greatest(F.lit(total) - fixed, F.lit(n))
-    per = named.join(F.broadcast(c)).withColumn("k", F.greatest(F.lit(1), F.floor(body / n) + F.when(F.col("s") < body % n, 1).otherwise(0)).cast("int"))
-    each = per.select("s", "name", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("b")).withColumn("taken", F.row_number().over(Window.orderBy("s", "b")) - 1)
-    p = pool(slides)
-    fit = named.join(F.broadcast(p), F.coalesce("title_cap", F.lit(99)) >= F.length("name"))
-    lacking = named.join(fit.select("s").distinct(), "s", "left_anti").join(F.broadcast(p))
-    ranked = fit.unionByName(lacking).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("items", "i")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("s")))
-    bodies = each.join(ranked, (each["s"] == ranked["s"]) & (F.col("taken") % F.col("m") == F.col("r"))).select((each["s"] * 2 + 3).alias("a"), F.col("b"), F.col("i").alias("src"), F.lit("content").alias("kind"), each["name"].alias("title"), F.col("items"))
-    divs = slides.where("kind = 'section'").select(F.col("i").alias("src"), (F.row_number().over(Window.orderBy("i")) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("m"))
-    heads = named.join(F.broadcast(divs), F.col("s") % F.col("m") == F.col("r")).select((F.col("s") * 2 + 2).alias("a"), F.lit(0).alias("b"), "src", F.lit("section").alias("kind"), F.col("name").alias("title"), F.lit(None).cast("int").alias("items"))
-    one = lambda a, src, kind, t, items: c.select(F.lit(a).alias("a"), F.lit(0).alias("b"), src.alias("src"), F.lit(kind).alias("kind"), F.lit(t).alias("title"), items.cast("int").alias("items")).where("src IS NOT NULL")
+    key, keep = _template(requests), [*_deck(requests), *_template(requests)]
+    per = templates(slides if key else slides.drop("template"))
+    df = (requests.join(per, key) if key else requests.crossJoin(per)).withColumn("sections", F.coalesce("sections", F.array().cast("array<string>")))
+    n = F.size("sections")
+    fixed = 1 + F.col("closings") + F.when(F.size("tocs") > 0, 1).otherwise(0) + F.when(F.size("divs") > 0, n).otherwise(0)
+    df = df.withColumn("n", n).withColumn("body", F.greatest(F.col("total") - fixed, n).cast("int"))
+    df = df.withColumn("share", F.floor(F.col("body") / F.greatest("n", F.lit(1))).cast("int")).withColumn("more", F.col("body") % F.greatest("n", F.lit(1)))
     none = F.lit(None)
-    pages = one(0, F.col("cover"), "cover", title, none).unionByName(one(1, F.col("toc_i"), "toc", "目录", F.least(F.coalesce("toc_items", F.lit(n)), F.lit(n)))).unionByName(heads).unionByName(bodies).unionByName(one(1 << 20, F.col("end"), "closing", "{致谢}", none))
-    return pages.withColumn("page", F.row_number().over(Window.orderBy("a", "b"))).where(F.col("page") <= total).select("page", "src", "kind", "title", "items")
+    page = lambda src, kind, title, items: F.struct(src.cast("int").alias("src"), F.lit(kind).alias("kind"), title.alias("title"), items.cast("int").alias("items"))
+    empty = F.array().cast("array<struct<src:int,kind:string,title:string,items:int>>")
+    some = lambda ok, x: F.when(ok, x).otherwise(empty)
+
+    def section(name, s):
+        use, start = _holding(F.col("pool"), name), s * F.col("share") + F.least(s, F.col("more"))
+        count = F.col("share") + F.when(s < F.col("more"), 1).otherwise(0)
+
+        def body(b):
+            slide = F.get(use, (b % F.size(use)).cast("int"))
+            return page(slide["i"], "content", name, slide["items"])
+
+        div = some(F.size("divs") > 0, F.array(page(F.get("divs", (s % F.size("divs")).cast("int")), "section", name, none)))
+        return F.concat(div, some(F.size("pool") > 0, F.transform(F.sequence(start, start + count - 1), body)))
+
+    toc = F.array_min(F.transform("tocs", lambda x: F.struct(F.abs(x["n"] - F.col("n")).alias("far"), x["i"].alias("i"), x["items"].alias("items"))))
+    pages = F.concat(
+        some(F.col("cover").isNotNull(), F.array(page(F.col("cover"), "cover", F.col("title"), none))),
+        some(F.size("tocs") > 0, F.array(page(toc["i"], "toc", F.lit("目录"), F.least(F.coalesce(toc["items"], F.col("n")), F.col("n"))))),
+        F.flatten(F.transform("sections", section)),
+        some(F.col("end").isNotNull(), F.array(page(F.col("end"), "closing", F.lit("{致谢}"), none))),
+    )
+    each = df.select(*keep, F.posexplode(F.slice(pages, F.lit(1), F.greatest(F.col("total"), F.lit(0)).cast("int"))).alias("at", "x"))
+    return each.select(*keep, (F.col("at") + 1).alias("page"), "x.*")
+
+
+def allocate(slides: DataFrame, sections: list[str], total: int, title: str = "{标题}") -> DataFrame:
+    """(page, src, kind, title, items) of one outline, as outlines() gives many."""
+    one = slides.sparkSession.range(1).select(F.lit(title).alias("title"), F.lit(total).alias("total"), F.array(*map(F.lit, sections)).cast("array<string>").alias("sections"))
+    return outlines(slides, one)
 
 
 def label(kind: Column) -> Column:
@@ -320,28 +369,29 @@ def same(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def rebuild(skeleton: DataFrame, parsed: DataFrame, slides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages as written on cards, errors (page, error)). skeleton: what allocate gives; parsed: what parse_cards gives.
+    """(pages as written on cards, errors (page, error)). skeleton: what outlines() gives; parsed: what parse_cards() gives, with the same deck if there are several.
 
     A page keeps its slide if its items are as many as the slide has. Contents pages take the nearest slide. Content
     pages take slides of just that many items in turn, those that hold the title first; without any, fewer items leave
     slots empty and more are an error, as is a page whose kind differs.
     """
-    had = skeleton.select("page", "src", F.col("kind").alias("was"), F.coalesce("items", F.lit(0)).alias("have"))
-    j = parsed.join(had, "page").withColumn("need", F.size("items"))
-    moved = j.where("kind = was AND need <> have").select("page", "kind", "title", "need")
-    usable = pool(slides).select("i", F.col("items").alias("n"), "title_cap")
-    exact = moved.where("kind = 'content'").withColumn("k", F.row_number().over(Window.partitionBy("need").orderBy("page")) - 1).join(usable, F.col("n") == F.col("need"))
-    exact = exact.withColumn("holds", F.coalesce("title_cap", F.lit(99)) >= F.length("title"))
-    exact = exact.withColumn("some", F.max("holds").over(Window.partitionBy("page"))).where("holds OR NOT some")
-    turn = exact.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy("i")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("page"))).where("k % m = r").select("page", "i", "n")
-    # The contents slides of a template as one row.
-    tocs = slides.where("kind = 'toc'").agg(F.collect_list(F.struct("i", F.coalesce("items", F.lit(0)).alias("n"))).alias("tocs"))
-    near = moved.where("kind = 'toc'").join(F.broadcast(tocs)).select("page", F.array_min(F.transform("tocs", lambda x: F.struct(F.abs(x["n"] - F.col("need")).alias("far"), x["i"].alias("i"), x["n"].alias("n")))).alias("x")).where("x IS NOT NULL").select("page", "x.i", "x.n")
-    df = j.join(turn.unionByName(near), "page", "left").withColumn("room", F.coalesce("n", "have"))
+    deck, key = _deck(parsed), _template(skeleton)
+    had = skeleton.select(*deck, *key, "page", "src", F.col("kind").alias("was"), F.coalesce("items", F.lit(0)).alias("have"))
+    per = templates(slides if key else slides.drop("template")).select(*key, "pool", "tocs")
+    j = parsed.drop(*key).join(had, [*deck, "page"]).withColumn("need", F.size("items"))
+    j = (j.join(per, key) if key else j.crossJoin(per)).withColumn("moved", F.when((F.col("kind") == F.col("was")) & (F.col("need") != F.col("have")), F.col("kind")))
+    # Content pages of a deck that want as many items take the slides that have them in turn.
+    k = F.row_number().over(Window.partitionBy(*deck, "moved", "need").orderBy("page")) - 1
+    use = _holding(F.filter("pool", lambda x: x["items"] == F.col("need")), F.col("title"))
+    near = F.array_min(F.transform("tocs", lambda x: F.struct(F.abs(x["n"] - F.col("need")).alias("far"), x["i"].alias("i"), x["n"].alias("n"))))
+    df = j.withColumn("k", k).withColumn("use", use).withColumn("near", near)
+    turn = F.get("use", (F.col("k") % F.size("use")).cast("int"))
+    df = df.withColumn("i", F.when((F.col("moved") == "content") & (F.size("use") > 0), turn["i"]).when(F.col("moved") == "toc", F.col("near.i")))
+    df = df.withColumn("room", F.when(F.col("i").isNull(), F.col("have")).when(F.col("moved") == "toc", F.col("near.n")).otherwise(F.col("need")))
     error = F.when(F.col("kind").isNull() | (F.col("kind") != F.col("was")), "kind differs").when(F.col("need") > F.col("room"), "too many items")
     given = F.transform(F.when(F.col("room") > 0, F.sequence(F.lit(0), F.col("room") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(*[F.coalesce(F.get("items", k)[f], F.lit("")).alias(f) for f in ("head", "body")]))
-    pages = df.where(error.isNull()).select("page", F.coalesce("i", "src").alias("src"), "kind", "title", "subtitle", given.alias("items"))
-    return pages, df.where(error.isNotNull()).select("page", error.alias("error"))
+    pages = df.where(error.isNull()).select(*deck, "page", F.coalesce("i", "src").alias("src"), "kind", "title", "subtitle", given.alias("items"))
+    return pages, df.where(error.isNotNull()).select(*deck, "page", error.alias("error"))
 
 
 def cap_warnings(pages: DataFrame, caps: DataFrame) -> DataFrame:
@@ -380,7 +430,8 @@ def patch(pages: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def unknown_slides(pages: DataFrame, slots: DataFrame) -> DataFrame:
     """(page, error) of pages whose slide the index doesn't have."""
-    lost = pages.join(slots.select(F.col("i").alias("src")).distinct(), "src", "left_anti")
+    key = [k for k in _template(slots) if k in pages.columns]
+    lost = pages.join(slots.select(*key, F.col("i").alias("src")).distinct(), [*key, "src"], "left_anti")
     return lost.select(*_deck(pages), "page", F.concat(F.lit("no slide "), F.coalesce(F.col("src").cast("string"), F.lit("given"))).alias("error"))
 
 
@@ -389,10 +440,10 @@ def fill(pages: DataFrame, slots: DataFrame) -> DataFrame:
 
     Pages of slides that the index doesn't have are errors, given by unknown_slides(), and have no slots.
     """
-    by = _deck(pages)
-    kinds = slots.select("i", "kind").distinct()
-    df = pages.drop("kind").join(kinds, F.col("src") == F.col("i"))
-    df = df.withColumn("no", _numbered(df)).drop("i", "kind").join(slots, F.col("src") == F.col("i"))
+    by, key = _deck(pages), [k for k in _template(slots) if k in pages.columns]
+    kinds = slots.select(*key, F.col("i").alias("src"), "kind").distinct()
+    df = pages.drop("kind").join(kinds, [*key, "src"])
+    df = df.withColumn("no", _numbered(df)).drop("kind").join(slots.withColumnRenamed("i", "src"), [*key, "src"])
     item = F.get("items", F.coalesce("idx", F.lit(0)))
     text = F.when((F.col("role") == "no") & (F.col("kind") == "section"), F.lpad(F.col("no").cast("string"), 2, "0")).when(F.col("role") == "title", F.col("title")).when(F.col("role") == "subtitle", F.col("subtitle")).when(F.col("role") == "item_head", item["head"]).when(F.col("role") == "item_body", item["body"])
     return df.where("role <> 'decor' AND (role <> 'no' OR kind = 'section')").select(*by, "page", "sid", F.coalesce(text, F.lit("")).alias("text"))

@@ -7,15 +7,19 @@ written once, as SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import deck, diagnose, discover, gate, pages, policy
-from ..session import table
+from ..operators import deck, diagnose, discover, domains, gate, keywords, pages, policy, temporal
+from ..session import scratch, table
 from ..sources import decks, dims, writer
+from ..sources import slides as slide_source
+from ..streaming import acquire as stream
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -476,57 +480,92 @@ def outline(spark, total: int = 14):
     return deck.allocate(slides(spark), SECTIONS, total)
 
 
-_SLIDES = ", ".join(f"({i}, '{k}', {'NULL' if n is None else n}, {'NULL' if c is None else c})" for i, k, n, c in SLIDES)
-_SECTIONS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(SECTIONS))
-SQL_ALLOCATE = f"""WITH sl(i, kind, items, title_cap) AS (VALUES {_SLIDES}), sec(s, name) AS (VALUES {_SECTIONS}), q AS (SELECT count(*) AS n FROM sec),
-c AS (SELECT n, greatest(14 - 1 - count(*) FILTER (kind = 'closing') - max(CAST(kind = 'toc' AS INT)) - n * max(CAST(kind = 'section' AS INT)), n) AS body FROM sl, q GROUP BY n),
-b AS (SELECT s, name, unnest(range(greatest(1, body // n + CASE WHEN s < body % n THEN 1 ELSE 0 END))) AS b FROM sec, c), t AS (SELECT *, row_number() OVER (ORDER BY s, b) - 1 AS taken FROM b),
-usable AS (SELECT *, max(items) OVER () AS top FROM sl WHERE kind = 'content' AND items BETWEEN 1 AND 6), pool AS (SELECT i, items, title_cap FROM usable WHERE items >= 2 OR top < 2),
-o AS (SELECT s, i, items, coalesce(title_cap, 99) >= length(name) AS holds, bool_or(coalesce(title_cap, 99) >= length(name)) OVER (PARTITION BY s) AS anyone FROM sec, pool),
-f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY items, i) - 1 AS r, count(*) OVER (PARTITION BY s) AS m FROM o WHERE holds OR NOT anyone),
-d AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS r, count(*) OVER () AS m FROM sl WHERE kind = 'section'),
-p AS (SELECT 0 AS a, 0 AS b, min(i) AS src, 'cover' AS kind, '{{标题}}' AS title, NULL AS items FROM sl WHERE kind = 'cover'
-UNION ALL (SELECT 1, 0, i, 'toc', '目录', least(coalesce(items, n), n) FROM sl, q WHERE kind = 'toc' ORDER BY abs(coalesce(items, 0) - n), i LIMIT 1)
-UNION ALL SELECT 2 * s + 2, 0, i, 'section', name, NULL FROM sec JOIN d ON s % m = r
-UNION ALL SELECT 2 * t.s + 3, t.b, i, 'content', name, items FROM t JOIN f ON t.s = f.s AND taken % m = r
-UNION ALL SELECT 1000000, 0, min(i), 'closing', '{{致谢}}', NULL FROM sl WHERE kind = 'closing'),
-x AS (SELECT row_number() OVER (ORDER BY a, b) AS page, * FROM p)
-SELECT CAST(page AS INTEGER) AS page, src, kind, title, CAST(items AS INTEGER) AS items FROM x WHERE page <= 14"""
-
-
-@query(SQL_ALLOCATE)
+#: Three templates: the slides as they are, without dividers and with single items alone, with two contents pages and no closing.
+TEMPLATES = [("t0", *r) for r in SLIDES] + [("t1", *r) for r in SLIDES if r[1] != "section" and (r[2] or 1) < 2] + [("t2", 20, "toc", 2, None)] + [("t2", *r) for r in SLIDES if r[1] != "closing"]
+#: A request for an outline from each document: its first words as sections, of a template by turns. Every ninth asks for a template that isn't there.
+_REQUESTS = "SELECT doc_id AS deck, concat('t', CASE WHEN doc_id % 9 = 0 THEN 9 ELSE doc_id % 3 END) AS template, concat('Deck ', doc_id) AS title, CAST(3 + doc_id % 17 AS INT) AS total, {words} AS sections FROM documents"
+_WORDS = "[a-zA-Z]{3,14}"
+
+
+def templates(spark):
+    return spark.createDataFrame(TEMPLATES, "template string, i int, kind string, items int, title_cap int")
+
+
+def requests(spark, sf):
+    return shared(spark, sf, _REQUESTS.format(words=f"slice(regexp_extract_all(text, '{_WORDS}', 0), 1, CAST(doc_id % 6 AS INT))"), "documents")
+
+
+def outlines(spark, sf):
+    return deck.outlines(templates(spark), requests(spark, sf))
+
+
+_TEMPLATES = ", ".join(f"('{t}', {i}, '{k}', {'NULL' if n is None else n}, {'NULL' if c is None else c})" for t, i, k, n, c in TEMPLATES)
+SQL_OUTLINES = f"""WITH sl(template, i, kind, items, title_cap) AS (VALUES {_TEMPLATES}), req AS ({_REQUESTS.format(words=f"coalesce(regexp_extract_all(text, '{_WORDS}')[1:doc_id % 6], [])")}), q AS (SELECT *, len(sections) AS n FROM req WHERE template IN (SELECT template FROM sl)),
+fx AS (SELECT template, count(*) FILTER (kind = 'closing') + max(CAST(kind = 'toc' AS INT)) AS fixed, max(CAST(kind = 'section' AS INT)) AS divided FROM sl GROUP BY template),
+c AS (SELECT deck, n, greatest(total - 1 - fixed - n * divided, n) AS body FROM q JOIN fx USING (template) WHERE n > 0), sec AS (SELECT deck, template, unnest(range(n)) AS s, unnest(sections) AS name FROM q),
+b AS (SELECT deck, template, s, name, unnest(range(body // n + CASE WHEN s < body % n THEN 1 ELSE 0 END)) AS b FROM sec JOIN c USING (deck)), t AS (SELECT *, row_number() OVER (PARTITION BY deck ORDER BY s, b) - 1 AS taken FROM b),
+usable AS (SELECT *, max(items) OVER (PARTITION BY template) AS top FROM sl WHERE kind = 'content' AND items BETWEEN 1 AND 6), pool AS (SELECT template, i, items, title_cap FROM usable WHERE items >= 2 OR top < 2),
+o AS (SELECT deck, s, i, items, coalesce(title_cap, 99) >= length(name) AS holds, bool_or(coalesce(title_cap, 99) >= length(name)) OVER (PARTITION BY deck, s) AS anyone FROM sec JOIN pool USING (template)),
+f AS (SELECT *, row_number() OVER (PARTITION BY deck, s ORDER BY items, i) - 1 AS r, count(*) OVER (PARTITION BY deck, s) AS m FROM o WHERE holds OR NOT anyone),
+d AS (SELECT template, i, row_number() OVER (PARTITION BY template ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY template) AS m FROM sl WHERE kind = 'section'),
+p AS (SELECT deck, 0 AS a, 0 AS b, min(i) AS src, 'cover' AS kind, title, NULL AS items FROM q JOIN sl USING (template) WHERE kind = 'cover' GROUP BY deck, title
+UNION ALL (SELECT deck, 1, 0, i, 'toc', '目录', least(coalesce(items, n), n) FROM q JOIN sl USING (template) WHERE kind = 'toc' QUALIFY row_number() OVER (PARTITION BY deck ORDER BY abs(coalesce(items, 0) - n), i) = 1)
+UNION ALL SELECT deck, 2 * s + 2, 0, i, 'section', name, NULL FROM sec JOIN d ON d.template = sec.template AND s % m = r
+UNION ALL SELECT t.deck, 2 * t.s + 3, t.b, i, 'content', name, items FROM t JOIN f ON t.deck = f.deck AND t.s = f.s AND taken % m = r
+UNION ALL SELECT deck, 1000000, 0, min(i), 'closing', '{{致谢}}', NULL FROM q JOIN sl USING (template) WHERE kind = 'closing' GROUP BY deck),
+x AS (SELECT row_number() OVER (PARTITION BY deck ORDER BY a, b) AS page, * FROM p),
+o1 AS (SELECT deck, template, CAST(page AS INTEGER) AS page, src, x.kind, x.title, CAST(items AS INTEGER) AS items FROM x JOIN q USING (deck) WHERE page <= total)"""
+
+
+@query(SQL_OUTLINES + " SELECT deck, page, src, kind, title, items FROM o1")
 def outline_allocate(spark, sf):
-    return outline(spark)
+    return outlines(spark, sf).drop("template")
 
 
-def written(spark):
-    """The outline with text in its items."""
+def written(spark, sf):
+    """The outlines with text in their items. Every fifth page has an item more than its slide, every seventh one less."""
     item = lambda k: F.struct(F.concat(F.lit("要点"), k.cast("string")).alias("head"), F.when(k % 2 == 0, F.lit("说明 __ 文字")).otherwise(F.lit("")).alias("body"))
-    n = F.coalesce("items", F.lit(0))
-    return outline(spark).select("page", "src", "kind", "title", F.when(F.col("kind") == "cover", F.lit("副标题")).alias("subtitle"), F.when(n > 0, F.transform(F.sequence(F.lit(1), n), item)).otherwise(F.array().cast("array<struct<head:string,body:string>>")).alias("items"))
+    n = F.when(F.col("items") > 0, F.col("items") + F.when(F.col("page") % 5 == 0, 1).when(F.col("page") % 7 == 0, -1).otherwise(0)).otherwise(0)
+    return outlines(spark, sf).select("deck", "page", "src", "kind", "title", F.when(F.col("kind") == "cover", F.lit("副标题")).alias("subtitle"), F.when(n > 0, F.transform(F.sequence(F.lit(1), n), item)).otherwise(F.array().cast("array<struct<head:string,body:string>>")).alias("items"))
 
 
 _LABEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in deck.LABELS.items()) + " END"
-SQL_CARDS = f"""WITH o AS ({SQL_ALLOCATE}), n AS (SELECT *, coalesce(items, 0) AS m, sum(CAST(kind = 'section' AS INT)) OVER (ORDER BY page) AS no, '**第 ' || page || ' 页**　`' || {_LABEL} || '`' AS head FROM o)"""
+SQL_CARDS = SQL_OUTLINES + f""", n AS (SELECT deck, template, page, src, kind, title, coalesce(items, 0) AS had, CASE WHEN items > 0 THEN items + CASE WHEN page % 5 = 0 THEN 1 WHEN page % 7 = 0 THEN -1 ELSE 0 END ELSE 0 END AS m, sum(CAST(kind = 'section' AS INT)) OVER (PARTITION BY deck ORDER BY page) AS no, '**第 ' || page || ' 页**　`' || {_LABEL} || '`' AS head FROM o1)"""
 
 
-@query(SQL_CARDS + """ SELECT page, CASE kind WHEN 'cover' THEN head || chr(10) || '# ' || title || chr(10) || '副标题' WHEN 'closing' THEN head || chr(10) || '# ' || title WHEN 'section' THEN head || chr(10) || '### ' || lpad(CAST(no AS VARCHAR), 2, '0') || ' · ' || title
+@query(SQL_CARDS + """ SELECT deck, page, CASE kind WHEN 'cover' THEN head || chr(10) || '# ' || title || chr(10) || '副标题' WHEN 'closing' THEN head || chr(10) || '# ' || title WHEN 'section' THEN head || chr(10) || '### ' || lpad(CAST(no AS VARCHAR), 2, '0') || ' · ' || title
 ELSE array_to_string(list_concat([head || '　' || title], list_transform(range(1, m + 1), lambda k: CASE WHEN kind = 'toc' THEN '- 要点' || k WHEN k % 2 = 0 THEN '- **要点' || k || '** — 说明 __ 文字' ELSE '- **要点' || k || '**' END)), chr(10)) END AS card FROM n""")
 def outline_card(spark, sf):
-    return deck.cards(written(spark))
+    return deck.cards(written(spark, sf))
 
 
-_ITEMS = """'[' || array_to_string(list_transform(range(1, m + 1), lambda k: '{"head":"要点' || k || '","body":"' || CASE WHEN k % 2 = 0 AND kind <> 'toc' THEN '说明 __ 文字' ELSE '' END || '"}'), ',') || ']'"""
+_ITEMS = """'[' || array_to_string(list_transform(range(1, {0} + 1), lambda k: CASE WHEN k > m THEN '{{"head":"","body":""}}' ELSE '{{"head":"要点' || k || '","body":"' || CASE WHEN k % 2 = 0 AND kind <> 'toc' THEN '说明 __ 文字' ELSE '' END || '"}}' END), ',') || ']'"""
 
 
-@query(SQL_CARDS + f" SELECT page, kind, title, {_ITEMS} AS items FROM n")
+@query(SQL_CARDS + f" SELECT deck, page, kind, title, {_ITEMS.format('m')} AS items FROM n")
 def card_parse(spark, sf):
-    return deck.parse_cards(deck.cards(written(spark))).select("page", "kind", "title", F.to_json("items").alias("items"))
+    return deck.parse_cards(deck.cards(written(spark, sf))).select("deck", "page", "kind", "title", F.to_json("items").alias("items"))
 
 
-@query(SQL_CARDS + f" SELECT page, src, kind, title, CASE WHEN kind = 'cover' THEN '副标题' END AS subtitle, {_ITEMS} AS items FROM n")
+def outlines_rebuilt(spark, sf):
+    return deck.rebuild(outlines(spark, sf), deck.parse_cards(deck.cards(written(spark, sf))), templates(spark))
+
+
+SQL_REBUILD = SQL_CARDS + """, mv AS (SELECT deck, template, page, title, m AS need, row_number() OVER (PARTITION BY deck, m ORDER BY page) - 1 AS k FROM n WHERE kind = 'content' AND m <> had),
+ex AS (SELECT mv.*, pool.i, coalesce(title_cap, 99) >= length(title) AS holds, bool_or(coalesce(title_cap, 99) >= length(title)) OVER (PARTITION BY deck, page) AS anyone FROM mv JOIN pool ON pool.template = mv.template AND pool.items = need),
+tu AS (SELECT *, row_number() OVER (PARTITION BY deck, page ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY deck, page) AS mm FROM ex WHERE holds OR NOT anyone),
+ch AS (SELECT deck, page, i, need AS room FROM tu WHERE k % mm = r UNION ALL (SELECT n.deck, n.page, sl.i, coalesce(sl.items, 0) FROM n JOIN sl ON sl.template = n.template AND sl.kind = 'toc' WHERE n.kind = 'toc' AND m <> had QUALIFY row_number() OVER (PARTITION BY deck, page ORDER BY abs(coalesce(sl.items, 0) - m), sl.i) = 1)),
+re AS (SELECT n.*, coalesce(ch.i, n.src) AS slide, coalesce(room, had) AS room FROM n LEFT JOIN ch USING (deck, page))"""
+
+
+@query(SQL_REBUILD + f" SELECT deck, page, slide AS src, kind, title, CASE WHEN kind = 'cover' THEN '副标题' END AS subtitle, {_ITEMS.format('room')} AS items FROM re WHERE m <= room")
 def outline_rebuild(spark, sf):
-    return deck.rebuild(outline(spark), deck.parse_cards(deck.cards(written(spark))), slides(spark))[0].withColumn("items", F.to_json("items"))
+    return outlines_rebuilt(spark, sf)[0].withColumn("items", F.to_json("items"))
+
+
+@query(SQL_REBUILD + " SELECT deck, page, 'too many items' AS error FROM re WHERE m > room")
+def outline_rebuild_errors(spark, sf):
+    return outlines_rebuilt(spark, sf)[1]
 
 
 #: Card texts with something wrong by turns: no head line, an unknown label, a divider without title, another number of pages.
@@ -776,3 +815,81 @@ UNION ALL SELECT package, 'shared_part', target, CAST(count(*) AS VARCHAR) FROM
 UNION ALL SELECT package, 'chart_data', part, coalesce(split_part(type, '/', -1), 'missing') FROM charts LEFT JOIN rels USING (package, part, rid) WHERE type IS NULL OR NOT ends_with(type, '/package')""")
 def package_check(spark, sf):
     return deck.package_issues(*[shared(spark, sf, q, "part") for q in (_USED, _RELS, _PARTS, _SHAPE_IDS, _CHARTS)])
+
+
+# --- streams, files and joins with tables ---------------------------------------------------------------------
+
+
+@query(SQL_ACQUIRE + " SELECT url, engine_used, CASE WHEN won IS NOT NULL THEN 200 END AS status, n AS bytes, CASE WHEN won = 2 THEN 1 WHEN won IS NULL THEN 2 ELSE 0 END AS failed, CASE WHEN won IS NULL THEN details END AS error FROM g")
+def stream_acquire(spark, sf):
+    """tiered_acquire's outcomes from a stream of response files, each engine's in files of its own."""
+    top = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    h = responses(spark, sf, "http", "page_id % 8")
+    b = responses(spark, sf, "browser", "page_id % 5").drop("url").join(h.select("page_id", "url"), "page_id").select(h.columns)
+    for r in (b, h):  # what comes first is what would be asked last
+        r.withColumn("captured", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))).drop("page_id").write.mode("append").parquet(f"{top}/in")
+    stream.acquire_stream(spark, f"{top}/in", f"{top}/out", f"{top}/state", files=64)
+    got = spark.read.parquet(f"{top}/out")
+    return got.select("url", "engine_used", "status", F.octet_length("data").cast("long").alias("bytes"), F.coalesce(F.size("attempts"), F.lit(0)).alias("failed"), "error")
+
+
+@query(SQL_FILL + f", o AS (SELECT deck, page, src, CAST(row_number() OVER (PARTITION BY deck ORDER BY page) AS INT) AS slide FROM d WHERE src <> 99), b AS (SELECT CAST(o.deck AS VARCHAR) AS package, slide, sl.sid, CASE WHEN f.sid IS NULL THEN 'S' || src || '-' || sl.sid || ' old' ELSE f.text END AS text FROM o JOIN sl ON i = src LEFT JOIN f ON f.deck = o.deck AND f.page = o.page AND f.sid = sl.sid) SELECT * FROM b WHERE {sql_strip('text')} <> ''")
+def deck_files(spark, sf):
+    """deck_build's packages as files, written and read by the data source, of whose columns only these are read."""
+    slide_source.register(spark)
+    top = f"{scratch(spark)}/decks-{uuid.uuid4().hex}"
+    built(spark, sf, False).select("deck", "data").write.format("slides").mode("append").save(top)
+    got = spark.read.format("slides").schema("package string, slide int, sid int, text string").load(top)
+    return got.withColumn("package", F.regexp_extract("package", r"([^/]*)\.pptx$", 1))
+
+
+_KEYWORDS = r"SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(text, '[ \t\r\n]+')) AS word FROM documents) WHERE length(word) BETWEEN 6 AND 40"
+
+
+@query(f"WITH k AS ({_KEYWORDS}), t AS (SELECT page_id, {SQL_TITLE} AS title FROM pages) SELECT page_id, word AS keyword FROM t JOIN k ON contains(title, word)")
+def keyword_matches(spark, sf):
+    """Which of the documents' words the pages' titles hold."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("word")).where(F.length("word").between(6, 40))
+    return keywords.matches(page_title(spark, sf), words, "title", "word").select("page_id", "keyword")
+
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
+#: Domains that pages derive: the last two labels of every host, and every host of an even number of letters.
+_DOMAINS = f"SELECT DISTINCT unnest([regexp_extract(host, '([^.]+[.])?[^.]+$'), CASE WHEN length(host) % 2 = 0 THEN host END]) AS domain FROM (SELECT {_HOST} AS host FROM pages)"
+
+
+@query(f"WITH d AS (SELECT domain FROM ({_DOMAINS}) WHERE domain <> ''), p AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host, (SELECT arg_max(domain, length(domain)) FROM d WHERE host = domain OR ends_with(host, '.' || domain)) AS domain FROM p")
+def domain_match(spark, sf):
+    """The longest of a table's domains that each page's host lies in."""
+    rows = table(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1)).alias("host"))
+    own = F.array(F.regexp_extract("host", "([^.]+[.])?[^.]+$", 0), F.when(F.length("host") % 2 == 0, F.col("host")))
+    return domains.longest(rows, rows.select(F.explode(own).alias("domain")).distinct())
+
+
+@query("""SELECT event_id, click_id, seconds FROM (SELECT e.event_id, c.event_id AS click_id, epoch_us(e.ts) - epoch_us(c.ts) AS seconds FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON e.user_id = c.user_id AND e.ts >= c.ts)""")
+def events_last_click(spark, sf):
+    """Each event's last click of the same user at or before it, and how many micros ago."""
+    e = table(spark, sf, "events")
+    clicks = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("clicked"), F.col("event_id").alias("click_id"))
+    got = temporal.as_of(e.select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "clicked")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return got.select("event_id", "click_id", (micros("ts") - micros("clicked")).alias("seconds"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) SELECT event_id, o_orderkey, o_orderdate FROM events e ASOF LEFT JOIN o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate""")
+def events_last_order(spark, sf):
+    """Each event's last order of the same customer."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), "o_orderdate").agg(F.max("o_orderkey").alias("o_orderkey"))
+    return temporal.as_of(table(spark, sf, "events").select("event_id", "user_id", "ts"), o, ["user_id"], "ts", "o_orderdate").select("event_id", "o_orderkey", "o_orderdate")
+
+
+_OPEN = "SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"
+
+
+@query(f"WITH o AS ({_OPEN}) SELECT a.k AS first_order, b.k AS second_order, a.c AS custkey FROM o a JOIN o b ON a.c = b.c AND a.k < b.k AND a.s < a.e AND b.s < b.e AND a.s < b.e AND b.s < a.e")
+def orders_open_together(spark, sf):
+    """Orders of one customer, of which one was placed before the other was shipped."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", F.col("o_custkey").alias("custkey"), "o_orderdate").agg(F.max("l_shipdate").alias("shipped"))
+    side = lambda p: o.select("custkey", F.col("o_orderkey").alias(f"{p}_order"), F.col("o_orderdate").alias(f"{p}_from"), F.col("shipped").alias(f"{p}_to"))
+    met = temporal.overlaps(side("first"), side("second"), ["custkey"], ("first_from", "first_to"), ("second_from", "second_to"))
+    return met.where("first_order < second_order").select("first_order", "second_order", "custkey")

@@ -42,3 +42,13 @@ def checkpointed(df):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the cluster's shared one, deleted when the driver ends; only a local session without one gets its own."""
+    checkpointed(spark.range(0))
+    sc = spark.sparkContext
+    found = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/sluiceway-tables/{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return found

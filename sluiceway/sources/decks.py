@@ -41,12 +41,16 @@ def acquire(packages_: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _open(data: bytes):
     """The package, or None if it is no zip archive with a presentation in it."""
     import io
+
+    return None if data is None else opened(io.BytesIO(data))
+
+
+def opened(file):
+    """The package in a file, of which this reads the directory; None if it is none."""
     import zipfile
 
-    if data is None:
-        return None
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
+        z = zipfile.ZipFile(file)
         return z if "ppt/presentation.xml" in z.namelist() else None
     except zipfile.BadZipFile:
         return None
@@ -122,36 +126,52 @@ def _boxes(tree) -> list[tuple]:
     return out
 
 
+def slide_rows(z, numbers: set[int] | None = None, layouts: bool = True) -> Iterator[tuple]:
+    """A package's text boxes as SHAPES but for the package; of the given slides alone, without the layouts' names."""
+    for number, part in enumerate(_slides(z), 1):
+        if (numbers is not None and number not in numbers) or (tree := _read(z, part)) is None:
+            continue
+        table, layout = tree.find(".//a:tbl", NS) is not None, _layout(z, part) if layouts else None
+        for pos, (sp, *size) in enumerate(_boxes(tree)):
+            own = sp.find(".//p:cNvPr", NS)
+            text = "\n".join("".join(t.text or "" for t in p.iterfind(".//a:t", NS)) for p in sp.iterfind(".//a:p", NS))
+            if not text.strip():
+                continue
+            font = max((int(x.get("sz")) / 100 for x in sp.iter() if (x.get("sz") or "").isdigit()), default=0.0)
+            yield (number, pos, int(own.get("id")) if own is not None else None, text, font, *size, table, layout)
+
+
 def shapes(packages_: DataFrame) -> DataFrame:
     """The text boxes of each slide, those within groups too, in document order; slides are numbered from 1 in the presentation's order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for name, data in zip(frame.package, frame.data):
-                if (z := _open(data)) is None:
-                    continue
-                for number, part in enumerate(_slides(z), 1):
-                    if (tree := _read(z, part)) is None:
-                        continue
-                    table, layout = tree.find(".//a:tbl", NS) is not None, _layout(z, part)
-                    for pos, (sp, *size) in enumerate(_boxes(tree)):
-                        own = sp.find(".//p:cNvPr", NS)
-                        text = "\n".join("".join(t.text or "" for t in p.iterfind(".//a:t", NS)) for p in sp.iterfind(".//a:p", NS))
-                        if not text.strip():
-                            continue
-                        font = max((int(x.get("sz")) / 100 for x in sp.iter() if (x.get("sz") or "").isdigit()), default=0.0)
-                        out.append((name, number, pos, int(own.get("id")) if own is not None else None, text, font, *size, table, layout))
+            out = [(name, *row) for name, data in zip(frame.package, frame.data) if (z := _open(data)) is not None for row in slide_rows(z)]
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in SHAPES.split(", ")])
 
     return packages_.mapInPandas(run, SHAPES)
 
 
+def relation_rows(z, rels: str) -> list[tuple] | None:
+    """(part, rid, type, target, mode) of a part of relationships, targets normalised; None if it can't be read."""
+    import posixpath
+
+    owner = posixpath.join(posixpath.dirname(posixpath.dirname(rels)), posixpath.basename(rels)[:-5])
+    if (tree := _read(z, rels)) is None:
+        return None
+    out = []
+    for rel in tree:
+        target, mode = rel.get("Target"), rel.get("TargetMode")
+        if mode != "External":
+            target = posixpath.normpath(posixpath.join("/" + posixpath.dirname(owner), target))
+        out.append(("/" + owner, rel.get("Id"), rel.get("Type"), target, mode))
+    return out
+
+
 def relationships(packages_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parts (package, part), rels (package, part, rid, type, target, mode), used (package, part, rid)); targets are normalised."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import posixpath
         import re
 
         for frame in frames:
@@ -163,15 +183,10 @@ def relationships(packages_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
                 for part in z.namelist():
                     out.append((name, "part", "/" + part, None, None, None, None))
                     if part.endswith(".rels"):
-                        owner = posixpath.join(posixpath.dirname(posixpath.dirname(part)), posixpath.basename(part)[:-5])
-                        if (tree := _read(z, part)) is None:
+                        if (rows := relation_rows(z, part)) is None:
                             out.append((name, "broken", "/" + part, None, None, None, None))
                             continue
-                        for rel in tree:
-                            target, mode = rel.get("Target"), rel.get("TargetMode")
-                            if mode != "External":
-                                target = posixpath.normpath(posixpath.join("/" + posixpath.dirname(owner), target))
-                            out.append((name, "rel", "/" + owner, rel.get("Id"), rel.get("Type"), target, mode))
+                        out += [(name, "rel", *row) for row in rows]
                     elif part.endswith(".xml"):
                         for rid in sorted(set(re.findall(rb'\br:(?:id|embed|link|pict)="([^"]+)"', z.read(part)))):
                             out.append((name, "used", "/" + part, rid.decode(), None, None, None))

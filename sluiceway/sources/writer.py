@@ -307,16 +307,14 @@ def save(built: DataFrame, folder: str) -> None:
     def run(rows: Iterator) -> None:
         import os
         import uuid
-        from urllib.parse import quote
+
+        from .slides import file_name
 
         os.makedirs(folder, exist_ok=True)
         for r in rows:
-            name = quote("output" if r["deck"] is None else str(r["deck"]), safe=" ")
-            if len(name) > 200:
-                name = f"{name[:180]}-{zlib.crc32(name.encode()):08x}"
             part = os.path.join(folder, f".{uuid.uuid4().hex}")
             with open(part, "wb") as f:
                 f.write(r["data"])
-            os.replace(part, os.path.join(folder, f"{name}.pptx"))
+            os.replace(part, os.path.join(folder, f"{file_name(r['deck'])}.pptx"))
 
     built.where("data IS NOT NULL").select("deck", "data").foreachPartition(run)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def sessions(events: DataFrame, key: str, time: str, gap: str, late: str | None = None, **aggs: Column) -> DataFrame:
-    """(key, start, end, rows, aggs) of sessions: runs of a key's events, each less than a gap after the one before. ``end`` is the last event's time and a gap.
+    """(key, start, end, rows, aggs) of sessions: runs of a key's events, each no more than a gap after the one before. ``end`` is the last event's time and a gap.
 
     The same for a table and a stream; of a stream, ``late`` is how long a session waits for events that come late before it is
     given. Defined results: null keys and times are in no session; repeated rows count each; events of one time lie in one session.

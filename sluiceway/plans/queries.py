@@ -12,14 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cardlines
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import deck, diagnose, discover, domains, gate, keywords, pages, policy, temporal
+from ..operators import deck, diagnose, discover, domains, frames, gate, keywords, pages, policy, rollup, temporal
 from ..session import scratch, table
 from ..sources import decks, dims, writer
 from ..sources import slides as slide_source
 from ..streaming import acquire as stream
+from ..streaming import ingest
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -893,3 +895,82 @@ def orders_open_together(spark, sf):
     side = lambda p: o.select("custkey", F.col("o_orderkey").alias(f"{p}_order"), F.col("o_orderdate").alias(f"{p}_from"), F.col("shipped").alias(f"{p}_to"))
     met = temporal.overlaps(side("first"), side("second"), ["custkey"], ("first_from", "first_to"), ("second_from", "second_to"))
     return met.where("first_order < second_order").select("first_order", "second_order", "custkey")
+
+
+# --- rollups, frames over time, cards as lines ----------------------------------------------------------------
+
+_DAY = "CAST(date_trunc('day', ts) AS DATE)"
+_SETS = [["event_type", "day"], ["event_type"], ["day"], []]
+
+
+@query(f"""WITH e AS (SELECT *, {_DAY} AS day FROM events) SELECT event_type, day, CAST(CASE grouping_id(event_type, day) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS INTEGER) AS level, count(*) AS rows, round(sum(value), 2) AS total, true AS users_near, true AS median_near FROM e GROUP BY GROUPING SETS ((event_type, day), (event_type), (day), ())""")
+def events_cube(spark, sf):
+    """Counts and sums of events by type and day and all that is coarser, from stored cells; whether distinct users and medians from sketches are within three per cent (of the count; of ranks) of exact ones."""
+    e = table(spark, sf, "events").select("event_type", F.col("ts").cast("date").alias("day"), "user_id", "value")
+    path = f"{scratch(spark)}/cells-{uuid.uuid4().hex}"
+    for half in (0, 1):  # cells of two loads, appended
+        rollup.cells(e.where(F.col("user_id") % 2 == half), ["event_type", "day"], "user_id", "value").write.mode("append").parquet(path)
+    got = rollup.merged(spark.read.parquet(path), ["event_type", "day"], _SETS).select("event_type", "day", "level", "rows", "total", rollup.distinct(F.col("users")).alias("about"), rollup.quantile(F.col("levels"), 0.5).alias("middle"))
+    # The exact ones, for comparison: rows of each set, joined with its median.
+    each = e.select(F.explode(F.array(*(F.struct(*((F.col(d) if d in s else F.lit(None).cast(t)).alias(d) for d, t in (("event_type", "string"), ("day", "date"))), F.lit(k).alias("level")) for k, s in enumerate(_SETS)))).alias("g"), "user_id", "value").select("g.*", "user_id", "value")
+    by = [F.col("a.level") == F.col("b.level"), F.col("a.event_type").eqNullSafe(F.col("b.event_type")), F.col("a.day").eqNullSafe(F.col("b.day"))]
+    ranked = each.alias("a").join(got.select("event_type", "day", "level", "middle").alias("b"), by).select("a.*", "middle")
+    exact = ranked.groupBy("event_type", "day", "level").agg(F.count_distinct("user_id").alias("users"), F.count_if(F.col("value") < F.col("middle")).alias("under"), F.count_if(F.col("value") <= F.col("middle")).alias("upto"), F.count("value").alias("n"))
+    out = got.alias("a").join(exact.alias("b"), by)
+    near = (F.col("under") <= 0.53 * F.col("n") + 1) & (F.col("upto") >= 0.47 * F.col("n") - 1)
+    return out.select("a.event_type", "a.day", "a.level", "rows", F.round("total", 2).alias("total"), (F.abs(F.col("about") - F.col("users")) <= 0.03 * F.col("users") + 0.5).alias("users_near"), near.alias("median_near"))
+
+
+_GAP = "6 hours"
+SQL_SESSIONS = """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM m)
+SELECT user_id, epoch_us(min(ts)) AS begun, epoch_us(max(ts)) + 21600000000 AS ended, count(*) AS rows, round(sum(value), 2) AS total FROM n GROUP BY user_id, no"""
+
+
+def _sessions(e: DataFrame, late: str | None = None) -> DataFrame:
+    micros = lambda c: F.unix_micros(F.col(c))
+    got = frames.sessions(e, "user_id", "ts", _GAP, late, total=F.sum("value"))
+    return got.select("user_id", micros("start").alias("begun"), micros("end").alias("ended"), "rows", F.round("total", 2).alias("total"))
+
+
+def timed(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(SQL_SESSIONS)
+def events_sessions(spark, sf):
+    return _sessions(timed(spark, sf))
+
+
+@query(SQL_SESSIONS)
+def stream_sessions(spark, sf):
+    """The same sessions from a stream of files, closed by an event long after."""
+    top = f"{scratch(spark)}/sessions-{uuid.uuid4().hex}"
+    e = timed(spark, sf).select("user_id", "ts", "value")
+    e.write.parquet(f"{top}/in")
+    e.agg((F.max("ts") + F.expr("INTERVAL 900 days")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts", F.lit(0.0).alias("value")).where("ts IS NOT NULL").write.mode("append").parquet(f"{top}/in")
+    rows = spark.readStream.schema(e.schema).parquet(f"{top}/in")
+    ingest.run(_sessions(rows, "800 days"), f"{top}/out", f"{top}/state").awaitTermination()
+    return spark.read.parquet(f"{top}/out").where("user_id >= 0")
+
+
+@query("SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW)")
+def events_preceding(spark, sf):
+    """How many events each user had in the twelve hours up to each event, and their sum."""
+    got = frames.preceding(timed(spark, sf), "user_id", "ts", 12 * 3600, n=lambda w: F.count(F.lit(1)).over(w), total=lambda w: F.sum("value").over(w))
+    return got.select("event_id", "n", F.round("total", 2).alias("total"))
+
+
+def card_line_rows(spark, sf) -> DataFrame:
+    """Card texts as tables of lines, as a text source gives them."""
+    return shared(spark, sf, _CARDS, "documents").select("card", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+
+
+@query(ORACLE["card_pages"])
+def card_lines(spark, sf):
+    """card_pages() of cards whose lines are rows, by a table function."""
+    return cardlines.read_card_lines(card_line_rows(spark, sf))[0].select("card", "page", "kind", "title", "subtitle")
+
+
+@query(ORACLE["card_errors"])
+def card_line_errors(spark, sf):
+    return cardlines.read_card_lines(card_line_rows(spark, sf))[1]

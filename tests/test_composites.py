@@ -3,6 +3,7 @@ import io
 import zipfile
 
 from pyspark.sql import functions as F
+from test_deck import written
 
 from sluiceway.functions import text
 from sluiceway.operators import deck, diagnose, discover, gate, pages
@@ -100,7 +101,7 @@ def test_slides_in_the_presentations_order(spark, tmp_path):
 
 
 def test_whole_cards_round_trip_and_errors(spark):
-    pages_ = Q.written(spark)
+    pages_ = written(spark)
     whole = deck.preview(deck.cards(pages_), "X", "Deck").select(F.lit("c").alias("card"), "text")
     back, errors = deck.read_cards(whole)
     parsed = deck.parse_cards(deck.cards(pages_))

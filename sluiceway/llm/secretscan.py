@@ -10,8 +10,8 @@ an id or checksum), assignment and quotes, and the path.
 
 The forest is learned from labelled findings (candidate, left, right, path, secret); without a table of them, from those
 labelled by hand in findings.py, HAND times each, and those that labelled() makes up from public formats, at most ROWS rows: the
-bound of the sample. Both learning and scanning take the features from the same columns. The forest becomes a sum of
-CASE expressions.
+bound of the sample. Both learning and scanning take the features from the same columns. The forest becomes a table of nodes, a
+constant of the plan, that higher-order functions walk down.
 
 Native: extraction, features and forest are SQL functions, so a scan is one projection of each text, without a shuffle.
 
@@ -22,6 +22,8 @@ of labelled findings finds nothing; repeated rows and rows without doc_id are sc
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +36,18 @@ RUN = "A-Za-z0-9+/_-"
 _KEY = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
 _SIGNED = rf"(?<![{RUN}])eyJ[A-Za-z0-9_-]{{5,}}+\.[A-Za-z0-9_-]{{5,}}+\.[A-Za-z0-9_-]{{5,}}+"
 #: What stands before a value and is matched with it.
-_USER = r"(?<=[A-Za-z0-9]://)[^\s:/@?#\"']{0,64}:(?=[^\s:/@?#\"']{3,128}@)"
-_NAMES = r"(?i:pass(?:word|wd|phrase|code)|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"
+_USER = r"(?<=[A-Za-z0-9]://)[^\s:/@?#\"']*+:(?=[^\s:/@?#\"']{3,}+@)"
+# Names that announce a secret, in English, German, French and Spanish.
+_NAMES = r"(?i:pass(?:wor[dt]|wd|phrase|code)|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|kennwort|mot[ _]de[ _]passe|mdp|contrase[ñn]a|clave)"
 _ANNOUNCED = rf"{_NAMES}[A-Za-z_]{{0,12}}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?:(?i:bearer|basic) )?[\"'`]?|(?i:bearer) {{1,3}}(?=[.{RUN}]{{16}})"
 _VALUE = rf"[^\s\"'`<>]{{{LEAST - 1},}}(?<![,;.)\]}}])|[^\s\"'`<>]{{{LEAST},}}"
 _RUN = rf"(?<![{RUN}])(?:(?=[A-Za-z+/_-]*+[0-9])|(?=[A-Z0-9+/_-]*+[a-z][a-z0-9+/_-]*+[A-Z])|(?=A[KS]IA[A-Z0-9]{{16}}))[A-Za-z0-9+/_][{RUN}]{{{LONG - 1},}}={{0,2}}"
 BEFORE = rf"(?:{_ANNOUNCED})(?!eyJ[\w-]{{5,}}\.|-----BEGIN|A[KS]IA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|npm_|AIza)"
 #: Each alternative looks at its first character before all else.
-CANDIDATE = rf"(?=-){_KEY}|(?=e){_SIGNED}|(?<=/){_USER}[^\s:/@?#\"']+|(?=[ABCPSTabcpst]){BEFORE}(?:{_VALUE})|(?=[A-Za-z0-9+/_]){_RUN}"
+CANDIDATE = rf"(?=-){_KEY}|(?=e){_SIGNED}|(?<=/){_USER}[^\s:/@?#\"']+|(?=[ABCKMPSTabckmpst]){BEFORE}(?:{_VALUE})|(?=[A-Za-z0-9+/_]){_RUN}"
 # Word parts of the dictionary, and words that announce a secret or its opposite.
 PARTS = "account admin agent alpha and archive asset author auto back base beta block book build cache card case cent change check class client code col com commit con config content copy count data date default demo dev dir doc down edit end ent error event example file final first fix font form full game get global group guide hand head help here high home host house icon image index info ing input item java job json just key lab lang last left level lib light line link list load local log long low mail main make man map mark media menu ment meta mini mode model module name net new next node note number object off old one open order out over page part path photo place plan play point post pre press price print pro product project public query read real record red ref release report res right role root row sample screen script search section select sent server service set shop side sign site size small source space spec start state step stop store string style sub super support switch system tab table tag task team temp term test text the theme time tion title tool top track type under unit update url use user util value version video view web week white wide window word work world year your zone".split()
-SECRET_WORDS = "token|secret|passw|passwd|passphrase|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential|client_secret|encryption_key|signing"
+SECRET_WORDS = "token|secret|passw|passwd|passphrase|pwd|kennwort|mot[ _]de[ _]passe|mdp|contrase|clave|api_?key|apikey|access_?key|private_?key|auth|bearer|credential|client_secret|encryption_key|signing"
 PLAIN_WORDS = "sha1|sha256|sha512|md5|commit|checksum|digest|etag|uuid|guid|revision|hash|blob|tree|order|invoice|tracking|phone|card|isbn|serial|version|build|trace|request|session_id|integrity"
 #: How keys of public services begin.
 PREFIXES = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}$|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|sk-|npm_|eyJ[\w-]+\.eyJ|-----BEGIN)"
@@ -52,7 +55,7 @@ PREFIXES = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}$|AIza|gh[pousr]_|github_pat_|glpat-|x
 PLACEHOLDER = r"(?i)x{4,}|\*{3,}|^\.{3,}|your|example|change_?me|placeholder|dummy|sample|redacted|replace_|insert_|^(?:password|passwd|secret|token|null|none|nil|true|false|undefined|required|optional|string|test)$|[$%]\{|[$%]\(|\{\{|[<>]"
 CODE = r"[\w\])]\(|\[|^[a-z_]\w*(?:\.[a-z_]\w*)+|env"
 #: The characters that are counted as distinct: those of ASCII that print.
-PRINTED = "".join(map(chr, range(33, 127)))
+PRINTED = "[!-~]"
 PLAIN_PATHS, SECRET_PATHS = "test|example|sample|fixture|doc|readme|mock|lock|vendor|dist|changelog", r"\.env|config|settings|secret|credential|deploy|\.ya?ml|\.pem|\.ini|\.properties"
 
 FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "dictionary", "hex", "uuid", "number", "run", "hard", "secret_words", "plain_words", "assigned", "quoted", "path", "prefix", "symbols", "placeholder", "code", "letters", "url"]
@@ -70,7 +73,7 @@ def features(c: Column, left: Column, right: Column, path: Column) -> dict[str,
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
         "transitions": share("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/_=-])[^+/_=-]"),
-        "distinct": sum((F.contains(c, F.lit(x)).cast("int") for x in PRINTED), F.lit(0)) / n,
+        "distinct": F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(PRINTED), F.lit(0)))) / n,
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), "|".join(PARTS), "")) / n,
         "hex": flag(c, "^(?:[0-9a-f]+|[0-9A-F]+)$"),
         "uuid": flag(c, "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"),
@@ -174,11 +177,39 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 3) -> l
     return [grow(x[pick], y[pick], rng) for pick in (rng.integers(0, len(y), len(y)) for _ in range(trees))]
 
 
-def as_column(tree, cols: list[Column]) -> Column:
-    if not isinstance(tree, tuple):
-        return F.lit(float(tree))
-    f, cut, low, high = tree
-    return F.when(cols[f] <= cut, as_column(low, cols)).otherwise(as_column(high, cols))
+NODES = "array<struct<f:int,cut:double,low:int,high:int,share:double>>"
+
+
+def as_table(trees: list) -> tuple[list[tuple], list[int]]:
+    """(nodes, roots): nodes (feature, cut, place of the lower side, of the upper, share) of all trees, a leaf's feature being -1, and where trees begin."""
+    nodes: list[tuple] = []
+
+    def put(tree) -> int:
+        at = len(nodes)
+        nodes.append((-1, 0.0, at, at, float(tree)) if not isinstance(tree, tuple) else ())
+        if isinstance(tree, tuple):
+            f, cut, low, high = tree
+            nodes[at] = (f, cut, put(low), put(high), 0.0)
+        return at
+
+    return nodes, [put(t) for t in trees]
+
+
+def score_of(trees: list, x: Column) -> Column:
+    """The trees' mean share for an array of features: a walk down each, over a table of nodes, so that code stays small however many there are."""
+    nodes, roots = as_table(trees)
+    if not roots:
+        return F.lit(0.0)
+    names = ("f", "cut", "low", "high", "share")
+    table = F.from_json(F.lit(json.dumps([dict(zip(names, n)) for n in nodes])), NODES)
+
+    def down(at, _):
+        n = F.get(table, at)
+        return F.when(n["f"] < 0, at).when(F.get(x, n["f"]) <= n["cut"], n["low"]).otherwise(n["high"])
+
+    steps = F.sequence(F.lit(1), F.lit(DEPTH))
+    shares = F.transform(F.array(*map(F.lit, roots)), lambda r: F.get(table, F.aggregate(steps, r, down))["share"])
+    return F.aggregate(shares, F.lit(0.0), lambda a, v: a + v) / len(roots)
 
 
 def learn(findings: DataFrame) -> list:
@@ -221,10 +252,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str | None =
     c = candidates(docs, where)
     f = features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path"))
     # Generated, so that the optimiser doesn't write each feature out wherever a tree asks for it.
-    wide = c.select("doc_id", "nth", "candidate", F.explode(F.array(F.struct(*[v.cast("double").alias(k) for k, v in f.items()]))).alias("f"))
-    cols = [F.col("f")[k] for k in FEATURES]
-    score = sum((as_column(t, cols) for t in trees), F.lit(0.0)) / max(1, len(trees))
-    return wide.select("doc_id", F.col("nth").cast("int").alias("nth"), F.col("candidate").alias("secret"), F.round(score, 4).alias("score")).where((F.col("score") >= threshold) & F.lit(bool(trees)))
+    wide = c.select("doc_id", "nth", "candidate", F.explode(F.array(F.array(*[f[k].cast("double") for k in FEATURES]))).alias("f"))
+    out = wide.select("doc_id", F.col("nth").cast("int").alias("nth"), F.col("candidate").alias("secret"), F.round(score_of(trees, F.col("f")), 4).alias("score"))
+    return out.where((F.col("score") >= threshold) & F.lit(bool(trees)))
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ summed over all its segmentations by the forward algorithm, whatever its length:
 words of over MATRIX bytes go through products of transfer matrices, which are the same sum.
 
 Learning: expectation-maximisation (forward-backward) over the words of at most ROWS rows of each language, the rows
-with the smallest hashes: that bound is the sample the parameter ``rows`` documents. To learn from, words of over LEARN
+with the smallest hashes, and of their first CHARS characters: these bounds are the parameters ``rows`` and ``chars``. To learn from, words of over LEARN
 bytes are cut between characters. Prediction runs over whole texts, in Arrow batches cut by bytes; each distinct word of a
 batch is scored once for all languages, and a task keeps the scores of CACHE words.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LEARN, MATRIX, SEGMENT, ROWS, CHUNK, CACHE = 32, 2048, 32, 300, 2 << 20, 1 << 18
+LEARN, MATRIX, SEGMENT, ROWS, CHARS, CHUNK, CACHE = 32, 2048, 32, 300, 1 << 15, 2 << 20, 1 << 18
 TINY, HUGE = 1e-120, 1e120
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LETTER = np.zeros(256, bool)
@@ -339,15 +339,15 @@ def learn(texts: list[tuple[str, str]], pieces: list[bytes], rounds: int = 3, al
     return Model(langs, lookup, p, np.log(share / share.sum()))
 
 
-def sample(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled training rows of each language, those with the smallest hashes.
+def sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> list[tuple[str, str]]:
+    """At most ``rows`` labelled training rows of each language, those with the smallest hashes; of each the first ``chars`` characters, so that bytes have a bound as well.
 
     Rows are counted by language first, so that only hashes below a cut that lets about twice as many rows through are
     sorted, however many partitions there are. A language that comes out short all the same (as one whose rows all have
     one hash may) is sorted without a cut: the sample is that of the definition in any case.
     """
     keep = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    keep = keep.select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    keep = keep.select(F.left("text", F.lit(chars)).alias("text"), "lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
     counts = {r["lang"]: r["count"] for r in keep.groupBy("lang").count().collect()}
     if not counts:
         return []

@@ -209,9 +209,11 @@ def _pieces(cols: list[list]):
 
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, source: str = "source", paths: tuple[str, str | None] | None = None, window: int | None = None, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids) per piece. targets: token proportions by source; by default those of the corpus."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids) per piece; queue is its source. targets: token proportions by source (None for the null one); by default those of the corpus."""
     spark: SparkSession = docs.sparkSession
-    queue = F.coalesce(F.col(source), F.lit(""))
+    # The null source's queue is the empty string; a sign before all others keeps an empty source from it.
+    queue = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+    targets = {"" if k is None else f"={k}": v for k, v in targets.items()} if targets else None
     tokens, _ = C.write_out(spark, tokenized(C.wide(docs), paths or default_paths(), queue), "tokens")
     sums = tokens.groupBy("chunk", "queue").agg(F.sum("n").alias("n"))
     bases, _ = C.write_out(spark, sums.select("chunk", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("chunk")) - F.col("n")).alias("base"), "n"), "bases")
@@ -219,8 +221,10 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, source: str =
     placed = tokens.join(bases.drop("n"), ["chunk", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("qoff")).alias("at"), "n", "ids")
     few = totals.limit(TABLE + 1).collect()
     if len(few) <= TABLE:
-        return by_table(placed, Schedule({r["queue"]: r["total"] for r in few}, targets, window or length, length))
-    return by_sort(placed, totals, targets, window or length, length)
+        out = by_table(placed, Schedule({r["queue"]: r["total"] for r in few}, targets, window or length, length))
+    else:
+        out = by_sort(placed, totals, targets, window or length, length)
+    return out.withColumn("queue", F.when(F.col("queue") != "", F.expr("substr(queue, 2)")))
 
 
 def by_table(placed: DataFrame, plan: Schedule) -> DataFrame:

@@ -692,6 +692,16 @@ def test_packing_mixes_every_sequence(spark, monkeypatch):
         assert sorted(map(tuple, packing.pack(docs, targets=targets).drop("ids").collect())) == table
 
 
+def test_packing_null_and_empty_source(spark):
+    """The null source and the empty one are queues of their own, each with its target."""
+    rows = [(k, f"word{k} more words here", None if k % 3 == 0 else "" if k % 3 == 1 else "=") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = collections.Counter()
+    for r in packing.pack(docs, {None: 0.6, "": 0.3, "=": 0.1}, window=512, length=512).where("sequence_id < 4").collect():
+        first[r.queue] += r.length
+    assert set(first) == {None, "", "="} and abs(first[None] / 2048 - 0.6) < 0.03 and abs(first[""] / 2048 - 0.3) < 0.03
+
+
 def test_packing_thousands_of_sources(spark):
     """5,000 sources, of which two have targets: these fill the first sequences in their proportions, and no piece is of a token or two but where sequences end."""
     rows = [(k, "some words of a text " * 30, "en", f"s{k % 5000}" if k >= 600 else f"s{k % 2}", 1) for k in range(5600)]

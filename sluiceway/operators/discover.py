@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import url as U
 from ..session import checkpointed
+from . import gate
 
 # Markup that is looked for, the bound of sitemaps read, and the engine's own domains.
 LOC = r"(?is)<loc>\s*([^<\s]+)\s*</loc>"
@@ -17,6 +18,8 @@ ROBOTS = r"(?im)^\s*sitemap\s*:\s*(\S+)"
 XML = r"(?i)<(?:urlset|sitemapindex)\b"
 MAX_SITEMAPS = 20
 RESULT = r"(?s)<h3 class=\"res-title[^\"]*\"[^>]*>\s*<a\s+href=\"[^\"]*\"\s+data-mdurl=\"([^\"]+)\"[^>]*>(.*?)</a>\s*</h3>"
+#: Where words are asked for, and the title of a page of results.
+SEARCH, RESULT_TITLE = "https://www.so.com/s", r"(?i)_360搜索\s*</title>"
 OWN_DOMAINS = ("so.com", "360.com", "qhimg.com", "qhres.com", "haosou.com", "360kan.com", "bing.com")
 
 
@@ -132,6 +135,27 @@ def result_hits(pages: DataFrame, html: str = "html", limit: int = 10, native: b
     return kept.select("query", text.alias("title"), "url", "rank")
 
 
+def by_words(asked: DataFrame, responses: DataFrame, limit: int = 10, native: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Discovery by words: (query, title, url, rank) of results, and (query, kind, detail) of queries without any.
+
+    asked: (query, site, words); responses: captured responses to the addresses that search_url() gives. A page counts only if its title is
+    that of results (an engine's refusal has another), else the next engine's answer is taken. A query that no engine
+    answered is blocked, unreachable and so on by its last attempt; one with a page and no results of others is no_match; one without responses is invalid_response.
+    """
+    urls = asked.select("query", search_url(F.col("site"), F.col("words")).alias("url"))
+    outcomes = gate.acquire(responses.join(urls.select("url").distinct(), "url", "left_semi"), expect=RESULT_TITLE)
+    got = urls.join(outcomes, "url", "left")
+    hits = result_hits(got.where("data IS NOT NULL").select("query", F.col("data").cast("string").alias("html")), limit=limit, native=native)
+    failed = got.where("data IS NULL").select("query", error_kind(gate.last_kind(F.col("attempts"))).alias("kind"), F.coalesce("error", F.lit("no response")).alias("detail"))
+    none = got.where("data IS NOT NULL").join(hits.select("query").distinct(), "query", "left_anti").select("query", F.lit("no_match").alias("kind"), F.lit("no results").alias("detail"))
+    return hits, failed.unionByName(none)
+
+
+def search_url(site: Column, words: Column) -> Column:
+    """The address of a search within a site."""
+    return F.concat(F.lit(f"{SEARCH}?"), U.query_string(q=site_query(site, words)))
+
+
 def error_kind(kind: Column) -> Column:
     """An attempt's kind as discovery reports it."""
     return F.when(kind.isin("timeout", "network"), "network_unreachable").when(kind == "http_error", "http_error").when(kind.isin("challenge", "empty_body"), "blocked").otherwise("invalid_response")

@@ -974,3 +974,88 @@ def card_lines(spark, sf):
 @query(ORACLE["card_errors"])
 def card_line_errors(spark, sf):
     return cardlines.read_card_lines(card_line_rows(spark, sf))[1]
+
+
+# --- discovery by words, diagnosis and faults of packages -----------------------------------------------------
+
+#: Searches are twenties of pages. By turns: answered at once; refused at first; refused by all; answered without results; asked of no engine.
+_ASKED = "SELECT DISTINCT CAST(floor(page_id / 20) AS BIGINT) AS query FROM pages"
+
+
+def asked(spark, sf) -> DataFrame:
+    q = shared(spark, sf, _ASKED, "pages")
+    return q.select("query", F.when(F.col("query") % 2 == 0, F.lit("site.org")).alias("site"), F.concat(F.lit("words "), F.col("query").cast("string")).alias("words"))
+
+
+def answers(spark, sf) -> DataFrame:
+    """Captured responses of both engines to the searches."""
+    p = table(spark, sf, "pages").select(F.expr("page_id DIV 20").alias("query"), F.struct("page_id", F.expr(_HIT).alias("h")).alias("s"))
+    # Twenty results a page.
+    html = p.groupBy("query").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["h"]), "\n").alias("hits"))
+    q = asked(spark, sf).join(html, "query").withColumn("url", discover.search_url(F.col("site"), F.col("words"))).withColumn("k", F.col("query") % 5)
+    page = lambda title, body: F.concat(F.lit(f"<html><title>{title}</title><!--{'x' * 600}-->"), body, F.lit("</html>"))
+    good, refused, none = page("w_360搜索", F.col("hits")), page("访问异常页面", F.lit("")), page("w_360搜索", F.lit("nothing"))
+    own = F.when(F.col("k") == 3, none).otherwise(good)
+    one = lambda engine, html_: q.where("k <> 4").select("url", F.lit(engine).alias("engine"), F.encode(html_, "UTF-8").alias("data"), F.lit("text/html").alias("content_type"), F.lit(200).alias("status"))
+    return one("http", F.when(F.col("k").isin(1, 2), refused).otherwise(own)).unionByName(one("browser", F.when(F.col("k") == 2, refused).otherwise(own)))
+
+
+SQL_ASKED = "WITH a AS (SELECT page_id // 20 AS query, page_id, url, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) AS rank FROM pages WHERE page_id % 4 <> 0), q AS (SELECT DISTINCT page_id // 20 AS query FROM pages), h AS (SELECT query, 'Hit ' || page_id || '&' AS title, url, CAST(rank AS INTEGER) AS rank FROM a WHERE rank <= 10 AND query % 5 < 2)"
+
+
+@query(SQL_ASKED + " SELECT * FROM h")
+def word_discovery(spark, sf):
+    return discover.by_words(asked(spark, sf), answers(spark, sf))[0]
+
+
+@query(SQL_ASKED + """ SELECT query, CASE query % 5 WHEN 2 THEN 'blocked' WHEN 4 THEN 'invalid_response' ELSE 'no_match' END AS kind, CASE query % 5 WHEN 2 THEN 'challenge；challenge' WHEN 4 THEN 'no response' ELSE 'no results' END AS detail FROM q ANTI JOIN h USING (query)""")
+def word_discovery_errors(spark, sf):
+    return discover.by_words(asked(spark, sf), answers(spark, sf))[1]
+
+
+@query("WITH q AS (SELECT page_id // 20 AS query, count(*) AS n FROM pages GROUP BY 1), e AS (SELECT unnest(['http', 'browser']) AS engine) SELECT 'https://www.so.com/s?q=' || CASE WHEN query % 2 = 0 THEN 'site%3Asite.org+' ELSE '' END || 'words+' || query AS url, engine, CASE WHEN query % 5 = 2 OR (query % 5 = 1 AND engine = 'http') THEN 'challenge' ELSE 'pass' END AS verdict, CASE WHEN query % 5 = 2 OR (query % 5 = 1 AND engine = 'http') OR query % 5 = 3 THEN 0 ELSE CAST(n AS INTEGER) END AS result_blocks FROM q, e WHERE query % 5 <> 4")
+def diagnose_search(spark, sf):
+    """What each engine's answer to each search holds."""
+    r = answers(spark, sf)
+    html = r.select("url", "engine", F.col("data").cast("string").alias("html"))
+    return diagnose.search_steps(diagnose.describe(r), html).select("url", "engine", "verdict", F.col("result_blocks").cast("int").alias("result_blocks"))
+
+
+_ROOTS = "SELECT site, unnest(CASE WHEN starts_with(site, 'www.') THEN ['https://' || site] ELSE ['https://' || site, 'https://www.' || site] END) AS root FROM s"
+
+
+@query(f"""WITH s AS ({_SITES}), r AS ({_ROOTS}) SELECT r.site, root, CASE WHEN k = 0 THEN root || '/a.xml|' || root || '/gone.xml' END AS declared, CASE WHEN k = 1 THEN true END AS is_xml, CASE WHEN k = 2 AND first % 2 = 0 THEN 'challenge' END AS robots_kind, CAST(NULL AS VARCHAR) AS sitemap_kind FROM r LEFT JOIN s ON root = 'https://' || s.site""")
+def diagnose_sitemaps(spark, sf):
+    """What robots.txt and sitemap.xml of each site's roots are."""
+    return diagnose.sitemap_steps(*sitemap_files(spark, sf)).withColumn("declared", F.array_join("declared", "|"))
+
+
+@query(f"""WITH s AS ({_SITES}), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY length(root)) AS ord, length(root) % 3 = 0 AS here FROM ({_ROOTS}))
+SELECT site, arg_min(root, (NOT here, CASE WHEN here THEN ord ELSE -ord END)) AS url, 'http' AS engine, CASE WHEN bool_or(here) THEN 200 END AS status, CASE WHEN bool_or(here) THEN 'pass' END AS verdict, CASE WHEN NOT bool_or(here) THEN 'ReadTimeout: timed out' END AS error FROM r GROUP BY site""")
+def diagnose_entry(spark, sf):
+    """By site the first root that answered, else the last one's error."""
+    roots = shared(spark, sf, _SITES, "pages").select("site", F.posexplode(U.roots(F.col("site"))).alias("ord", "url"))
+    here = F.length("url") % 3 == 0
+    r = roots.select("url").distinct().select("url", F.lit("http").alias("engine"), F.when(here, F.encode(F.lit("<html>" + "x" * 600), "UTF-8")).alias("data"), F.lit("text/html").alias("content_type"), F.when(here, 200).alias("status"), F.when(~here, "ReadTimeout").alias("error_class"), F.lit("timed out").alias("error_message"))
+    return diagnose.entry(diagnose.describe(r), roots)
+
+
+_PDF_PAGES = "SELECT concat('p', CAST(floor(doc_id / 3) AS BIGINT)) AS url, CAST(doc_id % 3 + 1 AS INT) AS page, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 < 3 THEN concat('Short ', doc_id) ELSE concat('Title ', doc_id, '{nl}', regexp_replace(substr(text, 1, 900), '[^a-zA-Z]+', '-'{g})) END AS text, 3 AS total_pages, doc_id % 30 < 3 AS encrypted, CASE WHEN doc_id % 12 = 0 THEN concat(' Meta ', doc_id) END AS meta_title FROM documents"
+
+
+@query(f"""WITH p AS ({_PDF_PAGES.format(nl="' || chr(10) || '", g=", 'g'")}), w AS (SELECT url, {sql_strip("string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY page)")} AS whole, bool_or(encrypted) AS e, max(meta_title) AS m FROM p GROUP BY url)
+SELECT url, 3 AS pages, CASE WHEN NOT e THEN coalesce(nullif({sql_strip('m')}, ''), left({sql_strip("split_part(whole, chr(10), 1)")}, 80)) END AS title, CASE WHEN e THEN '' ELSE left(whole, 600) END AS head, CASE WHEN e THEN 'encrypted' WHEN length(whole) < 50 THEN 'little text' ELSE '' END AS error FROM w""")
+def diagnose_pdf(spark, sf):
+    """The beginnings of PDF records made of page texts."""
+    return diagnose.pdf_head(pages.pdf_records(shared(spark, sf, _PDF_PAGES.format(nl="\n", g=""), "documents")))
+
+
+#: Parts of packages from documents: by turns XML that is broken, that declares entities, and that is right; every seventh has no presentation.
+_PACKED = """SELECT package, x.part AS part, x.text AS text FROM (SELECT doc_id AS package, explode(array(struct('[Content_Types].xml' AS part, '<Types/>' AS text), struct(IF(doc_id % 7 = 0, 'ppt/none.xml', 'ppt/presentation.xml') AS part, '<p/>' AS text), struct('ppt/slides/slide1.xml' AS part, CASE doc_id % 4 WHEN 0 THEN '<a><b></a>' WHEN 1 THEN '<!DOCTYPE x><a/>' ELSE '<a/>' END AS text))) AS x FROM documents)"""
+
+
+@query("""WITH d AS (SELECT doc_id AS package, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '/ppt/slides/slide1.xml' END AS part, CASE WHEN doc_id % 7 = 0 OR doc_id % 4 = 0 THEN 'broken' WHEN doc_id % 4 = 1 THEN 'unsafe' END AS fault FROM documents) SELECT CAST(package AS VARCHAR) AS package, part, fault FROM d WHERE fault IS NOT NULL""")
+def package_faults(spark, sf):
+    """Parts of packages that can't or mustn't be parsed, and packages that are none."""
+    parts = shared(spark, sf, _PACKED, "documents").select(F.col("package").cast("string").alias("package"), "part", F.encode("text", "UTF-8").alias("data"))
+    return decks.faults(writer.zipped(parts, "package"))

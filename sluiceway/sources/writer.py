@@ -301,6 +301,25 @@ def build(pages: DataFrame, filled: DataFrame, templates: DataFrame, first: int
     return made.withColumn("deck", F.col("deck").cast(decks.schema["deck"].dataType))
 
 
+def zipped(parts: DataFrame, key: str = "deck") -> DataFrame:
+    """(key, data): packages of parts (key, part, data), those of one key by name. The same parts give the same bytes; of parts of one name one counts."""
+    names = F.struct("part", "data")
+    per = parts.where("part IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_set(names)).alias("parts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for found in frame.parts:
+                whole = io.BytesIO()
+                with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+                    for part, data in {p["part"]: p["data"] for p in found}.items():
+                        z.writestr(zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0)), b"" if data is None else bytes(data), zipfile.ZIP_DEFLATED)
+                out.append(whole.getvalue())
+            yield pd.DataFrame({key: frame[key], "data": out})
+
+    return per.mapInPandas(run, parts.select(key).withColumn("data", F.lit(None).cast("binary")).schema)
+
+
 def save(built: DataFrame, folder: str) -> None:
     """Writes each deck that build() gave as a .pptx file into a folder that all executors mount; a file is there whole or not at all, and a task run again writes the same."""
 

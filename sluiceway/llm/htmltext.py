@@ -8,7 +8,7 @@ cut from each page, in an article or not; what is left is the page's main text.
 
 The prior is there because entropy alone can't give the text asked for: menus, adverts and footers may differ on every
 page, which makes them look important, and copies of one article may fill a host, which makes it look like template. So
-the style of a node (nav, footer, aside, form; classes such as ad, sidebar, cookie, comments) weighs its branch down to
+the style of a node (nav, footer, aside; forms but those that wrap the page's article or all of it; classes such as ad, sidebar, cookie, comments) weighs its branch down to
 nothing, and that of article or main counts HELD times; and pages of a host whose text is the same but for branches
 weighed down are one page to the counts, so copies of an article don't make it template.
 
@@ -73,7 +73,7 @@ def low_name(name: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "style", "prior", "high", "parent", "kids", "path", "heads", "named", "worded")
+    __slots__ = ("tag", "style", "prior", "high", "parent", "kids", "path", "heads", "named", "worded", "form")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.kids, self.heads = tag, parent, [], False
@@ -84,8 +84,9 @@ class Node:
         role = said.get("role", "").lower()
         self.style = f"{tag}.{'.'.join(sorted(cls.split()))}#{role}" if said else tag
         self.high = tag in ("article", "main") or role in ("main", "article") or bool(words & HIGH_WORDS)
-        sure = tag in LOW_TAGS or role in LOW_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
-        low = sure or any(map(low_name, names))
+        self.form = tag in ("form", "fieldset")
+        sure = tag in LOW_TAGS and not self.form or role in LOW_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
+        low = sure or self.form or any(map(low_name, names))
         self.worded = low and not sure
         self.named = "header" in words and tag not in HEADINGS and not low and tag not in ("article", "main", "body", "html")
         self.prior = 0 if low and tag not in ("article", "main", "body", "html") or (tag == "article" and words & {"comment", "comments", "reply"}) else 1
@@ -182,10 +183,11 @@ def sizes(root: Node) -> dict[int, int]:
 
 
 def clear(root: Node) -> None:
-    """Gives their weight back to nodes that words alone weigh down, where they hold what the page is about.
+    """Gives their weight back to nodes that words alone weigh down, and to forms, where they hold what the page is about.
 
     That is a main; without one, the largest article of a page that has none outside of such nodes; without any, more
-    than half of the page's text, unless there is a node of article's or main's words outside.
+    than half of the page's text (of a form: headings and nearly all of it, as where a framework wraps whole pages in one), unless
+    there is a node of article's or main's words outside.
     """
     mains, articles, worded, free, todo = [], [], [], False, [(root, False, False)]
     while todo:
@@ -214,8 +216,8 @@ def clear(root: Node) -> None:
         if articles:
             held = [max((x for x, _ in articles), key=lambda x: size[id(x)])]
         else:
-            half = 0 if free else size[id(root)] / 2
-            held = [x for x in worded if size[id(x)] > half] if half else []
+            whole = 0 if free else size[id(root)]
+            held = [x for x in worded if size[id(x)] > whole * (0.9 if x.form else 0.5) and (x.heads or not x.form)] if whole else []
     done: set[int] = set()
     for x in held:
         while x is not None and id(x) not in done:

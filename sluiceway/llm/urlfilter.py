@@ -115,10 +115,13 @@ def url_filter(pages: DataFrame, rules: list[Rule] | DataFrame | None = None, de
     own = url_tokens(F.col("host"), F.col("path"))
     if filed.where("token = ''").limit(1).count():
         own = F.concat(F.array(F.lit("")), own)
-    fetched = df.select("host", "path").where("host <> '' OR path <> ''").distinct().withColumn("token", F.explode(own)).join(filed, "token")
+    some, bare = df.where("host <> '' OR path <> ''"), df.where("host = '' AND path = ''")
+    fetched = some.select("host", "path").distinct().withColumn("token", F.explode(own)).join(filed, "token")
     fits = fetched.where(F.rlike(F.concat("host", "path"), F.col("pattern")))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("rank", "name", "verdict", "listed")).alias("best"))
-    return df.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.when(F.col("best.listed"), F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.name").alias("pattern"))
+    # Rows without a URL have no rule, and would be one key of the join.
+    judged = some.join(best, ["host", "path"], "left").unionByName(bare.withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
+    return judged.select("page_id", "host", "path", F.when(F.col("best.listed"), F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.name").alias("pattern"))
 
 
 def op5_url_filters(spark, sf_dir: str) -> DataFrame:

@@ -266,6 +266,23 @@ def test_html_real(spark):
 # --- 3, 4, 5 -------------------------------------------------------------------------------------------------
 
 
+def test_html_forms_around_pages():
+    """A form that wraps the article, or all of the page, is no reason to drop it; forms within and beside go."""
+    text = "Long body text of the article. " * 5
+    p, want = f"<p>{text}</p>", text.strip()
+    cases = {
+        f"<body><form id=aspnetForm><article>{p}</article></form></body>": want,
+        f"<body><form runat=server><div class=nav>a b c</div><div><h1>T</h1>{p}</div><div class=footer>foot</div></form></body>": f"T\n\n{want}",
+        f"<body><form><fieldset><main><h1>T</h1>{p}<form><label>L</label><input><p>inner</p></form></main></fieldset></form></body>": f"T\n\n{want}",
+        f"<body><div>{p}</div><form><p>Your comment</p><label>Name</label></form></body>": want,
+        f"<body><article><h1>A</h1>{p}<form><p>leave a reply</p></form></article></body>": f"A\n\n{want}",
+        f"<body><article>{p}</article><form><article>{p * 3}</article></form></body>": want,
+        "<body><p>Intro.</p><form><p>" + "contact us " * 20 + "</p></form></body>": "Intro.",
+    }
+    for html, text in cases.items():
+        assert htmltext.main_text(html, {}) == text, html
+
+
 def test_secrets(spark, odd, none):
     key, sha = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "a3f5c9d2e1b4a6978812cdef00aa11bb22cc33dd"
     rows = [(1, f'token = "{key}"', "src1"), (2, f"commit {sha}", "src1"), (3, f"some text api_key: {key} and token={key}", None), (4, None, "x"), (5, "card 1234567890123456 here", "x"), (6, 'token = "xxxxxxxxxxxxxxxxxxx1"', "docs/readme.md")]
@@ -692,6 +709,27 @@ def test_packing_mixes_every_sequence(spark, monkeypatch):
         assert sorted(map(tuple, packing.pack(docs, targets=targets).drop("ids").collect())) == table
 
 
+def test_vectors_of_many_lengths(spark):
+    """Forty lengths are sampled in one pass; each has links of its own."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(2, 42):
+        v = rng.normal(size=d)
+        rows += [(3 * d, v.tolist()), (3 * d + 1, (v * 2 + 1e-4).tolist()), (3 * d + 2, (-v).tolist())]
+    rows += [(1, None), (None, [1.0, float("nan")]), (2, [0.0, 0.0]), (None, [5.0, 1.0]), (1009, [1.0] * 41), (1009, [1.0] * 41)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("d", F.lit("x")).withColumn("no", F.lit("y")).withColumn("m", F.lit("z")).withColumn("home", F.lit("h"))
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id) for r in pq.near_duplicates(df).collect())
+    for d in range(3, 42):
+        assert got[3 * d, 1, 3 * d] == 1 and got[3 * d + 1, 1, 3 * d] == 1 and got[3 * d + 2, 0, 3 * d + 2] == 1, d
+    assert got[1, 0, 1] == 1 and got[2, 0, 2] == 1 and got[None, 0, None] >= 1 and got[1009, 1, 1009] == 2
+    reps = spark.createDataFrame([(k, rng.normal(size=2 + k % 40).tolist()) for k in range(4000)], "no long, embedding array<double>")
+    sizes = dict.fromkeys(range(2, 42), 100)
+    found = pq.sample_of(reps, sizes, 400)
+    assert {d: len(x) for d, x in found.items()} == dict.fromkeys(sizes, 10) and all(x.shape[1] == d for d, x in found.items())
+
+
 def test_packing_null_and_empty_source(spark):
     """The null source and the empty one are queues of their own, each with its target."""
     rows = [(k, f"word{k} more words here", None if k % 3 == 0 else "" if k % 3 == 1 else "=") for k in range(600)]

@@ -82,7 +82,8 @@ def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MI
     """Per url the response of the first engine that passes, with the attempts that failed before it.
 
     (url, engine_used, status, data, content_type, attempts, error). attempts is null where none failed; error joins
-    the details in engine order where all did. ``engine`` asks for one engine's responses alone. One shuffle, by url, of what passed.
+    the details in engine order where all did; failures that are the same count once, so that a url has as many as there are kinds. ``engine`` asks
+    for one engine's responses alone. One shuffle, by url, of what passed.
     """
     if engine != "auto":
         responses = responses.where(F.col("engine") == engine)
@@ -90,7 +91,7 @@ def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MI
     got = judged(responses, expect, min_bytes).groupBy("url").agg(
         F.min(won).alias("won"),
         F.min_by(F.struct("engine", "status", "data", "content_type"), won).alias("w"),
-        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("rank", "engine", "kind", "detail")))).alias("failed"),
+        F.sort_array(F.collect_set(F.when(F.col("kind").isNotNull(), F.struct("rank", "engine", "kind", "detail")))).alias("failed"),
     )
     return decided(got)
 

@@ -28,17 +28,16 @@ def clean_records(pages: DataFrame, max_chars: int = 8000, native: bool = True)
 
 
 def raw_links(pages: DataFrame, native: bool = True) -> DataFrame:
-    """(page_id, base, pos, href, text) of all anchors in order. Pages whose anchors aren't all of the plain form go through the parser in any case."""
+    """(page_id, base, pos, href, text) of all anchors in order. Pages whose anchors aren't all of the plain form go through the parser in any case, and no others."""
+    rows = lambda df, links: df.select("page_id", F.col("url").alias("base"), F.explode(links).alias("x")).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
+    parsed = H.parse_page(F.col("html"))["links"]
+    if not native:
+        return rows(pages, parsed)
     plain = F.transform(H.anchors(F.col("html")), lambda x, i: F.struct(i.cast("int").alias("pos"), x["href"].alias("href"), x["text"].alias("text")))
-    if native:  # one pass; of pages with plain anchors alone the parser gets a null
-        opened = lambda x: F.regexp_count(x, F.lit(r"(?i)<a[\s>]"))
-        quiet = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
-        regular = F.coalesce((opened(F.col("html")) == F.size("plain")) & (opened(quiet) == F.size("plain")), F.lit(False))
-        df = pages.select("page_id", F.col("url").alias("base"), "html", plain.alias("plain")).withColumn("regular", regular)
-        links = F.when(F.col("regular"), F.col("plain")).otherwise(H.parse_page(F.when(~F.col("regular"), F.col("html")))["links"])
-    else:
-        df, links = pages.withColumnRenamed("url", "base"), H.parse_page(F.col("html"))["links"]
-    return df.select("page_id", "base", F.explode(links).alias("x")).select("page_id", "base", F.col("x.pos").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
+    opened = lambda x: F.regexp_count(x, F.lit(r"(?i)<a[\s>]"))
+    quiet = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+    regular = F.coalesce((opened(F.col("html")) == F.size(plain)) & (opened(quiet) == F.size(plain)), F.lit(False))
+    return rows(pages.where(regular), plain).unionByName(rows(pages.where(~regular), parsed))
 
 
 def absolute(base: Column, href: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import dims
+from ..session import checkpointed
 from .gate import keep_first
 
 DAYS = {"d": 1, "w": 7, "m": 31, "y": 366}
@@ -40,18 +40,22 @@ def normal_date(x: Column) -> Column:
     return F.when(F.length(x) == 8, F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))).when(F.length(x) == 4, x)
 
 
-def listing_links(raw: DataFrame, pattern: str) -> DataFrame:
-    """(dept, dept_name, list_url, answer, pos, href, hint, title) of listing pages, answer being ``ord`` or 0; the pattern has the last three as groups."""
-    p = F.lit(pattern)
+def listing_links(raw: DataFrame, pattern: str | Column) -> DataFrame:
+    """(dept, dept_name, list_url, answer, pos, href, hint, title) of listing pages, answer being ``ord`` or 0; the pattern, one or each row's own, has the last three as groups."""
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.arrays_zip(*[F.regexp_extract_all("raw", p, F.lit(k)).alias(n) for k, n in ((1, "href"), (2, "hint"), (3, "title"))])
     return raw.select("dept", "dept_name", "list_url", _answer(raw), F.posexplode(found).alias("pos", "x")).select("dept", "dept_name", "list_url", "answer", "pos", "x.*")
 
 
 def listing_candidates(raw: DataFrame, pattern: str, keywords: list[str], limit: int = 5, native: bool = False) -> DataFrame:
     """Candidates of (dept, dept_name, list_url, raw HTML) whose title holds any keyword, the first ``limit`` by dept."""
+    return link_candidates(listing_links(raw, pattern), keywords, limit, native)
+
+
+def link_candidates(links: DataFrame, keywords: list[str], limit: int = 5, native: bool = False) -> DataFrame:
+    """Candidates of listing_links()'s rows."""
     from .pages import absolute
 
-    links = listing_links(raw, pattern)
     title = T.strip(F.col("title"))
     hit = F.lit(not keywords)
     for k in keywords:
@@ -101,22 +105,13 @@ def search(plan_: DataFrame, fetched: DataFrame, departments: DataFrame, keyword
     """
     answers = plan_.join(fetched, "url", "left").join(departments.select(F.col("code").alias("dept"), F.col("name").alias("dept_name"), "puborg_keys", "list_url", "link_pattern"), "dept")
     fine = answers.where(F.col("raw").isNotNull() & F.col("error").isNull())
-    tiers = [library_candidates(fine.where("tier = 'policy_library'"), limit, timelimit, as_of, native)]
-    found = []
-    for code, _, _, _, _, _, pattern in dims.DEPARTMENTS:  # a fixed list: a pattern is a literal of its department's branch
-        if pattern:
-            mine = fine.where((F.col("tier") == "official_site") & (F.col("dept") == code))
-            tiers.append(listing_candidates(mine, pattern, keywords, limit, native))
-            found.append(listing_links(mine, pattern).groupBy("dept").agg(F.count(F.lit(1)).cast("int").alias("links")))
-    links = found[0]
-    for f in found[1:]:
-        links = links.unionByName(f)
-    matched = tiers[0]
-    for t in tiers[1:]:
-        matched = matched.unionByName(t)
-    matched = matched.groupBy("dept", F.col("source_tier").alias("tier")).agg(F.count(F.lit(1)).cast("int").alias("matched"))
+    # Every department's pages by its own pattern, parsed once for the counts and the candidates.
+    links = checkpointed(listing_links(fine.where("tier = 'official_site' AND link_pattern IS NOT NULL"), F.col("link_pattern")))
+    found = links.groupBy("dept").agg(F.count(F.lit(1)).cast("int").alias("links"))
+    tiers = [library_candidates(fine.where("tier = 'policy_library'"), limit, timelimit, as_of, native), link_candidates(links, keywords, limit, native)]
+    matched = tiers[0].unionByName(tiers[1]).groupBy("dept", F.col("source_tier").alias("tier")).agg(F.count(F.lit(1)).cast("int").alias("matched"))
     per = answers.groupBy("dept", "tier").agg(F.max(F.col("raw").isNotNull() | F.col("error").isNotNull()).alias("fetched"), F.max("error").alias("fetch_error"))
-    state = per.join(links, "dept", "left").join(matched, ["dept", "tier"], "left").fillna(0, ["links", "matched"])
+    state = per.join(found, "dept", "left").join(matched, ["dept", "tier"], "left").fillna(0, ["links", "matched"])
     errors = tier_errors(state).join(departments.select(F.col("code").alias("dept"), F.col("name").alias("dept_name"), "site_domain"), "dept", "left")
     errors = errors.select("dept", F.coalesce("dept_name", "dept").alias("dept_name"), "tier", "kind", "detail", F.coalesce("site_domain", F.lit("")).alias("site_domain"))
     return union_first(tiers, plan_.select("plan_no", "dept", F.col("tier").alias("source_tier"))), errors

@@ -57,8 +57,9 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def resolve_template(names: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, key, label): the template of that key, else the first that has the name among its aliases; null key if none."""
-    hit = names.join(registry, (F.col("name") == F.col("key")) | F.array_contains("aliases", F.col("name")), "left")
-    return hit.groupBy("name").agg(F.min_by(F.struct("key", "label"), F.when(F.col("key").isNotNull(), F.struct(F.when(F.col("key") == F.col("name"), 0).otherwise(1), "ord"))).alias("x")).select("name", "x.*")
+    own = F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.col("key").alias("name"))), F.transform("aliases", lambda a: F.struct(F.lit(1).alias("rank"), a.alias("name"))))
+    known = registry.select("ord", "key", "label", F.explode(own).alias("x")).groupBy(F.col("x.name").alias("name")).agg(F.min_by(F.struct("key", "label"), F.struct("x.rank", "ord")).alias("x"))
+    return names.select("name").distinct().join(known, "name", "left").select("name", "x.*")
 
 
 def resolve_department(codes: DataFrame, dims: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ wins as soon as every engine ahead of it has failed; failures are joined once ev
 over is decided on what there is. Verdicts are columns, taken before the shuffle, so that only responses that pass carry
 bytes into it; state holds one response's bytes at most, and none once the url is decided.
 
-State (RocksDB): the ranks that have answered, the best response so far, and the failures, which are appended unread. A timer for each
+State (RocksDB): the ranks that have answered, the best response so far, and the different failures. A timer for each
 url ends the wait and, once more, forgets the url: until then what comes late is known to be late and dropped.
 """
 
@@ -38,7 +38,7 @@ class Acquirer(StatefulProcessor):
         # Bits of the ranks that have failed; whether the url is decided.
         self.known = handle.getValueState("known", "failed long, done boolean")
         self.best = handle.getValueState("best", WINNER)
-        self.failures = handle.getListState("failures", FAILURE)
+        self.failures = handle.getMapState("failures", FAILURE, "seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = not self.known.exists()
@@ -53,7 +53,8 @@ class Acquirer(StatefulProcessor):
                 continue
             bad = frame[frame["kind"].notna()]
             if len(bad):
-                self.failures.appendList([(int(r), e, k, d) for r, e, k, d in zip(bad["rank"], bad["engine"], bad["kind"], bad["detail"])])
+                for r, e, k, d in set(zip(bad["rank"], bad["engine"], bad["kind"], bad["detail"])):
+                    self.failures.updateValue((int(r), e, k, d), (True,))
                 for r in set(bad["rank"]):
                     failed |= 1 << int(r)
             for r in frame[frame["kind"].isna()].itertuples(index=False):
@@ -81,7 +82,7 @@ class Acquirer(StatefulProcessor):
 
     def _outcome(self, key) -> pd.DataFrame:
         names = [x.split(" ")[0] for x in FAILURE.split(", ")]
-        failed = [dict(zip(names, x)) for x in sorted(self.failures.get())] if self.failures.exists() else []
+        failed = [dict(zip(names, x)) for x in sorted(self.failures.keys())] if self.failures.exists() else []
         won, w = None, None
         if self.best.exists():
             won, engine, status, data, content_type = self.best.get()

@@ -47,20 +47,26 @@ def listing_links(raw: DataFrame, pattern: str | Column) -> DataFrame:
     return raw.select("dept", "dept_name", "list_url", _answer(raw), F.posexplode(found).alias("pos", "x")).select("dept", "dept_name", "list_url", "answer", "pos", "x.*")
 
 
-def listing_candidates(raw: DataFrame, pattern: str, keywords: list[str], limit: int = 5, native: bool = False) -> DataFrame:
-    """Candidates of (dept, dept_name, list_url, raw HTML) whose title holds any keyword, the first ``limit`` by dept."""
+def listing_candidates(raw: DataFrame, pattern: str, keywords: list[str] | DataFrame, limit: int = 5, native: bool = False) -> DataFrame:
+    """Candidates of (dept, dept_name, list_url, raw HTML) whose title holds any keyword, the first ``limit`` by dept. keywords: a list, or a table (keyword) of any size."""
     return link_candidates(listing_links(raw, pattern), keywords, limit, native)
 
 
-def link_candidates(links: DataFrame, keywords: list[str], limit: int = 5, native: bool = False) -> DataFrame:
+def link_candidates(links: DataFrame, keywords: list[str] | DataFrame, limit: int = 5, native: bool = False) -> DataFrame:
     """Candidates of listing_links()'s rows."""
+    from .keywords import holding
     from .pages import absolute
 
     title = T.strip(F.col("title"))
-    hit = F.lit(not keywords)
-    for k in keywords:
-        hit = hit | F.contains(title, F.lit(k))
-    df = links.where(hit).withColumn("n", F.row_number().over(Window.partitionBy("dept").orderBy("answer", "pos"))).where(F.col("n") <= limit)
+    if isinstance(keywords, DataFrame):
+        rows = links.withColumn("id", F.concat_ws("|", "dept", "answer", "pos", "list_url")).withColumn("title", title)
+        hits = holding(rows, keywords, "title", "keyword").drop("id")
+    else:
+        hit = F.lit(not keywords)
+        for k in keywords:
+            hit = hit | F.contains(title, F.lit(k))
+        hits = links.where(hit)
+    df = hits.withColumn("n", F.row_number().over(Window.partitionBy("dept").orderBy("answer", "pos"))).where(F.col("n") <= limit)
     url = absolute(F.col("list_url"), F.col("href"))
     if not native:
         from ..functions import url as U
@@ -97,7 +103,7 @@ def plan(depts: DataFrame, departments: DataFrame) -> DataFrame:
     return each.select((F.col("ord") * 2 + F.col("k")).alias("plan_no"), "dept", F.col("x.tier").alias("tier"), F.col("x.url").alias("url"))
 
 
-def search(plan_: DataFrame, fetched: DataFrame, departments: DataFrame, keywords: list[str], limit: int = 5, timelimit: str = "all", as_of: str = "2024-01-01", native: bool = False) -> tuple[DataFrame, DataFrame]:
+def search(plan_: DataFrame, fetched: DataFrame, departments: DataFrame, keywords: list[str] | DataFrame, limit: int = 5, timelimit: str = "all", as_of: str = "2024-01-01", native: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both tiers from a plan: (candidates, errors). fetched: (url, raw, error) and, where a department has several answers, ord.
 
     Candidates are those of all tiers in plan order, each url once. Errors (dept, dept_name, tier, kind, detail,

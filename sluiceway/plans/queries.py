@@ -360,6 +360,17 @@ def policy_listing(spark, sf):
     return policy.listing_candidates(listing_raw(spark, sf), dims.DEPARTMENTS[0][6], ["safety", "energy"]).drop("pos")
 
 
+_WISHES = "SELECT DISTINCT concat('energy ', doc_id % 100) AS keyword FROM documents WHERE doc_id % 3 = 1 AND doc_id % 10 < 4"
+#: The notices' titles that hold a keyword of a table, in order.
+SQL_WISHES = f"WITH k AS ({_WISHES}), {SQL_LISTING.lstrip(', ').replace('WHERE doc_id % 3 < 2', '')}, m AS (SELECT * EXCLUDE n, row_number() OVER (ORDER BY n) AS n FROM l WHERE EXISTS (SELECT 1 FROM k WHERE contains(title, keyword)))"
+
+
+@query(f"{SQL_WISHES} {_LIST} FROM m WHERE n <= 50")
+def policy_keyword_table(spark, sf):
+    """Notices by a table of keywords."""
+    return policy.listing_candidates(listing_raw(spark, sf), dims.DEPARTMENTS[0][6], shared(spark, sf, _WISHES, "documents"), 50).drop("pos")
+
+
 @query(f"""{SQL_LIBRARY} {SQL_LISTING}, a AS (SELECT dept, dept_name, title, url, strftime(day, '%Y-%m-%d') AS date, puborg, 'c' AS pcode, 'policy_library' AS source_tier, k * 2 AS p, n FROM f WHERE n <= 40 UNION ALL {_LIST}, 1000 AS p, n FROM l WHERE n <= 5),
 b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY p, n) AS first FROM a) SELECT dept, dept_name, title, url, date, puborg, pcode, source_tier FROM b WHERE first = 1""")
 def policy_union(spark, sf):

@@ -990,11 +990,11 @@ def card_line_errors(spark, sf):
 # --- discovery by words, diagnosis and faults of packages -----------------------------------------------------
 
 #: Searches are twenties of pages. By turns: answered at once; refused at first; refused by all; answered without results; asked of no engine.
-_ASKED = "SELECT DISTINCT CAST(floor(page_id / 20) AS BIGINT) AS query FROM pages"
+_SEARCHES = "SELECT DISTINCT CAST(floor(page_id / 20) AS BIGINT) AS query FROM pages"
 
 
 def asked(spark, sf) -> DataFrame:
-    q = shared(spark, sf, _ASKED, "pages")
+    q = shared(spark, sf, _SEARCHES, "pages")
     return q.select("query", F.when(F.col("query") % 2 == 0, F.lit("site.org")).alias("site"), F.concat(F.lit("words "), F.col("query").cast("string")).alias("words"))
 
 

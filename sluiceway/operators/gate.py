@@ -69,33 +69,59 @@ def judged(responses: DataFrame, expect: str | None = None, min_bytes: int = MIN
     return responses.withColumn("kind", kind).withColumn("rank", rank).withColumn("detail", detail).withColumn("data", F.when(F.col("kind").isNull(), F.col("data")))
 
 
-def decided(got: DataFrame) -> DataFrame:
-    """Outcomes from (url, won, w, failed): the winner's rank and response, null without one, and all failures as (rank, engine, kind, detail), sorted."""
+def decided(got: DataFrame, *keys: str) -> DataFrame:
+    """Outcomes by ``keys`` (url) from (url, won, w, failed): the winner's rank and response, null without one, and all failures as (rank, engine, kind, detail), sorted."""
     before = F.filter("failed", lambda x: F.col("won").isNull() | (x["rank"] < F.col("won")))
     attempts = F.transform(before, lambda x: F.struct(x["engine"].alias("engine"), x["kind"].alias("kind"), x["detail"].alias("detail")))
     status = F.when(F.col("won").isNotNull(), launder(F.col("w.status"), F.lit(True)))
     error = F.when(F.col("won").isNull(), F.array_join(F.transform("failed", lambda x: x["detail"]), "；"))
-    return got.select("url", F.col("w.engine").alias("engine_used"), status.alias("status"), F.col("w.data").alias("data"), F.col("w.content_type").alias("content_type"), F.when(F.size(attempts) > 0, attempts).alias("attempts"), error.alias("error"))
+    return got.select(*(keys or ("url",)), F.col("w.engine").alias("engine_used"), status.alias("status"), F.col("w.data").alias("data"), F.col("w.content_type").alias("content_type"), F.when(F.size(attempts) > 0, attempts).alias("attempts"), error.alias("error"))
 
 
-def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MIN_BYTES, engine: str = "auto") -> DataFrame:
+def acquire(responses: DataFrame, expect: str | None = None, min_bytes: int = MIN_BYTES, engine: str = "auto", visit: str | None = None) -> DataFrame:
     """Per url the response of the first engine that passes, with the attempts that failed before it.
 
     (url, engine_used, status, data, content_type, attempts, error). attempts is null where none failed; error joins
     the details in engine order where all did; failures that are the same count once, so that a url has as many as there are kinds. ``engine`` asks
-    for one engine's responses alone. One shuffle, by url, of what passed.
+    for one engine's responses alone. ``visit`` names a column that tells a url's visits apart: each visit's failures count, in its order, and of
+    several visits in which the winning engine passes the first gives the response. One shuffle, by url, of what passed.
     """
     if engine != "auto":
         responses = responses.where(F.col("engine") == engine)
-    won = F.when(F.col("kind").isNull(), F.col("rank"))
+    at = ["rank", visit] if visit else ["rank"]
+    passed = F.col("kind").isNull()
     got = judged(responses, expect, min_bytes).groupBy("url").agg(
+        F.min(F.when(passed, F.col("rank"))).alias("won"),
+        F.min_by(F.struct("engine", "status", "data", "content_type"), F.when(passed, F.struct(*at))).alias("w"),
+        F.sort_array(F.collect_set(F.when(~passed, F.struct(*at, "engine", "kind", "detail")))).alias("failed"),
+    )
+    return decided(got)
+
+
+def merged(outcomes: DataFrame, visit: str) -> DataFrame:
+    """The outcomes by url of outcomes by (url, visit): what acquire() gives of all the visits' responses at once."""
+    rank = lambda engine: F.array_position(F.array(*map(F.lit, ENGINES)), engine)
+    won = F.when(F.col("error").isNull(), rank(F.col("engine_used")))
+    failed = F.transform("attempts", lambda x: F.struct(rank(x["engine"]).alias("rank"), F.col(visit), x["engine"].alias("engine"), x["kind"].alias("kind"), x["detail"].alias("detail")))
+    got = outcomes.groupBy("url").agg(
         F.min(won).alias("won"),
-        F.min_by(F.struct("engine", "status", "data", "content_type"), won).alias("w"),
-        F.sort_array(F.collect_set(F.when(F.col("kind").isNotNull(), F.struct("rank", "engine", "kind", "detail")))).alias("failed"),
+        F.min_by(F.struct(F.col("engine_used").alias("engine"), "status", "data", "content_type"), F.when(won.isNotNull(), F.struct(won, visit))).alias("w"),
+        F.sort_array(F.flatten(F.collect_list(failed))).alias("failed"),
     )
     return decided(got)
 
 
+def captures(outcomes: DataFrame, responses: DataFrame) -> DataFrame:
+    """outcomes with a row for each of the responses that the winning engine gave, those that failed among them; one row without a winner."""
+    given = responses.select("url", F.col("engine").alias("engine_used"), "data", "content_type")
+    return outcomes.drop("data", "content_type").join(given, ["url", "engine_used"], "left").select(outcomes.columns)
+
+
+def engines_failed(attempts: Column) -> Column:
+    """How many engines have failed; of several visits each counts once."""
+    return F.coalesce(F.size(F.array_distinct(F.transform(attempts, lambda x: x["engine"]))), F.lit(0))
+
+
 def summary(outcomes: DataFrame) -> DataFrame:
     """One row: how many succeeded, how many after a failed attempt, and the bytes they hold."""
     ok = F.col("error").isNull()
@@ -103,8 +129,9 @@ def summary(outcomes: DataFrame) -> DataFrame:
 
 
 def last_kind(attempts: Column) -> Column:
-    """The kind that an outcome reports: that of the last attempt."""
-    return F.coalesce(F.try_element_at(attempts, F.lit(-1))["kind"], F.lit("invalid_response"))
+    """The kind that an outcome reports: that of the last engine's attempt, of several visits' the first one's."""
+    last = F.try_element_at(attempts, F.lit(-1))["engine"]
+    return F.coalesce(F.get(F.filter(attempts, lambda x: x["engine"] == last), F.lit(0))["kind"], F.lit("invalid_response"))
 
 
 def failures(outcomes: DataFrame) -> DataFrame:

@@ -181,15 +181,20 @@ g AS (SELECT url, min(k) FILTER (kind IS NULL) AS won, string_agg(detail, '；'
  count(*) FILTER (kind IS NOT NULL) AS bad, bool_or(k = 1 AND kind IS NOT NULL) AS first_bad FROM d GROUP BY url)"""
 
 
-def outcomes(spark, sf):
+def asked_in_turn(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The responses of each engine. A page is a visit of its url, of which there may be several."""
     h = responses(spark, sf, "http", "page_id % 8")
-    b = responses(spark, sf, "browser", "page_id % 5").drop("url").join(h.select("page_id", "url"), "page_id").select(h.columns)
-    return gate.acquire(h.unionByName(b))
+    return h, responses(spark, sf, "browser", "page_id % 5").drop("url").join(h.select("page_id", "url"), "page_id").select(h.columns)
+
+
+def outcomes(spark, sf):
+    h, b = asked_in_turn(spark, sf)
+    return gate.acquire(h.unionByName(b), visit="page_id")
 
 
 @query(SQL_ACQUIRE + " SELECT url, engine_used, CASE WHEN won IS NOT NULL THEN 200 END AS status, n AS bytes, CASE WHEN won = 2 THEN 1 WHEN won IS NULL THEN 2 ELSE 0 END AS failed, CASE WHEN won IS NULL THEN details END AS error FROM g")
 def tiered_acquire(spark, sf):
-    return outcomes(spark, sf).select("url", "engine_used", "status", F.octet_length("data").cast("long").alias("bytes"), F.coalesce(F.size("attempts"), F.lit(0)).alias("failed"), "error").withColumn("failed", F.greatest("failed", F.lit(0)))
+    return outcomes(spark, sf).select("url", "engine_used", "status", F.octet_length("data").cast("long").alias("bytes"), gate.engines_failed(F.col("attempts")).alias("failed"), "error")
 
 
 @query(SQL_ACQUIRE + " SELECT count(*) AS total, count(won) AS succeeded, count(*) FILTER (won = 2) AS degraded, CAST(sum(coalesce(n, 0)) AS BIGINT) AS length FROM g")
@@ -206,7 +211,8 @@ def diagnose_probe(spark, sf):
 @query(SQL_ACQUIRE + f""", w AS (SELECT d.url, d.engine, d.data, d.content_type, won FROM d JOIN g USING (url) WHERE k = won), p AS (SELECT g.url, g.engine_used, w.content_type, g.won, details, content_type LIKE '%pdf%' OR starts_with(decode(data), '%PDF-') AS pdf, decode(data) AS t FROM g LEFT JOIN w USING (url))
 SELECT url, engine_used, CASE WHEN won IS NOT NULL THEN 200 END AS status, content_type, CASE WHEN won IS NULL OR won = 2 THEN true END AS degraded, CASE WHEN won IS NOT NULL AND NOT pdf THEN CAST(length(t) AS INTEGER) END AS length, CASE WHEN won IS NOT NULL AND NOT pdf THEN t END AS raw, CASE WHEN won IS NULL THEN details WHEN pdf THEN 'a PDF has no raw text' END AS error FROM p""")
 def raw_record(spark, sf):
-    return pages.fetch(outcomes(spark, sf), raw=True)
+    h, b = asked_in_turn(spark, sf)
+    return pages.fetch(gate.captures(outcomes(spark, sf), h.unionByName(b)), raw=True)
 
 
 @query(SQL_ACQUIRE + " SELECT url, arg_max(kind, k) AS kind, details AS error, count(*) AS attempts FROM d JOIN g USING (url) WHERE won IS NULL GROUP BY url, details")

@@ -843,13 +843,13 @@ def package_check(spark, sf):
 def stream_acquire(spark, sf):
     """tiered_acquire's outcomes from a stream of response files, each engine's in files of its own."""
     top = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    h = responses(spark, sf, "http", "page_id % 8")
-    b = responses(spark, sf, "browser", "page_id % 5").drop("url").join(h.select("page_id", "url"), "page_id").select(h.columns)
+    h, b = asked_in_turn(spark, sf)
     for r in (b, h):  # what comes first is what would be asked last
-        r.withColumn("captured", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))).drop("page_id").write.mode("append").parquet(f"{top}/in")
-    stream.acquire_stream(spark, f"{top}/in", f"{top}/out", f"{top}/state", files=64)
-    got = spark.read.parquet(f"{top}/out")
-    return got.select("url", "engine_used", "status", F.octet_length("data").cast("long").alias("bytes"), F.coalesce(F.size("attempts"), F.lit(0)).alias("failed"), "error")
+        r.withColumn("captured", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))).write.mode("append").parquet(f"{top}/in")
+    # Both engines answer every visit, however many batches lie between: no wait ends before.
+    stream.acquire_stream(spark, f"{top}/in", f"{top}/out", f"{top}/state", files=64, visit="page_id", wait="36500 days")
+    got = gate.merged(spark.read.parquet(f"{top}/out"), "page_id")
+    return got.select("url", "engine_used", "status", F.octet_length("data").cast("long").alias("bytes"), gate.engines_failed(F.col("attempts")).alias("failed"), "error")
 
 
 @query(SQL_FILL + f", o AS (SELECT deck, page, src, CAST(row_number() OVER (PARTITION BY deck ORDER BY page) AS INT) AS slide FROM d WHERE src <> 99), b AS (SELECT CAST(o.deck AS VARCHAR) AS package, slide, sl.sid, CASE WHEN f.sid IS NULL THEN 'S' || src || '-' || sl.sid || ' old' ELSE f.text END AS text FROM o JOIN sl ON i = src LEFT JOIN f ON f.deck = o.deck AND f.page = o.page AND f.sid = sl.sid) SELECT * FROM b WHERE {sql_strip('text')} <> ''")

@@ -24,14 +24,14 @@ from ..operators.gate import ENGINES, MIN_BYTES, decided, judged
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WINNER = "won int, engine string, status int, data binary, content_type string"
 FAILURE = "rank int, engine string, kind string, detail string"
-OUT = f"url string, won int, w struct<engine:string,status:int,data:binary,content_type:string>, failed array<struct<{FAILURE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>"
+OUT = f"won int, w struct<engine:string,status:int,data:binary,content_type:string>, failed array<struct<{FAILURE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>"
 
 
 class Acquirer(StatefulProcessor):
-    """``engines`` ranks there are; a url waits ``wait`` milliseconds of event time from its first response on, and is forgotten after as many more."""
+    """``engines`` ranks there are; a url waits ``wait`` milliseconds of event time from its first response on, and is forgotten after as many more. ``keys`` names what is waited for."""
 
-    def __init__(self, engines: int, wait: int):
-        self.engines, self.wait = engines, wait
+    def __init__(self, engines: int, wait: int, keys: tuple[str, ...] = ("url",)):
+        self.engines, self.wait, self.keys = engines, wait, keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -89,23 +89,27 @@ class Acquirer(StatefulProcessor):
             w = {"engine": engine, "status": status, "data": data, "content_type": content_type}
         self.best.clear()
         self.failures.clear()
-        return pd.DataFrame({"url": [key[0]], "won": pd.array([won], "Int32"), "w": [w], "failed": [failed]})
+        return pd.DataFrame({**{k: [x] for k, x in zip(self.keys, key)}, "won": pd.array([won], "Int32"), "w": [w], "failed": [failed]})
 
     def close(self) -> None:
         pass
 
 
-def acquired(stream: DataFrame, time: str = "captured", wait: str = "10 minutes", expect: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
+def acquired(stream: DataFrame, time: str = "captured", wait: str = "10 minutes", expect: str | None = None, min_bytes: int = MIN_BYTES, visit: str | None = None) -> DataFrame:
     """The outcomes of gate.acquire() over a stream of responses with an event time, each once, as soon as it is known.
 
+    ``visit`` names a column that tells a url's visits apart: outcomes are then (url, visit, ...), for gate.merged() to put together.
+
     Defined results: responses of engines that aren't known and rows without url or time are left out; a second response of an engine that has failed
     can still win while the url is open; what comes after the outcome is dropped.
     """
     ms = _ms(stream.sparkSession, wait)
+    keys = ("url", visit) if visit else ("url",)
     rows = judged(stream.where(F.col("url").isNotNull() & F.col(time).isNotNull() & F.col("engine").isin(*ENGINES)).withWatermark(time, wait), expect, min_bytes)
-    rows = rows.select("url", time, F.unix_millis(time).alias("at"), F.col("rank").cast("int").alias("rank"), "engine", "status", "data", "content_type", "kind", "detail")
-    out = rows.groupBy("url").transformWithStateInPandas(Acquirer(len(ENGINES), ms), OUT, "Append", "EventTime")
-    return decided(out)
+    rows = rows.select(*keys, time, F.unix_millis(time).alias("at"), F.col("rank").cast("int").alias("rank"), "engine", "status", "data", "content_type", "kind", "detail")
+    named = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    out = rows.groupBy(*keys).transformWithStateInPandas(Acquirer(len(ENGINES), ms, keys), f"{named}, {OUT}", "Append", "EventTime")
+    return decided(out, *keys)
 
 
 def _ms(spark: SparkSession, interval: str) -> int:
@@ -129,4 +133,4 @@ def acquire_stream(spark: SparkSession, source: str, target: str, checkpoint: st
     from .ingest import incoming, run
 
     with rocks(spark):
-        run(acquired(incoming(spark, source, files), **how), target, checkpoint).awaitTermination()
+        run(acquired(incoming(spark, source, files, how.get("visit")), **how), target, checkpoint).awaitTermination()

@@ -11,9 +11,10 @@ from ..operators.gate import verdict
 SCHEMA = T.StructType().add("url", "string").add("engine", "string").add("data", "binary").add("content_type", "string").add("status", "integer").add("captured", "timestamp")
 
 
-def incoming(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
-    """A stream of response files as they come."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+def incoming(spark: SparkSession, path: str, files: int = 1000, visit: str | None = None) -> DataFrame:
+    """A stream of response files as they come, with the number of a url's visit if its column is named."""
+    schema = T.StructType([*SCHEMA, T.StructField(visit, T.LongType())]) if visit else SCHEMA
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def accepted(stream: DataFrame, late: str = "1 hour") -> DataFrame:

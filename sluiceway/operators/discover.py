@@ -30,7 +30,9 @@ def robots_sitemaps(text: Column) -> Column:
 def sitemap_rows(xml: DataFrame, text: str = "text", key: str = "url") -> DataFrame:
     """(sitemap, pos, loc, lastmod, child) of the entries of sitemaps; a sitemapindex has only children. No text, no rows."""
     blocks = F.regexp_extract_all(F.col(text), F.lit(BLOCK), F.lit(0))
-    df = xml.where(F.rlike(F.col(text), F.lit(XML))).select(F.col(key).alias("sitemap"), F.rlike(F.col(text), F.lit("(?i)<sitemapindex")).alias("index"), F.posexplode(blocks).alias("pos", "block"))
+    # What is said of the whole text is said before its entries are rows: beside the explode it would be read again for each of them.
+    whole = xml.where(F.rlike(F.col(text), F.lit(XML))).select(F.col(key).alias("sitemap"), F.rlike(F.col(text), F.lit("(?i)<sitemapindex")).alias("index"), blocks.alias("blocks"))
+    df = whole.select("sitemap", "index", F.posexplode("blocks").alias("pos", "block"))
     child = F.col("index") | F.rlike("block", F.lit("(?i)^<sitemap\\b"))
     out = df.select("sitemap", "pos", F.regexp_extract("block", LOC, 1).alias("loc"), F.regexp_extract("block", LASTMOD, 1).alias("lastmod"), child.alias("child"))
     return out.where("loc <> ''")
@@ -96,7 +98,8 @@ def collect(sites: DataFrame, fetched: DataFrame, match: str = "", since: str =
     Of the sitemaps read, those without a text or that are no sitemap are errors; a site without results and without errors has the error no_match.
     """
     first, errors = locate(sites, fetched)
-    rows = sitemap_rows(fetched)
+    # Read again by each level and by the results.
+    rows = checkpointed(sitemap_rows(fetched))
     read = expand(first, rows.where("child").select(F.col("sitemap").alias("parent"), F.col("loc").alias("child"), "pos"), max_sitemaps)
     read = checkpointed(read)
     state = read.join(fetched, "url", "left")

@@ -290,6 +290,12 @@ def preview(cards_: DataFrame, template: str, title: str) -> DataFrame:
 CARD_HEAD = r"^\*\*(.+?)\*\*[　 ]+模板：(.+?)[　 ]+共 (\d+) 页$"
 
 
+def _settled(df: DataFrame, *columns: str) -> DataFrame:
+    """df with columns that are worked out once a row, however often later columns and filters name them: what a generator gives is not put in place of its name."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def read_cards(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(card, page, kind, title, subtitle, items) of whole card texts (card, text), and (card, error) of those that aren't right.
 
@@ -299,20 +305,21 @@ def read_cards(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     lines = F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, f"{T.SPACE}+$", ""))
     at = F.array_position(F.transform("lines", lambda x: F.rlike(x, F.lit(CARD_HEAD))), F.lit(True))
-    df = texts.select("card", lines.alias("lines")).withColumn("at", at.cast("int"))
+    df = _settled(texts.select("card", lines.alias("lines")), "lines").withColumn("at", at.cast("int"))
     df = df.withColumn("head", F.when(F.col("at") > 0, F.element_at("lines", F.greatest("at", F.lit(1)))))
     body = F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines") - F.col("at"), F.lit(0)))
     blocks = F.filter(F.split(F.array_join(F.filter(F.transform(body, lambda x: F.when(T.strip(x) == "---", F.lit("\x01")).otherwise(x)), lambda x: x != ""), "\n"), "\x01"), lambda b: T.strip(b) != "")
     first = lambda b: F.get(F.filter(F.split(b, "\n"), lambda x: x != ""), F.lit(0))
-    df = df.withColumn("blocks", F.when(F.col("at") > 0, blocks))
+    df = _settled(df.select("card", "head", F.when(F.col("at") > 0, blocks).alias("blocks")), "head", "blocks")
     foreign = F.array_position(F.transform("blocks", lambda b: ~F.rlike(first(b), F.lit(PAGE_HEAD))), F.lit(True))
     df = df.withColumn("end", foreign.cast("int")).withColumn("own", F.when(F.col("end") > 0, F.slice("blocks", 1, F.col("end") - 1)).otherwise(F.col("blocks")))
+    df = _settled(df.select("card", "head", "own"), "head", "own")
     labels = F.transform("own", lambda b: T.strip(F.regexp_extract(first(b), PAGE_HEAD, 2)))
     unknown = F.get(F.filter(labels, lambda x: ~x.isin(*LABELS.values())), F.lit(0))
     bare = F.exists("own", lambda b: (F.regexp_extract(first(b), PAGE_HEAD, 2) == LABELS["section"]) & ~F.rlike(b, F.lit(r"(?m)^### \d+ · .+$")) & (T.strip(F.regexp_extract(first(b), PAGE_HEAD, 3)) == ""))
     said = F.regexp_extract("head", CARD_HEAD, 3).cast("int")
     error = F.when(F.col("head").isNull(), F.lit("no head line")).when(F.size("own") == 0, F.lit("no pages")).when(unknown.isNotNull(), F.concat(F.lit("unknown label "), unknown)).when(bare, F.lit("divider without a title")).when(F.size("own") != said, F.concat(F.lit("head line says "), said.cast("string"), F.lit(" pages, there are "), F.size("own").cast("string")))
-    df = df.withColumn("error", error)
+    df = _settled(df.select("card", "own", error.alias("error")), "own", "error")
     each = df.where("error IS NULL").select("card", F.posexplode("own").alias("k", "block"))
     parsed = parse_cards(each.select(F.struct("card", "k").alias("key"), F.col("block").alias("card")), ["key"])
     return parsed.select(F.col("key.card").alias("card"), (F.col("key.k") + 1).alias("page"), "kind", "title", "subtitle", "items"), df.where("error IS NOT NULL").select("card", "error")

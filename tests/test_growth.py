@@ -1,6 +1,6 @@
 """What work grows with: plans in which something is done again for each row of a larger thing."""
 
-from sluiceway.operators import discover
+from sluiceway.operators import deck, discover
 
 
 def test_a_sitemap_is_judged_once_not_for_each_entry(spark):
@@ -10,3 +10,13 @@ def test_a_sitemap_is_judged_once_not_for_each_entry(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Generate")]
     assert "sitemapindex" not in above and "sitemapindex" in plan
+
+
+def test_a_card_is_read_once_not_for_each_use_of_its_lines(spark):
+    card = "**T**　模板：X　共 1 页\n---\n**第 1 页** `封面`\n# A\nsub"
+    cards = spark.createDataFrame([("a", card), ("b", card.replace("共 1", "共 2")), ("c", "none"), ("d", None)], "card string, text string")
+    pages, errors = deck.read_cards(cards)
+    assert {r.card: r.error for r in errors.collect()} == {"b": "head line says 2 pages, there are 1", "c": "no head line", "d": "no head line"}
+    assert [(r.card, r.page, r.kind, r.title, r.subtitle) for r in pages.collect()] == [("a", 1, "cover", "A", "sub")]
+    for df in (pages, errors):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1

@@ -1,8 +1,9 @@
 """Substring joins with a table of keywords: which keywords does a text hold?
 
-Texts are read once by an Aho-Corasick automaton, whatever the number of keywords, where they lie: they are not
+Texts are read by an Aho-Corasick automaton where they lie: they are not
 shuffled, and what doesn't match leaves no row. Keywords are cut by hash into blocks of about BLOCK characters, so that what is sent to a
-task, and the automaton made of it, have a bound; each block is a pass over the texts. Keywords that are longer than LONG are few or none in
+task, and the automaton made of it, have a bound; each block is a pass over the texts, which are written down first if there are several,
+so that a pass only reads. A pass has few tasks, for each makes the automaton: as many as keep all cores busy, or as PASS characters of texts call for. Keywords that are longer than LONG are few or none in
 any table of words; they are joined by the same automaton on their first LONG characters and checked in full.
 """
 
@@ -14,9 +15,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, scratch
 
-BLOCK, LONG = 1 << 21, 256
+BLOCK, LONG, PASS = 1 << 21, 256, 1 << 25
 _automata: dict[str, tuple] = {}
 
 
@@ -65,12 +66,19 @@ def matches(texts: DataFrame, keywords: DataFrame, text: str = "text", keyword:
     size = words.agg(F.sum(F.length("k") + 8)).first()[0] or 0
     blocks = -(-size // BLOCK)
     words = words.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(max(1, blocks))))
+    if blocks > 1:
+        place = f"{scratch(spark)}/keywords-{uuid.uuid4().hex}"
+        words.repartition(blocks, "b").write.partitionBy("b").parquet(place)
+        words = spark.read.schema("k string, b long").parquet(place)
+        texts = checkpointed(texts)
+        chars = texts.agg(F.sum(F.length(text))).first()[0] or 0
+        texts = texts.coalesce(max(-(-2 * spark.sparkContext.defaultParallelism // blocks), -(-chars // PASS)))
     at, names = texts.columns.index(text), [*texts.columns, "keyword"]
     schema = texts.select("*", F.lit("").alias("keyword")).schema
 
     def block(b: int) -> DataFrame:
         # A block has a bound: BLOCK characters on average, of distinct words dealt by hash.
-        ident, held = uuid.uuid4().hex, spark.sparkContext.broadcast([r["k"] for r in words.where(F.col("b") == b).select("k").collect()])
+        ident, held = uuid.uuid4().hex, spark.sparkContext.broadcast(words.where(F.col("b") == b).select("k").toArrow().column(0).to_pylist())
 
         def run(batches: Iterator) -> Iterator:
             automaton, empty = _automaton(ident, held.value)

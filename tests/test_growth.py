@@ -1,6 +1,8 @@
 """What work grows with: plans in which something is done again for each row of a larger thing."""
 
-from sluiceway.operators import deck, discover
+from pyspark.sql import functions as F
+
+from sluiceway.operators import deck, discover, keywords
 
 
 def test_a_sitemap_is_judged_once_not_for_each_entry(spark):
@@ -20,3 +22,19 @@ def test_a_card_is_read_once_not_for_each_use_of_its_lines(spark):
     assert [(r.card, r.page, r.kind, r.title, r.subtitle) for r in pages.collect()] == [("a", 1, "cover", "A", "sub")]
     for df in (pages, errors):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+
+
+def test_texts_are_worked_out_once_whatever_the_number_of_keyword_blocks(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "BLOCK", 40)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        read.add(1)
+        return x
+
+    texts = spark.createDataFrame([(k, f"alpha{k} beta") for k in range(20)] + [(99, None)], "id int, text string").withColumn("text", told("text"))
+    words = spark.createDataFrame([(w,) for w in ("alpha1", "beta", "alpha19", "gamma", "ta", None, "beta") + tuple(f"no{k}" for k in range(12))], "keyword string")
+    got = sorted((r.id, r.keyword) for r in keywords.matches(texts, words).collect())
+    want = sorted((k, w) for k in range(20) for w in ("alpha1", "beta", "alpha19", "ta") if w in f"alpha{k} beta")
+    assert got == want and read.value == 21

@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.dom import minidom
 from xml.parsers.expat import ExpatError
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +21,10 @@ from .decks import NS, _open, _read, _slides
 
 #: Decks of one template that a task builds with it at hand.
 DEAL = 64
+#: Slides with places for texts that a task keeps.
+FORMS = 512
+#: Bytes of packages that a task gives at once, but for a package that is larger.
+FLUSH = 1 << 22
 # Fixed values of the package format.
 PRESENTATION, TYPES = "ppt/presentation.xml", "[Content_Types].xml"
 REL_NS = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -48,6 +54,10 @@ def _make(like, name: str):
     return like.ownerDocument.createElementNS(like.namespaceURI, f"{like.prefix}:{name}" if like.prefix else name)
 
 
+def _legal(text: str) -> str:
+    return ILLEGAL.sub(lambda m: f"_x{ord(m[0]):04X}_", text)
+
+
 def _put(shape, text: str) -> None:
     """Puts text into a shape's first paragraph, in the style of its first run; other runs and paragraphs go."""
     for body in _elements(shape, NS["p"], "txBody"):
@@ -64,7 +74,7 @@ def _put(shape, text: str) -> None:
         for x in _elements(run, NS["a"], "t"):
             run.removeChild(x)
         t = run.appendChild(_make(p, "t"))
-        t.appendChild(p.ownerDocument.createTextNode(ILLEGAL.sub(lambda m: f"_x{ord(m[0]):04X}_", text)))
+        t.appendChild(p.ownerDocument.createTextNode(text))
 
 
 class Builder:
@@ -77,6 +87,7 @@ class Builder:
         self.raw = {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
         if TYPES not in self.raw or any(_read(z, n) is None for n in (PRESENTATION, TYPES)):
             raise ValueError("invalid template")
+        self.forms: dict[tuple, tuple[list[str], frozenset[str]]] = {}
         self.slides = _slides(z)
         self.broken = {p for p in self.slides if _read(z, p) is None}
         self.rels = {p: self._relations(z, p) for p in ["", *self.raw] if _rels(p) in self.raw}
@@ -111,7 +122,7 @@ class Builder:
         for src, new, _ in made:
             first.setdefault(src, new)
 
-        def related(part: str, copies: dict[str, str], depth: int, used: set[str] | None = None) -> list[tuple[str, str, str, bool]]:
+        def related(part: str, copies: dict[str, str], depth: int, used: frozenset[str] | None = None) -> list[tuple[str, str, str, bool]]:
             out = []
             for rid, type_, target, away in self.rels.get(part, []):
                 if used is not None and rid not in used and _kind(type_) not in ("slideLayout", "diagramDrawing"):
@@ -151,8 +162,22 @@ class Builder:
         raw[PRESENTATION] = self._presentation([rid for rid, _ in listed])
         return self._zip(raw, rels, types)
 
-    def _slide(self, part: str, texts: dict[int, str], present: set[str]) -> tuple[bytes, set[str]]:
+    def _slide(self, part: str, texts: dict[int, str], present: set[str]) -> tuple[bytes, frozenset[str]]:
         """A slide's shapes with new texts, and the ids of relationships that they use. Links to slides that the deck doesn't have go."""
+        lost = frozenset(rid for rid, type_, target, away in self.rels.get(part, []) if _kind(type_) == "slide" and not away and target not in present)
+        key = part, frozenset(texts), lost
+        if key not in self.forms:
+            if len(self.forms) >= FORMS:
+                self.forms.clear()
+            self.forms[key] = self._form(*key)
+        pieces, used = self.forms[key]
+        # Every second piece is a shape's id, in whose place the text goes.
+        whole = "".join(escape(_legal(texts[int(x)])) if k % 2 else x for k, x in enumerate(pieces))
+        return whole.encode("UTF-8", "xmlcharrefreplace"), used
+
+    def _form(self, part: str, sids: frozenset[int], lost: frozenset[str]) -> tuple[list[str], frozenset[str]]:
+        """A slide as text between the ids of the shapes that get new texts, and the ids of relationships that it uses: the same for all decks."""
+        mark = uuid.uuid4().hex
         doc = minidom.parseString(self.raw[part])
         root = doc.documentElement
         for x in list(root.childNodes):
@@ -165,9 +190,8 @@ class Builder:
         for sp in root.getElementsByTagNameNS(NS["p"], "sp"):
             for own in sp.getElementsByTagNameNS(NS["p"], "cNvPr")[:1]:
                 sid = own.getAttribute("id")
-                if sid.isdigit() and int(sid) in texts:
-                    _put(sp, texts[int(sid)])
-        lost = {rid for rid, type_, target, away in self.rels.get(part, []) if _kind(type_) == "slide" and not away and target not in present}
+                if sid.isdigit() and int(sid) in sids:
+                    _put(sp, f"{mark}:{int(sid)};")
         used: set[str] = set()
         for x in root.getElementsByTagName("*"):
             ids = {a.value for a in x.attributes.values() if a.namespaceURI == NS["r"]}
@@ -175,7 +199,7 @@ class Builder:
                 x.parentNode.removeChild(x)
             else:
                 used |= ids
-        return doc.toxml("UTF-8", standalone=True), used
+        return re.split(f"{mark}:(\\d+);", doc.toxml("UTF-8", standalone=True).decode("UTF-8")), frozenset(used)
 
     def _presentation(self, ids: list[str]) -> bytes:
         """The presentation with the slides of these relationships. Sections and custom shows, which name slides of the template, go."""
@@ -272,6 +296,7 @@ def build(pages: DataFrame, filled: DataFrame, templates: DataFrame, first: int
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, builder, error = None, None, ""
+        rows, size = [], 0
         for frame in frames:
             for package, deal, side, data, deck, pages_ in frame.itertuples(index=False):
                 if side == 0:
@@ -291,7 +316,13 @@ def build(pages: DataFrame, filled: DataFrame, templates: DataFrame, first: int
                         why = f"no slide {'given' if pd.isna(lost[0]) else int(lost[0])}"
                     else:
                         out, why = builder.deck([(k, {int(s["sid"]): s["text"] for s in p["slots"]}) for p, k in zip(pages_, wanted)]), None
-                yield pd.DataFrame({"deck": [deck], "data": [out], "error": [why]})
+                rows.append((deck, out, why))
+                size += len(out or b"")
+                if size >= FLUSH or len(rows) >= DEAL:
+                    yield pd.DataFrame(rows, columns=["deck", "data", "error"])
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["deck", "data", "error"])
 
     # One template is at hand in a task at a time: its row comes ahead of its decks. Keys are strings there, for pandas makes numbers next to nulls floats.
     spark = pages.sparkSession

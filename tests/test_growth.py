@@ -1,8 +1,12 @@
 """What work grows with: plans in which something is done again for each row of a larger thing."""
 
+from xml.dom import minidom
+
 from pyspark.sql import functions as F
 
 from sluiceway.operators import deck, discover, keywords
+from sluiceway.plans.queries import template_package
+from sluiceway.sources import decks, writer
 
 
 def test_a_sitemap_is_judged_once_not_for_each_entry(spark):
@@ -38,3 +42,12 @@ def test_texts_are_worked_out_once_whatever_the_number_of_keyword_blocks(spark,
     got = sorted((r.id, r.keyword) for r in keywords.matches(texts, words).collect())
     want = sorted((k, w) for k in range(20) for w in ("alpha1", "beta", "alpha19", "ta") if w in f"alpha{k} beta")
     assert got == want and read.value == 21
+
+
+def test_a_template_slide_is_parsed_once_not_for_each_page(monkeypatch):
+    builder, parsed, parse = writer.Builder(template_package()), [], minidom.parseString
+    monkeypatch.setattr(writer.minidom, "parseString", lambda x: parsed.append(x) or parse(x))
+    made = [builder.deck([(2, {1: f"{k}", 2: "a <&> \x01"}), (2, {1: "7", 2: f'"é" {k}'})]) for k in range(3)]
+    assert sum(b"S2-1" in x for x in parsed) == 1
+    for k, data in enumerate(made):
+        assert [(r[0], r[3]) for r in decks.slide_rows(decks._open(data))] == [(n, x) for n, x in ((1, str(k)), (1, "a <&> _x0001_"), (2, "7"), (2, f'"é" {k}'))]

@@ -16,13 +16,16 @@ Candidates: signatures are shuffled, sorted and streamed; sets that share some f
 compared by sketches: their elements counted in buckets, whose differences add up to at most the number of
 elements in which the sets differ. A pair whose sketches differ by more than similar sets may is none; so sets that share
 but a passage fall apart here, exactly, and none is lost. Not all pairs that are left are verified: first each set with
-the first leader of its group that it may be similar to (a leader being a set that may be similar to no leader before it); the
-links found are joined into components; then, only across components, each with the NEAR nearest; then, across components again, all
-that is left. Sets of a group's largest component are compared with those of others alone. So a group of near copies
-costs about a pair each, in sketches as in texts, and no link that joins two components is lost. Groups of over CELL sets are
-compared in blocks; a group of many sets none of which may be similar to another costs comparisons of sketches with the square of its size.
-Pairs are verified on the texts themselves, each first partner's text being held while the others stream by; one with
-many partners is dealt to several tasks.
+the first leader of its group that it may be similar to (a leader being a set that may be similar to no leader before it), on the
+texts, each first partner's text being held while the others stream by; one with many partners is dealt to several tasks.
+The links found are joined into components. Then, across components alone, no pairs are written: a group gives those of its sets that
+may be similar to one of another component, their texts are dealt to the group, and it is settled there, by counting the elements that
+its sets share; it gives a link for each two components that it joins. So no step writes more rows than groups have sets, whatever sets
+may be similar to which. A pair that shares several groups counts in the first of them (as far as the LEAST first groups
+of each set tell; in all if they don't), which is done twice, as the sets that are left have fewer groups. Sets of a group's largest component are compared with those of others alone. So a group of near copies
+costs about a pair each, in sketches as in texts, and no link that joins two components is lost. Groups of over CELL sets (over WEIGHT
+elements where texts are compared) are dealt in blocks; a group of many sets none of which is similar to another takes comparisons
+with the square of its size, rows only beyond a block.
 
 Shingles are compared by 64-bit hashes, as are whole sets: with 10**9 sets the chance of a mistake is a few per cent
 over all of them.
@@ -47,7 +50,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-LEVELS, SUB, SKETCH, NEAR, CELL, PARTNERS = 3, 3, 128, 4, 8192, 256
+LEVELS, SUB, SKETCH, LEAST, CELL, WEIGHT, PARTNERS = 3, 3, 128, 16, 8192, 1 << 21, 256
 
 
 @lru_cache(None)
@@ -284,28 +287,44 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent: int, near: int | None) -> DataFrame:
-    """Pairs (kind 0, a < b) of sets in groups (grp, sid) whose sketches allow similarity, by info (sid, n, sketch).
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Rows (grp, sid, blocks, ...) with their block blk, once for each pair (i, j) of blocks that theirs is one of."""
+    members = members.withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j")))
+    return members.withColumn("c", F.explode(cells)).withColumn("i", F.col("c.i")).withColumn("j", F.col("c.j")).drop("c", "blocks")
+
+
+def with_comp(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    return groups.join(comp, F.col("sid") == F.col("node"), "left").select("grp", "sid", F.coalesce("comp", "sid").alias("comp"))
+
+
+def one_of_each(groups: DataFrame) -> DataFrame:
+    """Of the groups (grp, sid) that hold the same sets one."""
+    mark = groups.groupBy("grp").agg(F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64("sid", F.lit(2))).alias("two"))
+    return groups.join(mark.groupBy("one", "two").agg(F.min("grp").alias("grp")).select("grp"), "grp")
+
+
+def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent: int) -> DataFrame:
+    """Sets of groups (grp, sid) whose sketches allow similarity, by info (sid, n, sketch).
 
-    Without comp, each set with the first such leader of its group; and as kind 1 the rows (grp, sid) of sets that have any such partner.
-    With comp (node, comp), only sets of different components: each with its ``near`` nearest, or with all if that is None.
+    Without comp, pairs (kind 0, a < b): each set with the first such leader of its group; and as kind 1 the rows (grp, sid) of sets that have any such partner.
+    With comp (node, comp) only the latter, for partners of other components with which no earlier group is known to be shared.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     spark = groups.sparkSession
     if comp is None:
         now = groups.select("grp", "sid", F.lit(0).cast("long").alias("comp"))
         size = now.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     else:
-        now = groups.join(comp, F.col("sid") == F.col("node"), "left").select("grp", "sid", F.coalesce("comp", "sid").alias("comp"))
-        now, _ = C.write_out(spark, now, "members")
+        now, _ = C.write_out(spark, with_comp(groups, comp), "members")
         size = now.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
+        least = groups.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("grp")), 1, LEAST).alias("least"))
+        info = info.join(least, "sid")
     large = size.where(F.col("size") > CELL) if comp is None else size
     now = now.join(large, "grp", "left" if comp is None else "inner").withColumn("size", F.coalesce("size", F.lit(1)))
-    blocks = F.ceil(F.col("size") / CELL).cast("int")
-    now = now.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j")))
-    now = now.select("grp", "sid", "comp", "blk", F.explode(cells).alias("c")).select("grp", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "sid", "comp", "blk")
+    now = in_blocks(now.withColumn("blocks", F.ceil(F.col("size") / CELL).cast("int")))
 
     first = comp is None
 
@@ -334,10 +353,10 @@ def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent:
         if any_.any():
             out.append([np.ones(int(any_.sum()), np.int32), np.full(int(any_.sum()), grp), sid[any_]])
 
-    def cell(grp, sid, comp_, blk, n, sk, across: bool, out: list[list[np.ndarray]]) -> None:
-        if first:
-            return lead(grp, sid, n, sk, out)
+    def cell(grp, sid, comp_, blk, n, sk, least, across: bool, out: list[list[np.ndarray]]) -> None:
+        """The sets that may be similar to one of another component."""
         x = Sketches(sk)
+        any_ = np.zeros(len(sid), bool)
         kinds, of, size = np.unique(comp_, return_inverse=True, return_counts=True)
         small = of != size.argmax()  # the largest component's sets are compared by those of others
         for k in np.flatnonzero(small).tolist():
@@ -346,15 +365,14 @@ def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent:
             if across:
                 ok &= blk != blk[k]
             rows = np.flatnonzero(ok)
-            if not len(rows):
-                continue
-            apart = x.differences(k, rows)
-            ok = near_enough(apart, n[rows], n[k])
-            rows, apart = rows[ok], apart[ok]
-            if near is not None and len(rows) > near:
-                rows = rows[np.argsort(apart, kind="stable")[:near]]
+            before = least[k][least[k] < grp]
+            if len(before):
+                rows = rows[~np.isin(least[rows], before).any(1)]
+            rows = rows[near_enough(x.differences(k, rows), n[rows], n[k])]
             if len(rows):
-                out.append([np.zeros(len(rows), np.int32), np.minimum(sid[rows], sid[k]), np.maximum(sid[rows], sid[k])])
+                any_[rows] = any_[k] = True
+        if any_.any():
+            out.append([np.ones(int(any_.sum()), np.int32), np.full(int(any_.sum()), grp), sid[any_]])
 
     def run(batches: Iterator) -> Iterator:
         rest = None
@@ -374,17 +392,83 @@ def compare(groups: DataFrame, info: DataFrame, comp: DataFrame | None, percent:
                 rest, at, ends = now.slice(int(at[-1])), at[:-1], ends[:-1]
             sid, comp_, blk, n = (now.column(k).to_numpy() for k in range(3, 7))
             sk, out = now.column(7).to_pylist() if len(at) else [], []
+            if not first:
+                least = np.full((now.num_rows, LEAST), np.iinfo(np.int64).max)
+                least[np.arange(LEAST) < pc.list_value_length(now.column(8)).to_numpy()[:, None]] = now.column(8).flatten().to_numpy()
             for lo, hi in zip(at.tolist(), ends.tolist()):
-                if hi - lo > 1:
-                    cell(grp[lo], sid[lo:hi], comp_[lo:hi], blk[lo:hi], n[lo:hi], sk[lo:hi], i[lo] != j[lo], out)
+                if hi - lo > 1 and first:
+                    lead(grp[lo], sid[lo:hi], n[lo:hi], sk[lo:hi], out)
+                elif hi - lo > 1:
+                    cell(grp[lo], sid[lo:hi], comp_[lo:hi], blk[lo:hi], n[lo:hi], sk[lo:hi], least[lo:hi], i[lo] != j[lo], out)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["kind", "a", "b"])
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    full = now.join(info, "sid").select("grp", "i", "j", "sid", "comp", "blk", "n", "sketch")
+    full = now.join(info, "sid").select("grp", "i", "j", "sid", "comp", "blk", "n", "sketch", *([] if first else ["least"]))
     return full.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "sid").mapInArrow(run, "kind int, a long, b long")
 
 
+def joins(sid: np.ndarray, comp: np.ndarray, blk: np.ndarray, sets: list[np.ndarray], across: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components (across: of different blocks), one for each two components that come together."""
+    size = np.array([len(s) for s in sets])
+    elements, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(elements, kind="stable")
+    new = np.concatenate(([True], np.diff(elements[order]) != 0))
+    start, rank = np.flatnonzero(new), np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    count, holder = np.diff(np.append(start, len(order))), own[order]
+    _, root, members = np.unique(comp, return_inverse=True, return_counts=True)
+    most, out = int(members.argmax()), []
+    for k, at in enumerate((np.cumsum(size) - size).tolist()):
+        other = root != root[k]
+        if across:
+            other &= blk != blk[k]
+        if root[k] == most or not other.any():  # the largest component's sets are compared by those of others
+            continue
+        element, both, lo = rank[at : at + size[k]], np.zeros(len(sets), np.int64), 0
+        ends = np.cumsum(count[element])
+        while lo < len(element):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+            some = count[element[lo:hi]]
+            both += np.bincount(holder[np.repeat(start[element[lo:hi]] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))], minlength=len(sets))
+            lo = hi
+        for x in np.flatnonzero(other & (100 * both >= percent * (size + size[k] - both))).tolist():
+            a, b = sorted((int(root[k]), int(root[x])), key=lambda r: r == most)
+            if a != b:
+                out.append((int(sid[k]), int(sid[x])))
+                root[root == a] = b
+    return out
+
+
+def settle(groups: DataFrame, info: DataFrame, comp: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (u, v) that join the components (node, comp) of all sets that share a group (grp, sid) and are similar enough. texts: (sid, text)."""
+    import pyarrow as pa
+
+    spark = groups.sparkSession
+    now, _ = C.write_out(spark, with_comp(groups, comp).join(info.select("sid", "n"), "sid"), "members")
+    blocks = now.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n") / WEIGHT)).cast("int").alias("blocks"))
+    now = in_blocks(now.join(blocks, "grp")).join(texts, "sid").select("grp", "i", "j", "sid", "comp", "blk", "text")
+
+    def run(batches: Iterator) -> Iterator:
+        key, held = None, []
+        for batch in itertools.chain(batches, [None]):
+            found = []
+            rows = zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6)) if batch is not None else [(None,) * 7]
+            for grp, i, j, sid, comp_, blk, text in rows:
+                if (grp, i, j) != key:
+                    if len(held) > 1:
+                        ids, comps, blks, sets = zip(*held)
+                        found += joins(np.array(ids), np.array(comps), np.array(blks), list(sets), key[1] != key[2], percent)
+                    key, held = (grp, i, j), []
+                if text is not None:
+                    held.append((sid, comp_, blk, C.shingle_set(text.as_buffer().to_pybytes(), n)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return now.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "sid").mapInArrow(run, "u long, v long")
+
+
 def link_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, sid) per row and (node, comp) per class that is linked with another."""
     spark = docs.sparkSession
@@ -393,30 +477,30 @@ def link_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     groups, groups_at = C.write_out(spark, shared(postings(docs, n, percent)).distinct(), "groups")
     info = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
     info, info_at = C.write_out(spark, info.join(groups.select("sid").distinct(), "sid"), "info")
-    found, found_at = C.write_out(spark, compare(groups, info.drop("doc_id"), None, percent, None), "pairs")
+    found, found_at = C.write_out(spark, compare(groups, info.drop("doc_id"), None, percent), "pairs")
     C.drop_path(spark, groups_at)
     # Sets that may be similar to another; signatures whose sets are now the same become one group.
     left = found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("sid"))
-    mark = left.groupBy("grp").agg(F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64("sid", F.lit(2))).alias("two"))
-    one = mark.groupBy("one", "two").agg(F.min("grp").alias("grp")).select("grp")
-    groups, groups_at = C.write_out(spark, left.join(one, "grp"), "groups")
+    groups, groups_at = C.write_out(spark, one_of_each(left), "groups")
     # One text for each class that is left.
     first, first_at = C.write_out(spark, info.select("sid", "doc_id").join(groups.select("sid").distinct(), "sid"), "first")
     texts, texts_at = C.write_out(spark, _texts(docs, first, n), "texts")
     C.drop_path(spark, first_at)
-    pairs, comp, comp_at = found.where("kind = 0").select("a", "b").distinct(), None, None
-    for near in (NEAR, None, 0):
-        edges, edges_at = C.write_out(spark, verify(pairs, texts, n, percent), "links")
-        known = edges if comp is None else edges.union(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))
-        comp, new_at = C.components(spark, known)
-        C.drop_path(spark, edges_at, found_at, *([comp_at] if comp_at else []))
-        comp_at = new_at
-        if near == 0:
-            break
-        found, found_at = C.write_out(spark, compare(groups, info.drop("doc_id"), comp, percent, near), "pairs")
-        pairs = found.select("a", "b").distinct()
-        if not found.limit(1).count():
+    edges, edges_at = C.write_out(spark, verify(found.where("kind = 0").select("a", "b").distinct(), texts, n, percent), "links")
+    comp, comp_at = C.components(spark, edges)
+    C.drop_path(spark, edges_at, found_at)
+    for _ in range(2):
+        found, found_at = C.write_out(spark, compare(groups, info.drop("doc_id"), comp, percent), "across")
+        left, left_at = C.write_out(spark, one_of_each(found.select(F.col("a").alias("grp"), F.col("b").alias("sid")).distinct()), "left")
+        C.drop_path(spark, found_at, groups_at)
+        groups, groups_at = left, left_at
+        if not left.limit(1).count():
             break
+    else:
+        edges, edges_at = C.write_out(spark, settle(groups, info, comp, texts, n, percent), "links")
+        whole, _ = C.components(spark, edges.union(comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))))
+        C.drop_path(spark, edges_at, comp_at)
+        comp = whole
     C.drop_path(spark, groups_at, info_at, texts_at)
     return rows, comp
 

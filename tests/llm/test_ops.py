@@ -157,6 +157,82 @@ def test_jaccard_groups_beyond_a_block(spark, monkeypatch):
     assert got == dict(zip((i for i, _ in rows), components_of([i for i, _ in rows], sets_of([t for _, t in rows], 3), 80)))
 
 
+def test_jaccard_rows_in_proportion(spark, monkeypatch):
+    """Sets hardly any of which is similar to another, though sketches allow it of all: twice as many make about twice the rows in each step, and links are found."""
+    write_out, made = common.write_out, collections.Counter()
+
+    def counted(spark, df, label="t"):
+        out = write_out(spark, df, label)
+        made[label] = max(made[label], out[0].count())
+        return out
+
+    def rows_of(many):
+        rng = np.random.default_rng(5)
+        base, rows = [f"w{k}" for k in range(600)], []
+        for d in range(many):
+            w = list(base)
+            for k in rng.choice(150, 8, replace=False).tolist():
+                w[4 * k + 1] = f"e{d}x{k}"
+            rows.append((len(rows), " ".join(w)))
+            if d % 20 == 0:
+                rows.append((len(rows), " ".join([*w, "end"])))
+        return rows
+
+    monkeypatch.setattr(common, "write_out", counted)
+    seen = []
+    for many in (60, 120):
+        made.clear()
+        rows = rows_of(many)
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == dict(zip((i for i, _ in rows), components_of([i for i, _ in rows], sets_of([t for _, t in rows], 4), 85)))
+        assert len(set(got.values())) >= many - 2
+        seen.append(dict(made))
+    assert all(v <= 3 * seen[0][k] + 50 for k, v in seen[1].items()), seen
+
+
+@pytest.mark.parametrize(("cell", "weight", "least"), [(8192, 1 << 21, 1), (16, 1 << 21, 1), (8192, 300, 16)])
+def test_jaccard_across_components(spark, monkeypatch, cell, weight, least):
+    """Chains of sets each similar to the next alone, in whole groups and in blocks, by long lists of groups and short ones: as by brute force."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "WEIGHT", weight)
+    monkeypatch.setattr(jaccard, "LEAST", least)
+    rng = np.random.default_rng(6)
+    rows = []
+    for chain in range(4):
+        w = [f"c{chain}x{k}" for k in range(150)]
+        for step in range(20):
+            for k in rng.choice(37, 2, replace=False).tolist():
+                w[4 * k + 1] = f"e{chain}x{step}x{k}"
+            rows.append((int(rng.integers(1 << 40)), " ".join(w)))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip((i for i, _ in rows), components_of([i for i, _ in rows], sets_of([t for _, t in rows], 4), 85)))
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_joins_of_components(across):
+    """A group is settled with one link for each two components that come together, as comparing all pairs tells."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        many = int(rng.integers(2, 40))
+        sets = [np.unique(rng.integers(0, int(rng.integers(3, 9)), int(rng.integers(1, 9))).astype(np.uint64)) for _ in range(many)]
+        comp, blk = rng.integers(0, 12, many), rng.integers(0, 2, many)
+        up = {c: c for c in comp.tolist()}
+
+        def top(c):
+            while up[c] != c:
+                c = up[c]
+            return c
+
+        found = jaccard.joins(np.arange(many), comp, blk, sets, across, 80)
+        for a, b in found:
+            assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) and (not across or blk[a] != blk[b])
+            assert top(comp[a]) != top(comp[b])
+            up[top(comp[a])] = top(comp[b])
+        for a, b in itertools.combinations(range(many), 2):
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) and (not across or blk[a] != blk[b]):
+                assert top(comp[a]) == top(comp[b])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     comp, _ = common.components(spark, spark.createDataFrame(edges, "u long, v long"))
